@@ -1,0 +1,195 @@
+"""DuckDB common table expressions that mirror the derived tables, for the checks.
+
+Each entry names the tables it needs; :func:`with_tables` puts the needed ones in
+front of a query body.
+"""
+
+from __future__ import annotations
+
+import re
+
+from castwise.plans.derived import CONFIGS, EXPERTS, LIMITS
+
+STABLE_SQL = "sample_key, config_name, split, dataset_name, item_id, channel_id, window_index"
+
+
+def r6(expr: str) -> str:
+    """Round to 6 digits without a negative zero."""
+    return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END)"
+
+
+def q(expr: str) -> str:
+    return f"(floor(({expr}) * 1048576.0 + 0.5) / 1048576.0)"
+
+
+def asum(arr: str) -> str:
+    return f"list_reduce({arr}, lambda a, b: a + b, CAST(0 AS DOUBLE))"
+
+
+_cfg = ", ".join(f"('{name}', {l}, {h})" for name, (l, h) in CONFIGS.items())
+_err = "list_transform(range(1, len(y_true) + 1), lambda i: {})"
+_KEY = (
+    "config_name || '__' || split || '__' || dataset_name || '__item' || item_id || '__ch' || channel_id"
+    " || '__win' || window_index"
+)
+
+
+def _cat(expr: str, limit: float) -> str:
+    return f"CASE WHEN round({expr}, 9) > {limit} THEN 'HIGH' ELSE 'LOW' END"
+
+
+_mae = ", ".join(f"max(CASE WHEN model_name = '{e}' THEN mae END) AS mae_{e}" for e in EXPERTS)
+_mse = ", ".join(f"max(CASE WHEN model_name = '{e}' THEN mse END) AS mse_{e}" for e in EXPERTS)
+
+
+def _label_rows(metric: str) -> str:
+    vals = ", ".join(f"{metric}_{e} AS {e}" for e in EXPERTS)
+    return f"SELECT {STABLE_SQL}, '{metric}' AS metric, {vals} FROM wide_errors"
+
+
+_arr = "[" + ", ".join(EXPERTS) + "]"
+_names = "[" + ", ".join(f"'{e}'" for e in EXPERTS) + "]"
+_regrets = ", ".join(f"{e} - list_min({_arr}) AS {e}_regret" for e in EXPERTS)
+
+TABLES: dict[str, str] = {
+    "ev_hits": """
+        SELECT user_id AS item_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 7200) AS INTEGER) AS step, value
+        FROM events""",
+    "ev_agg": """
+        SELECT item_id, step, round(sum(value) * 100) AS c0, CAST(count(*) AS DOUBLE) AS c1
+        FROM ev_hits WHERE step BETWEEN 0 AND 359 GROUP BY ALL""",
+    "li_hits": """
+        SELECT l_suppkey + 1000000 AS item_id,
+               CAST(floor(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7.0) AS INTEGER) AS step,
+               l_returnflag, l_quantity FROM lineitem""",
+    "li_agg": """
+        SELECT item_id, step, """
+    + ", ".join(f"sum(CASE WHEN l_returnflag = '{f}' THEN l_quantity ELSE 0 END) AS c{i}" for i, f in enumerate("ANR"))
+    + """ FROM li_hits WHERE step BETWEEN 0 AND 359 GROUP BY ALL""",
+    "raw_panel": """
+        SELECT 'EVENTS_2H' AS dataset_name, i.item_id, c.channel_id, s.step,
+               coalesce(CASE WHEN c.channel_id = 0 THEN a.c0 ELSE a.c1 END, 0.0) AS raw
+        FROM (SELECT DISTINCT item_id FROM ev_agg) i CROSS JOIN (SELECT unnest([0, 1]) AS channel_id) c
+        CROSS JOIN (SELECT unnest(range(0, 360)) AS step) s
+        LEFT JOIN ev_agg a ON a.item_id = i.item_id AND a.step = s.step
+        UNION ALL
+        SELECT 'ITEMS_1W', i.item_id, c.channel_id, s.step,
+               coalesce(CASE c.channel_id WHEN 0 THEN a.c0 WHEN 1 THEN a.c1 ELSE a.c2 END, 0.0)
+        FROM (SELECT DISTINCT item_id FROM li_agg) i CROSS JOIN (SELECT unnest([0, 1, 2]) AS channel_id) c
+        CROSS JOIN (SELECT unnest(range(0, 360)) AS step) s
+        LEFT JOIN li_agg a ON a.item_id = i.item_id AND a.step = s.step""",
+    "split_panel": """
+        SELECT *, CASE WHEN step < 180 THEN 'train' WHEN step < 270 THEN 'vali' ELSE 'test' END AS split,
+               CASE WHEN step < 180 THEN step WHEN step < 270 THEN step - 180 ELSE step - 270 END AS pos
+        FROM raw_panel""",
+    "moments": """
+        SELECT dataset_name, item_id, channel_id, CAST(count(*) AS DOUBLE) AS n, sum(raw) AS s, sum(raw * raw) AS ss
+        FROM split_panel WHERE split = 'train' GROUP BY ALL""",
+    "panel": f"""
+        SELECT p.dataset_name, p.item_id, p.channel_id, p.step, p.raw, p.split, p.pos,
+               {q("CASE WHEN n * ss - s * s > 0 THEN (n * raw - s) / sqrt(n * ss - s * s) ELSE raw - s / n END")} AS value
+        FROM split_panel p JOIN moments USING (dataset_name, item_id, channel_id)""",
+    "cfg": f"SELECT * FROM (VALUES {_cfg}) t(config_name, l, h)",
+    "series": """
+        SELECT dataset_name, item_id, channel_id, split, list(value ORDER BY pos) AS v, count(*) AS t
+        FROM panel WHERE split <> 'train' GROUP BY ALL""",
+    "windows0": """
+        SELECT config_name, l, h, split, dataset_name, item_id, channel_id, v,
+               CAST(unnest(range(0, t - l - h + 1)) AS INTEGER) AS window_index
+        FROM series CROSS JOIN cfg""",
+    "windows": f"""
+        SELECT {_KEY} AS sample_key, config_name, split, dataset_name, item_id, channel_id, window_index,
+               CAST(l AS INTEGER) AS history_length, CAST(h AS INTEGER) AS pred_length,
+               v[window_index + 1 : window_index + l] AS x, v[window_index + l + 1 : window_index + l + h] AS y_true
+        FROM windows0""",
+    "expert_inputs": f"""
+        SELECT *, CASE WHEN dataset_name = 'EVENTS_2H' THEN 12 ELSE 4 END AS m,
+               {q(asum('x') + ' / len(x)')} AS mean_f,
+               {q("list_reduce(x, lambda s, v: 0.3 * v + 0.7 * s)")} AS ses_f
+        FROM windows""",
+    "preds": f"""
+        SELECT * EXCLUDE (m, mean_f, ses_f), 'last' AS model_name,
+               list_transform(range(1, pred_length + 1), lambda k: x[-1]) AS y_pred FROM expert_inputs
+        UNION ALL
+        SELECT * EXCLUDE (m, mean_f, ses_f), 'snaive',
+               list_transform(range(1, pred_length + 1), lambda k: x[len(x) - m + ((k - 1) % m) + 1]) FROM expert_inputs
+        UNION ALL
+        SELECT * EXCLUDE (m, mean_f, ses_f), 'mean',
+               list_transform(range(1, pred_length + 1), lambda k: mean_f) FROM expert_inputs
+        UNION ALL
+        SELECT * EXCLUDE (m, mean_f, ses_f), 'drift',
+               list_transform(range(1, pred_length + 1),
+                              lambda k: {q("x[-1] + k * ((x[-1] - x[1]) / (len(x) - 1))")}) FROM expert_inputs
+        UNION ALL
+        SELECT * EXCLUDE (m, mean_f, ses_f), 'ses',
+               list_transform(range(1, pred_length + 1), lambda k: ses_f) FROM expert_inputs""",
+    "forecasts": f"""
+        SELECT 'forecast_cache_v1' AS cache_version, {STABLE_SQL}, history_length, pred_length, model_name,
+               'simple_v1' AS expert_version, 'not_applicable' AS checkpoint_selection, y_true, y_pred,
+               {asum(_err.format("abs(y_pred[i] - y_true[i])"))} / len(y_true) AS mae,
+               {asum(_err.format("(y_pred[i] - y_true[i]) * (y_pred[i] - y_true[i])"))} / len(y_true) AS mse
+        FROM preds""",
+    "wide_errors": f"SELECT {STABLE_SQL}, {_mae}, {_mse} FROM forecasts GROUP BY ALL",
+    "labels": f"""
+        SELECT {STABLE_SQL}, metric, {_names}[list_position({_arr}, list_min({_arr}))] AS oracle_model,
+               list_min({_arr}) AS oracle_value, list_min({_arr}) AS oracle_top1_value,
+               {", ".join(EXPERTS)}, {_regrets}
+        FROM ({_label_rows('mae')} UNION ALL {_label_rows('mse')})""",
+    "item_series": f"""
+        SELECT dataset_name, item_id, step, CASE WHEN dataset_name = 'EVENTS_2H' THEN 12 ELSE 4 END AS lag,
+               {q("avg(value)")} AS value
+        FROM panel WHERE split = 'train' GROUP BY ALL""",
+    "item_stats": """
+        SELECT a.*, b.* EXCLUDE (item_id), c.* EXCLUDE (item_id), d.* EXCLUDE (item_id), sy / n AS mu, syy - sy * (sy / n) AS sxx
+        FROM (SELECT dataset_name, item_id, CAST(count(*) AS DOUBLE) AS n, sum(CAST(step AS DOUBLE)) AS st,
+                     sum(CAST(step AS DOUBLE) * step) AS stt, sum(value) AS sy, sum(value * value) AS syy,
+                     sum(step * value) AS sty FROM item_series GROUP BY ALL) a
+        JOIN (SELECT s.item_id, CAST(count(*) AS DOUBLE) AS l1_n, sum(s.value * t.value) AS l1_p, sum(s.value + t.value) AS l1_s
+              FROM item_series s JOIN item_series t ON s.item_id = t.item_id AND t.step = s.step + 1 GROUP BY ALL) b
+          ON a.item_id = b.item_id
+        JOIN (SELECT s.item_id, CAST(count(*) AS DOUBLE) AS ls_n, sum(s.value * t.value) AS ls_p, sum(s.value + t.value) AS ls_s
+              FROM item_series s JOIN item_series t ON s.item_id = t.item_id AND t.step = s.step + s.lag GROUP BY ALL) c
+          ON a.item_id = c.item_id
+        JOIN (SELECT item_id, CAST(count(*) AS DOUBLE) AS rn, sum(raw) AS rs, sum(raw * raw) AS rss,
+                     CAST(count(*) FILTER (WHERE raw = 0) AS DOUBLE) AS rz
+              FROM panel WHERE split = 'train' GROUP BY ALL) d ON a.item_id = d.item_id""",
+    "item_cats": f"""
+        SELECT item_id,
+          {_cat("CASE WHEN sxx > 1e-9 THEN (n*sty-st*sy)*(n*sty-st*sy) / ((n*stt-st*st)*n*sxx) ELSE 0 END", LIMITS["trend"])}
+            AS trend_strength_cat,
+          {_cat("CASE WHEN sxx > 1e-9 THEN (ls_p - mu*ls_s + ls_n*mu*mu) / sxx ELSE 0 END", LIMITS["season"])}
+            AS season_strength_cat,
+          {_cat("CASE WHEN sxx > 1e-9 THEN (l1_p - mu*l1_s + l1_n*mu*mu) / sxx ELSE 0 END", LIMITS["forecastability"])}
+            AS forecastability_cat,
+          {_cat("sqrt(CASE WHEN rs > 0 THEN (rn*rss - rs*rs) / (rs*rs) ELSE 0 END)", LIMITS["cv"])} AS cv_cat,
+          {_cat("rz / rn", LIMITS["missing"])} AS missing_ratio_cat
+        FROM item_stats""",
+    "regimes": """
+        SELECT item_id, CAST((CASE WHEN trend_strength_cat = 'HIGH' THEN 0 ELSE 18 END)
+                 + (CASE WHEN season_strength_cat = 'HIGH' THEN 0 ELSE 6 END)
+                 + (CASE WHEN forecastability_cat = 'HIGH' THEN 0 ELSE 2 END) AS INTEGER) AS cluster,
+               trend_strength_cat || '_' || season_strength_cat || '_' || forecastability_cat AS group_name,
+               forecastability_cat, season_strength_cat, trend_strength_cat, cv_cat, missing_ratio_cat
+        FROM item_cats""",
+    "enriched": "SELECT l.*, r.cluster, r.group_name FROM labels l JOIN regimes r USING (item_id)",
+}
+
+_word = re.compile(r"[a-z_][a-z_0-9]*")
+
+
+def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
+    """``body`` preceded by every derived table it mentions, directly or not."""
+    tables = {**TABLES, **(extra or {})}
+    order: list[str] = []
+
+    def visit(text: str, busy: tuple[str, ...] = ()) -> None:
+        words = set(_word.findall(text))
+        for name in tables:
+            if name in words and name not in order and name not in busy:
+                visit(tables[name], (*busy, name))
+                order.append(name)
+
+    visit(body)
+    if not order:
+        return body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({tables[n]})" for n in order) + "\n" + body

@@ -1,0 +1,61 @@
+"""Session settings and the shared folder used to cut lineage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
+
+
+def local_session(name: str, cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+    """A local session for tests and bench; on a cluster use the one given by spark-submit."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return (
+        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "12g")
+        .getOrCreate()
+    )
+
+
+_fallback: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir`` when the session names one.
+
+    Only where it is unset (local runs) a fresh local folder is made and remembered.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None
+    )
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback[app]
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    The written table survives the loss of executors, and its rows (with any
+    partition ids stored in them) never change on recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1,93 @@
+"""Panel source: event rows to a dense, split and scaled long panel."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from castwise.schemas import SERIES
+
+
+def read_panel(
+    events: DataFrame,
+    dataset_name: str,
+    item: Column,
+    step: Column,
+    channels: Sequence[Column],
+    steps: int,
+) -> DataFrame:
+    """Bucket events to a dense grid: one row per (item, channel, step), gaps are 0.
+
+    ``channels`` are per-event amounts; a channel's value is their sum in the bucket.
+
+    The grid is *added* to the events as zero rows instead of being joined, so a
+    single map-side-combined aggregation does bucketing and gap filling, and a
+    busy item is split over its (item, step) keys.
+    """
+    names = [f"c{i}" for i in range(len(channels))]
+    hits = events.select(
+        item.cast("long").alias("item_id"),
+        step.cast("int").alias("step"),
+        *[c.cast("double").alias(n) for c, n in zip(channels, names)],
+    ).filter(F.col("step").between(0, steps - 1))
+    grid = (
+        hits.select("item_id")
+        .distinct()
+        .select("item_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), *[F.lit(0.0).alias(n) for n in names])
+    )
+    wide = hits.unionByName(grid).groupBy("item_id", "step").agg(*[F.sum(n).alias(n) for n in names])
+    return wide_to_long(wide, ["item_id", "step"], names).select(
+        F.lit(dataset_name).alias("dataset_name"), "item_id", "channel_id", "step", "value"
+    )
+
+
+def wide_to_long(df: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataFrame:
+    """Unpivot wide channel columns; ``channel_id`` is the position in ``channels``."""
+    position = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("channel"))
+    return df.unpivot(list(ids), list(channels), "channel", "value").withColumn(
+        "channel_id", (position - 1).cast("int")
+    ).drop("channel")
+
+
+def split_steps(panel: DataFrame, bounds: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """Cut the step axis into named splits; ``pos`` restarts at 0 in each split."""
+    split = start = None
+    for name, (lo, hi) in bounds.items():
+        here = F.col("step").between(lo, hi)
+        split = F.when(here, F.lit(name)) if split is None else split.when(here, F.lit(name))
+        start = F.when(here, F.lit(lo)) if start is None else start.when(here, F.lit(lo))
+    return panel.withColumn("split", split).withColumn("pos", (F.col("step") - start).cast("int")).filter("split IS NOT NULL")
+
+
+def scale_series(panel: DataFrame, fit_split: str = "train", value: str = "raw", out: str = "value") -> DataFrame:
+    """z-score each series by the mean and population std of ``fit_split`` (std 0 -> 1).
+
+    Values are rounded to a multiple of 2**-20 so that later sums of them are
+    exact in a double whatever order executors add them in.
+    """
+    v = F.col(value)
+    moments = (
+        panel.filter(F.col("split") == fit_split)
+        .groupBy(*SERIES)
+        .agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"))
+        .withColumn("_d", F.col("_n") * F.col("_ss") - F.col("_s") * F.col("_s"))
+    )
+    z = F.when(F.col("_d") > 0, (F.col("_n") * v - F.col("_s")) / F.sqrt("_d")).otherwise(v - F.col("_s") / F.col("_n"))
+    return panel.join(moments, SERIES).withColumn(out, on_grid(z)).drop("_n", "_s", "_ss", "_d")
+
+
+def on_grid(c: Column) -> Column:
+    """Round to the nearest multiple of 2**-20."""
+    return F.floor(c * F.lit(1048576.0) + F.lit(0.5)).cast("double") / F.lit(1048576.0)
+
+
+def for_item(panel: DataFrame, item_id: int) -> DataFrame:
+    """One item's series only."""
+    return panel.filter(F.col("item_id") == F.lit(item_id))
+
+
+def fold_channels(panel: DataFrame, value: str = "value") -> DataFrame:
+    """Channel mean per (dataset, split, item, step): multi-channel input as one series."""
+    return panel.groupBy("dataset_name", "split", "item_id", "step", "pos").agg(F.avg(value).alias(value))
