@@ -43,6 +43,15 @@ def ratio(a: Column, b: Column) -> Column:
 # --- arrays -----------------------------------------------------------------
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A column used inside an array lambda would otherwise be computed again for
+    every element once the optimizer merges the projections.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def asum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -51,6 +60,19 @@ def amean(arr: Column) -> Column:
     return ratio(asum(arr), F.size(arr))
 
 
+def central_sum(arr: Column, mean: Column, power: int) -> Column:
+    """``sum((v - mean) ** power)``."""
+
+    def term(v: Column, m: Column) -> Column:
+        d = v - m
+        out = d
+        for _ in range(power - 1):
+            out = out * d
+        return out
+
+    return let(mean, lambda m: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + term(v, m)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return asum(F.zip_with(a, b, lambda u, v: u * v))
 
@@ -99,12 +121,11 @@ WEIGHT_FLOOR = 1e-8
 
 def softmax(logits: Column) -> Column:
     """Row softmax of an array, shifted by its maximum."""
-    exps = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return normalize(exps)
+    return normalize(let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v - top))))
 
 
 def normalize(arr: Column) -> Column:
-    return F.transform(arr, lambda v: v / asum(arr))
+    return let(arr, lambda a: let(asum(a), lambda total: F.transform(a, lambda v: v / total)))
 
 
 def entropy(weights: Column) -> Column:

@@ -1,0 +1,180 @@
+"""Arrow functions over arrays of windows: spectra and the unit-root test.
+
+Each call gets one Arrow batch of windows.  Windows of equal length are stacked to
+a matrix and handled together; nothing is looped per row in Python except the rare
+rank-deficient regressions.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+# MacKinnon (1994) response surface of the Dickey-Fuller tau statistic,
+# constant only, one variable: p = Phi(b0 + b1 tau + b2 tau^2) for tau <= -1.61,
+# p = 0 below -18.83.
+TAU_SURFACE = (2.1659, 1.4412, 0.038269)
+TAU_LEFT_MAX = -1.61
+TAU_MIN = -18.83
+NORMAL_5_PERCENT = -1.6448536269514722
+
+PSD_FLOOR = 1e-12
+SPECTRAL = ["frequency_mean", "frequency_peak", "spectral_entropy", "spectral_skewness", "spectral_kurtosis"]
+
+
+def _by_length(x: pa.Array):
+    """(row numbers, matrix) for every window length in the batch."""
+    lengths = np.asarray(x.value_lengths().fill_null(0))
+    flat = np.asarray(x.flatten().cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    for n in np.unique(lengths):
+        if n == 0:
+            continue
+        rows = np.flatnonzero(lengths == n)
+        yield rows, flat[starts[rows][:, None] + np.arange(n)]
+
+
+def _list_array(rows_of: list) -> pa.Array:
+    sizes = np.array([len(r) for r in rows_of], dtype=np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    flat = np.concatenate(rows_of) if rows_of else np.empty(0)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+
+def _power(m: np.ndarray) -> np.ndarray:
+    spectrum = np.fft.rfft(m - m.mean(axis=1, keepdims=True), axis=1)
+    return np.square(spectrum.real) + np.square(spectrum.imag)
+
+
+@F.arrow_udf("array<double>")
+def power(x: pa.Array) -> pa.Array:
+    """Spectral power of the centered window without its DC bin."""
+    out: list = [np.empty(0)] * len(x)
+    for rows, m in _by_length(x):
+        for i, p in zip(rows, _power(m)[:, 1:]):
+            out[i] = p
+    return _list_array(out)
+
+
+def _moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Biased skewness and excess kurtosis per row; 0 for constant rows."""
+    mean = v.mean(axis=1, keepdims=True)
+    d = v - mean
+    m2 = np.mean(d**2, axis=1)
+    flat = m2 <= (np.finfo(float).eps * mean[:, 0]) ** 2
+    safe = np.where(flat, 1.0, m2)
+    skew = np.where(flat, 0.0, np.mean(d**3, axis=1) / safe**1.5)
+    kurt = np.where(flat, 0.0, np.mean(d**4, axis=1) / safe**2 - 3.0)
+    return skew, kurt
+
+
+def spectral_matrix(m: np.ndarray) -> np.ndarray:
+    """The five periodogram features of every row."""
+    n = m.shape[1]
+    psd = _power(m) / n
+    psd[:, 1 : (n + 1) // 2] *= 2.0
+    freqs = np.arange(psd.shape[1]) / n
+    # Bins equal to within 1e-6 of the total count as equal: the first one is the peak.
+    total = psd.sum(axis=1, keepdims=True)
+    share = np.round(psd / np.where(total > 0, total, 1.0), 6)
+    p = psd + PSD_FLOOR
+    p = p / p.sum(axis=1, keepdims=True)
+    skew, kurt = _moments(psd)
+    return np.column_stack(
+        [psd.mean(axis=1), freqs[np.argmax(share, axis=1)], -(p * np.log(p)).sum(axis=1), skew, kurt]
+    )
+
+
+def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Batched least squares (minimum norm): parameters, their variance factors, ssr, rank."""
+    pinv = np.linalg.pinv(x, rcond=1e-12)
+    beta = np.einsum("bkn,bn->bk", pinv, y)
+    resid = y - np.einsum("bnk,bk->bn", x, beta)
+    rank = np.rint(np.einsum("bkn,bnk->b", pinv, x))
+    return beta, np.einsum("bkn,bkn->bk", pinv, pinv), np.einsum("bn,bn->b", resid, resid), rank
+
+
+def _nested_ssr(x: np.ndarray, y: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """ssr and rank of the regressions on the first ``first .. k`` columns, from one QR."""
+    q, r = np.linalg.qr(x)
+    explained = np.cumsum(np.einsum("bnk,bn->bk", q, y) ** 2, axis=1)
+    ssr = np.maximum((y**2).sum(axis=1)[:, None] - explained, 0.0)[:, first - 1 :]
+    k = x.shape[2]
+    rank = np.broadcast_to(np.arange(first, k + 1, dtype=float), ssr.shape).copy()
+    diag = np.abs(np.einsum("bkk->bk", r))
+    deficient = np.flatnonzero(diag.min(axis=1) <= 1e-10 * diag.max(axis=1))
+    if deficient.size:
+        ssr = ssr.copy()
+        for j in range(first, k + 1):
+            _, _, s, rk = _ols(x[deficient, :, :j], y[deficient])
+            ssr[deficient, j - first] = s
+            rank[deficient, j - first] = rk
+    return ssr, rank
+
+
+def _lagged(d: np.ndarray, level: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Regressors (1, level, lagged differences) and the differences they explain."""
+    obs = d.shape[1] - lags
+    cols = [np.ones((d.shape[0], obs)), level[:, lags : lags + obs]]
+    cols += [d[:, lags - i : lags - i + obs] for i in range(1, lags + 1)]
+    return np.stack(cols, axis=2), d[:, lags:]
+
+
+def adf_statistic(m: np.ndarray) -> np.ndarray:
+    """Augmented Dickey-Fuller t statistic per row (constant; lag by AIC); NaN if undefined."""
+    b, n = m.shape
+    out = np.full(b, np.nan)
+    max_lag = min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))
+    varied = np.flatnonzero(m.max(axis=1) != m.min(axis=1))
+    if max_lag < 0 or varied.size == 0:
+        return out
+    s = m[varied]
+    d, level = np.diff(s, axis=1), s[:, :-1]
+    x, y = _lagged(d, level, max_lag)
+    obs = y.shape[1]
+    ssr, rank = _nested_ssr(x, y, 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        aic = obs * (np.log(2 * np.pi) + np.log(ssr / obs) + 1.0) + 2.0 * rank
+        best = np.argmin(np.where(np.isnan(aic), np.inf, aic), axis=1)
+        for lag in np.unique(best):
+            rows = np.flatnonzero(best == lag)
+            x, y = _lagged(d[rows], level[rows], int(lag))
+            beta, var, s2, rk = _ols(x, y)
+            scale = s2 / (y.shape[1] - rk)
+            out[varied[rows]] = beta[:, 1] / np.sqrt(scale * var[:, 1])
+    return out
+
+
+def is_stationary(m: np.ndarray) -> np.ndarray:
+    """1.0 where the p-value is below 0.05, else 0.0 (also for constant rows)."""
+    tau = adf_statistic(m)
+    b0, b1, b2 = TAU_SURFACE
+    with np.errstate(invalid="ignore"):
+        z = b0 + b1 * tau + b2 * tau**2
+        small = (tau <= TAU_LEFT_MAX) & ((tau < TAU_MIN) | (z < NORMAL_5_PERCENT))
+    return small.astype(float)
+
+
+def _features(x: pa.Array, names: list[str], compute) -> pa.StructArray:
+    out = np.zeros((len(x), len(names)))
+    for rows, m in _by_length(x):
+        out[rows] = compute(m)
+    out[~np.isfinite(out)] = 0.0
+    return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(len(names))], names=names)
+
+
+@F.arrow_udf(", ".join(f"{c} double" for c in SPECTRAL))
+def spectral_features_of(x: pa.Array) -> pa.Array:
+    return _features(x, SPECTRAL, spectral_matrix)
+
+
+@F.arrow_udf(", ".join(f"{c} double" for c in [*SPECTRAL, "stationarity"]))
+def python_features_of(x: pa.Array) -> pa.Array:
+    """Spectral features and the stationarity flag in one pass over Arrow."""
+    return _features(x, [*SPECTRAL, "stationarity"], lambda m: np.column_stack([spectral_matrix(m), is_stationary(m)]))
+
+
+@F.arrow_udf("double")
+def stationarity_of(x: pa.Array) -> pa.Array:
+    return _features(x, ["s"], lambda m: is_stationary(m)[:, None]).field(0)

@@ -1,0 +1,202 @@
+"""Seventeen features of the history window; never reads the future or any error."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from castwise.functions.columns import amean, asum, central_sum, finite_or_zero, is_finite, let, ratio, sample_key
+from castwise.functions.spectral import SPECTRAL, python_features_of, spectral_features_of, stationarity_of
+from castwise.schemas import FEATURE_METADATA, FEATURE_VERSION, FEATURES, STABLE
+
+
+def _zero(c: Column) -> Column:
+    return F.coalesce(finite_or_zero(c), F.lit(0.0))
+
+
+def _moment_columns() -> dict[str, Column]:
+    n = F.size("x")
+    m2, m3, m4 = (ratio(F.col(f"_s{p}"), n) for p in (2, 3, 4))
+    eps = F.abs("_mu") * F.lit(2.220446049250313e-16)
+    flat = m2 <= eps * eps
+    return {
+        "mean": F.col("_mu"),
+        "std": F.sqrt(m2),
+        "min": F.array_min("x"),
+        "max": F.array_max("x"),
+        "skewness": F.when(flat, 0.0).otherwise(ratio(m3, m2 * F.sqrt(m2))),
+        "kurtosis": F.when(flat, 0.0).otherwise(ratio(m4, m2 * m2) - 3),
+        "autocorrelation_mean": ratio(F.col("_lag"), F.col("_s2")),
+    }
+
+
+def _rate_columns() -> dict[str, Column]:
+    return {"rate_of_change_mean": amean(F.col("_r")), "rate_of_change_std": _array_std("_r")}
+
+
+def _array_std(name: str) -> Column:
+    c = F.col(name)
+    return F.sqrt(ratio(central_sum(c, amean(c), 2), F.size(c)))
+
+
+def _with_rates(df: DataFrame) -> DataFrame:
+    n = F.size("x")
+    pairs = F.zip_with(
+        F.slice("x", F.lit(1), n - 1),
+        F.slice("x", F.lit(2), n - 1),
+        lambda a, b: F.when(a != 0, (b - a) / F.nullif(a, F.lit(0.0))),
+    )
+    return df.withColumn("_r", F.filter(pairs, lambda v: is_finite(v)))
+
+
+def _ar1_columns() -> dict[str, Column]:
+    """AR(1) with intercept by least squares.
+
+    When the lagged values are all equal the fit is not unique; the minimum-norm
+    solution is taken, as a pseudo-inverse does.
+    """
+    n = F.size("x") - 1
+    lag, cur = F.slice("x", F.lit(1), n), F.slice("x", F.lit(2), n)
+    sx, sy = asum(lag), asum(cur)
+    mx, my = ratio(sx, n), ratio(sy, n)
+    sxx, syy = central_sum(lag, mx, 2), central_sum(cur, my, 2)
+    sxy = let(
+        mx, lambda a: let(my, lambda b: asum(F.zip_with(lag, cur, lambda u, v: (u - a) * (v - b))))
+    )
+    flat = F.col("_ar_sxx") <= 1e-18
+    slope = F.when(flat, ratio(F.col("_ar_mx") * F.col("_ar_my"), 1 + F.col("_ar_mx") * F.col("_ar_mx"))).otherwise(
+        ratio(F.col("_ar_sxy"), F.col("_ar_sxx"))
+    )
+    left = F.when(flat, F.col("_ar_syy")).otherwise(
+        F.col("_ar_syy") - ratio(F.col("_ar_sxy") * F.col("_ar_sxy"), F.col("_ar_sxx"))
+    )
+    return {
+        "_ar_mx": mx,
+        "_ar_my": my,
+        "_ar_sxx": sxx,
+        "_ar_syy": syy,
+        "_ar_sxy": sxy,
+        "autoreg_coef_mean": slope,
+        "residual_std_mean": F.sqrt(F.greatest(ratio(left, n), F.lit(0.0))),
+    }
+
+
+def _with_ar1(df: DataFrame) -> DataFrame:
+    cols = _ar1_columns()
+    sums = {k: cols.pop(k) for k in list(cols) if k.startswith("_ar_")}
+    return df.withColumns(sums).withColumns({k: _zero(c) for k, c in cols.items()}).drop(*sums)
+
+
+def _with_moments(df: DataFrame) -> DataFrame:
+    n, mu = F.size("x"), F.col("_mu")
+    ahead = F.zip_with(F.slice("x", F.lit(1), n - 1), F.slice("x", F.lit(2), n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    lag = let(mu, lambda m: asum(F.transform(ahead, lambda s: (s["a"] - m) * (s["b"] - m))))
+    sums = {f"_s{p}": central_sum(F.col("x"), mu, p) for p in (2, 3, 4)}
+    out = df.withColumn("_mu", amean(F.col("x"))).withColumns({**sums, "_lag": lag})
+    return out.withColumns({k: _zero(c) for k, c in _moment_columns().items()}).drop("_mu", "_lag", *sums)
+
+
+def basic_features(df: DataFrame) -> DataFrame:
+    """mean, population std, min and max of ``x``."""
+    keep = [c for c in df.columns]
+    return _with_moments(df).select(*keep, "mean", "std", "min", "max")
+
+
+def shape_features(df: DataFrame) -> DataFrame:
+    """Biased skewness and excess kurtosis; 0 for a constant window."""
+    return _with_moments(df).select(*df.columns, "skewness", "kurtosis")
+
+
+def acf1(df: DataFrame) -> DataFrame:
+    """Lag-1 autocorrelation; 0 for a constant window."""
+    return _with_moments(df).select(*df.columns, "autocorrelation_mean")
+
+
+def rate_of_change(df: DataFrame) -> DataFrame:
+    """Mean and population std of step changes over the previous value; zeros before are dropped."""
+    return _with_rates(df).withColumns({k: _zero(c) for k, c in _rate_columns().items()}).drop("_r")
+
+
+def ar1_features(df: DataFrame) -> DataFrame:
+    """Slope and residual std of an AR(1) fit."""
+    return _with_ar1(df)
+
+
+def spectral_features(df: DataFrame) -> DataFrame:
+    """Five features of the one-sided periodogram (Arrow batches)."""
+    return df.withColumn("_f", spectral_features_of("x")).select("*", *[f"_f.{c}" for c in SPECTRAL]).drop("_f")
+
+
+def stationarity(df: DataFrame) -> DataFrame:
+    """1 when the augmented Dickey-Fuller test rejects a unit root at 5%."""
+    return df.withColumn("stationarity", stationarity_of("x"))
+
+
+def build_features(windows: DataFrame, feature_type: str = "window_17", version: str = FEATURE_VERSION) -> DataFrame:
+    """Feature table: metadata and 17 columns, no shuffle.
+
+    The history is the only array read from the windows table.
+    """
+    history = windows.select(*STABLE, "history_length", "pred_length", "x")
+    jvm = _with_ar1(rate_of_change(_with_moments(history)))
+    full = jvm.withColumn("_f", python_features_of("x")).select("*", "_f.*").drop("_f")
+    meta = full.withColumns(
+        {
+            "feature_version": F.lit(version),
+            "feature_type": F.lit(feature_type),
+            "feature_dim": F.lit(len(FEATURES)),
+        }
+    )
+    return meta.select(*FEATURE_METADATA, *[_zero(F.col(c)).alias(c) for c in FEATURES])
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Numeric columns that are not metadata."""
+    return [f.name for f in df.schema.fields if f.name not in FEATURE_METADATA and isinstance(f.dataType, T.NumericType)]
+
+
+def validate_features(features: DataFrame, samples: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """One row per check: ``check``, number of violations, ``passed``.
+
+    One full outer join on the key gives coverage both ways and the row counts; the
+    other checks ride on the same pass.
+    """
+    per_key = features.groupBy("sample_key").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.when(sample_key().eqNullSafe(F.col("sample_key")), 0).otherwise(1)).alias("_badkey"),
+        F.sum(F.when(_any_bad(cols), 1).otherwise(0)).alias("_nonfinite"),
+    )
+    wanted = samples.groupBy("sample_key").agg(F.count(F.lit(1)).alias("_wanted"))
+    j = per_key.join(wanted, "sample_key", "full_outer").agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("_wanted"), F.lit(0)).alias("_m"),
+        F.count_if(F.col("_rows") > 1).alias("duplicate_key"),
+        F.count_if(F.col("_rows").isNull()).alias("missing_feature"),
+        F.count_if(F.col("_wanted").isNull()).alias("extra_feature"),
+        F.coalesce(F.sum("_badkey"), F.lit(0)).alias("key_mismatch"),
+        F.coalesce(F.sum("_nonfinite"), F.lit(0)).alias("non_finite"),
+    )
+    single = features.agg(
+        *[
+            F.greatest(F.countDistinct(c) - 1, F.lit(0)).alias(f"many_{c}")
+            for c in ("feature_version", "feature_type", "feature_dim")
+        ]
+    )
+    wide = j.crossJoin(single).withColumn("row_count_difference", F.abs(F.col("_n") - F.col("_m"))).drop("_n", "_m")
+    return as_checks(wide)
+
+
+def _any_bad(cols: Sequence[str]) -> Column:
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | ~F.coalesce(is_finite(F.col(c)), F.lit(False))
+    return bad
+
+
+def as_checks(wide: DataFrame) -> DataFrame:
+    """A one-row table of violation counts as one row per check."""
+    longs = wide.select(*[F.col(c).cast("long").alias(c) for c in wide.columns])
+    return longs.unpivot([], list(wide.columns), "check", "violations").withColumn("passed", F.col("violations") == 0)

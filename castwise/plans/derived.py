@@ -26,7 +26,7 @@ SES_ALPHA = 0.3
 FLAGS = ["A", "N", "R"]
 
 # High/low limits of the regime categories (ours; near the medians of the test data).
-LIMITS = {"trend": 0.005, "season": 0.0, "forecastability": 0.0, "cv": 1.5, "missing": 0.5}
+LIMITS = {"trend": 0.005, "season": 0.0, "forecastability": 0.0, "cv": 3.0, "missing": 0.8}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
