@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # MacKinnon (1994) response surface of the Dickey-Fuller tau statistic,
 # constant only, one variable: p = Phi(b0 + b1 tau + b2 tau^2) for tau <= -1.61,
@@ -20,10 +21,18 @@ TAU_MIN = -18.83
 NORMAL_5_PERCENT = -1.6448536269514722
 
 PSD_FLOOR = 1e-12
+
+# Shares of spectral power are compared in steps of 1e-6 with shifted step edges.
+SHARE_STEPS = 1e6
+SHARE_SHIFT = 0.2718
 SPECTRAL = ["frequency_mean", "frequency_peak", "spectral_entropy", "spectral_skewness", "spectral_kurtosis"]
 
 
-def _by_length(x: pa.Array):
+def _doubles(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+def by_length(x: pa.Array):
     """(row numbers, matrix) for every window length in the batch."""
     lengths = np.asarray(x.value_lengths().fill_null(0))
     flat = np.asarray(x.flatten().cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
@@ -47,11 +56,11 @@ def _power(m: np.ndarray) -> np.ndarray:
     return np.square(spectrum.real) + np.square(spectrum.imag)
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def power(x: pa.Array) -> pa.Array:
     """Spectral power of the centered window without its DC bin."""
     out: list = [np.empty(0)] * len(x)
-    for rows, m in _by_length(x):
+    for rows, m in by_length(x):
         for i, p in zip(rows, _power(m)[:, 1:]):
             out[i] = p
     return _list_array(out)
@@ -77,7 +86,7 @@ def spectral_matrix(m: np.ndarray) -> np.ndarray:
     freqs = np.arange(psd.shape[1]) / n
     # Bins equal to within 1e-6 of the total count as equal: the first one is the peak.
     total = psd.sum(axis=1, keepdims=True)
-    share = np.round(psd / np.where(total > 0, total, 1.0), 6)
+    share = np.floor(psd / np.where(total > 0, total, 1.0) * SHARE_STEPS + SHARE_SHIFT)
     p = psd + PSD_FLOOR
     p = p / p.sum(axis=1, keepdims=True)
     skew, kurt = _moments(psd)
@@ -158,23 +167,23 @@ def is_stationary(m: np.ndarray) -> np.ndarray:
 
 def _features(x: pa.Array, names: list[str], compute) -> pa.StructArray:
     out = np.zeros((len(x), len(names)))
-    for rows, m in _by_length(x):
+    for rows, m in by_length(x):
         out[rows] = compute(m)
     out[~np.isfinite(out)] = 0.0
     return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(len(names))], names=names)
 
 
-@F.arrow_udf(", ".join(f"{c} double" for c in SPECTRAL))
+@F.arrow_udf(_doubles(SPECTRAL))
 def spectral_features_of(x: pa.Array) -> pa.Array:
     return _features(x, SPECTRAL, spectral_matrix)
 
 
-@F.arrow_udf(", ".join(f"{c} double" for c in [*SPECTRAL, "stationarity"]))
+@F.arrow_udf(_doubles([*SPECTRAL, "stationarity"]))
 def python_features_of(x: pa.Array) -> pa.Array:
     """Spectral features and the stationarity flag in one pass over Arrow."""
     return _features(x, [*SPECTRAL, "stationarity"], lambda m: np.column_stack([spectral_matrix(m), is_stationary(m)]))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def stationarity_of(x: pa.Array) -> pa.Array:
     return _features(x, ["s"], lambda m: is_stationary(m)[:, None]).field(0)

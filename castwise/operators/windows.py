@@ -24,9 +24,8 @@ def enumerate_windows(panel: DataFrame, history: int, future: int, block: int =
         .repartition("split", *SERIES, "_b")
     )
     last = F.least(F.col("_n") - 1, F.col("_b") * block + (block - 1))
-    return blocks.select(
-        "split", *SERIES, F.explode(F.sequence(F.col("_b") * block, last)).cast("int").alias("window_index")
-    )
+    opened = blocks.select("split", *SERIES, F.explode(F.sequence(F.col("_b") * block, last)).alias("_w"))
+    return opened.select("split", *SERIES, F.col("_w").cast("int").alias("window_index"))
 
 
 def _series_blocks(panel: DataFrame, width: int, block: int) -> DataFrame:

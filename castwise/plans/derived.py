@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castwise.functions.columns import amean, ratio
+from castwise.operators.features import basic_features
 from castwise.operators.forecasts import make_forecasts
+from castwise.operators.joins import enrich
+from castwise.operators.learn import LinearRouter, score_router
+from castwise.operators.oracle import oracle_labels
 from castwise.operators.windows import build_windows
-from castwise.schemas import REGIMES_SCHEMA
+from castwise.schemas import FORECASTS_SCHEMA, REGIMES_SCHEMA
 from castwise.sources.panel import fold_channels, on_grid, read_panel, scale_series, split_steps
 
 EXPERTS = ["last", "snaive", "mean", "drift", "ses"]
@@ -28,6 +32,23 @@ FLAGS = ["A", "N", "R"]
 # High/low limits of the regime categories (ours; near the medians of the test data).
 LIMITS = {"trend": 0.005, "season": 0.0, "forecastability": 0.0, "cv": 3.0, "missing": 0.8}
 
+# A router with fixed coefficients over four cheap features.
+ROUTER_NAME = "fixed_linear_router"
+ROUTER = LinearRouter(
+    EXPERTS,
+    ["mean", "std", "min", "max"],
+    [0.0, 1.0, -1.0, 2.0],
+    [1.0, 1.0, 1.0, 2.0],
+    [
+        [0.11, -0.52, 0.23, -0.31],
+        [0.37, 0.41, -0.13, 0.19],
+        [-0.29, 0.17, 0.31, 0.07],
+        [0.05, -0.43, -0.27, -0.53],
+        [-0.19, 0.29, 0.47, 0.43],
+    ],
+    [-0.07, 0.13, 0.21, -0.41, 0.17],
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -163,3 +184,64 @@ def regimes_from(panel: DataFrame) -> DataFrame:
     return out.withColumn("cluster", cluster.cast("int")).withColumn(
         "group_name", F.concat_ws("_", "trend_strength_cat", "season_strength_cat", "forecastability_cat")
     ).select(*REGIMES_SCHEMA.names)
+
+
+def weights_from(windows: DataFrame) -> DataFrame:
+    return score_router(ROUTER, basic_features(windows))
+
+
+def items_from(forecasts: DataFrame) -> DataFrame:
+    """Mean test errors per (model, config, item), rounded so that equal means are equal."""
+    return (
+        forecasts.filter(F.col("split") == "test")
+        .groupBy(F.col("model_name").alias("model"), "config_name", "item_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_samples"),
+            F.round(F.avg("mae"), 9).alias("MAE"),
+            F.round(F.avg("mse"), 9).alias("MSE"),
+        )
+    )
+
+
+def choices_from(items: DataFrame, regimes: DataFrame) -> DataFrame:
+    rows = items.select("config_name", "item_id", F.col("model").alias("model_name"), F.col("MAE").alias("mae"), F.col("MSE").alias("mse"))
+    return enrich(oracle_labels(rows, EXPERTS, keys=["config_name", "item_id"]), regimes)
+
+
+def eval_documents(forecasts: DataFrame) -> DataFrame:
+    """One evaluation JSON per (model, config, item) with one result per split."""
+    per_split = forecasts.groupBy("model_name", "config_name", "item_id", "split").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.avg("mae").alias("a"), F.avg("mse").alias("s")
+    )
+    result = F.struct(
+        F.col("item_id").alias("user_id"),
+        F.col("n_samples"),
+        (F.col("n_samples") * 0.5).alias("eval_time"),
+        F.create_map(F.lit("MAE"), F.col("a"), F.lit("MSE"), F.col("s")).alias("metrics"),
+    )
+    docs = per_split.groupBy("model_name", "config_name", "item_id").agg(F.collect_list(result).alias("final_results"))
+    return docs.select("model_name", "config_name", F.to_json(F.struct("final_results")).alias("doc"))
+
+
+def faulty_from(forecasts: DataFrame) -> DataFrame:
+    """Forecasts with one kind of fault per window position, plus repeated rows."""
+    w, m = F.col("window_index"), F.col("model_name")
+
+    def at(window: int, model: str | None = None) -> Column:
+        return (w == window) if model is None else (w == window) & (m == model)
+
+    rows = forecasts.unionByName(forecasts.filter(at(0, "last"))).filter(~at(1, "ses"))
+    rows = (
+        rows.withColumn("sample_key", F.when(at(2), F.concat("sample_key", F.lit("x"))).otherwise(F.col("sample_key")))
+        .withColumn("pred_length", F.when(at(3, "mean"), F.col("pred_length") + 1).otherwise(F.col("pred_length")))
+        .withColumn("y_true", F.when(at(4, "drift"), F.transform("y_true", lambda v: v + 1)).otherwise(F.col("y_true")))
+        .withColumn(
+            "y_pred",
+            F.when(at(5, "snaive"), F.slice("y_pred", F.lit(1), F.size("y_pred") - 1))
+            .when(at(6, "ses"), F.transform("y_pred", lambda v: F.lit(float("nan"))))
+            .otherwise(F.col("y_pred")),
+        )
+        .withColumn("mae", F.when(at(7, "last"), F.col("mae") + 0.001).otherwise(F.col("mae")))
+        .withColumn("cache_version", F.when(at(8, "last"), F.lit("v0")).otherwise(F.col("cache_version")))
+    )
+    return rows.select(*FORECASTS_SCHEMA.names)

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import re
 
-from castwise.plans.derived import CONFIGS, EXPERTS, LIMITS
+from castwise.plans.derived import CONFIGS, EXPERTS, LIMITS, ROUTER, ROUTER_NAME
 
 STABLE_SQL = "sample_key, config_name, split, dataset_name, item_id, channel_id, window_index"
 
 
+SHIFT = 1.37e-7
+
+
 def r6(expr: str) -> str:
-    """Round to 6 digits without a negative zero."""
-    return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END)"
+    """Round to 6 digits (off the decimal halves, see registry.rounded) without a negative zero."""
+    return f"(CASE WHEN round({expr} + {SHIFT}, 6) = 0 THEN 0.0 ELSE round({expr} + {SHIFT}, 6) END)"
 
 
 def q(expr: str) -> str:
@@ -51,6 +54,11 @@ _arr = "[" + ", ".join(EXPERTS) + "]"
 _names = "[" + ", ".join(f"'{e}'" for e in EXPERTS) + "]"
 _regrets = ", ".join(f"{e} - list_min({_arr}) AS {e}_regret" for e in EXPERTS)
 
+_logits = "[" + ", ".join(
+    f"{b}" + "".join(f" + {w} * (({n} - {m}) / {s})" for n, w, m, s in zip(ROUTER.features, row, ROUTER.center, ROUTER.scale))
+    for row, b in zip(ROUTER.coef, ROUTER.intercept)
+) + "]"
+
 TABLES: dict[str, str] = {
     "ev_hits": """
         SELECT user_id AS item_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 7200) AS INTEGER) AS step, value
@@ -171,6 +179,107 @@ TABLES: dict[str, str] = {
                trend_strength_cat || '_' || season_strength_cat || '_' || forecastability_cat AS group_name,
                forecastability_cat, season_strength_cat, trend_strength_cat, cv_cat, missing_ratio_cat
         FROM item_cats""",
+    "hist": f"""
+        SELECT {STABLE_SQL}, history_length, pred_length, x, y_true, {asum('x')} / len(x) AS mu FROM windows""",
+    "feat4": f"""
+        SELECT {STABLE_SQL}, history_length, pred_length, x, mu AS mean,
+               sqrt({asum("list_transform(x, lambda v: (v - mu) * (v - mu))")} / len(x)) AS std,
+               list_min(x) AS min, list_max(x) AS max FROM hist""",
+    "twiddle": """
+        SELECT l, k, list(cos(2 * pi() * k * t / l) ORDER BY t) AS c, list(sin(2 * pi() * k * t / l) ORDER BY t) AS s
+        FROM (SELECT DISTINCT l, unnest(range(0, l // 2 + 1)) AS k FROM cfg) CROSS JOIN (SELECT unnest(range(0, 64)) AS t)
+        WHERE t < l GROUP BY l, k""",
+    "bins": """
+        SELECT sample_key, k, pow(list_inner_product(d, c), 2) + pow(list_inner_product(d, s), 2) AS p
+        FROM (SELECT sample_key, history_length, list_transform(x, lambda v: v - mu) AS d FROM hist)
+        JOIN twiddle ON l = history_length""",
+    "powers": "SELECT sample_key, list(p ORDER BY k) AS power FROM bins WHERE k > 0 GROUP BY sample_key",
+    "shares": """
+        SELECT sample_key, power, list_transform(power, lambda p: floor(CASE WHEN list_sum(power) > 0
+                 THEN p / list_sum(power) ELSE 0.0 END * 1e6 + 0.2718)) AS share FROM powers""",
+    "psd": """
+        SELECT sample_key, l, psd, list_sum(psd) AS total, list_sum(psd) / len(psd) AS mu FROM (
+          SELECT sample_key, any_value(history_length) AS l,
+                 list(p / history_length * CASE WHEN k = 0 OR 2 * k = history_length THEN 1 ELSE 2 END ORDER BY k) AS psd
+          FROM bins JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key) GROUP BY sample_key)""",
+    "psd_moments": """
+        SELECT *, list_sum(list_transform(psd, lambda v: pow(v - mu, 2))) / len(psd) AS m2,
+               list_sum(list_transform(psd, lambda v: pow(v - mu, 3))) / len(psd) AS m3,
+               list_sum(list_transform(psd, lambda v: pow(v - mu, 4))) / len(psd) AS m4,
+               list_transform(psd, lambda v: floor(CASE WHEN total > 0 THEN v / total ELSE 0.0 END * 1e6 + 0.2718)) AS share,
+               list_transform(psd, lambda v: (v + 1e-12) / (total + 1e-12 * len(psd))) AS w
+        FROM psd""",
+    "spectral": """
+        SELECT sample_key, mu AS frequency_mean, (list_position(share, list_max(share)) - 1) / l AS frequency_peak,
+               -list_sum(list_transform(w, lambda v: v * ln(v))) AS spectral_entropy,
+               CASE WHEN m2 <= pow(2.220446049250313e-16 * mu, 2) THEN 0 ELSE m3 / pow(m2, 1.5) END AS spectral_skewness,
+               CASE WHEN m2 <= pow(2.220446049250313e-16 * mu, 2) THEN 0 ELSE m4 / (m2 * m2) - 3 END AS spectral_kurtosis
+        FROM psd_moments""",
+    "hist_moments": f"""
+        SELECT *, {asum("list_transform(x, lambda v: pow(v - mu, 2))")} AS s2, {asum("list_transform(x, lambda v: pow(v - mu, 3))")} AS s3,
+               {asum("list_transform(x, lambda v: pow(v - mu, 4))")} AS s4,
+               {asum("list_transform(range(1, len(x)), lambda i: (x[i] - mu) * (x[i + 1] - mu))")} AS lag,
+               list_transform(list_filter(range(1, len(x)), lambda i: x[i] <> 0), lambda i: (x[i + 1] - x[i]) / x[i]) AS roc,
+               x[1 : len(x) - 1] AS xa, x[2 : len(x)] AS xb, len(x) - 1 AS nn
+        FROM hist""",
+    "ar_sums": f"""
+        SELECT *, {asum("list_transform(xa, lambda v: pow(v - ma, 2))")} AS sxx, {asum("list_transform(xb, lambda v: pow(v - mb, 2))")} AS syy,
+               {asum("list_transform(range(1, nn + 1), lambda i: (xa[i] - ma) * (xb[i] - mb))")} AS sxy,
+               list_sum(roc) / len(roc) AS rmu
+        FROM (SELECT *, {asum('xa')} / nn AS ma, {asum('xb')} / nn AS mb FROM hist_moments)""",
+    "time_features": """
+        SELECT sample_key, mu AS mean, sqrt(s2 / len(x)) AS std, list_min(x) AS min, list_max(x) AS max,
+               CASE WHEN s2 / len(x) <= pow(2.220446049250313e-16 * mu, 2) THEN 0
+                    ELSE (s3 / len(x)) / pow(s2 / len(x), 1.5) END AS skewness,
+               CASE WHEN s2 / len(x) <= pow(2.220446049250313e-16 * mu, 2) THEN 0
+                    ELSE (s4 / len(x)) / pow(s2 / len(x), 2) - 3 END AS kurtosis,
+               CASE WHEN s2 = 0 THEN 0 ELSE lag / s2 END AS autocorrelation_mean,
+               coalesce(rmu, 0) AS rate_of_change_mean,
+               CASE WHEN len(roc) = 0 THEN 0 ELSE sqrt(list_sum(list_transform(roc, lambda v: pow(v - rmu, 2))) / len(roc)) END
+                 AS rate_of_change_std,
+               CASE WHEN sxx <= 1e-18 THEN ma * mb / (1 + ma * ma) ELSE sxy / sxx END AS autoreg_coef_mean,
+               sqrt(greatest(CASE WHEN sxx <= 1e-18 THEN syy ELSE syy - sxy * sxy / sxx END / nn, 0)) AS residual_std_mean
+        FROM ar_sums""",
+    "logits": f"SELECT {STABLE_SQL}, {_logits} AS z FROM feat4 WHERE split = 'test'",
+    "weights": f"""
+        SELECT {STABLE_SQL}, list_transform(e, lambda v: v / list_sum(e)) AS weights
+        FROM (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM logits)""",
+    "routed": f"""
+        SELECT '{ROUTER_NAME}' AS router_name, {STABLE_SQL}, selected_model, selected_value, oracle_model, oracle_value,
+               selected_value - oracle_value AS regret_to_oracle, selected_model = oracle_model AS oracle_label_correct,
+               ent AS weight_entropy, ent / ln({float(len(EXPERTS))}) AS normalized_weight_entropy,
+               list_max(weights) AS max_weight, {", ".join(f"weights[{i + 1}] AS weight_{e}" for i, e in enumerate(EXPERTS))}
+        FROM (SELECT *, -list_sum(list_transform(weights, lambda w: w * ln(greatest(w, 1e-8)))) AS ent,
+                     {_names}[list_position(weights, list_max(weights))] AS selected_model,
+                     {_arr}[list_position(weights, list_max(weights))] AS selected_value
+              FROM weights JOIN (SELECT sample_key, oracle_model, oracle_value, {", ".join(EXPERTS)} FROM labels
+                                 WHERE metric = 'mae' AND split = 'test') USING (sample_key))""",
+    "items": """
+        SELECT model_name AS model, config_name, item_id, count(*) AS n_samples, round(avg(mae), 9) AS MAE, round(avg(mse), 9) AS MSE
+        FROM forecasts WHERE split = 'test' GROUP BY ALL""",
+    "choices": f"""
+        SELECT c.*, r.* EXCLUDE (item_id) FROM (
+          SELECT config_name, item_id, metric, {_names}[list_position({_arr}, list_min({_arr}))] AS oracle_model,
+                 list_min({_arr}) AS oracle_value, list_min({_arr}) AS oracle_top1_value, {", ".join(EXPERTS)}, {_regrets}
+          FROM (SELECT config_name, item_id, 'mae' AS metric,
+                       {", ".join(f"max(CASE WHEN model = '{e}' THEN MAE END) AS {e}" for e in EXPERTS)} FROM items GROUP BY ALL
+                UNION ALL
+                SELECT config_name, item_id, 'mse',
+                       {", ".join(f"max(CASE WHEN model = '{e}' THEN MSE END)" for e in EXPERTS)} FROM items GROUP BY ALL)) c
+        JOIN regimes r USING (item_id)""",
+    "faulty": f"""
+        SELECT CASE WHEN window_index = 8 AND model_name = 'last' THEN 'v0' ELSE cache_version END AS cache_version,
+               CASE WHEN window_index = 2 THEN sample_key || 'x' ELSE sample_key END AS sample_key,
+               config_name, split, dataset_name, item_id, channel_id, window_index, history_length,
+               CASE WHEN window_index = 3 AND model_name = 'mean' THEN pred_length + 1 ELSE pred_length END AS pred_length,
+               model_name, expert_version, checkpoint_selection,
+               CASE WHEN window_index = 4 AND model_name = 'drift' THEN list_transform(y_true, lambda v: v + 1) ELSE y_true END AS y_true,
+               CASE WHEN window_index = 5 AND model_name = 'snaive' THEN y_pred[1 : len(y_pred) - 1]
+                    WHEN window_index = 6 AND model_name = 'ses' THEN list_transform(y_pred, lambda v: CAST('NaN' AS DOUBLE))
+                    ELSE y_pred END AS y_pred,
+               CASE WHEN window_index = 7 AND model_name = 'last' THEN mae + 0.001 ELSE mae END AS mae, mse
+        FROM (SELECT * FROM forecasts UNION ALL SELECT * FROM forecasts WHERE window_index = 0 AND model_name = 'last')
+        WHERE NOT (window_index = 1 AND model_name = 'ses')""",
     "enriched": "SELECT l.*, r.cluster, r.group_name FROM labels l JOIN regimes r USING (item_id)",
 }
 

@@ -8,8 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castwise.plans import derived
+from castwise.operators.features import build_features
+from castwise.operators.fusion import hard_route
+from castwise.operators.joins import enrich
 from castwise.operators.oracle import oracle_labels
+from castwise.plans import derived
 from castwise.session import shared_dir
 from castwise.sources.tables import write_table
 
@@ -57,6 +60,45 @@ class Workspace:
     def labels(self) -> DataFrame:
         return self.stored("labels", lambda: oracle_labels(self.forecasts(), derived.EXPERTS), PARTITIONS)
 
+    def enriched(self) -> DataFrame:
+        """Labels with regime columns."""
+        return enrich(self.labels(), self.regimes())
+
+    def features(self) -> DataFrame:
+        return self.stored("features", lambda: build_features(self.windows()), PARTITIONS)
+
+    def weights(self) -> DataFrame:
+        """Weights of a fixed linear router for every test window."""
+        return self.stored("weights", lambda: derived.weights_from(self.windows()), PARTITIONS)
+
+    def routed(self) -> DataFrame:
+        return self.stored(
+            "routed",
+            lambda: hard_route(
+                self.weights(),
+                self.labels().filter("metric = 'mae' AND split = 'test'"),
+                derived.EXPERTS,
+                derived.ROUTER_NAME,
+            ),
+            PARTITIONS,
+        )
+
+    def items(self) -> DataFrame:
+        """Item-level test results per model and config."""
+        return self.stored("items", lambda: derived.items_from(self.forecasts()))
+
+    def choices(self) -> DataFrame:
+        """Item-level oracle choices with regime columns."""
+        return self.stored("choices", lambda: derived.choices_from(self.items(), self.regimes()))
+
+    def faulty(self) -> DataFrame:
+        """The forecast table with known faults in it."""
+        return self.stored("faulty", lambda: derived.faulty_from(self.forecasts()), PARTITIONS)
+
+    def path(self, name: str) -> str:
+        getattr(self, name)()
+        return f"{self.root}/{name}"
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 

@@ -88,6 +88,15 @@ def for_item(panel: DataFrame, item_id: int) -> DataFrame:
     return panel.filter(F.col("item_id") == F.lit(item_id))
 
 
+def item_views(panel: DataFrame) -> DataFrame:
+    """Size of every item's view (series, rows, raw sum): the per-item loop as one aggregation."""
+    return panel.groupBy("dataset_name", "item_id").agg(
+        F.countDistinct("channel_id").alias("series_count"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("raw").alias("raw_sum"),
+    )
+
+
 def fold_channels(panel: DataFrame, value: str = "value") -> DataFrame:
     """Channel mean per (dataset, split, item, step): multi-channel input as one series."""
     return panel.groupBy("dataset_name", "split", "item_id", "step", "pos").agg(F.avg(value).alias(value))
