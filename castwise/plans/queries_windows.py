@@ -368,14 +368,14 @@ def _(ws):
 
 @query(
     "d9_power_profile",
-    f"""SELECT sample_key, {checksum_sql('prof')} AS profile_check FROM (
+    f"""SELECT sample_key, {checksum_sql('prof')} / (len(prof) * len(prof)) AS profile_check FROM (
           SELECT sample_key, list_transform(lg, lambda v: (v - list_min(lg)) / greatest(list_max(lg) - list_min(lg), 1e-6)) AS prof
           FROM (SELECT sample_key, list_transform(power, lambda p: CASE WHEN p < 1e-5 THEN p - p * p / 2 + p * p * p / 3 ELSE ln(1 + p) END) AS lg FROM powers))""",
     ["profile_check"],
 )
 def _(ws):
     return transforms.power_profile(ws.windows().select("sample_key", "x")).select(
-        "sample_key", checksum(F.col("profile")).alias("profile_check")
+        "sample_key", (checksum(F.col("profile")) / (F.size("profile") * F.size("profile"))).alias("profile_check")
     )
 
 
