@@ -128,7 +128,11 @@ def stack_experts(forecasts: DataFrame, experts: Sequence[str]) -> DataFrame:
 def fusion_input(
     features: DataFrame, labels: DataFrame, forecasts: DataFrame, experts: Sequence[str], feature_cols: Sequence[str]
 ) -> DataFrame:
-    """Features x label x all expert arrays, one wide row per sample."""
-    lab = labels.select(*STABLE, "oracle_model", "oracle_value", *experts)
+    """Features x label x all expert arrays, one wide row per sample.
+
+    ``errors`` and ``y_preds`` are arrays in expert order, so expert names never meet
+    feature names.
+    """
+    lab = labels.select(*STABLE, "oracle_model", "oracle_value", F.array(*[F.col(e) for e in experts]).alias("errors"))
     joined = strict_join(features.select(*STABLE, *feature_cols), lab)
     return strict_join(joined, stack_experts(forecasts, experts), ["sample_key"])

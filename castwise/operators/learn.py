@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from castwise.functions.columns import ratio, softmax
 from castwise.schemas import STABLE
@@ -237,24 +238,24 @@ def _flat(arrays: Sequence[np.ndarray]) -> np.ndarray:
 def _distributed_sum(data: DataFrame, params: list[np.ndarray], batch_gradient) -> np.ndarray:
     """Sum over all rows of (gradient, loss, rows or row weight).
 
-    Each task adds up its batches and emits one short row per parameter chunk; the
-    chunks are then summed by Spark, so the driver receives the size of the
-    parameters, not of the data or of the task count.
+    Each task adds up its Arrow batches and emits one row per parameter; Spark sums
+    the rows, so the driver receives the size of the parameters, not of the data or
+    of the task count.
     """
     cast = data.sparkSession.sparkContext.broadcast(params)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            grads, loss, n = batch_gradient(cast.value, pdf)
+            grads, loss, n = batch_gradient(cast.value, batch)
             v = np.concatenate([_flat(grads), [loss, n]])
             total = v if total is None else total + v
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-    sums = data.mapInPandas(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i")
+    sums = data.mapInArrow(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i")
     out = np.array([r["v"] for r in sums.collect()])
     cast.destroy()
     return out
@@ -289,12 +290,15 @@ def _adam(data: DataFrame, params: list[np.ndarray], batch_gradient, epochs: int
     return split(theta), history
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(float)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Array column of equal lengths as a matrix."""
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
 
-def _experts_cube(series: pd.Series) -> np.ndarray:
-    return np.stack([np.stack(r) for r in series.to_numpy()]).astype(float)
+def _cube(column: pa.Array) -> np.ndarray:
+    """Array-of-arrays column as (rows, experts, horizon)."""
+    inner = column.flatten()
+    return np.asarray(inner.flatten(), dtype=float).reshape(len(column), len(inner) // len(column), -1)
 
 
 def _moments(data: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,13 +338,13 @@ def fit_fusion_router(
     """
     center, scale = _moments(data, dim)
 
-    def batch(params, pdf):
-        x = (_matrix(pdf["x"]) - center) / scale
-        errors = _matrix(pdf["errors"])
+    def batch(params, rows):
+        x = (_matrix(rows["x"]) - center) / scale
+        errors = _matrix(rows["errors"])
         e = np.exp(-(errors - errors.min(axis=1, keepdims=True)) / tau)
         q = e / e.sum(axis=1, keepdims=True)
-        grads, loss = _fusion_gradient(params, x, _experts_cube(pdf["y_preds"]), _matrix(pdf["y_true"]), q, beta, lam)
-        return grads, loss, len(pdf)
+        grads, loss = _fusion_gradient(params, x, _cube(rows["y_preds"]), _matrix(rows["y_true"]), q, beta, lam)
+        return grads, loss, rows.num_rows
 
     sizes = [dim, hidden, len(experts)] if hidden else [dim, len(experts)]
     params, history = _adam(data.select("x", "y_preds", "y_true", "errors"), _initial(sizes, seed), batch, epochs, lr, decay)
@@ -363,10 +367,10 @@ def fit_class_router(
     """
     center, scale = _moments(data, dim)
 
-    def batch(params, pdf):
-        x = (_matrix(pdf["x"]) - center) / scale
-        w = pdf["class_weight"].to_numpy(float)
-        grads, loss = _class_gradient(params, x, pdf["label"].to_numpy(int), w)
+    def batch(params, rows):
+        x = (_matrix(rows["x"]) - center) / scale
+        w = np.asarray(rows["class_weight"], dtype=float)
+        grads, loss = _class_gradient(params, x, np.asarray(rows["label"], dtype=int), w)
         return grads, loss, w.sum()
 
     params, history = _adam(
@@ -391,7 +395,7 @@ def fit_linear_fusor(
         F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
         "y_preds",
         "y_true",
-        F.array(*[F.col(e) for e in experts]).alias("errors"),
+        "errors",
     )
     net = fit_fusion_router(data, experts, len(features), 0, epochs, lr, beta)
     return linear_router_from(net, features)
@@ -399,16 +403,18 @@ def fit_linear_fusor(
 
 def score_net(net: NetRouter, df: DataFrame, keep: Sequence[str], x: str = "x") -> DataFrame:
     """Weights of a router with a hidden layer, over Arrow batches."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema], "weights array<double>"])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            _, w = _forward(net.params, (_matrix(pdf[x]) - net.center) / net.scale)
-            yield pdf[list(keep)].assign(weights=list(w))
+            _, w = _forward(net.params, (_matrix(batch[x]) - net.center) / net.scale)
+            offsets = pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1])
+            weights = pa.ListArray.from_arrays(offsets, pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], weights], names=[*keep, "weights"])
 
-    return df.select(*keep, x).mapInPandas(run, schema)
+    return df.select(*keep, x).mapInArrow(run, schema)
 
 
 # --- model table ------------------------------------------------------------------

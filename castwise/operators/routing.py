@@ -308,8 +308,8 @@ def compare_runs(df: DataFrame, base_run: str, value: str = "mae_like_value") ->
 
 
 def best_method(comparison: DataFrame) -> DataFrame:
-    """Best fixed method per config, the oracle left out; ties go by name."""
-    w = W.partitionBy("config_name").orderBy("mae_like_value", "method")
+    """Best fixed method per config, the oracle left out; equal means go by name."""
+    w = W.partitionBy("config_name").orderBy(F.round("mae_like_value", MEAN_DIGITS), "method")
     fair = comparison.filter(F.col("method") != ORACLE)
     return fair.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 

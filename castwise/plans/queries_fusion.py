@@ -1,0 +1,525 @@
+"""Queries over fusion, calibration, learned routers and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from castwise.functions.columns import asum
+from castwise.operators import fusion, joins, keys, learn, routing, validate
+from castwise.plans.derived import EXPERTS, ROUTER, ROUTER_NAME
+from castwise.plans.queries_routing import HARD, METHOD_DOUBLES, METHODS, NAMES, WEIGHT_MEANS, comparison
+from castwise.plans.registry import query
+from castwise.plans.sqlbase import STABLE_SQL
+from castwise.schemas import FEATURES, STABLE
+from castwise.streaming import jobs
+
+M = len(EXPERTS)
+W_SQL = "[" + ", ".join(f"weight_{e}" for e in EXPERTS) + "]"
+MAE_SQL = "(SELECT * FROM labels WHERE metric = 'mae')"
+
+
+def test_mae(ws):
+    return keys.for_split(keys.for_metric(ws.labels(), "mae"), "test")
+
+
+# --- fusion ---------------------------------------------------------------------
+
+
+@query(
+    "j1_weight_stats",
+    f"""SELECT sample_key, {NAMES}[list_position(weights, list_max(weights))] AS selected_model,
+               -list_sum(list_transform(weights, lambda w: w * ln(greatest(w, 1e-8)))) AS weight_entropy,
+               -list_sum(list_transform(weights, lambda w: w * ln(greatest(w, 1e-8)))) / ln({float(M)}) AS normalized_weight_entropy,
+               list_max(weights) AS max_weight, len(list_filter(weights, lambda w: w > 1e-8)) AS active_weight_count,
+               array_to_string(list_filter({NAMES}, lambda n: weights[list_position({NAMES}, n)] > 1e-8), ',') AS active_models FROM weights""",
+    ["weight_entropy", "normalized_weight_entropy", "max_weight"],
+)
+def _(ws):
+    return fusion.weight_stats(ws.weights().select("sample_key", "weights"), EXPERTS).drop("weights")
+
+
+ROUTED_DOUBLES = [
+    "selected_value", "oracle_value", "regret_to_oracle", "weight_entropy", "normalized_weight_entropy", "max_weight",
+    *[f"weight_{e}" for e in EXPERTS],
+]
+
+
+@query("j2_hard_route", "SELECT * FROM routed", ROUTED_DOUBLES)
+def _(ws):
+    return fusion.hard_route(ws.weights(), test_mae(ws), EXPERTS, ROUTER_NAME)
+
+
+STACK = {
+    "stacked": f"""SELECT sample_key, any_value(y_true) AS y_true, list(y_pred ORDER BY list_position({NAMES}, model_name)) AS y_preds,
+                          list(mae ORDER BY list_position({NAMES}, model_name)) AS maes
+                   FROM forecasts WHERE split = 'test' GROUP BY sample_key""",
+    "fused_rows": f"""
+        SELECT r.*, maes, list_transform(range(1, len(y_true) + 1), lambda t: {" + ".join(f"weight_{e} * y_preds[{i + 1}][t]" for i, e in enumerate(EXPERTS))} - y_true[t]) AS soft,
+               list_transform(range(1, len(y_true) + 1), lambda t: y_preds[list_position({NAMES}, selected_model)][t] - y_true[t]) AS hard
+        FROM routed r JOIN stacked USING (sample_key)""",
+    "fused": f"""
+        SELECT router_name, config_name, sample_key, oracle_value, weight_entropy, normalized_weight_entropy, max_weight,
+               {", ".join(f"maes[{i + 1}] AS {e}_mae_from_manifest" for i, e in enumerate(EXPERTS))},
+               list_sum(list_transform(soft, lambda e: abs(e))) / len(soft) AS soft_fusion_mae,
+               list_sum(list_transform(soft, lambda e: e * e)) / len(soft) AS soft_fusion_mse,
+               list_sum(list_transform(hard, lambda e: abs(e))) / len(hard) AS hard_top1_mae_from_array,
+               list_sum(list_transform(hard, lambda e: e * e)) / len(hard) AS hard_top1_mse_from_array
+        FROM fused_rows""",
+}
+SOFT = ["soft_fusion_mae", "soft_fusion_mse", "hard_top1_mae_from_array", "hard_top1_mse_from_array"]
+STORED = [f"{e}_mae_from_manifest" for e in EXPERTS]
+
+
+@query("j3_soft_fuse", f"SELECT sample_key, {', '.join(STORED + SOFT)} FROM fused", [*STORED, *SOFT], STACK)
+def _(ws):
+    return fusion.soft_fuse(ws.routed(), ws.forecasts(), EXPERTS).select("sample_key", *STORED, *SOFT)
+
+
+@query(
+    "j8_summarize_soft",
+    f"""SELECT router_name || '_soft_fusion' AS router_name, config_name, count(*) AS sample_count, {", ".join(f"avg({c}) AS {c}" for c in SOFT)},
+               avg(oracle_value) AS oracle_value, avg(weight_entropy) AS mean_weight_entropy,
+               avg(normalized_weight_entropy) AS mean_normalized_weight_entropy, avg(max_weight) AS mean_max_weight
+        FROM fused GROUP BY router_name, config_name""",
+    [*SOFT, "oracle_value", *WEIGHT_MEANS],
+    STACK,
+)
+def _(ws):
+    return fusion.summarize_soft(fusion.soft_fuse(ws.routed(), ws.forecasts(), EXPERTS))
+
+
+# --- calibration ------------------------------------------------------------------
+
+GRID_ROWS = ", ".join(
+    f"('{s.name}', '{s.family}', CAST({s.temperature} AS DOUBLE), CAST({s.top_k if s.top_k else 'NULL'} AS INTEGER))" for s in fusion.strategies()
+)
+SWEEP = {
+    "stacked": STACK["stacked"],
+    "grid": f"SELECT * FROM (VALUES {GRID_ROWS}) t(strategy_name, strategy_family, temperature, top_k)",
+    "scaled": f"""
+        SELECT *, list_transform(ex, lambda v: v / list_sum(ex)) AS sc FROM (
+          SELECT *, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM (
+            SELECT router_name, {STABLE_SQL}, oracle_model, oracle_value, g.*, list_transform({W_SQL}, lambda p: ln(least(greatest(p, 1e-8), 1.0)) / temperature) AS lg
+            FROM routed CROSS JOIN grid g))""",
+    "cut": f"""
+        SELECT * EXCLUDE (sc, kept), CASE WHEN top_k IS NULL OR top_k >= {M} THEN sc
+               ELSE list_transform(kept, lambda v: v / list_sum(kept)) END AS weights
+        FROM (SELECT * EXCLUDE (lg, ex), list_transform(range(1, {M + 1}), lambda i: CASE WHEN len(list_filter(range(1, {M + 1}),
+                     lambda j: sc[j] > sc[i] OR (sc[j] = sc[i] AND j < i))) < top_k THEN sc[i] ELSE 0.0 END) AS kept FROM scaled)""",
+    "swept0": f"""
+        SELECT c.*, list_transform(range(1, len(y_true) + 1), lambda t: {" + ".join(f"weights[{i + 1}] * y_preds[{i + 1}][t]" for i in range(M))} - y_true[t]) AS er
+        FROM cut c JOIN stacked USING (sample_key)""",
+    "swept": f"""
+        SELECT strategy_name, strategy_family, temperature, top_k, router_name, {STABLE_SQL}, selected_model, mae AS selected_value, mae, mse,
+               oracle_model, oracle_value, mae - oracle_value AS regret_to_oracle, selected_model = oracle_model AS oracle_label_correct,
+               ent AS weight_entropy, ent / ln({float(M)}) AS normalized_weight_entropy, list_max(weights) AS max_weight,
+               len(list_filter(weights, lambda w: w > 1e-8)) AS active_weight_count, weights
+        FROM (SELECT *, {NAMES}[list_position(weights, list_max(weights))] AS selected_model,
+                     -list_sum(list_transform(weights, lambda w: w * ln(greatest(w, 1e-8)))) AS ent,
+                     list_sum(list_transform(er, lambda e: abs(e))) / len(er) AS mae,
+                     list_sum(list_transform(er, lambda e: e * e)) / len(er) AS mse FROM swept0)""",
+    "sweep_summary": """
+        SELECT strategy_name, strategy_family, config_name, temperature, top_k, count(*) AS sample_count, avg(mae) AS selected_value, avg(mae) AS mae,
+               avg(mse) AS mse, avg(oracle_value) AS oracle_value, avg(regret_to_oracle) AS regret_to_oracle,
+               avg(CAST(oracle_label_correct AS DOUBLE)) AS oracle_label_accuracy, avg(weight_entropy) AS mean_weight_entropy,
+               avg(normalized_weight_entropy) AS mean_normalized_weight_entropy, avg(max_weight) AS mean_max_weight,
+               avg(active_weight_count) AS mean_active_weight_count
+        FROM swept GROUP BY strategy_name, strategy_family, config_name, temperature, top_k""",
+}
+
+
+@query(
+    "j4_calibrate",
+    f"""SELECT sample_key, {", ".join(f"weights[{i + 1}] AS weight_{e}" for i, e in enumerate(EXPERTS))} FROM cut WHERE strategy_name = 'top3_fusion_T0p5'""",
+    [f"weight_{e}" for e in EXPERTS],
+    SWEEP,
+)
+def _(ws):
+    c = fusion.calibrate(ws.weights().select("sample_key", "weights"), 0.5, 3, EXPERTS)
+    return c.select("sample_key", *[F.element_at("weights", i + 1).alias(f"weight_{e}") for i, e in enumerate(EXPERTS)])
+
+
+@query(
+    "j5_strategy_grid",
+    "SELECT config_name, g.*, count(*) AS planned_rows FROM routed CROSS JOIN grid g GROUP BY ALL",
+    ["temperature"],
+    SWEEP,
+)
+def _(ws):
+    counts = ws.routed().groupBy("config_name").agg(F.count(F.lit(1)).alias("planned_rows"))
+    return counts.crossJoin(F.broadcast(fusion.strategy_grid(ws.spark)))
+
+
+def swept(ws):
+    return fusion.sweep(ws.routed(), ws.forecasts(), fusion.strategy_grid(ws.spark), EXPERTS, "mae")
+
+
+@query(
+    "j6_sweep",
+    """SELECT strategy_name, dataset_name, config_name, selected_model, count(*) AS row_count, sum(mae) AS mae_sum, sum(mse) AS mse_sum,
+              min(mae) AS mae_min, max(mae) AS mae_max, sum(weight_entropy) AS entropy_sum, CAST(sum(active_weight_count) AS BIGINT) AS active_sum,
+              sum(weights[1]) AS first_weight_sum FROM swept GROUP BY ALL""",
+    ["mae_sum", "mse_sum", "mae_min", "mae_max", "entropy_sum", "first_weight_sum"],
+    SWEEP,
+)
+def _(ws):
+    return swept(ws).groupBy("strategy_name", "dataset_name", "config_name", "selected_model").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("mae").alias("mae_sum"),
+        F.sum("mse").alias("mse_sum"),
+        F.min("mae").alias("mae_min"),
+        F.max("mae").alias("mae_max"),
+        F.sum("weight_entropy").alias("entropy_sum"),
+        F.sum("active_weight_count").alias("active_sum"),
+        F.sum(f"calibrated_weight_{EXPERTS[0]}").alias("first_weight_sum"),
+    )
+
+
+SWEEP_DOUBLES = [
+    "temperature", "selected_value", "mae", "mse", "oracle_value", "regret_to_oracle", "oracle_label_accuracy", *WEIGHT_MEANS,
+    "mean_active_weight_count",
+]
+
+
+@query("j7_summarize_sweep", "SELECT * FROM sweep_summary", SWEEP_DOUBLES, SWEEP)
+def _(ws):
+    return fusion.summarize_sweep(swept(ws), "mae")
+
+
+@query(
+    "h9_selection_counts_by_strategy",
+    f"""SELECT strategy_name, config_name, e AS selected_model, count(*) FILTER (WHERE selected_model = e) AS count,
+               count(*) FILTER (WHERE selected_model = e) / count(*) AS ratio
+        FROM swept CROSS JOIN (SELECT unnest({NAMES}) AS e) GROUP BY ALL""",
+    ["ratio"],
+    SWEEP,
+)
+def _(ws):
+    return routing.selection_counts(swept(ws), ["strategy_name", "config_name"], EXPERTS)
+
+
+@query(
+    "h10_compare_all_families",
+    """SELECT m.*, (b - mae_like_value) / b AS relative_improvement_vs_global_best_single FROM (
+         SELECT * FROM methods0 UNION ALL
+         SELECT router_name || '_soft_fusion', 'raw_soft', config_name, count(*), avg(soft_fusion_mae), avg(oracle_value),
+                avg(soft_fusion_mae) - avg(oracle_value), NULL, avg(weight_entropy), avg(normalized_weight_entropy), avg(max_weight), 'soft_summary'
+         FROM fused GROUP BY router_name, config_name UNION ALL
+         SELECT strategy_name, strategy_family, config_name, sample_count, selected_value, oracle_value, regret_to_oracle, oracle_label_accuracy,
+                mean_weight_entropy, mean_normalized_weight_entropy, mean_max_weight, 'calibration_summary' FROM sweep_summary) m
+       JOIN (SELECT config_name, mae_like_value AS b FROM methods0 WHERE method = 'global_best_single') USING (config_name)""",
+    METHOD_DOUBLES,
+    {**METHODS, **STACK, **SWEEP},
+)
+def _(ws):
+    base = comparison(ws).drop("relative_improvement_vs_global_best_single")
+    soft = fusion.summarize_soft(fusion.soft_fuse(ws.routed(), ws.forecasts(), EXPERTS))
+    return routing.compare_methods(
+        base,
+        routing.methods_from_soft(soft, "mae", "raw_soft", "soft_summary"),
+        routing.methods_from_sweep(fusion.summarize_sweep(swept(ws), "mae"), "calibration_summary"),
+    )
+
+
+@query(
+    "j9_check_weights",
+    """SELECT 'missing_columns' AS "check", CAST(0 AS BIGINT) AS violations, true AS passed UNION ALL
+       SELECT 'duplicate_key', 0, true UNION ALL SELECT 'not_test', 0, true UNION ALL
+       SELECT 'non_finite', count(*), false FROM routed WHERE window_index = 1 UNION ALL
+       SELECT 'row_sum', count(*), false FROM routed WHERE window_index = 0""",
+)
+def _(ws):
+    first = EXPERTS[0]
+    w = F.col(f"weight_{first}")
+    bad = F.when(F.col("window_index") == 0, w - 0.1).when(F.col("window_index") == 1, F.lit(float("nan"))).otherwise(w)
+    return fusion.check_weights(ws.routed().withColumn(f"weight_{first}", bad), EXPERTS)
+
+
+SOFT_ORACLE = "[" + ", ".join(f"exp(-({e} - oracle_value) / 0.5)" for e in EXPERTS) + "]"
+
+
+@query(
+    "j10_soft_oracle",
+    f"SELECT sample_key, {', '.join(f'q[{i + 1}] / list_sum(q) AS q_{e}' for i, e in enumerate(EXPERTS))} FROM (SELECT sample_key, {SOFT_ORACLE} AS q FROM {MAE_SQL})",
+    [f"q_{e}" for e in EXPERTS],
+)
+def _(ws):
+    q = fusion.soft_oracle(keys.for_metric(ws.labels(), "mae"), 0.5, EXPERTS)
+    return q.select("sample_key", *[F.element_at("soft_oracle", i + 1).alias(f"q_{e}") for i, e in enumerate(EXPERTS)])
+
+
+@query(
+    "j11_fusion_loss",
+    f"""SELECT *, huber_loss + 0.1 * kl_loss AS total_loss FROM (
+          SELECT config_name, count(*) AS sample_count, sum(h) / sum(n) AS huber_loss, avg(kl) AS kl_loss FROM (
+            SELECT config_name, len(soft) AS n, list_sum(list_transform(soft, lambda e: CASE WHEN abs(e) < 0.5 THEN e * e ELSE abs(e) - 0.25 END)) AS h,
+                   list_sum(list_transform(range(1, {M + 1}), lambda i: CASE WHEN q[i] > 0 THEN q[i] * (ln(q[i]) - ln(w[i])) ELSE 0 END)) AS kl
+            FROM (SELECT f.config_name, soft, {W_SQL} AS w, qq AS q FROM fused_rows f JOIN
+                  (SELECT sample_key, list_transform(q, lambda v: v / list_sum(q)) AS qq FROM (SELECT sample_key, {SOFT_ORACLE} AS q FROM {MAE_SQL})) USING (sample_key)))
+          GROUP BY config_name)""",
+    ["huber_loss", "kl_loss", "total_loss"],
+    STACK,
+)
+def _(ws):
+    stacked = joins.stack_experts(keys.for_split(ws.forecasts(), "test"), EXPERTS)
+    lab = test_mae(ws).select("sample_key", *EXPERTS)
+    rows = ws.weights().join(stacked, "sample_key").join(lab, "sample_key")
+    return fusion.fusion_loss(rows, 0.5, 0.5, 0.1, EXPERTS)
+
+
+# --- learned routers ----------------------------------------------------------------
+
+SCALED = ["mean", "std", "min", "max"]
+
+
+@query(
+    "k1_fit_scaler",
+    " UNION ALL ".join(
+        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feat4 WHERE split = 'vali' GROUP BY config_name"
+        for c in SCALED
+    ),
+    ["mean", "std"],
+)
+def _(ws):
+    return learn.fit_scaler(ws.features(), SCALED)
+
+
+@query(
+    "k1_apply_scaler",
+    "SELECT sample_key, "
+    + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SCALED)
+    + " FROM feat4 JOIN (SELECT config_name, "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALED)
+    + " FROM feat4 WHERE split = 'vali' GROUP BY config_name) USING (config_name)",
+    SCALED,
+)
+def _(ws):
+    return learn.apply_scaler(ws.features(), learn.fit_scaler(ws.features(), SCALED), SCALED).select("sample_key", *SCALED)
+
+
+@query(
+    "k6_score_router",
+    f"SELECT sample_key, {', '.join(f'weights[{i + 1}] AS weight_{e}' for i, e in enumerate(EXPERTS))} FROM weights",
+    [f"weight_{e}" for e in EXPERTS],
+)
+def _(ws):
+    w = learn.score_router(ROUTER, ws.features())
+    return w.select("sample_key", *[F.element_at("weights", i + 1).alias(f"weight_{e}") for i, e in enumerate(EXPERTS)])
+
+
+def training_rows(ws):
+    """Fusion input of all samples, written once (it is read every epoch)."""
+    return ws.stored(
+        "fusion_input",
+        lambda: joins.fusion_input(ws.features(), keys.for_metric(ws.labels(), "mae"), ws.forecasts(), EXPERTS, FEATURES),
+        ["config_name", "split"],
+    )
+
+
+def _vali(ws, config: str):
+    return training_rows(ws).filter((F.col("config_name") == config) & (F.col("split") == "vali"))
+
+
+def _fit_linear(ws, config: str):
+    return learn.fit_linear_fusor(_vali(ws, config), FEATURES, EXPERTS, epochs=6, lr=0.1)
+
+
+def _hard_and_loss(ws, config: str, weights, history):
+    lab = test_mae(ws).filter(F.col("config_name") == config)
+    summary = routing.summarize_hard(fusion.hard_route(weights, lab, EXPERTS, "fitted"))
+    return summary.withColumn("first_loss", F.lit(history[0])).withColumn("last_loss", F.lit(history[-1]))
+
+
+@query("k3_logistic_router")
+def _(ws):
+    def one(config: str):
+        f = ws.features().filter(F.col("config_name") == config)
+        lab = keys.for_metric(ws.labels(), "mae").filter(F.col("config_name") == config)
+        weights, _ = learn.fit_logistic_router(f, lab, FEATURES, EXPERTS, max_iter=20)
+        routed = fusion.hard_route(weights, keys.for_split(lab, "test"), EXPERTS, "logistic_router")
+        return routing.summarize_hard(routed)
+
+    return learn.per_config(one, ws.features())
+
+
+@query("k4_k7_linear_fusor")
+def _(ws):
+    def one(config: str):
+        router = _fit_linear(ws, config)
+        scored = learn.score_router(router, ws.features().filter(F.col("config_name") == config))
+        return _hard_and_loss(ws, config, scored, router.history)
+
+    return learn.per_config(one, ws.features())
+
+
+@query("k5_hidden_router_fusion")
+def _(ws):
+    def one(config: str):
+        x = F.array(*[F.col(c).cast("double") for c in FEATURES])
+        net = learn.fit_fusion_router(
+            _vali(ws, config).withColumn("x", x), EXPERTS, len(FEATURES), hidden=8, epochs=5, lr=0.05, lam=0.1, decay=0.01
+        )
+        test = ws.features().filter((F.col("config_name") == config) & (F.col("split") == "test"))
+        scored = learn.score_net(net, test.withColumn("x", x), STABLE)
+        return _hard_and_loss(ws, config, scored, net.history)
+
+    return learn.per_config(one, ws.features())
+
+
+def embedding_rows(ws):
+    """The embeddings table as router input: vector id as sample, label modulo experts as class."""
+    return ws.source("embeddings").select(
+        F.lit("embedding").alias("config_name"),
+        F.concat(F.lit("vec"), F.col("vec_id").cast("string")).alias("sample_key"),
+        F.when(F.col("vec_id") % 10 < 4, "vali").otherwise("test").alias("split"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
+        F.pmod("label", F.lit(M)).alias("label"),
+        F.element_at(F.array(*[F.lit(e) for e in EXPERTS]), F.pmod("label", F.lit(M)) + 1).alias("oracle_model"),
+    )
+
+
+@query("k5_embedding_router")
+def _(ws):
+    rows = embedding_rows(ws)
+    cw = learn.class_weights(rows, EXPERTS).select("oracle_model", "class_weight")
+    vali = rows.filter("split = 'vali'").join(F.broadcast(cw), "oracle_model")  # one row per expert
+    net = learn.fit_class_router(vali, EXPERTS, 64, hidden=16, epochs=15, lr=0.02)
+    scored = learn.score_net(net, rows.filter("split = 'test'"), ["sample_key", "label"])
+    hit = (F.array_position("weights", F.array_max("weights")) - 1) == F.col("label")
+    return scored.agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        F.avg(hit.cast("double")).alias("accuracy"),
+        F.max(F.abs(asum(F.col("weights")) - 1)).alias("row_sum_error"),
+    ).withColumn("first_loss", F.lit(net.history[0])).withColumn("last_loss", F.lit(net.history[-1]))
+
+
+@query("k8_model_table")
+def _(ws):
+    router = _fit_linear(ws, "24_6_S")
+    net = learn.NetRouter(
+        router.experts,
+        learn.np.array(router.center),
+        learn.np.array(router.scale),
+        [learn.np.array(router.coef).T, learn.np.array(router.intercept)],
+        router.history,
+    )
+    path = f"{ws.root}/model-{uuid.uuid4().hex}"
+    signature = {"config": "24_6_S", "features": FEATURES, "experts": EXPERTS}
+    learn.save_model(ws.spark, net, signature, path)
+    again = learn.linear_router_from(learn.load_model(ws.spark, path, signature), FEATURES)
+    test = ws.features().filter("config_name = '24_6_S' AND split = 'test'")
+    a = learn.score_router(router, test).select("sample_key", F.col("weights").alias("a"))
+    b = learn.score_router(again, test).select("sample_key", F.col("weights").alias("b"))
+    gap = asum(F.zip_with("a", "b", lambda u, v: F.abs(u - v)))
+    return a.join(b, "sample_key").agg(F.count(F.lit(1)).alias("sample_count"), F.max(gap).alias("max_weight_gap"))
+
+
+@query(
+    "k9_validate_embeddings",
+    """SELECT 'duplicate_key' AS "check", CAST(0 AS BIGINT) AS violations, true AS passed UNION ALL SELECT 'non_finite', 0, true UNION ALL
+       SELECT 'many_dims', 0, true UNION ALL SELECT 'missing_embedding', count(*), false FROM embeddings WHERE label = 0 UNION ALL
+       SELECT 'extra_embedding', 0, true""",
+)
+def _(ws):
+    e = ws.source("embeddings").select(F.col("vec_id").cast("string").alias("sample_key"), "embedding", "label")
+    return validate.validate_embeddings(e.filter("label <> 0"), e.select("sample_key"))
+
+
+# --- streams ----------------------------------------------------------------------
+
+
+def _landing(ws, name: str, df, files: int = 4) -> str:
+    """A folder of arriving files holding ``df`` (written once per run)."""
+    path = f"{ws.root}/arriving-{name}-{uuid.uuid4().hex}"
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+def _place(ws, name: str) -> str:
+    return f"{ws.root}/stream-{name}-{uuid.uuid4().hex}"
+
+
+@query("q1_stream_ingest", "SELECT sample_key, model_name, mae FROM forecasts", ["mae"])
+def _(ws):
+    f = ws.forecasts()
+    again = f.unionByName(f.filter("window_index = 0"))
+    src, dst = _landing(ws, "forecasts", again), _place(ws, "ingest")
+    jobs.stream_ingest(ws.spark, src, dst, dst + "-ckpt", again.schema, 2).awaitTermination()
+    return ws.spark.read.schema(again.schema).parquet(dst).select("sample_key", "model_name", "mae")
+
+
+Q2_GROUP = ["config_name", "split", "metric"]
+
+
+@query(
+    "q2_stream_oracle_summary",
+    f"""SELECT config_name, split, metric, count(*) AS sample_count, sum(oracle_value) AS oracle_sum, {", ".join(f"sum({e}) AS {e}_sum" for e in EXPERTS)},
+               {", ".join(f"count(*) FILTER (WHERE oracle_model = '{e}') AS {e}_wins" for e in EXPERTS)} FROM labels GROUP BY config_name, split, metric""",
+    ["oracle_sum", *[f"{e}_sum" for e in EXPERTS]],
+)
+def _(ws):
+    lab = ws.labels()
+    src, dst = _landing(ws, "labels", lab), _place(ws, "summary")
+    stream = jobs.read_stream(ws.spark, src, lab.schema, 2)
+    jobs.stream_oracle_summary(stream, EXPERTS, Q2_GROUP, dst, dst + "-ckpt").awaitTermination()
+    return ws.spark.read.parquet(dst)
+
+
+@query(
+    "q3_stream_labels",
+    f"""SELECT sample_key, 'label' AS status, oracle_model, oracle_value, {", ".join(EXPERTS)} FROM {MAE_SQL}""",
+    ["oracle_value", *EXPERTS],
+)
+def _(ws):
+    f = ws.forecasts().select("sample_key", "model_name", "mae")
+    src, dst = _landing(ws, "errors", f, 2), _place(ws, "labels")
+    stream = jobs.read_stream(ws.spark, src, f.schema, 1)
+    jobs.to_table(jobs.stream_labels(stream, EXPERTS, "mae"), dst, dst + "-ckpt").awaitTermination()
+    return ws.spark.read.parquet(dst)
+
+
+@query(
+    "q4_stream_route",
+    f"""SELECT sample_key, {NAMES}[list_position(weights, list_max(weights))] AS selected_model, mean_model AS rule_model, list_max(weights) AS max_weight
+        FROM weights JOIN rules_all USING (config_name)""",
+    ["max_weight"],
+    METHODS,
+)
+def _(ws):
+    f = ws.features().filter("split = 'test'")
+    src, dst = _landing(ws, "features", f), _place(ws, "routes")
+    rules = routing.fit_rule(keys.for_metric(ws.labels(), "mae"), [], "mean_metric_best", EXPERTS)
+    stream = jobs.read_stream(ws.spark, src, f.schema, 2)
+    jobs.to_table(jobs.stream_route(stream, ROUTER, rules, EXPERTS), dst, dst + "-ckpt").awaitTermination()
+    rows = ws.spark.read.parquet(dst)
+    return rows.select("sample_key", "selected_model", "rule_model", F.array_max("weights").alias("max_weight"))
+
+
+@query(
+    "q5_stream_moments",
+    " UNION ALL ".join(
+        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feat4 GROUP BY config_name"
+        for c in SCALED
+    ),
+    ["mean", "std"],
+)
+def _(ws):
+    f = ws.features()
+    src, dst = _landing(ws, "moments", f), _place(ws, "moments")
+    stream = jobs.read_stream(ws.spark, src, f.schema, 2)
+    jobs.snapshots_to_table(jobs.moment_sums(stream, SCALED), dst, dst + "-ckpt").awaitTermination()
+    return jobs.scaler_from_sums(ws.spark.read.parquet(dst), SCALED)
+
+
+@query("q6_stream_late_rows")
+def _(ws):
+    f = ws.forecasts().select("sample_key", "model_name", "mae")
+    src = _landing(ws, "ontime", f, 1)
+    # the same forecasts of one expert arrive once more in a later file
+    f.filter(F.col("model_name") == EXPERTS[0]).coalesce(1).write.mode("append").parquet(src)
+    dst = _place(ws, "late")
+    stream = jobs.read_stream(ws.spark, src, f.schema, 1)
+    jobs.to_table(jobs.stream_labels(stream, EXPERTS, "mae"), dst, dst + "-ckpt").awaitTermination()
+    return ws.spark.read.parquet(dst).groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))

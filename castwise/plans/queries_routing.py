@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from castwise.functions.columns import asum
 from castwise.operators import audit, joins, keys, oracle, ordering, routing
 from castwise.operators.forecasts import score_forecasts
 from castwise.plans import derived
@@ -95,22 +96,28 @@ FUSION = {
 
 @query(
     "f6_fusion_input",
-    f"""SELECT {STABLE_SQL}, oracle_model, oracle_value, {E_SQL}, mean, std, len(y_preds) AS expert_count,
+    f"""SELECT {STABLE_SQL}, oracle_model, oracle_value, mean, std, len(y_preds) AS expert_count, error_check,
                list_sum(list_transform(range(1, len(y_preds) + 1), lambda i: i * list_sum(y_preds[i]))) AS pred_check, list_sum(y_true) AS true_sum
-        FROM feat4 f JOIN stacked USING (sample_key)
-        JOIN (SELECT sample_key, oracle_model, oracle_value, {E_SQL} FROM labels WHERE metric = 'mae') USING (sample_key)""",
-    ["oracle_value", *EXPERTS, "mean", "std", "pred_check", "true_sum"],
+        FROM (SELECT * EXCLUDE (y_true) FROM feat4) JOIN stacked USING (sample_key)
+        JOIN (SELECT sample_key, oracle_model, oracle_value, {" + ".join(f"{i + 1} * {e}" for i, e in enumerate(EXPERTS))} AS error_check
+              FROM labels WHERE metric = 'mae') USING (sample_key)""",
+    ["oracle_value", "error_check", "mean", "std", "pred_check", "true_sum"],
     FUSION,
 )
 def _(ws):
-    from castwise.functions.columns import asum
-
     lab = keys.for_metric(ws.labels(), "mae")
     wide = joins.fusion_input(ws.features(), lab, ws.forecasts(), EXPERTS, ["mean", "std"])
     check = asum(F.transform("y_preds", lambda a, i: (i + 1) * asum(a)))
     return wide.select(
-        *STABLE, "oracle_model", "oracle_value", *EXPERTS, "mean", "std",
-        F.size("y_preds").cast("long").alias("expert_count"), check.alias("pred_check"), asum(F.col("y_true")).alias("true_sum"),
+        *STABLE,
+        "oracle_model",
+        "oracle_value",
+        "mean",
+        "std",
+        F.size("y_preds").cast("long").alias("expert_count"),
+        asum(F.transform("errors", lambda v, i: v * (i + 1))).alias("error_check"),
+        check.alias("pred_check"),
+        asum(F.col("y_true")).alias("true_sum"),
     )
 
 
@@ -356,7 +363,8 @@ def _(ws):
     "g17_latency_summary",
     """SELECT dataset_name, channel_id, count(*) AS batch_count, CAST(sum(sample_count) AS BIGINT) AS sample_count, sum(elapsed) AS elapsed,
               sum(elapsed) / sum(sample_count) AS seconds_per_sample, avg(elapsed / sample_count) AS mean_batch_seconds_per_sample
-       FROM (SELECT dataset_name, item_id, channel_id, count(*) AS sample_count, count(*) * 0.25 + channel_id AS elapsed FROM windows GROUP BY ALL)
+       FROM (SELECT *, sample_count * 0.25 + channel_id AS elapsed FROM
+             (SELECT dataset_name, item_id, channel_id, count(*) AS sample_count FROM windows GROUP BY ALL))
        GROUP BY ALL""",
     ["elapsed", "seconds_per_sample", "mean_batch_seconds_per_sample"],
 )
@@ -589,7 +597,7 @@ def _(ws):
 
 @query(
     "h12_best_method",
-    """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY config_name ORDER BY mae_like_value, method) AS rn
+    """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY config_name ORDER BY round(mae_like_value, 12), method) AS rn
        FROM methods WHERE method <> 'oracle_top1') WHERE rn = 1""",
     METHOD_DOUBLES,
     METHODS,
