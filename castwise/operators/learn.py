@@ -135,7 +135,7 @@ def fit_logistic_router(
         raise ValueError("fewer than two oracle labels on vali")
     scaled = apply_scaler(features, fit_scaler(features, cols), cols)
     index = F.array_position(F.array(*[F.lit(e) for e in experts]), F.col("oracle_model")) - 1
-    lab = labels.select("sample_key", "oracle_model", "oracle_value", *experts)
+    lab = labels.select("sample_key", "oracle_model")
     vec = array_to_vector(F.array(*[F.col(c) for c in cols])).alias("x")
     data = scaled.join(lab, "sample_key").withColumn("label", index.cast("double"))
     train = (

@@ -143,13 +143,19 @@ def _(ws):
 
 @query(
     "j5_strategy_grid",
-    "SELECT config_name, g.*, count(*) AS planned_rows FROM routed CROSS JOIN grid g GROUP BY ALL",
+    """SELECT config_name, strategy_name, strategy_family, temperature, coalesce(CAST(top_k AS VARCHAR), 'all') AS top_k, count(*) AS planned_rows
+       FROM routed CROSS JOIN grid g GROUP BY ALL""",
     ["temperature"],
     SWEEP,
 )
 def _(ws):
     counts = ws.routed().groupBy("config_name").agg(F.count(F.lit(1)).alias("planned_rows"))
-    return counts.crossJoin(F.broadcast(fusion.strategy_grid(ws.spark)))
+    return with_label(counts.crossJoin(F.broadcast(fusion.strategy_grid(ws.spark))))
+
+
+def with_label(df):
+    """``top_k`` as text, all for no cut."""
+    return df.withColumn("top_k", F.coalesce(F.col("top_k").cast("string"), F.lit("all")))
 
 
 def swept(ws):
@@ -183,9 +189,14 @@ SWEEP_DOUBLES = [
 ]
 
 
-@query("j7_summarize_sweep", "SELECT * FROM sweep_summary", SWEEP_DOUBLES, SWEEP)
+@query(
+    "j7_summarize_sweep",
+    "SELECT * REPLACE (coalesce(CAST(top_k AS VARCHAR), 'all') AS top_k) FROM sweep_summary",
+    SWEEP_DOUBLES,
+    SWEEP,
+)
 def _(ws):
-    return fusion.summarize_sweep(swept(ws), "mae")
+    return with_label(fusion.summarize_sweep(swept(ws), "mae"))
 
 
 @query(
@@ -476,8 +487,8 @@ def _(ws):
     f = ws.forecasts().select("sample_key", "model_name", "mae")
     src, dst = _landing(ws, "errors", f, 2), _place(ws, "labels")
     stream = jobs.read_stream(ws.spark, src, f.schema, 1)
-    jobs.to_table(jobs.stream_labels(stream, EXPERTS, "mae"), dst, dst + "-ckpt").awaitTermination()
-    return ws.spark.read.parquet(dst)
+    jobs.stream_labels(stream, EXPERTS, "mae", dst, dst + "-ckpt").awaitTermination()
+    return ws.spark.read.parquet(dst).drop("batch")
 
 
 @query(
@@ -513,7 +524,10 @@ def _(ws):
     return jobs.scaler_from_sums(ws.spark.read.parquet(dst), SCALED)
 
 
-@query("q6_stream_late_rows")
+@query(
+    "q6_stream_late_rows",
+    "SELECT 'label' AS status, count(*) AS row_count FROM windows UNION ALL SELECT 'late', count(*) FROM windows",
+)
 def _(ws):
     f = ws.forecasts().select("sample_key", "model_name", "mae")
     src = _landing(ws, "ontime", f, 1)
@@ -521,5 +535,5 @@ def _(ws):
     f.filter(F.col("model_name") == EXPERTS[0]).coalesce(1).write.mode("append").parquet(src)
     dst = _place(ws, "late")
     stream = jobs.read_stream(ws.spark, src, f.schema, 1)
-    jobs.to_table(jobs.stream_labels(stream, EXPERTS, "mae"), dst, dst + "-ckpt").awaitTermination()
+    jobs.stream_labels(stream, EXPERTS, "mae", dst, dst + "-ckpt").awaitTermination()
     return ws.spark.read.parquet(dst).groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))

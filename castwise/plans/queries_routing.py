@@ -98,7 +98,7 @@ FUSION = {
     "f6_fusion_input",
     f"""SELECT {STABLE_SQL}, oracle_model, oracle_value, mean, std, len(y_preds) AS expert_count, error_check,
                list_sum(list_transform(range(1, len(y_preds) + 1), lambda i: i * list_sum(y_preds[i]))) AS pred_check, list_sum(y_true) AS true_sum
-        FROM (SELECT * EXCLUDE (y_true) FROM feat4) JOIN stacked USING (sample_key)
+        FROM feat4 JOIN stacked USING (sample_key)
         JOIN (SELECT sample_key, oracle_model, oracle_value, {" + ".join(f"{i + 1} * {e}" for i, e in enumerate(EXPERTS))} AS error_check
               FROM labels WHERE metric = 'mae') USING (sample_key)""",
     ["oracle_value", "error_check", "mean", "std", "pred_check", "true_sum"],

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from castwise.functions.columns import argmin_name
 from castwise.operators.learn import LinearRouter, score_router
 from castwise.schemas import FORECASTS_SCHEMA, STABLE
 
@@ -80,52 +81,104 @@ def stream_oracle_summary(
     )
 
 
-def stream_labels(forecasts: DataFrame, experts: Sequence[str], metric: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Oracle label of a sample as soon as all its experts have arrived.
+def label_states(forecasts: DataFrame, experts: Sequence[str], metric: str) -> DataFrame:
+    """Per sample: first value of each expert, when the set became complete, last arrival.
 
-    State per sample: the errors seen so far (at most one per expert).  ``status`` is
-    ``label`` for a finished sample, ``late`` for a row that came after its label, and
-    ``timeout`` for a sample given up.  A finished key stays (without values) until
-    the timeout so that late rows can be told.
+    A streaming aggregation whose state lives in the JVM state store.  The arrival
+    time is the time of the micro-batch, so the first arrival of an expert wins.
+    """
+    rows = forecasts.filter(F.col("model_name").isin(list(experts))).select(
+        "sample_key", "model_name", F.col(metric).alias("value"), F.current_timestamp().alias("_at")
+    )
+    first = [
+        F.min(F.when(F.col("model_name") == e, F.struct("_at", "value"))).alias(f"_f_{e}") for e in experts
+    ]
+    return rows.groupBy("sample_key").agg(*first, F.max("_at").alias("_last"))
+
+
+def _label_rows(states: DataFrame, experts: Sequence[str]) -> DataFrame:
+    """``label`` rows of samples completed by the last batch, ``late`` rows of samples complete before."""
+    complete = F.lit(True)
+    for e in experts:
+        complete = complete & F.col(f"_f_{e}").isNotNull()
+    done_at = F.greatest(*[F.col(f"_f_{e}._at") for e in experts])
+    status = F.when(done_at == F.col("_last"), F.lit("label")).otherwise(F.lit("late"))
+    values = {e: F.col(f"_f_{e}.value") for e in experts}
+    return states.filter(complete).select(
+        "sample_key",
+        status.alias("status"),
+        argmin_name(list(values.values()), experts).alias("oracle_model"),
+        F.least(*values.values()).alias("oracle_value"),
+        *[v.alias(e) for e, v in values.items()],
+    )
+
+
+def stream_labels(
+    forecasts: DataFrame, experts: Sequence[str], metric: str, dst: str, checkpoint: str
+) -> StreamingQuery:
+    """Write the oracle label of a sample once all its experts have arrived.
+
+    Rows that come after the label are written with status ``late`` (with the label
+    that stands).  Each batch owns a folder, so a repeated batch overwrites itself.
+    """
+
+    def emit(batch: DataFrame, epoch: int) -> None:
+        _label_rows(batch, experts).write.mode("overwrite").parquet(f"{dst}/batch={epoch}")
+
+    return (
+        label_states(forecasts, experts, metric)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(emit)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def expiring_labels(forecasts: DataFrame, experts: Sequence[str], metric: str, event_time: str, wait_ms: int) -> DataFrame:
+    """Like :func:`stream_labels`, but a sample still incomplete ``wait_ms`` of event time
+    after its last row is given up with status ``timeout`` and its state dropped.
+
+    Needs a watermarked ``event_time``.  A per-key Python function, for streams where
+    unbounded partial state matters more than throughput; state per sample is at most
+    one value per expert.
     """
     names = list(experts)
     out = "sample_key string, status string, oracle_model string, oracle_value double, " + ", ".join(
         f"`{e}` double" for e in names
     )
-    state_schema = "done boolean, " + ", ".join(f"`{e}` double" for e in names)
-    blank = [None] * len(names)
+    state_schema = ", ".join(f"`{e}` double" for e in names)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, *seen = state.get if state.exists else (False, *blank)
-        seen = [None if v is None or v != v else float(v) for v in seen]
+        seen = [None if v is None or v != v else float(v) for v in (state.get if state.exists else [None] * len(names))]
         if state.hasTimedOut:
             state.remove()
-            if not done:
-                yield _label_row(key[0], "timeout", None, None, seen, names)
+            yield _label_row(key[0], "timeout", None, None, seen, names)
             return
-        late = 0
+        latest = 0
         for pdf in batches:
+            latest = max(latest, int(pdf["at_ms"].max()))
             for model, value in zip(pdf["model_name"], pdf["value"]):
                 i = names.index(model)
-                if done:
-                    late += 1
-                elif seen[i] is None:
-                    seen[i] = float(value)
-        if done:
-            for _ in range(late):
-                yield _label_row(key[0], "late", None, None, blank, names)
-        elif all(v is not None for v in seen):
+                seen[i] = float(value) if seen[i] is None else seen[i]
+        if all(v is not None for v in seen):
             best = min(range(len(names)), key=lambda i: (seen[i], i))
+            if state.exists:
+                state.remove()
             yield _label_row(key[0], "label", names[best], seen[best], seen, names)
-            done, seen = True, blank
-        state.update((done, *seen))
-        state.setTimeoutDuration(timeout_ms)
+            return
+        state.update(tuple(seen))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait_ms)
 
     rows = forecasts.filter(F.col("model_name").isin(names)).select(
-        "sample_key", "model_name", F.col(metric).alias("value")
+        "sample_key",
+        "model_name",
+        event_time,
+        F.col(metric).alias("value"),
+        F.unix_millis(F.col(event_time)).alias("at_ms"),
     )
     return rows.groupBy("sample_key").applyInPandasWithState(
-        step, out, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
