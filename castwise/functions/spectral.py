@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from castwise.schemas import FEATURES
+
 # MacKinnon (1994) response surface of the Dickey-Fuller tau statistic,
 # constant only, one variable: p = Phi(b0 + b1 tau + b2 tau^2) for tau <= -1.61,
 # p = 0 below -18.83.
@@ -178,10 +180,56 @@ def spectral_features_of(x: pa.Array) -> pa.Array:
     return _features(x, SPECTRAL, spectral_matrix)
 
 
-@F.arrow_udf(_doubles([*SPECTRAL, "stationarity"]))
-def python_features_of(x: pa.Array) -> pa.Array:
-    """Spectral features and the stationarity flag in one pass over Arrow."""
-    return _features(x, [*SPECTRAL, "stationarity"], lambda m: np.column_stack([spectral_matrix(m), is_stationary(m)]))
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.where(b != 0, a / np.where(b != 0, b, 1.0), 0.0)
+
+
+def time_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
+    """The eleven time-domain features of every row."""
+    d = m - m.mean(axis=1, keepdims=True)
+    skew, kurt = _moments(m)
+    before, after = m[:, :-1], m[:, 1:]
+    # zeros before a step drop out of the rate of change
+    with np.errstate(over="ignore", invalid="ignore"):
+        rate = _ratio(after - before, before)
+    used = (before != 0) & np.isfinite(rate)
+    n = used.sum(axis=1)
+    rate = np.where(used, rate, 0.0)
+    rate_mean = _ratio(rate.sum(axis=1), n)
+    spread = np.where(used, rate - rate_mean[:, None], 0.0)
+    # AR(1) with intercept; minimum norm when the lagged values are all equal
+    mb, ma = before.mean(axis=1), after.mean(axis=1)
+    db, da = before - mb[:, None], after - ma[:, None]
+    sxx, syy, sxy = (db * db).sum(axis=1), (da * da).sum(axis=1), (db * da).sum(axis=1)
+    flat = sxx <= 1e-18
+    slope = np.where(flat, mb * ma / (1 + mb * mb), _ratio(sxy, sxx))
+    left = np.where(flat, syy, syy - _ratio(sxy * sxy, sxx))
+    return {
+        "mean": m.mean(axis=1),
+        "std": np.sqrt((d * d).mean(axis=1)),
+        "min": m.min(axis=1),
+        "max": m.max(axis=1),
+        "skewness": skew,
+        "kurtosis": kurt,
+        "autocorrelation_mean": _ratio((d[:, :-1] * d[:, 1:]).sum(axis=1), (d * d).sum(axis=1)),
+        "rate_of_change_mean": rate_mean,
+        "rate_of_change_std": np.sqrt(_ratio((spread * spread).sum(axis=1), n)),
+        "autoreg_coef_mean": slope,
+        "residual_std_mean": np.sqrt(np.maximum(left, 0.0) / before.shape[1]),
+    }
+
+
+def _all_matrix(m: np.ndarray) -> np.ndarray:
+    spectral = spectral_matrix(m)
+    parts = {**time_matrix(m), "stationarity": is_stationary(m), **{n: spectral[:, i] for i, n in enumerate(SPECTRAL)}}
+    return np.column_stack([parts[n] for n in FEATURES])
+
+
+@F.arrow_udf(_doubles(FEATURES))
+def all_features_of(x: pa.Array) -> pa.Array:
+    """All 17 features in one pass over Arrow batches."""
+    return _features(x, FEATURES, _all_matrix)
 
 
 @F.arrow_udf(T.DoubleType())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castwise.functions.columns import amean, asum, central_sum, finite_or_zero, is_finite, let, ratio, sample_key
-from castwise.functions.spectral import SPECTRAL, python_features_of, spectral_features_of, stationarity_of
+from castwise.functions.spectral import SPECTRAL, all_features_of, spectral_features_of, stationarity_of
 from castwise.schemas import FEATURE_METADATA, FEATURE_VERSION, FEATURES, STABLE
 
 
@@ -138,11 +138,12 @@ def stationarity(df: DataFrame) -> DataFrame:
 def build_features(windows: DataFrame, feature_type: str = "window_17", version: str = FEATURE_VERSION) -> DataFrame:
     """Feature table: metadata and 17 columns, no shuffle.
 
-    The history is the only array read from the windows table.
+    The history is the only array read from the windows table.  The spectrum and the
+    unit-root test need Arrow batches anyway, so all 17 features are taken from the
+    same stacked batch; the single-family functions above are the Catalyst forms.
     """
     history = windows.select(*STABLE, "history_length", "pred_length", "x")
-    jvm = _with_ar1(rate_of_change(_with_moments(history)))
-    full = jvm.withColumn("_f", python_features_of("x")).select("*", "_f.*").drop("_f")
+    full = history.withColumn("_f", all_features_of("x")).select(*STABLE, "history_length", "pred_length", "_f.*")
     meta = full.withColumns(
         {
             "feature_version": F.lit(version),
@@ -164,28 +165,27 @@ def validate_features(features: DataFrame, samples: DataFrame, cols: Sequence[st
     One full outer join on the key gives coverage both ways and the row counts; the
     other checks ride on the same pass.
     """
+    fixed = ("feature_version", "feature_type", "feature_dim")
     per_key = features.groupBy("sample_key").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.when(sample_key().eqNullSafe(F.col("sample_key")), 0).otherwise(1)).alias("_badkey"),
-        F.sum(F.when(_any_bad(cols), 1).otherwise(0)).alias("_nonfinite"),
+        F.count_if(~sample_key().eqNullSafe(F.col("sample_key"))).alias("_badkey"),
+        F.count_if(_any_bad(cols)).alias("_nonfinite"),
+        *[f(c).alias(f"_{n}_{c}") for c in fixed for n, f in (("lo", F.min), ("hi", F.max))],
     )
     wanted = samples.groupBy("sample_key").agg(F.count(F.lit(1)).alias("_wanted"))
-    j = per_key.join(wanted, "sample_key", "full_outer").agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("_n"),
-        F.coalesce(F.sum("_wanted"), F.lit(0)).alias("_m"),
+    rows, want = F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum("_wanted"), F.lit(0))
+    wide = per_key.join(wanted, "sample_key", "full_outer").agg(
+        F.abs(rows - want).alias("row_count_difference"),
         F.count_if(F.col("_rows") > 1).alias("duplicate_key"),
         F.count_if(F.col("_rows").isNull()).alias("missing_feature"),
         F.count_if(F.col("_wanted").isNull()).alias("extra_feature"),
         F.coalesce(F.sum("_badkey"), F.lit(0)).alias("key_mismatch"),
         F.coalesce(F.sum("_nonfinite"), F.lit(0)).alias("non_finite"),
-    )
-    single = features.agg(
         *[
-            F.greatest(F.countDistinct(c) - 1, F.lit(0)).alias(f"many_{c}")
-            for c in ("feature_version", "feature_type", "feature_dim")
-        ]
+            F.coalesce((F.min(f"_lo_{c}") != F.max(f"_hi_{c}")).cast("int"), F.lit(0)).alias(f"many_{c}")
+            for c in fixed
+        ],
     )
-    wide = j.crossJoin(single).withColumn("row_count_difference", F.abs(F.col("_n") - F.col("_m"))).drop("_n", "_m")
     return as_checks(wide)
 
 

@@ -210,12 +210,27 @@ def strategies(temperatures: Sequence[float] = TEMPERATURES, top_ks: Sequence[in
     return list(found.values())
 
 
-def strategy_grid(
-    spark: SparkSession, temperatures: Sequence[float] = TEMPERATURES, top_ks: Sequence[int | None] = TOP_KS
-) -> DataFrame:
+GRID_SCHEMA = "strategy_name string, strategy_family string, temperature double, top_k int"
+
+
+def strategy_grid(spark: SparkSession, grid: Sequence[Strategy] | None = None) -> DataFrame:
     """The strategies as a small table."""
-    rows = [(s.name, s.family, float(s.temperature), s.top_k) for s in strategies(temperatures, top_ks)]
-    return spark.createDataFrame(rows, "strategy_name string, strategy_family string, temperature double, top_k int")
+    rows = [(s.name, s.family, float(s.temperature), s.top_k) for s in grid or strategies()]
+    return spark.createDataFrame(rows, GRID_SCHEMA)
+
+
+def with_strategies(df: DataFrame, grid: Sequence[Strategy] | None = None) -> DataFrame:
+    """Each row once per strategy: the short list is a literal opened in place, without a join."""
+    rows = [
+        F.struct(
+            F.lit(s.name).alias("strategy_name"),
+            F.lit(s.family).alias("strategy_family"),
+            F.lit(float(s.temperature)).alias("temperature"),
+            F.lit(s.top_k).cast("int").alias("top_k"),
+        )
+        for s in grid or strategies()
+    ]
+    return df.select("*", F.inline(F.array(*rows)))
 
 
 def calibrated(weights: Column, temperature: Column, top_k: Column, n_experts: int) -> Column:
@@ -253,12 +268,13 @@ def calibrate(df: DataFrame, temperature: float, top_k: int | None, experts: Seq
     return df.withColumn("weights", calibrated(F.col("weights"), F.lit(float(temperature)), k, len(experts)))
 
 
-def sweep(routed: DataFrame, forecasts: DataFrame, grid: DataFrame, experts: Sequence[str], metric: str) -> DataFrame:
+def sweep(
+    routed: DataFrame, forecasts: DataFrame, experts: Sequence[str], metric: str, grid: Sequence[Strategy] | None = None
+) -> DataFrame:
     """Every strategy on every routed test row.
 
-    Arrays are stacked once per sample, then multiplied by the grid, which is a
-    short parameter list and the only broadcast side.  The grid rows are opened
-    after the only shuffle, so shuffled bytes do not grow with their number.
+    Arrays are stacked once per sample; the strategies are opened after the only
+    shuffle, so shuffled bytes do not grow with their number.
     """
     m = len(experts)
     wanted = forecasts.join(routed.select("sample_key"), "sample_key", "left_semi")
@@ -269,8 +285,7 @@ def sweep(routed: DataFrame, forecasts: DataFrame, grid: DataFrame, experts: Seq
         stack_experts(wanted, experts),
         ["sample_key"],
     )
-    each = j.crossJoin(F.broadcast(grid))
-    cal = each.withColumn("weights", calibrated(F.col("_original"), F.col("temperature"), F.col("top_k"), m))
+    cal = with_strategies(j, grid).withColumn("weights", calibrated(F.col("_original"), F.col("temperature"), F.col("top_k"), m))
     scored = cal.withColumn("_e", fused_errors(F.col("y_true"), F.col("y_preds"), F.col("weights"), m))
     scored = weight_stats(scored, experts)
     value = F.col(f"_e.{metric}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,13 +88,14 @@ def relative_to(df: DataFrame, baseline: str, group: Sequence[str], method: str,
     Summary tables have one row per method and group; the baseline row is looked
     up by a null-safe self join.
     """
+    if not group:
+        whole = df.withColumn("_all", F.lit(0))
+        return relative_to(whole, baseline, ["_all"], method, value, out).drop("_all")
     base = df.filter(F.col(method) == baseline).select(
         *[F.col(g).alias(f"_b_{g}") for g in group], F.col(value).alias("_base")
     )
-    match = F.lit(True)
-    for g in group:
-        match = match & df[g].eqNullSafe(base[f"_b_{g}"])
-    joined = df.join(base, match, "left") if group else df.crossJoin(base)
+    match = reduce(lambda a, b: a & b, [df[g].eqNullSafe(base[f"_b_{g}"]) for g in group])
+    joined = df.join(base, match, "left")
     return joined.withColumn(out, ratio(F.col("_base") - F.col(value), F.col("_base"))).select(*df.columns, out)
 
 

@@ -38,14 +38,6 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], split: str | None = "vali") -
     )
 
 
-def scaler_maps(scaler: DataFrame, cols: Sequence[str]) -> dict[str, tuple[list[float], list[float]]]:
-    """Scaler as per-config lists (configs x columns numbers, on the driver)."""
-    got: dict = {}
-    for r in scaler.collect():
-        got.setdefault(r["config_name"], {})[r["feature"]] = (r["mean"], r["std"])
-    return {c: ([m[n][0] for n in cols], [m[n][1] for n in cols]) for c, m in got.items()}
-
-
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Columns standardised by their config's scaler.
 

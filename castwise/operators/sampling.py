@@ -44,9 +44,11 @@ def center_positions(n: Column, count: Column) -> Column:
 def center_spaced(df: DataFrame, partition: Sequence[str], order: Sequence[str], count: int | str) -> DataFrame:
     """Rows at center-spaced ranks of each group; ``count`` may be a column name."""
     c = F.col(count) if isinstance(count, str) else F.lit(count)
+    if not partition:
+        return center_spaced(df.withColumn("_all", F.lit(0)), ["_all"], order, count).drop("_all")
     ranked = with_rank(df, order, partition, "_rank")
     sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, list(partition)) if partition else ranked.crossJoin(sizes)
+    joined = ranked.join(sizes, list(partition))
     keep = (c > 0) & _enough(F.col("_n"), c, "rows") & _is_center(F.col("_rank"), F.col("_n"), c)
     return joined.filter(keep).select(*df.columns)
 

@@ -72,15 +72,15 @@ def bad_arrays(df: DataFrame) -> DataFrame:
     return df.filter(_bad_array("y_true") | _bad_array("y_pred"))
 
 
-def misaligned(df: DataFrame, reference: str) -> DataFrame:
+def misaligned(df: DataFrame, reference: str, experts: Sequence[str]) -> DataFrame:
     """Samples that an expert has and the reference expert lacks, or the other way round, or with other metadata."""
     same = F.xxhash64(*[F.col(c) for c in METADATA])
+    others = [e for e in experts if e != reference]
     ref = df.filter(F.col("model_name") == reference).select("sample_key", same.alias("_ref")).distinct()
-    others = df.filter(F.col("model_name") != reference).select("sample_key", "model_name", same.alias("_own"))
-    names = df.filter(F.col("model_name") != reference).select("model_name").distinct()
-    # The expert names are few; every reference sample is expected once per other expert.
-    expected = ref.crossJoin(names)
-    j = expected.join(others, ["sample_key", "model_name"], "full_outer")
+    # every reference sample is expected once per other expert
+    expected = ref.withColumn("model_name", F.explode(F.array(*[F.lit(e) for e in others])))
+    own = df.filter(F.col("model_name") != reference).select("sample_key", "model_name", same.alias("_own"))
+    j = expected.join(own, ["sample_key", "model_name"], "full_outer")
     kind = (
         F.when(F.col("_ref").isNull(), "not_in_reference")
         .when(F.col("_own").isNull(), "missing")
@@ -183,10 +183,12 @@ def validate_outputs(labels: DataFrame, enriched: DataFrame, expected_samples: i
 
 def readiness(features: DataFrame, labels: DataFrame, samples: DataFrame, shard_count: int, shard_col: str = "shard") -> DataFrame:
     """Input readiness, one row per check with the seen and the wanted number."""
-    f = features.agg(F.countDistinct(shard_col).alias("a"), F.count(F.lit(1)).alias("b"), F.countDistinct("feature_version").alias("c"))
-    s = samples.agg(F.count(F.lit(1)).alias("n"))
-    lab = labels.agg(F.countDistinct("metric").alias("m"))
-    j = f.crossJoin(s).crossJoin(lab)  # one row each
+    one = F.lit(1).alias("_one")
+    f = features.agg(
+        F.countDistinct(shard_col).alias("a"), F.count(F.lit(1)).alias("b"), F.countDistinct("feature_version").alias("c"), one
+    )
+    s = samples.agg(F.count(F.lit(1)).alias("n"), one)
+    lab = labels.agg(F.countDistinct("metric").alias("m"), one)
     rows = F.array(
         *[
             F.struct(F.lit(name).alias("check"), seen.cast("long").alias("found"), want.cast("long").alias("expected"))
@@ -198,6 +200,8 @@ def readiness(features: DataFrame, labels: DataFrame, samples: DataFrame, shard_
             )
         ]
     )
+    # three one-row tables
+    j = f.join(s, "_one").join(lab, "_one")
     return j.select(F.inline(rows)).withColumn("ready", F.col("found") == F.col("expected"))
 
 

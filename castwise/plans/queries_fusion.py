@@ -150,7 +150,7 @@ def _(ws):
 )
 def _(ws):
     counts = ws.routed().groupBy("config_name").agg(F.count(F.lit(1)).alias("planned_rows"))
-    return with_label(counts.crossJoin(F.broadcast(fusion.strategy_grid(ws.spark))))
+    return with_label(fusion.with_strategies(counts))
 
 
 def with_label(df):
@@ -159,7 +159,7 @@ def with_label(df):
 
 
 def swept(ws):
-    return fusion.sweep(ws.routed(), ws.forecasts(), fusion.strategy_grid(ws.spark), EXPERTS, "mae")
+    return fusion.sweep(ws.routed(), ws.forecasts(), EXPERTS, "mae")
 
 
 @query(

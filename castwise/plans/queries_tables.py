@@ -291,7 +291,7 @@ def _(ws):
        WHERE kind IS NOT NULL""",
 )
 def _(ws):
-    return validate.misaligned(ws.faulty(), "last")
+    return validate.misaligned(ws.faulty(), "last", EXPERTS)
 
 
 REPORT_SQL = """
@@ -393,7 +393,7 @@ def _(ws):
          FROM faulty WHERE model_name = 'mean' AND window_index IN (1, 3))""",
 )
 def _(ws):
-    return incremental.merge_report(ws.faulty(), "last")
+    return incremental.merge_report(ws.faulty(), "last", EXPERTS)
 
 
 @query(
