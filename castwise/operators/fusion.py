@@ -78,41 +78,29 @@ def hard_route(weights: DataFrame, labels: DataFrame, experts: Sequence[str], ro
     )
 
 
-def fused_errors(y_true: Column, y_preds: Column, weights: Column, n_experts: int) -> Column:
-    """Struct (mae, mse) of the weighted forecast; the fused array itself is never built.
+def _fused_at(y_preds: Column, weights: Column, n_experts: int, i: Column) -> Column:
+    """Weighted forecast at 0-based step ``i``; the experts are unrolled into a sum of products."""
+    out = F.get(weights, F.lit(0)) * F.get(F.get(y_preds, F.lit(0)), i)
+    for k in range(1, n_experts):
+        out = out + F.get(weights, F.lit(k)) * F.get(F.get(y_preds, F.lit(k)), i)
+    return out
 
-    One pass over the horizon; the experts are unrolled into a sum of products.
-    """
-    last = F.size(y_true)
-
-    def step(acc: Column, t: Column) -> Column:
-        fused = F.element_at(weights, 1) * F.element_at(F.element_at(y_preds, 1), t)
-        for i in range(2, n_experts + 1):
-            fused = fused + F.element_at(weights, i) * F.element_at(F.element_at(y_preds, i), t)
-        return let(
-            fused - F.element_at(y_true, t),
-            lambda e: F.struct((acc["a"] + F.abs(e)).alias("a"), (acc["s"] + e * e).alias("s")),
-        )
 
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("s"))
-    return F.aggregate(
-        F.sequence(F.lit(1), last),
-        zero,
-        step,
-        lambda acc: F.struct((acc["a"] / last).alias("mae"), (acc["s"] / last).alias("mse")),
+def fused_errors(y_true: Column, y_preds: Column, weights: Column, n_experts: int) -> Column:
+    """Struct (mae, mse) of the weighted forecast, from one array of residuals."""
+    residuals = F.transform(y_true, lambda y, i: _fused_at(y_preds, weights, n_experts, i) - y)
+    return let(
+        residuals,
+        lambda r: F.struct(
+            (F.aggregate(r, F.lit(0.0), lambda acc, e: acc + F.abs(e)) / F.size(r)).alias("mae"),
+            (F.aggregate(r, F.lit(0.0), lambda acc, e: acc + e * e) / F.size(r)).alias("mse"),
+        ),
     )
 
 
 def fuse(y_preds: Column, weights: Column, n_experts: int) -> Column:
     """The weighted forecast as an array."""
-
-    def at(t: Column) -> Column:
-        out = F.element_at(weights, 1) * F.element_at(F.element_at(y_preds, 1), t)
-        for i in range(2, n_experts + 1):
-            out = out + F.element_at(weights, i) * F.element_at(F.element_at(y_preds, i), t)
-        return out
-
-    return F.transform(F.sequence(F.lit(1), F.size(F.element_at(y_preds, 1))), at)
+    return F.transform(F.get(y_preds, F.lit(0)), lambda _, i: _fused_at(y_preds, weights, n_experts, i))
 
 
 def soft_fuse(routed: DataFrame, forecasts: DataFrame, experts: Sequence[str]) -> DataFrame:

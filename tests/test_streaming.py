@@ -1,0 +1,57 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from castwise.streaming import jobs
+
+EXPERTS = ["a", "b"]
+SCHEMA = "sample_key string, model_name string, mae double, at timestamp"
+T0 = datetime(2024, 1, 1)
+
+
+def write(spark, path, rows, minute=0):
+    at = T0 + timedelta(minutes=minute)
+    spark.createDataFrame([(*r, at) for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream(spark, path):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    return jobs.read_stream(spark, path, schema, 1)
+
+
+def test_labels_come_when_complete_and_late_rows_are_told(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+
+    def run():
+        assert jobs.stream_labels(stream(spark, src), EXPERTS, "mae", dst, dst + "-c").awaitTermination(90)
+        return sorted((r.sample_key, r.status, r.oracle_model, r.oracle_value) for r in spark.read.parquet(dst).collect())
+
+    write(spark, src, [("s1", "a", 2.0), ("s2", "a", 1.0)])
+    write(spark, src, [("s1", "b", 2.0)])
+    assert run() == [("s1", "label", "a", 2.0)]
+    # restart with the same checkpoint: s2 completes, a second value for s1 is late
+    write(spark, src, [("s2", "b", 0.5), ("s1", "b", 0.1)])
+    assert run() == [("s1", "label", "a", 2.0), ("s1", "late", "a", 2.0), ("s2", "label", "b", 0.5)]
+
+
+def test_incomplete_samples_expire(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    write(spark, src, [("s1", "a", 2.0), ("s2", "a", 1.0)])
+    write(spark, src, [("s1", "b", 1.0)], 1)
+    write(spark, src, [("s3", "a", 1.0)], 600)
+    write(spark, src, [("s3", "b", 3.0)], 601)
+    rows = stream(spark, src).withWatermark("at", "1 minute")
+    q = jobs.to_table(jobs.expiring_labels(rows, EXPERTS, "mae", "at", 3_600_000), dst, dst + "-c")
+    assert q.awaitTermination(120)
+    got = sorted((r.sample_key, r.status, r.oracle_model) for r in spark.read.parquet(dst).collect())
+    assert got == [("s1", "label", "b"), ("s2", "timeout", None), ("s3", "label", "a")]
+
+
+def test_ingest_keeps_each_pair_once_over_restarts(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for rows in ([("s1", "a", 1.0), ("s1", "a", 1.0)], [("s1", "a", 1.0), ("s1", "b", 2.0)]):
+        write(spark, src, rows)
+        assert jobs.stream_ingest(spark, src, dst, dst + "-c", schema).awaitTermination(90)
+    got = spark.read.parquet(dst).groupBy("model_name").agg(F.count("*").alias("n")).collect()
+    assert {r.model_name: r.n for r in got} == {"a": 1, "b": 1}
