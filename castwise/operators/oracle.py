@@ -12,8 +12,13 @@ from castwise.schemas import METRICS, STABLE
 
 
 def error_matrix(forecasts: DataFrame, metric: str, experts: Sequence[str], keys: Sequence[str] = STABLE) -> DataFrame:
-    """One row per sample, one error column per expert (names given: no distinct job)."""
-    return forecasts.groupBy(*keys).pivot("model_name", list(experts)).agg(F.first(metric, ignorenulls=True))
+    """One row per sample, one error column per expert.
+
+    Conditional maxima pivot in a single shuffle on the sample; ``pivot`` would first
+    shuffle on (sample, expert).
+    """
+    cells = [F.max(F.when(F.col("model_name") == e, F.col(metric))).alias(e) for e in experts]
+    return forecasts.groupBy(*keys).agg(*cells)
 
 
 def oracle_labels(

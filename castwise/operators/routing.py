@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from castwise.functions.columns import argmax_name, argmin_name, pick, ratio
 from castwise.operators.joins import relative_to
 from castwise.operators.oracle import level_name
-from castwise.schemas import STABLE
+from castwise.session import written
 
 
 @dataclass(frozen=True)
@@ -119,10 +119,12 @@ def fit_suite(labels: DataFrame, experts: Sequence[str], rules: Sequence[Rule] =
 def baseline_suite(labels: DataFrame, experts: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every rule, and the oracle, on every test row (one metric's labels with regime columns).
 
-    The test rows are read once: each grouping adds its two choices by a lookup, and
-    all rules are opened from one array of (name, kind, expert) structs.
+    The rules are fitted first and written (one row per group), so that the lookups
+    below do not fit them again for every grouping.  The test rows are then read once:
+    each grouping adds its two choices by a lookup, and all rules are opened from one
+    array of (name, kind, expert) structs.
     """
-    fitted = fit_suite(labels, experts, rules)
+    fitted = written(fit_suite(labels, experts, rules), "rules")
     rows = labels.filter(F.col("split") == "test")
     groups = list(dict.fromkeys([(), *[r.group for r in rules]]))
     for i, g in enumerate(groups):
