@@ -135,8 +135,8 @@ def test_images_match_pixel_by_pixel_drawing(spark):
     ws = [rng.normal(size=24) for _ in range(4)] + [rng.normal(size=13)]
     df = frame(spark, ws)
     size = 8
-    fold = {r.sample_key: np.array(r.pixels).reshape(3, size, size) for r in transforms.imageize(df, "top3fold", size, "quito").collect()}
-    three = {r.sample_key: np.array(r.pixels).reshape(3, size, size) for r in transforms.imageize(df, "3view", size, "quito").collect()}
+    fold = {r.sample_key: np.array(r.pixels).reshape(3, size, size) for r in transforms.imageize(df, "top3fold", size, "none").collect()}
+    three = {r.sample_key: np.array(r.pixels).reshape(3, size, size) for r in transforms.imageize(df, "3view", size, "none").collect()}
     periods = {r.sample_key: r.periods for r in transforms.top_periods(df, 3).collect()}
     for i, w in enumerate(ws):
         key = str(i)
