@@ -41,16 +41,10 @@ def membership(keys: DataFrame, hashed: Column) -> Column:
     """
     word = F.pmod(F.shiftright(hashed, 6), F.lit(FILTER_WORDS)).cast("int")
     bit = F.expr("shiftleft(1L, cast(pmod(_hash, 64) as int))")
-    words = (
-        keys.select(hashed.alias("_hash"), word.alias("_word"))
-        .groupBy("_word")
-        .agg(F.bit_or(bit).alias("_bits"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_m"))
-    )
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("long"))
-    )
-    return words.select(filled.alias("_words")).scalar()
+    zeros = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = keys.select(hashed.alias("_hash"), word.alias("_word")).select("_word", bit.alias("_bits")).union(zeros)
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return words.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_all")).select("_all._bits").scalar()
 
 
 def maybe(words: Column, hashed: Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castwise.llm.common import fold, given_id, maybe, membership, rows_of, written
+from castwise.llm.common import NO_ID, fold, given_id, maybe, membership, rows_of, written
 
 PREFIX = 256
 
@@ -25,8 +25,11 @@ def _shape(text: Column) -> list[Column]:
     return [F.octet_length(text).alias("_len"), F.xxhash64(F.left(text, F.lit(PREFIX))).alias("_prefix")]
 
 
-def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _digest`` for every row; rows already known to be alone have a null digest."""
+def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """``_id, _digest`` for every row; rows already known to be alone have a null digest.
+
+    ``with_digest`` adds ``text_sha256``, the digest of every row, for callers who need it anyway.
+    """
     rows = rows_of(docs, id_col, text_col)
     shapes = written(rows.select(*_shape(F.col("_text"))).groupBy("_len", "_prefix").agg(F.count("*").alias("_n")), "shapes")
     lengths = shapes.groupBy("_len").agg(F.sum("_n").alias("_rows")).filter("_rows > 1")
@@ -34,12 +37,18 @@ def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = membership(classes, fold(8, F.col("_len"), F.col("_prefix")))
     shaped = rows.select("_id", "_text", *_shape(F.col("_text")))
     alive = maybe(kept, fold(8, F.col("_len"), F.col("_prefix")))
-    return shaped.select("_id", F.when(alive, F.sha2("_text", 256)).alias("_digest"))
+    full = F.sha2("_text", 256)
+    if with_digest:
+        marked = shaped.select("_id", alive.alias("_alive"), full.alias("text_sha256"))
+        return marked.select("_id", F.when(F.col("_alive"), F.col("text_sha256")).alias("_digest"), "text_sha256")
+    return shaped.select("_id", F.when(alive, full).alias("_digest"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, keep_id, group_size, kept``. The largest id of a group stays."""
-    rows = written(refined(docs, id_col, text_col), "digests")
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False
+) -> DataFrame:
+    """One row per input row: ``id_col, keep_id, group_size, kept`` (and ``text_sha256``). The largest id of a group stays."""
+    rows = written(refined(docs, id_col, text_col, with_digest), "digests")
     groups = (
         rows.filter("_digest is not null")
         .groupBy("_digest")
@@ -52,9 +61,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = F.coalesce("_keep", "_id")
     return joined.select(
         given_id().alias(id_col),
-        F.when(keep != F.lit(-(2**63)), keep).alias("keep_id"),
+        F.when(keep != F.lit(NO_ID), keep).alias("keep_id"),
         F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
         (keep == F.col("_id")).alias("kept"),
+        *(["text_sha256"] if with_digest else []),
     )
 
 

@@ -25,14 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from castwise.llm.common import NO_ID, SPACE, maybe, membership, written
+from castwise.llm.common import NO_ID, maybe, membership, written
 
 RARITY = 1 << 14
 HUBS = 3
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
+    """Lower-cased words. Splitting at one plain blank is far cheaper than at a pattern, so other white space becomes blanks first."""
+    plain = F.lower(text)
+    for other in "\t\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,7 +52,7 @@ def _rarity(rows: DataFrame) -> Column:
 
     The driver gets ``RARITY`` small numbers, whatever the size of the input.
     """
-    words = rows.select(F.explode(F.split(F.lower("_text"), SPACE)).alias("_w"))
+    words = rows.select(F.explode(_words(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("_w"))
     counts = words.groupBy(F.pmod(F.xxhash64("_w"), F.lit(RARITY)).alias("_b")).agg(F.count("*").alias("_c"))
     found = {r["_b"]: r["_r"] for r in counts.select("_b", (F.log2("_c") * 8).cast("int").alias("_r")).collect()}
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(RARITY))), ",").cast("array<long>")
@@ -67,7 +71,7 @@ def _codes(line: Column, rarity: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     lines = rows.select("_id", "_fp", F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
-    return lines.filter(F.col("_words").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.filter(F.length(F.btrim("_words", F.lit(" \t\x0b\x0c\r"))) > 0)
 
 
 def _parity(codes: Column) -> Column:
