@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwise.llm import exact_dedup, line_dedup, near_dedup
+from castwise.llm import exact_dedup, line_dedup, lm, near_dedup
 from castwise.llm.common import rows_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_lm_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the automaton learned from four fifths of them."""
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are similar by 80 of 100 or more."""
