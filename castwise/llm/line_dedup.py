@@ -9,10 +9,11 @@ document id, then smaller line number) has a Jaccard similarity of ``threshold``
 2. Lines with equal sets become one set, known by its earliest line.
 3. Prefix filter: two sets of enough similarity share a word among their first
    ``n - ceil(t * n) + 1``. Every set is listed under each of those words.
-4. In the list of a word, a set meets the first few sets of the list and the one before it
-   (their overlap bound by length, position and a parity bitmap). Most members of a group of
-   near copies are settled here, so no group is paired with itself.
-5. Sets that are still unsettled are joined with all earlier sets in their lists under the same filters.
+4. A semi-join of the lists with themselves keeps sets that have a plausible partner: one
+   whose length, position and parity bitmap leave room for enough shared words.
+5. In the list of a word, those sets meet the first few sets of the list and the one before them.
+   Most members of a group of near copies are settled here, so no group is paired with itself.
+   Sets that are still unsettled meet all earlier sets in their lists.
 6. Candidates are verified on their whole sets. Lines that go are taken out of the texts.
 
 Null texts stay null and have no lines; blank lines have no words, and stay. A null id sorts
@@ -43,7 +44,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id, _fp, _text``: rows of one id but different texts differ in ``_fp``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.hash(text).alias("_fp"), text.alias("_text")
     )
 
 
@@ -84,7 +85,7 @@ def _parity(codes: Column) -> Column:
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
-    """Length, position and parity filters for two listed sets (struct names ``a`` and ``b``)."""
+    """Length, position and parity filters for two listed sets (``a`` and ``b``)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
     rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
@@ -94,18 +95,17 @@ def _close(a: str, b: str, threshold: float) -> Column:
     )
 
 
-def _before(a: str, b: str) -> Column:
-    """Strictly earlier in (id, text hash, line) order."""
-    return F.struct(f"{a}.id", f"{a}.fp", f"{a}.line") < F.struct(f"{b}.id", f"{b}.fp", f"{b}.line")
+def _at(s: str) -> Column:
+    return F.struct(f"{s}.id", f"{s}.line", f"{s}.fp")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, rarity: Column, threshold: float) -> DataFrame:
-    """Of pairs (``x`` later, ``y`` earlier; structs id, fp, line) the later ones whose whole sets agree."""
-    ends = pairs.select("x").union(pairs.select("y")).distinct().select("x.*")
-    known = membership(ends, F.xxhash64("id", "fp"))
+    """Of pairs (``x`` later, ``y`` earlier; structs id, line, fp) the later ones whose whole sets agree."""
+    ends = pairs.select("x").union(pairs.select("y")).distinct()
+    known = membership(ends.select("x.*"), F.xxhash64("id", "fp"))
     texts = _lines(rows.filter(maybe(known, F.xxhash64("_id", "_fp"))))
-    named = texts.select(F.struct(F.col("_id").alias("id"), F.col("_fp").alias("fp"), F.col("_line").alias("line")).alias("x"), "_words")
-    sets = named.join(pairs.select("x").union(pairs.select("y")).distinct(), "x", "left_semi").distinct()
+    named = texts.select(F.struct(F.col("_id").alias("id"), F.col("_line").alias("line"), F.col("_fp").alias("fp")).alias("x"), "_words")
+    sets = named.join(ends, "x", "left_semi").distinct()
     sets = written(sets.select("x", _codes(F.col("_words"), rarity).alias("_set")), "linesets")
     both = pairs.join(sets, "x").withColumnRenamed("_set", "_a")
     both = both.join(sets.select(F.col("x").alias("y"), F.col("_set").alias("_b")), "y")
@@ -122,7 +122,7 @@ def repeated_lines(
     codes = _lines(rows).select("_id", "_fp", "_line", _codes(F.col("_words"), rarity).alias("_codes"))
     n = F.size("_codes")
     described = codes.select(
-        F.struct(F.col("_id").alias("id"), F.col("_fp").alias("fp"), F.col("_line").alias("line")).alias("_at"),
+        F.struct(F.col("_id").alias("id"), F.col("_line").alias("line"), F.col("_fp").alias("fp")).alias("_at"),
         F.xxhash64("_codes").alias("_k1"),
         F.hash("_codes").alias("_k2"),
         n.alias("_n"),
@@ -132,54 +132,42 @@ def repeated_lines(
     )
     lines = written(described, "lines")
     sets = written(
-        lines.groupBy("_k1", "_k2")
-        .agg(F.min("_at").alias("_at"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.first("_head").alias("_head")),
+        lines.groupBy("_k1", "_k2").agg(
+            F.min("_at").alias("_at"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.first("_head").alias("_head")
+        ),
         "sets",
     )
-    listed = sets.select(
-        F.posexplode("_head").alias("_pos", "_word"), "_at", "_n", "_bits"
-    ).select(
-        "_word",
-        F.struct("_at.id", "_at.fp", "_at.line", F.col("_n").alias("n"), F.col("_pos").alias("pos"), F.col("_bits").alias("bits")).alias("me"),
-    )
-    in_list = Window.partitionBy("_word").orderBy("me")
-    whole = in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = listed.select(
-        "_word",
-        "me",
-        F.row_number().over(in_list).alias("_rank"),
-        F.array(
-            *[F.nth_value("me", k).over(whole) for k in range(1, HUBS + 1)], F.lag("me").over(in_list)
-        ).alias("_hubs"),
-    ).filter("_rank > 1")
-    ranked = written(ranked, "lists")
-    at = lambda s: F.struct(f"{s}.id", f"{s}.fp", f"{s}.line")
-    first = (
-        ranked.select("me", F.explode("_hubs").alias("hub"))
-        .filter(F.col("hub").isNotNull())
-        .filter(_before("hub", "me") & _close("hub", "me", threshold))
-        .select(at("me").alias("x"), at("hub").alias("y"))
-        .distinct()
-    )
-    settled = written(_verified(written(first, "pairs"), rows, rarity, threshold), "settled")
-    # lists whose members have all met each other already need no second look
-    open_rows = ranked.filter(F.col("_rank") > HUBS + 1).withColumn("x", at("me")).join(settled, "x", "left_anti")
-    index = ranked.filter(F.col("_rank") > HUBS).select("_word", F.col("me").alias("it"))
+    listed = sets.select(F.posexplode("_head").alias("pos", "word"), "_at", F.col("_n").alias("n"), F.col("_bits").alias("bits"))
+    listed = listed.select("word", "_at.id", "_at.line", "_at.fp", "n", "pos", "bits")
+    # one pass over the lists leaves the sets that have a plausible partner; both sides share one shuffle
+    meet = (F.col("me.word") == F.col("it.word")) & (_at("me") != _at("it")) & _close("me", "it", threshold)
+    near = written(listed.alias("me").join(listed.alias("it"), meet, "left_semi"), "near")
+    near = near.select("word", F.struct("id", "line", "fp", "n", "pos", "bits").alias("me"))
+
+    in_list = Window.partitionBy("word").orderBy("me")
+    so_far = in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hubs = F.array(*[F.nth_value("me", k).over(so_far) for k in range(1, HUBS + 1)], F.lag("me").over(in_list))
+    first = near.select("me", hubs.alias("hubs")).select("me", F.explode("hubs").alias("hub")).filter(F.col("hub").isNotNull())
+    first = first.filter((_at("hub") < _at("me")) & _close("hub", "me", threshold))
+    first = written(first.select(_at("me").alias("x"), _at("hub").alias("y")).distinct(), "pairs")
+    settled = written(_verified(first, rows, rarity, threshold), "settled")
+
+    open_rows = near.withColumn("x", _at("me")).join(settled, "x", "left_anti")
+    index = near.select("word", F.col("me").alias("it"))
     second = (
-        open_rows.select("_word", "me")
-        .join(index, "_word")
-        .filter(_before("it", "me") & _close("it", "me", threshold))
-        .select(at("me").alias("x"), at("it").alias("y"))
+        open_rows.join(index, "word")
+        .filter((_at("it") < _at("me")) & _close("it", "me", threshold))
+        .select("x", _at("it").alias("y"))
         .distinct()
+        .join(first, ["x", "y"], "left_anti")
     )
     later = _verified(written(second, "pairs"), rows, rarity, threshold)
     matched = settled.union(later).distinct().select(F.col("x").alias("_at"), F.lit(True).alias("_matched"))
     verdict = sets.select("_k1", "_k2", "_at").join(matched, "_at", "left")
     verdict = verdict.select("_k1", "_k2", F.col("_at").alias("_first"), "_matched")
-    gone = lines.join(verdict, ["_k1", "_k2"]).filter(F.col("_matched").isNotNull() | (F.col("_at") != F.col("_first")))
-    return gone.groupBy(F.col("_at.id").alias("_id"), F.col("_at.fp").alias("_fp")).agg(
-        F.collect_set("_at.line").alias("_gone")
-    )
+    gone = lines.select("_k1", "_k2", "_at").join(verdict, ["_k1", "_k2"])
+    gone = gone.filter(F.col("_matched").isNotNull() | (F.col("_at") != F.col("_first")))
+    return gone.groupBy(F.col("_at.id").alias("_id"), F.col("_at.fp").alias("_fp")).agg(F.collect_set("_at.line").alias("_gone"))
 
 
 def drop_repeated_lines(
@@ -192,7 +180,7 @@ def drop_repeated_lines(
     """
     gone = written(repeated_lines(docs, id_col, text_col, threshold), "gone")
     rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    rows = rows.withColumn("_fp", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.withColumn("_fp", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
     parts = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n")
