@@ -56,3 +56,14 @@ def maybe(words: Column, hashed: Column) -> Column:
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (column ``_gone``); null ids match null ids.
+
+    Rows that a membership filter clears are passed on where they are read; only the rest meets ``gone`` in a join.
+    """
+    gone = written(gone.select(F.coalesce(F.col("_gone").cast("long"), F.lit(NO_ID)).alias("_gone")).distinct(), "gone")
+    mine = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    listed = maybe(membership(gone, F.xxhash64("_gone")), F.xxhash64(mine))
+    return docs.filter(~listed).unionByName(docs.filter(listed).join(gone, mine == F.col("_gone"), "left_anti"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castwise.llm.common import NO_ID, fold, given_id, maybe, membership, rows_of, written
+from castwise.llm.common import NO_ID, fold, given_id, maybe, membership, rows_of, without, written
 
 PREFIX = 256
 
@@ -71,4 +71,4 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, gone, id_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwise.llm.common import given_id, maybe, membership, rows_of, written
+from castwise.llm.common import given_id, maybe, membership, rows_of, without, written
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
@@ -256,4 +256,4 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows that stay, one for each component, with all their columns."""
     gone = near_duplicates(docs, id_col, text_col, size, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, gone, id_col)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from castwise.llm import exact_dedup, line_dedup, lm, near_dedup
-from castwise.llm.common import rows_of, table
+from castwise.llm import decontaminate, exact_dedup, html_extract, line_dedup, lm, near_dedup, toxicity
+from castwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op4_lm_scores")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the automaton learned from four fifths of them."""
@@ -36,6 +41,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the place of its best stretch."""
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op8_exact_dedup",
     """
@@ -92,3 +103,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text less the repeated lines."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated score for every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
