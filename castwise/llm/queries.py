@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castwise.llm import decontaminate, exact_dedup, html_extract, line_dedup, lm, near_dedup, toxicity
+from castwise.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, lm, mixing, near_dedup, secrets, toxicity
 from castwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document for the target weights of the label classes."""
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), labels, mixing.TARGETS)
+
+
 @query("op2_html_extraction")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+@query("op3_license_scan", licenses.scan_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole documents or whole lines of them state."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_lm_scores")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the automaton learned from four fifths of them."""
@@ -41,6 +54,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the place of its best stretch."""
