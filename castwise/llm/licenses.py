@@ -23,7 +23,7 @@ SPELLINGS = [
     (r"\bsub-?licen[cs]e", "sublicense"),
     (r"\bhttps?://", "https://"),
     (r"\bversion\b|\bver\b", "v"),
-    (r"\bv ?([0-9]+)(\.0)+\b", "v$1"),
+    (r"\bv ?([0-9]+)(\.0)*\b", "v$1"),
     (r"\borganis", "organiz"),
     (r"\bfavour", "favor"),
     (r"\bnoncommercial\b|\bnon-commercial\b", "non commercial"),
