@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
+from math import isclose
 
 import numpy as np
 import pyarrow as pa
@@ -175,31 +177,27 @@ TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
 TOP_KS = [None, 1, 2, 3]
 
 
-def _label(temperature: float, top_k: int | None) -> Strategy:
-    text = f"{temperature:g}".replace(".", "p")
-    plain = abs(temperature - 1.0) < 1e-8
-    if top_k == 1:
-        return Strategy("top1_hard", "top1_hard", 1.0, 1)
-    if top_k is None:
-        if plain:
-            return Strategy("raw_soft", "raw_soft", temperature, None)
-        return Strategy(f"soft_T{text}", "temperature_soft", temperature, None)
-    stem = f"top{top_k}_fusion"
-    if plain:
-        return Strategy(stem, stem, temperature, top_k)
-    return Strategy(f"{stem}_T{text}", f"top{top_k}_temperature_fusion", temperature, top_k)
+# Fixed values: (name, family) of a setting by whether experts are cut and whether the temperature differs from 1.
+HARD = ("top1_hard", "top1_hard")
+NAMES = {
+    (False, False): ("raw_soft", "raw_soft"),
+    (False, True): ("soft_T{t}", "temperature_soft"),
+    (True, False): ("top{k}_fusion", "top{k}_fusion"),
+    (True, True): ("top{k}_fusion_T{t}", "top{k}_temperature_fusion"),
+}
 
 
 def strategies(temperatures: Sequence[float] = TEMPERATURES, top_ks: Sequence[int | None] = TOP_KS) -> list[Strategy]:
-    """Temperatures x top-k without repeats; top-1 does not depend on the temperature and appears once."""
-    if any(t <= 0 for t in temperatures):
+    """The product of both lists over *effective* settings: choosing one expert ignores the temperature."""
+    if min(temperatures) <= 0:
         raise ValueError("temperatures must be positive")
-    found: dict[str, Strategy] = {}
-    for k in dict.fromkeys(top_ks):
-        for t in sorted(set(temperatures)):
-            s = _label(t, k)
-            found.setdefault(s.name, s)
-    return list(found.values())
+    settings = dict.fromkeys((k, 1.0 if k == 1 else float(t)) for k, t in product(top_ks, sorted(temperatures)))
+    grid = []
+    for k, t in settings:
+        patterns = HARD if k == 1 else NAMES[k is not None, not isclose(t, 1.0)]
+        name, family = (p.format(k=k, t=format(t, "g").replace(".", "p")) for p in patterns)
+        grid.append(Strategy(name, family, t, k))
+    return grid
 
 
 GRID_SCHEMA = "strategy_name string, strategy_family string, temperature double, top_k int"
