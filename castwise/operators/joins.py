@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from castwise.functions.columns import ratio
@@ -13,17 +14,19 @@ from castwise.schemas import REGIME, STABLE
 
 
 def strict_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> DataFrame:
-    """1:1 join on the stable columns; a row without a partner fails the job.
+    """1:1 join on the stable columns; a row without a partner or with two fails the job.
 
-    One full outer join carries the check along, so no extra pass is needed.
+    One full outer join carries the check along. The rows of a key are counted where the join
+    sorts them, so no extra shuffle is needed.
     """
-    left = a.withColumn("_a", F.lit(1))
-    right = b.withColumn("_b", F.lit(1))
-    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    per_key = W.partitionBy(*keys)
+    left = a.withColumn("_a", F.count(F.lit(1)).over(per_key))
+    right = b.withColumn("_b", F.count(F.lit(1)).over(per_key))
+    both = (F.col("_a") == 1) & (F.col("_b") == 1)
     first = keys[0]
     joined = left.join(right, list(keys), "full_outer")
     key = F.when(both, F.col(first)).otherwise(
-        F.raise_error(F.concat(F.lit("no partner in strict join: "), F.col(first).cast("string"))).cast(
+        F.raise_error(F.concat(F.lit("not one partner in strict join: "), F.col(first).cast("string"))).cast(
             joined.schema[first].dataType
         )
     )

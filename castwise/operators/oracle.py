@@ -15,10 +15,15 @@ def error_matrix(forecasts: DataFrame, metric: str, experts: Sequence[str], keys
     """One row per sample, one error column per expert.
 
     Conditional maxima pivot in a single shuffle on the sample; ``pivot`` would first
-    shuffle on (sample, expert).
+    shuffle on (sample, expert).  A repeated (sample, expert) fails the job; an
+    expert that is not in ``experts`` has no column, a missing one is NULL.
     """
     cells = [F.max(F.when(F.col("model_name") == e, F.col(metric))).alias(e) for e in experts]
-    return forecasts.groupBy(*keys).agg(*cells)
+    repeated = [F.count_if(F.col("model_name") == e).alias(f"_n_{k}") for k, e in enumerate(experts)]
+    most = F.greatest(*[F.col(f"_n_{k}") for k in range(len(experts))], F.lit(0))
+    first = experts[0]
+    checked = F.when(most <= 1, F.col(first)).otherwise(F.raise_error(F.lit("an expert is repeated in a sample")).cast("double"))
+    return forecasts.groupBy(*keys).agg(*cells, *repeated).select(*keys, checked.alias(first), *experts[1:])
 
 
 def oracle_labels(
@@ -28,24 +33,25 @@ def oracle_labels(
 
     Both metrics come from one shuffle on the sample: the experts' errors are
     combined map-side into one column per (metric, expert), then opened by metric.
-    A sample that lacks an expert fails the job.
+    A sample that lacks an expert, repeats one or has another than ``experts`` fails the job.
     """
     cells = [
         F.max(F.when(F.col("model_name") == e, F.col(m))).alias(f"{m}__{e}") for m in metrics for e in experts
     ]
-    wide = forecasts.filter(F.col("model_name").isin(list(experts))).groupBy(*keys).agg(*cells)
+    wide = forecasts.groupBy(*keys).agg(*cells, F.count(F.lit(1)).alias("_rows"))
     per_metric = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}__{e}").alias(e) for e in experts])
             for m in metrics
         ]
     )
-    long = wide.select(*keys, F.inline(per_metric))
-    complete = F.lit(True)
+    long = wide.select(*keys, "_rows", F.inline(per_metric))
+    # every expert has a value and there are no more rows than experts: each occurs once, and no other does
+    complete = F.col("_rows") == len(experts)
     for e in experts:
         complete = complete & F.col(e).isNotNull()
     guarded = F.when(complete, F.least(*[F.col(e) for e in experts])).otherwise(
-        F.raise_error(F.lit("a sample lacks the error of an expert")).cast("double")
+        F.raise_error(F.lit("a sample does not have each expert once")).cast("double")
     )
     return with_regrets(long.withColumn("oracle_value", guarded), experts, keys)
 

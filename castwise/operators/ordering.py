@@ -61,23 +61,9 @@ def exact_median(df: DataFrame, value: str, group_by: Sequence[str], out: str =
     return r.groupBy(*group_by).agg(((at(low) + at(high)) / 2).alias(out))
 
 
-SALTS = 64
-LIMIT_PUSHED = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def first_per_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows of each group in ``order_by`` order.
-
-    Up to the optimizer's limit Catalyst cuts each task's part of a group to ``n``
-    rows before the shuffle (WindowGroupLimit).  For larger ``n`` the same cut is
-    made here on a salted group, so a hot group is still spread out.
-    """
-    if n > LIMIT_PUSHED:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(SALTS)))
-        pre = W.partitionBy(*group_by, "_salt").orderBy(*order_by)
-        df = salted.withColumn("_rn", F.row_number().over(pre)).filter(F.col("_rn") <= n).drop("_salt", "_rn")
-    w = W.partitionBy(*group_by).orderBy(*order_by)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` rows of each group in ``order_by`` order, by exact ranks without a whole group in one task."""
+    return with_rank(df, order_by, group_by, "_rn").filter(F.col("_rn") < n).drop("_rn")
 
 
 def with_order(df: DataFrame, col: str, order: Sequence[str], out: str | None = None) -> DataFrame:

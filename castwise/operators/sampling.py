@@ -138,7 +138,7 @@ def shard_by_key_hash(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("shard", F.pmod(F.xxhash64("sample_key"), F.lit(n)).cast("int"))
 
 
-def shard_round_robin(windows: DataFrame, n: int, order: Sequence[str] = ("split", *SERIES)) -> DataFrame:
+def shard_round_robin(windows: DataFrame, n: int, order: Sequence[str] = ("config_name", "split", *SERIES)) -> DataFrame:
     """Shard = global window ordinal mod n.
 
     The ordinal is the series' start (prefix sum over series, not windows) plus the

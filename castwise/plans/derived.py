@@ -19,12 +19,11 @@ from castwise.operators.learn import LinearRouter, score_router
 from castwise.operators.oracle import oracle_labels
 from castwise.operators.windows import build_windows
 from castwise.schemas import FORECASTS_SCHEMA, REGIMES_SCHEMA
-from castwise.sources.panel import fold_channels, on_grid, read_panel, scale_series, split_steps
+from castwise.sources.panel import fold_channels, on_grid, read_panel, scale_series, share_bounds, split_steps
 
 EXPERTS = ["last", "snaive", "mean", "drift", "ses"]
 CONFIGS = {"24_6_S": (24, 6), "48_12_S": (48, 12)}
-BOUNDS = {"train": (0, 179), "vali": (180, 269), "test": (270, 359)}
-STEPS = 360
+SHARES = {"train": 2, "vali": 1, "test": 1}  # parts of each dataset's own axis
 SEASON = {"EVENTS_2H": 12, "ITEMS_1W": 4}
 SES_ALPHA = 0.3
 FLAGS = ["A", "N", "R"]
@@ -54,8 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense long panel of both datasets, before splitting and scaling.
+def raw_panels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Dense long panels of both datasets, before splitting and scaling, each on the axis of its own data.
 
     Event values are counted in cents: whole numbers keep sums exact.
     """
@@ -63,17 +62,21 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     # day and hour fields only: the same for timestamps with and without a time zone
     events_step = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) * 12 + F.floor(F.hour("ts") / 2)
     # value is summed first and turned to cents after, so cents stay whole per bucket
-    ev = read_panel(events, "EVENTS_2H", F.col("user_id"), events_step, [F.col("value"), F.lit(1.0)], STEPS)
+    ev = read_panel(events, "EVENTS_2H", F.col("user_id"), events_step, [F.col("value"), F.lit(1.0)])
     ev = ev.withColumn("value", F.when(F.col("channel_id") == 0, F.round(F.col("value") * 100)).otherwise(F.col("value")))
     items = table(spark, sf_dir, "lineitem")
     week = F.floor(F.datediff(F.col("l_shipdate"), F.lit("1995-01-02").cast("date")) / 7)
     amounts = [F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(F.lit(0.0)) for f in FLAGS]
-    li = read_panel(items, "ITEMS_1W", F.col("l_suppkey") + F.lit(1000000), week, amounts, STEPS)
-    return ev.unionByName(li).withColumnRenamed("value", "raw")
+    li = read_panel(items, "ITEMS_1W", F.col("l_suppkey") + F.lit(1000000), week, amounts)
+    return [p.withColumnRenamed("value", "raw") for p in (ev, li)]
 
 
 def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = scale_series(split_steps(raw_panel(spark, sf_dir), BOUNDS))
+    parts = []
+    for raw in raw_panels(spark, sf_dir):
+        last = raw.agg(F.max("step")).first()[0]
+        parts.append(split_steps(raw, share_bounds(0 if last is None else last + 1, SHARES)))
+    panel = scale_series(parts[0].unionByName(parts[1]))
     return panel.select("dataset_name", "item_id", "channel_id", "step", "raw", "value", "split", "pos")
 
 

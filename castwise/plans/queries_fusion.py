@@ -441,10 +441,10 @@ def _(ws):
 # --- streams ----------------------------------------------------------------------
 
 
-def _landing(ws, name: str, df, files: int = 4) -> str:
-    """A folder of arriving files holding ``df`` (written once per run)."""
+def _landing(ws, name: str, df) -> str:
+    """A folder of arriving files holding ``df`` (written once per run), as many as it has partitions."""
     path = f"{ws.root}/arriving-{name}-{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
@@ -485,7 +485,7 @@ def _(ws):
 )
 def _(ws):
     f = ws.forecasts().select("sample_key", "model_name", "mae")
-    src, dst = _landing(ws, "errors", f, 2), _place(ws, "labels")
+    src, dst = _landing(ws, "errors", f), _place(ws, "labels")
     stream = jobs.read_stream(ws.spark, src, f.schema, 1)
     jobs.stream_labels(stream, EXPERTS, "mae", dst, dst + "-ckpt").awaitTermination()
     return ws.spark.read.parquet(dst).drop("batch")
@@ -530,9 +530,9 @@ def _(ws):
 )
 def _(ws):
     f = ws.forecasts().select("sample_key", "model_name", "mae")
-    src = _landing(ws, "ontime", f, 1)
+    src = _landing(ws, "ontime", f)
     # the same forecasts of one expert arrive once more in a later file
-    f.filter(F.col("model_name") == EXPERTS[0]).coalesce(1).write.mode("append").parquet(src)
+    f.filter(F.col("model_name") == EXPERTS[0]).write.mode("append").parquet(src)
     dst = _place(ws, "late")
     stream = jobs.read_stream(ws.spark, src, f.schema, 1)
     jobs.stream_labels(stream, EXPERTS, "mae", dst, dst + "-ckpt").awaitTermination()

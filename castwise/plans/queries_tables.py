@@ -207,10 +207,12 @@ def _(ws):
 @query(
     "b9_linear_index",
     """SELECT sample_key, CAST(channel_id * l + window_index AS BIGINT) AS linear_index, channel_id, window_index FROM
-       (SELECT *, 90 - history_length - pred_length + 1 AS l FROM windows)""",
+       (SELECT *, max(window_index) OVER (PARTITION BY config_name, split, dataset_name) + 1 AS l FROM windows)""",
 )
 def _(ws):
-    s = ws.samples().withColumn("l", F.lit(90) - F.col("history_length") - F.col("pred_length") + 1)
+    place = ["config_name", "split", "dataset_name"]
+    lengths = ws.samples().groupBy(*place).agg((F.max("window_index") + 1).alias("l"))
+    s = ws.samples().join(lengths, place)
     joined = keys.join_index(s.select("sample_key", "channel_id", "window_index", "l"), "l").drop("channel_id", "window_index")
     return keys.split_index(joined, "l").drop("l")
 
@@ -423,14 +425,19 @@ def _(ws):
 
 @query("m3_pending", "SELECT sample_key FROM windows WHERE dataset_name = 'EVENTS_2H'")
 def _(ws):
-    return incremental.pending(ws.samples(), ws.features().filter(DONE_SQL)).select("sample_key")
+    done = incremental.checked_state(ws.features().filter(DONE_SQL), ws.samples(), ["mean", "std"])
+    return incremental.pending(ws.samples(), done).select("sample_key")
 
 
 @query("m4_append_new", "SELECT sample_key, mean FROM feat4", ["mean"])
 def _(ws):
     f = ws.features().select("sample_key", "mean", "channel_id", "dataset_name")
     existing = f.filter(DONE_SQL).select("sample_key", "mean")
-    return incremental.append_new(existing, f.select("sample_key", (F.col("mean") + 0.0).alias("mean")), ws.samples())
+    # known keys come again with other values, which must not win; new keys come twice
+    known = F.expr(DONE_SQL)
+    batch = f.select("sample_key", (F.col("mean") + F.when(known, 1.0).otherwise(0.0)).alias("mean"))
+    batch = batch.unionByName(f.filter(~known).select("sample_key", "mean"))
+    return incremental.append_new(existing, batch, ws.samples())
 
 
 # --- sort and limit ------------------------------------------------------------------

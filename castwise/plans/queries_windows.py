@@ -209,8 +209,10 @@ def samples_sql(items: str, strategy: str) -> str:
              '{strategy}' AS selection_strategy, r.* EXCLUDE (item_id)
       FROM windows w JOIN {items} i ON i.split = w.split AND i.dataset_name = w.dataset_name AND i.item_id = w.item_id
       JOIN regimes r ON r.item_id = w.item_id
+      JOIN (SELECT split, dataset_name, max(window_index) + 1 AS n FROM windows WHERE config_name = '24_6_S' GROUP BY ALL) c
+        ON c.split = w.split AND c.dataset_name = w.dataset_name
       WHERE config_name = '24_6_S' AND channel_id < 2
-        AND list_contains(list_transform(range(0, 5), lambda k: (2 * k + 1) * 61 // 10), window_index)"""
+        AND list_contains(list_transform(range(0, 5), lambda k: (2 * k + 1) * c.n // 10), window_index)"""
 
 
 @query("c14_build_samples_balanced", samples_sql("balanced", "tsf_balanced"), extra=ITEMS_TABLE)

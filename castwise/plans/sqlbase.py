@@ -63,33 +63,37 @@ TABLES: dict[str, str] = {
     "ev_hits": """
         SELECT user_id AS item_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 7200) AS INTEGER) AS step, value
         FROM events""",
+    "ev_axis": "SELECT min(step) AS lo, max(step) AS hi FROM ev_hits",
     "ev_agg": """
-        SELECT item_id, step, round(sum(value) * 100) AS c0, CAST(count(*) AS DOUBLE) AS c1
-        FROM ev_hits WHERE step BETWEEN 0 AND 359 GROUP BY ALL""",
+        SELECT item_id, step - lo AS step, round(sum(value) * 100) AS c0, CAST(count(*) AS DOUBLE) AS c1
+        FROM ev_hits CROSS JOIN ev_axis GROUP BY item_id, step - lo""",
     "li_hits": """
         SELECT l_suppkey + 1000000 AS item_id,
                CAST(floor(date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) / 7.0) AS INTEGER) AS step,
                l_returnflag, l_quantity FROM lineitem""",
+    "li_axis": "SELECT min(step) AS lo, max(step) AS hi FROM li_hits",
     "li_agg": """
-        SELECT item_id, step, """
+        SELECT item_id, step - lo AS step, """
     + ", ".join(f"sum(CASE WHEN l_returnflag = '{f}' THEN l_quantity ELSE 0 END) AS c{i}" for i, f in enumerate("ANR"))
-    + """ FROM li_hits WHERE step BETWEEN 0 AND 359 GROUP BY ALL""",
+    + """ FROM li_hits CROSS JOIN li_axis GROUP BY item_id, step - lo""",
     "raw_panel": """
         SELECT 'EVENTS_2H' AS dataset_name, i.item_id, c.channel_id, s.step,
                coalesce(CASE WHEN c.channel_id = 0 THEN a.c0 ELSE a.c1 END, 0.0) AS raw
         FROM (SELECT DISTINCT item_id FROM ev_agg) i CROSS JOIN (SELECT unnest([0, 1]) AS channel_id) c
-        CROSS JOIN (SELECT unnest(range(0, 360)) AS step) s
+        CROSS JOIN (SELECT unnest(range(0, hi - lo + 1)) AS step FROM ev_axis) s
         LEFT JOIN ev_agg a ON a.item_id = i.item_id AND a.step = s.step
         UNION ALL
         SELECT 'ITEMS_1W', i.item_id, c.channel_id, s.step,
                coalesce(CASE c.channel_id WHEN 0 THEN a.c0 WHEN 1 THEN a.c1 ELSE a.c2 END, 0.0)
         FROM (SELECT DISTINCT item_id FROM li_agg) i CROSS JOIN (SELECT unnest([0, 1, 2]) AS channel_id) c
-        CROSS JOIN (SELECT unnest(range(0, 360)) AS step) s
+        CROSS JOIN (SELECT unnest(range(0, hi - lo + 1)) AS step FROM li_axis) s
         LEFT JOIN li_agg a ON a.item_id = i.item_id AND a.step = s.step""",
     "split_panel": """
-        SELECT *, CASE WHEN step < 180 THEN 'train' WHEN step < 270 THEN 'vali' ELSE 'test' END AS split,
-               CASE WHEN step < 180 THEN step WHEN step < 270 THEN step - 180 ELSE step - 270 END AS pos
-        FROM raw_panel""",
+        SELECT * EXCLUDE (a, b), CASE WHEN step < a THEN 'train' WHEN step < b THEN 'vali' ELSE 'test' END AS split,
+               CAST(CASE WHEN step < a THEN step WHEN step < b THEN step - a ELSE step - b END AS INTEGER) AS pos
+        FROM raw_panel JOIN (
+          SELECT 'EVENTS_2H' AS dataset_name, (hi - lo + 1) * 2 // 4 AS a, (hi - lo + 1) * 2 // 4 + (hi - lo + 1) // 4 AS b FROM ev_axis UNION ALL
+          SELECT 'ITEMS_1W', (hi - lo + 1) * 2 // 4, (hi - lo + 1) * 2 // 4 + (hi - lo + 1) // 4 FROM li_axis) USING (dataset_name)""",
     "moments": """
         SELECT dataset_name, item_id, channel_id, CAST(count(*) AS DOUBLE) AS n, sum(raw) AS s, sum(raw * raw) AS ss
         FROM split_panel WHERE split = 'train' GROUP BY ALL""",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +35,39 @@ def local_session(name: str, cores: int | str = 8, shuffle_partitions: int = 8)
 
 
 _fallback: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to the Python workers once per application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="castwise-")  # on the driver alone; Spark hands the file out
+    path = os.path.join(folder, f"{package.name}-{app}.zip")
+    with zipfile.ZipFile(path, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the session names one.
 
-    Only where it is unset (local runs) a fresh local folder is made and remembered.
+    Only where it is unset and the master is local, a fresh local folder is made and remembered;
+    on several machines each would write to its own disk, so there the setting is required.
     """
+    ship_package(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _fallback[app]

@@ -16,11 +16,13 @@ def read_panel(
     item: Column,
     step: Column,
     channels: Sequence[Column],
-    steps: int,
+    axis: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Bucket events to a dense grid: one row per (item, channel, step), gaps are 0.
 
     ``channels`` are per-event amounts; a channel's value is their sum in the bucket.
+    ``axis``: first and last step; by default those of the events, so that none is left out.
+    Steps of the result count from 0 at the first step of the axis. Events without a step are dropped.
 
     The grid is *added* to the events as zero rows instead of being joined, so a
     single map-side-combined aggregation does bucketing and gap filling, and a
@@ -31,11 +33,13 @@ def read_panel(
         item.cast("long").alias("item_id"),
         step.cast("int").alias("step"),
         *[c.cast("double").alias(n) for c, n in zip(channels, names)],
-    ).filter(F.col("step").between(0, steps - 1))
+    ).filter(F.col("step").isNotNull())
+    low, high = axis or step_range(hits)
+    hits = hits.filter(F.col("step").between(low, high)).withColumn("step", F.col("step") - F.lit(low))
     grid = (
         hits.select("item_id")
         .distinct()
-        .select("item_id", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), *[F.lit(0.0).alias(n) for n in names])
+        .select("item_id", F.explode(F.sequence(F.lit(0), F.lit(high - low))).alias("step"), *[F.lit(0.0).alias(n) for n in names])
     )
     wide = hits.unionByName(grid).groupBy("item_id", "step").agg(*[F.sum(n).alias(n) for n in names])
     return wide_to_long(wide, ["item_id", "step"], names).select(
@@ -43,6 +47,22 @@ def read_panel(
     )
 
 
+def step_range(hits: DataFrame) -> tuple[int, int]:
+    """First and last step of the events (two numbers); step 0 alone where there are none."""
+    found = hits.agg(F.min("step"), F.max("step")).first()
+    return (0, 0) if found[0] is None else (found[0], found[1])
+
+
+def share_bounds(length: int, shares: Mapping[str, int]) -> dict[str, tuple[int, int]]:
+    """Split an axis of ``length`` steps into consecutive splits of the given parts; the last takes what is left over."""
+    bounds, start, total = {}, 0, sum(shares.values())
+    for k, (name, part) in enumerate(shares.items()):
+        end = length if k == len(shares) - 1 else start + length * part // total
+        bounds[name] = (start, end - 1)
+        start = end
+    return bounds
+
+
 def wide_to_long(df: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Unpivot wide channel columns; ``channel_id`` is the position in ``channels``."""
     position = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("channel"))

@@ -1,0 +1,101 @@
+"""Bad data stops the job instead of giving wrong numbers; axes come from the data."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from castwise.operators import fusion, incremental, joins, oracle, ordering, sampling
+from castwise.sources.panel import read_panel, share_bounds
+
+FORECASTS = "sample_key string, model_name string, mae double, mse double"
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, FORECASTS)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("s", "a", 1.0, 1.0), ("s", "a", 7.0, 7.0), ("s", "b", 3.0, 3.0)],
+        [("s", "a", 1.0, 1.0), ("s", "b", 3.0, 3.0), ("s", "other", 0.5, 0.5)],
+        [("s", "a", 1.0, 1.0)],
+    ],
+)
+def test_labels_want_each_expert_once(spark, rows):
+    with pytest.raises(Exception, match="each expert once"):
+        oracle.oracle_labels(table(spark, rows), ["a", "b"], keys=["sample_key"]).collect()
+
+
+def test_matrix_refuses_repeats(spark):
+    rows = [("s", "a", 1.0, 1.0), ("s", "a", 7.0, 7.0), ("s", "b", 3.0, 3.0)]
+    with pytest.raises(Exception, match="repeated"):
+        oracle.error_matrix(table(spark, rows), "mae", ["a", "b"], ["sample_key"]).collect()
+
+
+def test_strict_join_refuses_fan_out(spark):
+    left = spark.createDataFrame([("k", 1), ("k", 2)], "sample_key string, u int")
+    right = spark.createDataFrame([("k", 5)], "sample_key string, v int")
+    for a, b in ((left, right), (right, left)):
+        with pytest.raises(Exception, match="not one partner"):
+            joins.strict_join(a, b, ["sample_key"]).collect()
+
+
+def test_shards_that_disagree_do_not_merge(spark):
+    samples = spark.createDataFrame([("s",)], "sample_key string")
+    one, same, other = (table(spark, [("s", "a", v, v)]) for v in (1.0, 1.0, 5.0))
+    assert incremental.merge_shards([one, same], samples).count() == 1
+    with pytest.raises(Exception, match="differ"):
+        incremental.merge_shards([one, other], samples).collect()
+
+
+def test_append_takes_a_key_once_and_keeps_old_values(spark):
+    kind = "sample_key string, mean double"
+    samples = spark.createDataFrame([("a",), ("b",)], "sample_key string")
+    old = spark.createDataFrame([("a", 1.0)], kind)
+    batch = spark.createDataFrame([("a", 9.0), ("b", 2.0), ("b", 2.0)], kind)
+    assert sorted(map(tuple, incremental.append_new(old, batch, samples).collect())) == [("a", 1.0), ("b", 2.0)]
+    clash = spark.createDataFrame([("b", 2.0), ("b", 3.0)], kind)
+    with pytest.raises(Exception, match="differ"):
+        incremental.append_new(old, clash, samples).collect()
+
+
+@pytest.mark.parametrize(
+    "rows, said",
+    [([("a", 1.0), ("a", 1.0)], "repeated"), ([("z", 1.0)], "not in the samples"), ([("a", float("nan"))], "not finite"), ([("a", None)], "not finite")],
+)
+def test_resume_refuses_bad_state(spark, rows, said):
+    samples = spark.createDataFrame([("a",), ("b",)], "sample_key string")
+    done = spark.createDataFrame(rows, "sample_key string, mean double")
+    with pytest.raises(Exception, match=said):
+        incremental.checked_state(done, samples, ["mean"]).collect()
+    good = spark.createDataFrame([("b", 0.5)], "sample_key string, mean double")
+    assert incremental.checked_state(good, samples, ["mean"]).collect() == good.collect()
+
+
+def test_axis_holds_every_event(spark):
+    events = spark.createDataFrame([(1, -40, 2.0), (1, 500, 3.0), (2, 7, 4.0), (2, None, 9.0)], "i long, s int, v double")
+    panel = read_panel(events, "d", F.col("i"), F.col("s"), [F.col("v")])
+    assert panel.agg(F.sum("value")).first()[0] == 9.0
+    assert panel.agg(F.min("step"), F.max("step"), F.count("*")).first()[:] == (0, 540, 2 * 541)
+    assert share_bounds(7, {"train": 2, "vali": 1, "test": 1}) == {"train": (0, 2), "vali": (3, 3), "test": (4, 6)}
+
+
+def test_round_robin_default_order_knows_configs(spark):
+    rows = [(c, "vali", "d", 1, 0, w) for c in ("c1", "c2") for w in range(4)]
+    df = spark.createDataFrame(rows, "config_name string, split string, dataset_name string, item_id long, channel_id int, window_index int")
+    shards = [r["shard"] for r in sampling.shard_round_robin(df, 8).collect()]
+    assert sorted(shards) == list(range(8))
+
+
+def test_first_per_group_has_one_plan(spark):
+    df = spark.range(5000).withColumn("g", F.col("id") % 2)
+    for n in (1, 3, 1500):
+        got = ordering.first_per_group(df, ["g"], ["id"], n).groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("m")).collect()
+        assert {(r.g, r.n, r.m) for r in got} == {(0, n, 2 * n - 2), (1, n, 2 * n - 1)}
+
+
+def test_strategy_names():
+    names = [s.name for s in fusion.strategies([0.5, 1.0], [None, 1, 2])]
+    assert names == ["soft_T0p5", "raw_soft", "top1_hard", "top2_fusion_T0p5", "top2_fusion"]
+    with pytest.raises(ValueError):
+        fusion.strategies([0.0])

@@ -41,7 +41,7 @@ def test_windows_over_a_gap_are_left_out(spark):
 
 def test_read_panel_fills_gaps_and_scales(spark):
     ev = spark.createDataFrame([(1, 0, 2.0), (1, 0, 3.0), (1, 3, 7.0), (2, 1, 1.0)], "i long, s int, v double")
-    p = read_panel(ev, "d", F.col("i"), F.col("s"), [F.col("v"), F.lit(1.0)], 4)
+    p = read_panel(ev, "d", F.col("i"), F.col("s"), [F.col("v"), F.lit(1.0)], (0, 3))
     rows = {(r.item_id, r.channel_id, r.step): r.value for r in p.collect()}
     assert len(rows) == 2 * 2 * 4
     assert rows[(1, 0, 0)] == 5.0 and rows[(1, 1, 0)] == 2.0 and rows[(1, 0, 1)] == 0.0
