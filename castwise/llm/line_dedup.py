@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from castwise.llm.common import NO_ID, maybe, membership, written
 
-RARITY = 1 << 14
+RARITY = 1 << 18
 HUBS = 3
 
 
@@ -49,14 +49,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rarity(rows: DataFrame) -> Column:
-    """A literal array: for each of ``RARITY`` hash buckets, 8 times the base-2 logarithm of its count.
+    """A literal of ``RARITY`` bytes: for each hash bucket, 3 times the base-2 logarithm of its count.
 
     The driver gets ``RARITY`` small numbers, whatever the size of the input.
     """
     words = rows.select(F.explode(_words(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("_w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("_w"), F.lit(RARITY)).alias("_b")).agg(F.count("*").alias("_c"))
-    found = {r["_b"]: r["_r"] for r in counts.select("_b", (F.log2("_c") * 8).cast("int").alias("_r")).collect()}
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(RARITY))), ",").cast("array<long>")
+    counts = words.groupBy(F.xxhash64("_w").bitwiseAND(F.lit(RARITY - 1)).alias("_b")).agg(F.count("*").alias("_c"))
+    levels = bytearray(RARITY)
+    found = counts.select("_b", (F.log2("_c") * 3).cast("int").alias("_r")).toArrow()
+    for bucket, level in zip(found.column("_b").to_pylist(), found.column("_r").to_pylist()):
+        levels[bucket] = min(level, 127)
+    return F.lit(bytes(levels))
 
 
 def _codes(line: Column, rarity: Column) -> Column:
@@ -64,8 +67,8 @@ def _codes(line: Column, rarity: Column) -> Column:
 
     def code(word: Column) -> Column:
         h = F.xxhash64(word)
-        low = h.bitwiseAND(F.lit((1 << 54) - 1))
-        return F.get(rarity, F.pmod(h, F.lit(RARITY)).cast("int")) * F.lit(1 << 54) + low
+        level = F.ascii(F.substr(rarity, h.bitwiseAND(F.lit(RARITY - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return level.cast("long") * F.lit(1 << 54) + h.bitwiseAND(F.lit((1 << 54) - 1))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
@@ -80,18 +83,20 @@ def _parity(codes: Column) -> Column:
     return F.aggregate(
         codes,
         F.lit(0).cast("long"),
-        lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))),
+        lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))),
     )
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
     """Length, position and parity filters for two listed sets (``a`` and ``b``)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
-    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9).cast("int")
     apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    # the cheapest filter that fails most often comes first
     return (
-        (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (rest >= need) & (apart <= n + m - F.lit(2) * need)
+        (apart <= n + m - F.lit(2) * need)
+        & (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9)
+        & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= need)
     )
 
 
@@ -134,15 +139,16 @@ def repeated_lines(
     sets = written(
         lines.groupBy("_k1", "_k2").agg(
             F.min("_at").alias("_at"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.first("_head").alias("_head")
-        ),
+        ).withColumn("_set", F.monotonically_increasing_id()),  # written, so the numbers stay
         "sets",
     )
-    listed = sets.select(F.posexplode("_head").alias("pos", "word"), "_at", F.col("_n").alias("n"), F.col("_bits").alias("bits"))
-    listed = listed.select("word", "_at.id", "_at.line", "_at.fp", "n", "pos", "bits")
+    listed = sets.select("_set", F.posexplode("_head").alias("pos", "word"), F.col("_n").alias("n"), F.col("_bits").alias("bits"))
+    listed = listed.select("word", "_set", "n", "pos", "bits")
     # one pass over the lists leaves the sets that have a plausible partner; both sides share one shuffle
-    meet = (F.col("me.word") == F.col("it.word")) & (_at("me") != _at("it")) & _close("me", "it", threshold)
+    meet = (F.col("me.word") == F.col("it.word")) & (F.col("me._set") != F.col("it._set")) & _close("me", "it", threshold)
     near = written(listed.alias("me").join(listed.alias("it"), meet, "left_semi"), "near")
-    near = near.select("word", F.struct("id", "line", "fp", "n", "pos", "bits").alias("me"))
+    near = near.join(sets.select("_set", "_at.*"), "_set").select("word", F.struct("id", "line", "fp", "n", "pos", "bits").alias("me"))
+    near = written(near, "lists")
 
     in_list = Window.partitionBy("word").orderBy("me")
     so_far = in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
