@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from castwise.functions.columns import ratio, softmax
 from castwise.schemas import STABLE
+from castwise.session import lookup_table
 
 
 # --- scaler and class weights ---------------------------------------------------
@@ -45,7 +46,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataF
     depend on the rows.
     """
     wide = scaler.groupBy("config_name").pivot("feature", list(cols)).agg(F.first(F.struct("mean", "std"), ignorenulls=True))
-    renamed = wide.select("config_name", *[F.col(c).alias(f"_s_{c}") for c in cols])
+    renamed = lookup_table(wide, "scaler").select("config_name", *[F.col(c).alias(f"_s_{c}") for c in cols])
     j = df.join(renamed, "config_name")
     scaled = {c: (F.col(c) - F.col(f"_s_{c}.mean")) / F.col(f"_s_{c}.std") for c in cols}
     return j.withColumns(scaled).drop(*[f"_s_{c}" for c in cols])
@@ -132,7 +133,7 @@ def fit_logistic_router(
     data = scaled.join(lab, "sample_key").withColumn("label", index.cast("double"))
     train = (
         data.filter(F.col("split") == "vali")
-        .join(F.broadcast(weights.select("config_name", "oracle_model", "class_weight")), ["config_name", "oracle_model"])
+        .join(lookup_table(weights.select("config_name", "oracle_model", "class_weight"), "weights"), ["config_name", "oracle_model"])
         .select(vec, "label", "class_weight")
     )
     lr = LogisticRegression(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from castwise.functions.columns import argmax_name, argmin_name, pick, ratio
 from castwise.operators.joins import relative_to
 from castwise.operators.oracle import level_name
-from castwise.session import written
+from castwise.session import lookup_table, written
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,9 @@ def fit_rule(labels: DataFrame, group: Sequence[str], kind: str, experts: Sequen
 
 
 def _lookup(df: DataFrame, rule: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Null-safe left join of rule columns; Spark picks broadcast by the size of the rule table."""
+    """Null-safe left join of rule columns; the rule table is written once and broadcast if it is small."""
     keys = ["config_name", *group]
-    right = rule.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *cols)
+    right = lookup_table(rule, "rule").select(*[F.col(k).alias(f"_r_{k}") for k in keys], *cols)
     match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
     return df.join(right, match, "left").drop(*[f"_r_{k}" for k in keys])
 

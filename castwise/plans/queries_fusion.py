@@ -13,6 +13,7 @@ from castwise.plans.queries_routing import HARD, METHOD_DOUBLES, METHODS, NAMES,
 from castwise.plans.registry import query
 from castwise.plans.sqlbase import STABLE_SQL
 from castwise.schemas import FEATURES, STABLE
+from castwise.session import lookup_table
 from castwise.streaming import jobs
 
 M = len(EXPERTS)
@@ -395,7 +396,7 @@ def embedding_rows(ws):
 def _(ws):
     rows = embedding_rows(ws)
     cw = learn.class_weights(rows, EXPERTS).select("oracle_model", "class_weight")
-    vali = rows.filter("split = 'vali'").join(F.broadcast(cw), "oracle_model")  # one row per expert
+    vali = rows.filter("split = 'vali'").join(lookup_table(cw), "oracle_model")
     net = learn.fit_class_router(vali, EXPERTS, 64, hidden=16, epochs=15, lr=0.02)
     scored = learn.score_net(net, rows.filter("split = 'test'"), ["sample_key", "label"])
     hit = (F.array_position("weights", F.array_max("weights")) - 1) == F.col("label")

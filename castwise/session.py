@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -83,3 +84,16 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 10_000
+
+
+def lookup_table(df: DataFrame, name: str = "lookup") -> DataFrame:
+    """``df`` written once and, if it has at most ``SMALL_ROWS`` rows, marked for broadcast.
+
+    Fact rows then meet it where they are, without a shuffle on a key of few values. A larger
+    table is left to Spark's choice by size, with skewed partitions split at run time.
+    """
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else kept

@@ -1,7 +1,11 @@
 """Every registered query at the smallest scale, against DuckDB where it has a SQL twin."""
 
+import os
 import pathlib
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -32,6 +36,17 @@ def test_query(spark, duck, name):
         assert cq.compare(got, duck.execute(ORACLES[name]).df()) == ""
 
 
+def test_the_rest_stands_without_the_text_operators(tmp_path):
+    """A copy without the optional part still imports and registers its own queries."""
+    for part in ("castwise", "__spark_entry__.py"):
+        source = ROOT / part
+        copy = shutil.copytree if source.is_dir() else shutil.copy
+        copy(source, tmp_path / part)
+    shutil.rmtree(tmp_path / "castwise" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and not any(k.startswith('op') for k in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_entry(spark):
     assert reg.entry(spark).count() > 0
 
