@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from castwise.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, lm, mixing, near_dedup, secrets, toxicity
 from castwise.llm.common import table
+from castwise.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
