@@ -20,7 +20,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave the texts. A document that loses all its words goes; one that had none stays."""
     out = line_dedup.drop_repeated_lines(docs)
-    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\\x20\\x09-\\x0D]"))
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(docs.columns)
 
