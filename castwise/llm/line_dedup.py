@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from castwise.llm.common import NO_ID, maybe, membership, written
 
-RARITY = 1 << 18
+RARITY = 1 << 17
 HUBS = 3
 
 
@@ -49,17 +49,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rarity(rows: DataFrame) -> Column:
-    """A literal of ``RARITY`` bytes: for each hash bucket, 3 times the base-2 logarithm of its count.
+    """A literal array: for each of ``RARITY`` hash buckets, 3 times the base-2 logarithm of its count.
 
     The driver gets ``RARITY`` small numbers, whatever the size of the input.
     """
     words = rows.select(F.explode(_words(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("_w"))
     counts = words.groupBy(F.xxhash64("_w").bitwiseAND(F.lit(RARITY - 1)).alias("_b")).agg(F.count("*").alias("_c"))
-    levels = bytearray(RARITY)
+    levels = [0] * RARITY
     found = counts.select("_b", (F.log2("_c") * 3).cast("int").alias("_r")).toArrow()
     for bucket, level in zip(found.column("_b").to_pylist(), found.column("_r").to_pylist()):
-        levels[bucket] = min(level, 127)
-    return F.lit(bytes(levels))
+        levels[bucket] = level
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
 def _codes(line: Column, rarity: Column) -> Column:
@@ -67,7 +67,7 @@ def _codes(line: Column, rarity: Column) -> Column:
 
     def code(word: Column) -> Column:
         h = F.xxhash64(word)
-        level = F.ascii(F.substr(rarity, h.bitwiseAND(F.lit(RARITY - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.get(rarity, h.bitwiseAND(F.lit(RARITY - 1)).cast("int"))
         return level.cast("long") * F.lit(1 << 54) + h.bitwiseAND(F.lit((1 << 54) - 1))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
@@ -110,6 +110,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, rarity: Column, threshold: floa
     known = membership(ends.select("x.*"), F.xxhash64("id", "fp"))
     texts = _lines(rows.filter(maybe(known, F.xxhash64("_id", "_fp"))))
     named = texts.select(F.struct(F.col("_id").alias("id"), F.col("_line").alias("line"), F.col("_fp").alias("fp")).alias("x"), "_words")
+    lines = membership(ends.select("x.*"), F.xxhash64("id", "line", "fp"))
+    named = named.filter(maybe(lines, F.xxhash64("x.id", "x.line", "x.fp")))
     sets = named.join(ends, "x", "left_semi").distinct()
     sets = written(sets.select("x", _codes(F.col("_words"), rarity).alias("_set")), "linesets")
     both = pairs.join(sets, "x").withColumnRenamed("_set", "_a")
@@ -190,7 +192,11 @@ def drop_repeated_lines(
     parts = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n")
-    out = rows.join(gone, ["_id", "_fp"], "left").withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts))
+    # texts that surely lose nothing are passed on where they are read
+    loses = maybe(membership(gone, F.xxhash64("_id", "_fp")), F.xxhash64("_id", "_fp"))
+    whole = rows.filter(~loses).withColumn("_gone", F.lit(None).cast("array<int>"))
+    out = whole.unionByName(rows.filter(loses).join(gone, ["_id", "_fp"], "left").select(*rows.columns, "_gone"))
+    out = out.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts))
     return out.select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))), F.lit(0)).alias("n_lines"),
