@@ -116,14 +116,10 @@ def soft_fuse(routed: DataFrame, forecasts: DataFrame, experts: Sequence[str]) -
     stored expert errors ride along as ``<expert>_mae_from_manifest`` / ``_mse_``.
     """
     wanted = forecasts.join(routed.select("sample_key"), "sample_key", "left_semi")
-    stored = wanted.groupBy("sample_key").agg(
-        *[
-            F.max(F.when(F.col("model_name") == e, F.col(m))).alias(f"{e}_{m}_from_manifest")
-            for e in experts
-            for m in ("mae", "mse")
-        ]
-    )
-    arrays = stack_experts(wanted, experts).join(stored, "sample_key")
+    arrays = stack_experts(wanted, experts, ["mae", "mse"])
+    stored = [
+        F.get(f"{m}_by_expert", F.lit(k)).alias(f"{e}_{m}_from_manifest") for k, e in enumerate(experts) for m in ("mae", "mse")
+    ]
     j = strict_join(routed, arrays, ["sample_key"])
     one_hot = F.array(*[F.when(F.col("selected_model") == e, 1.0).otherwise(0.0) for e in experts])
     y, p, m = F.col("y_true"), F.col("y_preds"), len(experts)
@@ -132,7 +128,7 @@ def soft_fuse(routed: DataFrame, forecasts: DataFrame, experts: Sequence[str]) -
     )
     return out.select(
         *routed.columns,
-        *[c for c in stored.columns if c != "sample_key"],
+        *stored,
         F.col("_soft.mae").alias("soft_fusion_mae"),
         F.col("_soft.mse").alias("soft_fusion_mse"),
         F.col("_hard.mae").alias("hard_top1_mae_from_array"),

@@ -110,8 +110,8 @@ def sample_join(labels: DataFrame, enriched: DataFrame, n: int) -> DataFrame:
     return left.join(right.select("sample_key", *extra), "sample_key")
 
 
-def stack_experts(forecasts: DataFrame, experts: Sequence[str]) -> DataFrame:
-    """One row per sample: ``y_true`` and ``y_preds`` in expert order.
+def stack_experts(forecasts: DataFrame, experts: Sequence[str], values: Sequence[str] = ()) -> DataFrame:
+    """One row per sample: ``y_true`` and ``y_preds`` in expert order, and ``values`` as ``<value>_by_expert``.
 
     Collects at most one row per expert and sample.  A missing expert, a repeated
     one or a differing truth fails the job.
@@ -119,7 +119,7 @@ def stack_experts(forecasts: DataFrame, experts: Sequence[str]) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(e) for e in experts]), F.col("model_name"))
     rows = forecasts.filter(F.col("model_name").isin(list(experts)))
     g = rows.groupBy("sample_key").agg(
-        F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("y_pred"), F.col("y_true")))).alias("_p")
+        F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("y_pred"), F.col("y_true"), *[F.col(v) for v in values]))).alias("_p")
     )
     expected = F.array(*[F.lit(i + 1).cast("long") for i in range(len(experts))])
     complete = F.transform("_p", lambda s: s["o"]) == expected
@@ -127,7 +127,8 @@ def stack_experts(forecasts: DataFrame, experts: Sequence[str]) -> DataFrame:
     y_preds = F.when(complete & shared, F.transform("_p", lambda s: s["y_pred"])).otherwise(
         F.raise_error(F.concat(F.lit("experts or truth do not fit: "), F.col("sample_key"))).cast("array<array<double>>")
     )
-    return g.select("sample_key", F.element_at("_p", 1)["y_true"].alias("y_true"), y_preds.alias("y_preds"))
+    more = [F.col(f"_p.{v}").alias(f"{v}_by_expert") for v in values]
+    return g.select("sample_key", F.element_at("_p", 1)["y_true"].alias("y_true"), y_preds.alias("y_preds"), *more)
 
 
 def fusion_input(
