@@ -16,21 +16,28 @@ from castwise.schemas import REGIME, STABLE
 def strict_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> DataFrame:
     """1:1 join on the stable columns; a row without a partner or with two fails the job.
 
+    The sample key names the sample alone, so rows meet on it and their other columns are compared after
+    that: all joins and groupings of samples share one partitioning.
+
     One full outer join carries the check along. The rows of a key are counted where the join
     sorts them, so no extra shuffle is needed.
     """
-    per_key = W.partitionBy(*keys)
+    on = ["sample_key"] if "sample_key" in keys else list(keys)
+    rest = [k for k in keys if k not in on]
+    per_key = W.partitionBy(*on)
     left = a.withColumn("_a", F.count(F.lit(1)).over(per_key))
-    right = b.withColumn("_b", F.count(F.lit(1)).over(per_key))
+    right = b.withColumn("_b", F.count(F.lit(1)).over(per_key)).withColumnsRenamed({k: f"_r_{k}" for k in rest})
     both = (F.col("_a") == 1) & (F.col("_b") == 1)
-    first = keys[0]
-    joined = left.join(right, list(keys), "full_outer")
+    for k in rest:
+        both = both & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    first = on[0]
+    joined = left.join(right, on, "full_outer")
     key = F.when(both, F.col(first)).otherwise(
         F.raise_error(F.concat(F.lit("not one partner in strict join: "), F.col(first).cast("string"))).cast(
             joined.schema[first].dataType
         )
     )
-    return joined.withColumn(first, key).filter(F.col(first).isNotNull()).drop("_a", "_b")
+    return joined.withColumn(first, key).filter(F.col(first).isNotNull()).drop("_a", "_b", *[f"_r_{k}" for k in rest])
 
 
 def strict_join_report(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> DataFrame:
