@@ -12,7 +12,7 @@
    and buckets that still hold several components get further stars, whose hubs are the classes
    linked last, then classes not tried before; ``rounds`` limits these (see ``near_duplicates``).
 
-A pair of similarity 0.8 misses all buckets with probability (1 - 0.8^ROWS)^BANDS, about 2e-6.
+A pair of similarity 0.8 misses all buckets with probability (1 - 0.8^ROWS)^BANDS, about 3e-5.
 
 Null and empty texts and texts without words have empty sets and stand alone. A null id sorts
 before every id. Rows with one id share a component. An empty table gives an empty table.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from castwise.llm.common import given_id, maybe, membership, rows_of, without, written
 
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 56, 8
 BINS = BANDS * ROWS
 WORDS_KEPT = 200_000  # word hashes remembered by a task; beyond that they are computed again
 PIECE = 8 << 20  # bytes of text handled at once
@@ -60,7 +60,7 @@ def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([known[w] for w in words], dtype=np.uint64)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str, size: int, known: dict[bytes, int]) -> np.ndarray:
@@ -85,11 +85,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     filled = np.zeros(BINS, dtype=bool)
     filled[bins] = True
     empty = np.flatnonzero(~filled)
-    if len(empty):
-        hit = filled[PROBES[empty]]
-        first = hit.argmax(axis=1)
-        found = np.where(hit.any(axis=1), PROBES[empty, first], np.flatnonzero(filled)[0])
-        sketch[empty] = sketch[found]
+    for t in range(PROBES.shape[1]):  # few turns unless the set is tiny
+        if not len(empty):
+            break
+        source = PROBES[empty, t]
+        hit = filled[source]
+        sketch[empty[hit]] = sketch[source[hit]]
+        empty = empty[~hit]
+    sketch[empty] = mixed.min()  # all tries failed
     keys = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         keys = _mix(keys * np.uint64(0x100000001B3) + sketch[r::ROWS])
