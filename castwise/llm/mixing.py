@@ -7,8 +7,8 @@
 3. Rates: nonnegative r_d such that the expected totals ``sum_d r_d n_d p_dk`` match the targets ``weight_k * budget`` in
    weighted least squares. The weights are the inverse of ``M = sum_d n_d p_d p_d^T``; in the metric of the token counts the
    gradient is then Lipschitz with constant one, so steps of length one are projected gradient steps:
-   ``r_d = max(0, r_d - p_d . M^-1 (A r - T))``. Each step is one aggregation of K sums over the documents; the rate of a document follows
-   from the K numbers of each step, so nothing is collected and nothing but those numbers moves.
+   ``r_d = max(0, y_d - p_d . M^-1 (A y - T))``, where y adds a growing share of the last move to r (Nesterov). Each step is one aggregation of K sums over the documents; the rate of a document follows
+   from the K numbers of each step, so nothing is collected and nothing but those numbers moves. Rates are written every few steps.
 
 ``copies`` is the rate rounded up or down by a hash of the id, with the right expectation. Null texts count as empty; null labels and ids in the labelled
 table are not used; ids labelled twice count for their smallest domain. Domains without target get weight 0. Without labelled rows
@@ -29,8 +29,9 @@ from castwise.llm.decontaminate import _words
 SAMPLE = 20_000
 BUCKETS = 4096
 EVIDENCE = 50
-STEPS = 200  # far more than needed; the loop ends at TOLERANCE or when the fit stops improving
-TOLERANCE = 1e-9
+STEPS = 200  # far more than needed: the loop ends when totals meet their targets or stand still
+TOLERANCE = 1e-4  # of the budget
+KEPT = 8  # steps between two writes of the rates
 
 
 def _bucket(word: Column) -> Column:
@@ -81,22 +82,36 @@ def posteriors(
     return odds.select("_id", "n_tokens", F.transform("_e", lambda v: v / total).alias("p"))
 
 
-def _rate(steps: list[np.ndarray], start: float) -> Column:
-    """The rate after the given steps, by folding over their K numbers each."""
+def _momentum(count: int) -> list[float]:
+    """Shares of the last move that steps 1, 2, ... add (Nesterov's sequence)."""
+    t, out = 1.0, []
+    for _ in range(count):
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        out.append((t - 1) / after)
+        t = after
+    return out
+
+
+def _moved(steps: list[np.ndarray], push: list[float]) -> Column:
+    """Rate ``r`` and point ``y`` of the next gradient, by folding the K numbers of each step over the stored ones."""
+    first = F.struct(F.col("_r").alias("r"), F.col("_y").alias("y"))
     if not steps:
-        return F.lit(start)
+        return first
     width = len(steps[0])
-    flat = _numbers(np.concatenate(steps))
+    flat, push = _numbers(np.concatenate(steps)), _numbers(push)
 
-    def step(r: Column, t: Column) -> Column:
-        move = sum((F.get(F.col("p"), F.lit(k)) * F.get(flat, t * width + k) for k in range(1, width)), F.get(F.col("p"), F.lit(0)) * F.get(flat, t * width))
-        return F.greatest(F.lit(0.0), r - move)
+    def step(a: Column, t: Column) -> Column:
+        move = F.get(F.col("p"), F.lit(0)) * F.get(flat, t * width)
+        for k in range(1, width):
+            move = move + F.get(F.col("p"), F.lit(k)) * F.get(flat, t * width + k)
+        r = F.greatest(F.lit(0.0), a["y"] - move)
+        return F.struct(r.alias("r"), (r + F.get(push, t) * (r - a["r"])).alias("y"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(start), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), first, step)
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None) -> tuple[Column, dict]:
-    """The rate as a column over ``members`` (``n_tokens, p``), and what was reached."""
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None) -> tuple[DataFrame, dict]:
+    """``members`` (``n_tokens, p`` and others) with a ``rate``, and what was reached."""
     k = range(len(weights))
     p = [F.get(F.col("p"), F.lit(i)) for i in k]
     pairs = [(i, j) for i in k for j in k if i <= j]
@@ -111,19 +126,23 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
         m[i, j] = m[j, i] = first[f"m{i}_{j}"]
     inverse = np.linalg.pinv(m, rcond=1e-12, hermitian=True)
     start = budget / n if n else 1.0
-    steps: list[np.ndarray] = []
-    last, totals = math.inf, np.zeros(len(weights))
+    state = members.withColumns({"_r": F.lit(start), "_y": F.lit(start)})
+    push, steps, done = _momentum(STEPS), [], 0
+    totals = np.full(len(weights), math.inf)
     for _ in range(STEPS if n else 0):
-        r = _rate(steps, start)
-        row = members.select("n_tokens", "p", r.alias("_r")).agg(*[F.sum(F.col("n_tokens") * F.col("_r") * p[i]).alias(f"t{i}") for i in k]).first()
-        totals = np.array([row[f"t{i}"] for i in k])
-        off = totals - target
-        fit = float(np.abs(off).sum() / budget)
-        if fit < TOLERANCE or (last - fit) < 1e-3 * fit:
+        here = push[done - len(steps) : done]
+        sums = [F.sum(F.col("n_tokens") * F.col(f"_a.{c}") * p[i]).alias(f"{c}{i}") for c in "ry" for i in k]
+        row = state.select("n_tokens", "p", _moved(steps, here).alias("_a")).agg(*sums).first()
+        before, totals = totals, np.array([row[f"r{i}"] for i in k])
+        if np.abs(totals - target).sum() < TOLERANCE * budget or np.abs(totals - before).sum() < TOLERANCE / 10 * budget:
             break
-        last = fit
-        steps.append(inverse @ off)
-    return _rate(steps, start), {"targets": target, "totals": totals, "steps": len(steps)}
+        if len(steps) == KEPT:  # the numbers of many steps would be folded again and again
+            state = state.withColumn("_a", _moved(steps, here)).withColumns({"_r": F.col("_a.r"), "_y": F.col("_a.y")}).drop("_a")
+            state, steps = written(state, "rates"), []
+        steps.append(inverse @ (np.array([row[f"y{i}"] for i in k]) - target))
+        done += 1
+    rated = state.withColumn("rate", _moved(steps, push[done - len(steps) : done])["r"]).drop("_r", "_y")
+    return rated, {"targets": target, "totals": totals, "steps": done}
 
 
 def mixing_rates(
@@ -132,8 +151,7 @@ def mixing_rates(
     """``id_col, n_tokens, p_<domain>..., rate, copies`` for every row of ``docs``."""
     domains = list(targets)
     members = written(posteriors(docs, labelled, domains, id_col, text_col), "members")
-    rate, _ = fit_rates(members, list(targets.values()), budget)
-    rated = members.withColumn("rate", rate)
+    rated, _ = fit_rates(members, list(targets.values()), budget)
     chance = F.pmod(F.xxhash64(F.lit("copies"), "_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rated.select(
         given_id().alias(id_col),

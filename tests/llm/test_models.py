@@ -35,8 +35,8 @@ def test_rates_meet_the_bound(spark):
     """Targets out of reach: rates stop at zero and the rest is split by least squares."""
     rows = [(10, [1.0, 0.0])] * 5 + [(10, [0.5, 0.5])] * 5
     members = spark.createDataFrame(rows, "n_tokens long, p array<double>")
-    rate, reached = mixing.fit_rates(members, [0.2, 0.8])
-    rates = sorted({round(r[0], 6) for r in members.select(rate).collect()})
+    rated, reached = mixing.fit_rates(members, [0.2, 0.8])
+    rates = sorted({round(r[0], 6) for r in rated.select("rate").collect()})
     assert rates[0] == 0.0 and len(rates) == 2
     # by hand: minimise (A r - T)' M^-1 (A r - T) over the rate of the mixed rows alone
     import numpy as np
