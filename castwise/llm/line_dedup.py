@@ -87,6 +87,11 @@ def _parity(codes: Column) -> Column:
     )
 
 
+def _wide(codes: Column) -> Column:
+    """As ``_parity``, with 256 bits: sharp for long lines too."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: _parity(F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == k)))
+
+
 def _close(a: str, b: str, threshold: float) -> Column:
     """Length, position and parity filters for two listed sets (``a`` and ``b``)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -113,9 +118,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, rarity: Column, threshold: floa
     lines = membership(ends.select("x.*"), F.xxhash64("id", "line", "fp"))
     named = named.filter(maybe(lines, F.xxhash64("x.id", "x.line", "x.fp")))
     sets = named.join(ends, "x", "left_semi").distinct()
-    sets = written(sets.select("x", _codes(F.col("_words"), rarity).alias("_set")), "linesets")
-    both = pairs.join(sets, "x").withColumnRenamed("_set", "_a")
-    both = both.join(sets.select(F.col("x").alias("y"), F.col("_set").alias("_b")), "y")
+    coded = sets.select("x", _codes(F.col("_words"), rarity).alias("_set"))
+    sets = written(coded.select("x", "_set", F.size("_set").alias("n"), _wide(F.col("_set")).alias("w")), "linesets")
+    # sizes and 256 bits of both first: the sets themselves move only for pairs that may well agree
+    mine = sets.select("x", F.struct("n", "w").alias("a"))
+    other = sets.select(F.col("x").alias("y"), F.struct("n", "w").alias("b"))
+    total = F.col("a.n") + F.col("b.n")
+    apart = F.aggregate(F.zip_with("a.w", "b.w", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    likely = pairs.join(mine, "x").join(other, "y").filter(apart <= total - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * total - 1e-9))
+    likely = written(likely.select("x", "y"), "likely")
+    both = likely.join(sets.select("x", F.col("_set").alias("_a")), "x").join(sets.select(F.col("x").alias("y"), F.col("_set").alias("_b")), "y")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.filter(shared >= F.lit(threshold) * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("x").distinct()
 
