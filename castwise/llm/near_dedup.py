@@ -10,7 +10,10 @@
 4. In each bucket a star joins every class with a hub, so a bucket of n gives n - 1 pairs. Pairs
    are confirmed on full sets (``100 * shared >= percent * union``), links are closed to components,
    and buckets that still hold several components get further stars, whose hubs are the classes
-   linked last, then classes not tried before; ``rounds`` limits these (see ``near_duplicates``).
+   with most new links, then classes picked by a hash; ``rounds`` limits these.
+5. What the stars leave is settled in one pass: in every bucket that still holds several components, each
+   class outside the largest one meets every class of another component (see ``_rest``), so every pair
+   that shares a bucket is compared, or known to be in one component already.
 
 A pair of similarity 0.8 misses all buckets with probability (1 - 0.8^ROWS)^BANDS, about 3e-5.
 
@@ -32,6 +35,8 @@ from castwise.llm.common import given_id, maybe, membership, rows_of, without, w
 
 BANDS, ROWS = 56, 8
 BINS = BANDS * ROWS
+PARITY = 16  # longs of parity bits of a set
+PART = 1000  # classes of a bucket that meet in one piece of the last pass
 WORDS_KEPT = 200_000  # word hashes remembered by a task; beyond that they are computed again
 PIECE = 8 << 20  # bytes of text handled at once
 
@@ -99,6 +104,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return keys
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs: for each of 64 * PARITY bits, whether an odd number of the set's shingles fall on it."""
+    odd = np.bincount((_mix(s + np.uint64(0x27D4EB2F)) >> np.uint64(20)) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
     """Ids and texts of a batch in pieces of bounded size."""
     ids, texts, used = [], [], 0
@@ -134,8 +145,9 @@ def _describe(size: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.binary()),
                         _lists([signature(s) if len(s) else s for s in sets]),
+                        _lists([parity(s) if len(s) else s for s in sets]),
                     ],
-                    ["_id", "_n", "_key", "_bands"],
+                    ["_id", "_n", "_key", "_bands", "_odd"],
                 )
 
     return run
@@ -190,7 +202,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 def _stars(members: DataFrame, roots: DataFrame | None, new: DataFrame | None, turn: int) -> DataFrame:
     """Candidate pairs (a < b): in each bucket with several components, a hub with every class of another component.
 
-    The first hub is the smallest id. Later hubs are classes that the last turn linked (a copy leads to
+    The first hub is the smallest id. Later hubs are the classes with most links of the last turn (a copy leads to
     its original, and that to the other copies), else a class picked by a hash of the turn.
     """
     if roots is None:
@@ -198,7 +210,7 @@ def _stars(members: DataFrame, roots: DataFrame | None, new: DataFrame | None, t
         first = F.struct(F.col("rep"), F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
     else:
         placed = members.join(roots, members.rep == roots.node, "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
-        fresh = new.select(F.col("a").alias("rep")).union(new.select(F.col("b").alias("rep"))).distinct().withColumn("fresh", F.lit(0))
+        fresh = new.select(F.col("a").alias("rep")).union(new.select(F.col("b").alias("rep"))).groupBy("rep").agg((-F.count("*")).alias("fresh"))
         placed = placed.join(fresh, "rep", "left").withColumn("fresh", F.coalesce("fresh", F.lit(1)))
         first = F.struct("fresh", F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
     hubs = (
@@ -211,6 +223,41 @@ def _stars(members: DataFrame, roots: DataFrame | None, new: DataFrame | None, t
     return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
+def _rest(members: DataFrame, roots: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a < b): every two classes of a bucket that are of different components.
+
+    Two classes of the bucket's largest component need not meet, so only classes outside it are laid beside the others.
+    Both sides are dealt into parts of about ``PART`` classes, so a large bucket is spread over tasks. A pair leaves the join
+    only if it can be similar enough: similar sets have a difference of at most (100 - percent) / (100 + percent)
+    of their summed sizes, which is not less than the difference in sizes nor than the number of unequal parity bits.
+    """
+    if roots is None:
+        placed = members.withColumn("root", F.col("rep"))
+    else:
+        placed = members.join(roots, members.rep == roots.node, "left").select("k", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = placed.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k")
+    parts = parts.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    pieces = F.ceil(F.col("n") / PART).cast("int")
+    outer = F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int")
+    parts = parts.filter("low <> high").select("k", F.col("top.root").alias("main"), pieces.alias("pieces"), outer.alias("outer"))
+    open_rows = written(placed.join(parts, "k").join(classes.select("rep", "_n", "_odd"), "rep"), "rest")
+    own = F.xxhash64(F.lit(71), F.col("rep"))
+
+    def side(rows: DataFrame, mine: str, other: str, at: str, beside: str, name: str) -> DataFrame:
+        dealt = rows.withColumn(at, F.pmod(own, F.col(mine)).cast("int")).withColumn(beside, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        columns = [F.col(c).alias(f"{name}_{c}") for c in ("rep", "root", "_n", "_odd")]
+        return dealt.select("k", "i", "j", *columns, *([F.col("main")] if name == "y" else []))
+
+    x = side(open_rows.filter("root <> main"), "outer", "pieces", "i", "j", "x")
+    y = side(open_rows, "pieces", "outer", "j", "i", "y")
+    room = (F.col("x__n") + F.col("y__n")) * (100 - percent)
+    unequal = sum((F.bit_count(F.col("x__odd")[w].bitwiseXOR(F.col("y__odd")[w])) for w in range(PARITY)), F.lit(0))
+    once = (F.col("y_root") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))
+    near = (F.abs(F.col("x__n") - F.col("y__n")) * (100 + percent) <= room) & (unequal * (100 + percent) <= room)
+    met = x.join(y, ["k", "i", "j"]).filter((F.col("x_root") != F.col("y_root")) & once & near)
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -221,12 +268,13 @@ def near_duplicates(
 ) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row; the smallest id of a component is kept.
 
-    ``rounds``: stars per bucket. More than one finds links between classes that are similar to each
-    other but not to the first hub. The loop ends early when every bucket is one component.
+    ``rounds``: stars per bucket, before the pass over all pairs that are left (``_rest``). Stars are cheap and join most
+    copies; the result does not depend on their number. The loop ends early when they meet nothing new.
     """
     rows = rows_of(docs, id_col, text_col)
-    seen = written(rows.mapInArrow(_describe(size), "_id long, _n long, _key binary, _bands array<long>"), "described")
-    classes = seen.filter("_key is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.first("_bands").alias("_bands"))
+    seen = written(rows.mapInArrow(_describe(size), "_id long, _n long, _key binary, _bands array<long>, _odd array<long>"), "described")
+    same = [F.first(c).alias(c) for c in ("_n", "_bands", "_odd")]
+    classes = seen.filter("_key is not null").groupBy("_key").agg(F.min("_id").alias("rep"), *same)
     classes = written(classes, "classes")
     listed = classes.select("rep", F.explode("_bands").alias("k"))
     shared = listed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
@@ -241,6 +289,11 @@ def near_duplicates(
         new = written(_confirmed(pairs, rows, size, percent), "links")
         links = new if links is None else links.union(new)
         roots = components(links)
+    pairs = _rest(members, roots, classes, percent)
+    pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        new = _confirmed(pairs, rows, size, percent)
+        roots = components(new if links is None else links.union(new))
     found = classes.select("_key", "rep")
     if roots is not None:
         found = found.join(roots, found.rep == roots.node, "left").select("_key", F.coalesce("root", "rep").alias("root"))

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,36 @@ def test_empty_tables(made):
     assert exact_dedup.exact_duplicates(none).count() == 0
     assert line_dedup.drop_repeated_lines(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_near_links_beyond_the_first_stars(made):
+    """Bundles of copies that are each similar to the original of their bundle only, never to one another."""
+    rng = np.random.default_rng(5)
+    rows, near = [], []
+    for g in range(40):
+        words = [f"g{g}w{k}" for k in range(600)]
+        whole = shingle_set(" ".join(words), 5)
+        for c in range(60):
+            mine = list(words)
+            for k in rng.choice(100, 12, replace=False) * 6:
+                mine[k] = f"c{g}x{c}x{k}"
+            own = shingle_set(" ".join(mine), 5)
+            if 100 * len(own & whole) >= 80 * len(own | whole):
+                near.append((len(rows), 10_000 + g))
+            rows.append((len(rows), " ".join(mine)))
+    rows += [(10_000 + g, " ".join(f"g{g}w{k}" for k in range(600))) for g in range(40)]
+    assert len(near) > 2000
+    table = made(rows).repartition(8)
+    for given in ({}, {"rounds": 0}):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, **given).collect()}
+        assert sum(got[i] != got[j] for i, j in near) == 0
+        assert all(got[i] // 60 == got[j] // 60 for i, j in near)
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[: max(1, n // 2)], rng.integers(0, 2**63, n // 3).astype(np.uint64)))
+        unequal = np.bitwise_count(near_dedup.parity(a) ^ near_dedup.parity(b)).sum()
+        assert unequal <= len(np.setxor1d(a, b)) and not (near_dedup.parity(a) ^ near_dedup.parity(a)).any()
