@@ -98,6 +98,28 @@ def test_automaton_distributions_sum_to_one():
         assert math.isclose(sum(chance(history, w) for w in [*uni, 12345]), 1.0, rel_tol=1e-6)
 
 
+def test_lm_keeps_every_repeated_gram(made):
+    """Scores of the tables against the automaton of all n-grams that occur twice, however rare they are among all tokens."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 30) % 500)) for i in range(200)]
+    rows += [(900 + i, "seldom seen words") for i in range(4)] + [(990, "common " * 200_000), (991, ""), (990, "w1 w2 w3")]
+    hashed = {t: lm.token_hashes(t, {}).tolist() for _, t in rows}
+    train = [hashed[t] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    uni = Counter(w for t in train for w in t)
+    grams = [Counter(tuple(g) for t in train for g in zip(*([lm.END, *t][k:] for k in range(n)))) for n in (2, 3)]
+    kept = [{g: c for g, c in level.items() if c >= 2} for level in grams]
+    total, distinct = sum(uni.values()), len(uni)
+    model = lm.Automaton({w: c for w, c in uni.items() if c >= 2}, kept, total, distinct, len(train))
+    want = []
+    for i, t in rows:
+        root = np.log10((np.array([uni[w] for w in hashed[t]]) + 0.5) / (total + 0.5 * (distinct + 1)))
+        want.append((i, len(hashed[t]), model.score(np.array(hashed[t], dtype=np.uint64), root)))
+    got = [(r.doc_id, r.n_tokens, r.score) for r in lm.lm_scores(made(rows)).collect()]
+    assert len(got) == len(rows)
+    for (i, n, a), (j, m, b) in zip(sorted(got), sorted(want)):
+        assert (i, n) == (j, m) and math.isclose(a, b, rel_tol=1e-6)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
