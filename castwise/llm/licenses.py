@@ -2,8 +2,10 @@
 
 A text is brought to a canonical form: lower case, no copyright lines, one spelling of equivalent words, no
 punctuation, single blanks. Its digest is looked up in a table of digests of known licences by a hash join. The unit is
-always an entire text: the whole document, and each of its lines (licence notices are one-line texts). A licence quoted
-inside a line of other words is not a hit.
+always an entire text: the whole document, each of its lines (licence notices are one-line texts), and each block of several
+lines: lines between blank lines, and runs of comment lines, whose markers the canonical form drops. A licence quoted
+inside a line of other words is not a hit. A text of several paragraphs with blank lines between them is found as a whole
+document or in a comment whose marker stands on the blank lines too, not in the middle of other text.
 
 The table of known texts has a fixed size and is broadcast. Null and empty texts match nothing. Rows of
 one id count as one document. An empty table gives an empty table; extra columns are ignored.
@@ -85,6 +87,28 @@ KNOWN: list[tuple[str, str]] = [
         for v in (2, 3)
         for said in ("Released", "Licensed", "This work is licensed")
     ],
+    *[
+        (f"CC-{kind}-{v}", f"{said} under {the}{name} {v}{end}")
+        for kind, long in (
+            ("BY", "Attribution"),
+            ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for v in ("3.0", "4.0")
+        for said in ("Released", "Licensed", "This work is licensed")
+        for the, name, end in (("", f"CC {kind}", ""), ("a ", f"Creative Commons {long}", " International License"), ("a ", f"Creative Commons {long}", " License"))
+    ],
+    *[
+        (name, f"SPDX-License-Identifier: {name}")
+        for name in (
+            *("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib"),
+            *(f"{kind}-{which}" for kind in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for which in ("only", "or-later")),
+            *(f"CC-{kind}-4.0" for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
+        )
+    ],
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -100,6 +124,16 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+MARKED = r"[ \t]*(?:#|//|/?\*|;|--)"
+
+
+def _blocks(text: Column) -> Column:
+    """The text between blank lines, also cut where comment lines begin or end."""
+    apart = F.regexp_replace(text, rf"(?m)^({MARKED}[^\n]*)\n(?!{MARKED})", "$1\n\n")
+    apart = F.regexp_replace(apart, rf"(?m)^((?!{MARKED})[^\n]*)\n(?={MARKED})", "$1\n\n")
+    return F.split(apart, r"\n[ \t\r]*\n")
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest, license``; one row for each known text."""
     texts = spark.createDataFrame(known or KNOWN, "license string, _text string")
@@ -109,13 +143,22 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def license_hits(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | None = None
 ) -> DataFrame:
-    """One row for each hit: ``_id, line`` (-1: the whole document), ``license``."""
+    """One row for each hit: ``_id, line`` (-1: the whole document, -2: a block of lines), ``license``."""
     rows = rows_of(docs, id_col, text_col)
     table = F.broadcast(known_digests(rows.sparkSession, known))
     whole = rows.select("_id", F.lit(-1).alias("line"), "_text")
-    lines = rows.filter(F.instr("_text", "\n") > 0).select("_id", F.posexplode(F.split("_text", "\n")).alias("line", "_text"))
-    units = whole.union(lines).filter(F.length("_text") > 0)
-    return units.select("_id", "line", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(table, "digest").select("_id", "line", "license")
+    lined = rows.filter(F.instr("_text", "\n") > 0)
+    lines = lined.select("_id", F.posexplode(F.split("_text", "\n")).alias("line", "_text"))
+    blocks = lined.select("_id", F.lit(-2).alias("line"), F.explode(_blocks(F.col("_text"))).alias("_text")).filter(F.instr("_text", "\n") > 0)
+
+    def found(units: DataFrame) -> DataFrame:
+        return units.filter(F.length("_text") > 0).withColumn("digest", F.sha2(canonical(F.col("_text")), 256)).join(table, "digest")
+
+    # a block with words on one line only is that line's hit, a document of one block is the document's
+    several = F.size(F.filter(F.split("_text", "\n"), lambda t: canonical(t) != "")) > 1
+    seen = F.when(F.col("license").isNotNull(), several)  # looks at both sides, so it stays behind the join
+    extra = found(blocks).filter(seen).join(found(whole).select("_id", "digest"), ["_id", "digest"], "left_anti")
+    return found(whole.union(lines)).select("_id", "line", "license").union(extra.select("_id", "line", "license"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,6 +53,23 @@ def test_licenses(made):
     assert licenses.license_scan(made([]).limit(0)).count() == 0
 
 
+def test_licenses_in_blocks_and_short_forms(made):
+    wrapped = licenses.MIT.split("\n")
+    code = "import os\nprint(os.getcwd())  # where\n"
+    rows = [
+        (1, "\n".join(f"# {x}" if x else "#" for x in ["MIT License", "", "Copyright (c) 2020 Someone", "", *wrapped]) + "\n" + code),
+        (2, "/*\n * " + "\n * ".join(wrapped) + "\n */\n" + code),
+        (3, code + "\n" + "\n".join(wrapped) + "\n\n" + code),
+        (4, "words\nLicensed under CC BY-NC 4.0.\nwords"),
+        (5, "// SPDX-License-Identifier: GPL-3.0-or-later\n" + code),
+        (6, "words\n\nCopyright (c) 2020 Someone\nReleased under the MIT License\n\nwords"),
+        (7, code + "\n" + "\n".join(wrapped[:-1]) + "\n\n" + code),
+    ]
+    got = {r.doc_id: (r.n_hits, r.whole_text, r.licenses) for r in licenses.license_scan(made(rows)).collect()}
+    assert got[1] == got[2] == got[3] == got[6] == (1, False, "MIT") and got[7] == (0, False, "")
+    assert got[4] == (1, False, "CC-BY-NC-4.0") and got[5] == (1, False, "GPL-3.0-or-later")
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [b"\n"]
 
