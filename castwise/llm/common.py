@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,17 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     mine = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     listed = maybe(membership(gone, F.xxhash64("_gone")), F.xxhash64(mine))
     return docs.filter(~listed).unionByName(docs.filter(listed).join(gone, mine == F.col("_gone"), "left_anti"))
+
+
+def sliced(batches, column: str, most: int = 1 << 22):
+    """Arrow batches cut so that ``column`` has about ``most`` bytes in each, or one row if that is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > start and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)

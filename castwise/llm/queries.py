@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castwise.llm import decontaminate, exact_dedup, html_extract, licenses, line_dedup, lm, mixing, near_dedup, secrets, toxicity
+from castwise.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    fill_middle,
+    html_extract,
+    licenses,
+    line_dedup,
+    lm,
+    mixing,
+    near_dedup,
+    resample,
+    secrets,
+    toxicity,
+)
 from castwise.llm.common import table
 from castwise.session import ship_package
 
@@ -133,3 +147,63 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated score for every document."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"  # a conversation whose texts are made of marks
+
+
+@query(
+    "op11_chat_format",
+    r"""
+    WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+      UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    sized AS (
+      SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_start|>' || '<|im_end|>') + 2
+        + length(regexp_replace(replace(replace(role, '~', '~0'), chr(10), '~1'), '<(\\*)\|', '<\\\1|', 'g')) AS chars FROM rows)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      sum(chars)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the output."""
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    turns = chat.canonical_turns(chat.records_of_rows(rows))
+    return chat.chat_digests(chat.formatted(turns))
+
+
+@query(
+    "op12_fill_middle",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    h AS (
+      SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+        ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+    c AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and written in its form."""
+    return fill_middle.fill_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of a hundred documents, drawn towards the benchmark's distribution."""
+    return resample.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
