@@ -538,3 +538,89 @@ def _(ws):
     stream = jobs.read_stream(ws.spark, src, f.schema, 1)
     jobs.stream_labels(stream, EXPERTS, "mae", dst, dst + "-ckpt").awaitTermination()
     return ws.spark.read.parquet(dst).groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# --- streams with event times -----------------------------------------------------------
+
+
+def _at(minutes):
+    """Arrival times: minutes after midnight of the first day."""
+    return (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=minutes)).alias("at")
+
+
+def _arrive(path: str, df) -> None:
+    """One more delivery of files, later than those that lie there."""
+    df.write.mode("append").parquet(path)
+
+
+@query("q1_stream_ingest_bounded", "SELECT sample_key, model_name, mae FROM forecasts", ["mae"])
+def _(ws):
+    """Deliveries in three hours; the first comes again with the second, and its keys are forgotten after the third."""
+    f = ws.forecasts().select("sample_key", "model_name", "mae", (F.col("window_index") % 3).alias("hour"))
+    src, dst = _place(ws, "timed-forecasts"), _place(ws, "ingest")
+    stream_schema = "sample_key string, model_name string, mae double, at timestamp"
+    for hour in range(3):
+        rows = f.filter(F.col("hour") == hour).select("sample_key", "model_name", "mae", _at(F.lit(600 * hour)))
+        if hour == 1:
+            rows = rows.unionByName(f.filter("hour = 0").select("sample_key", "model_name", "mae", _at(F.lit(30))))
+        _arrive(src, rows)
+        schema = ws.spark.createDataFrame([], stream_schema).schema
+        with jobs.with_rocksdb(ws.spark):
+            jobs.stream_ingest(ws.spark, src, dst, dst + "-ckpt", schema, 64, "at", "11 hours").awaitTermination()
+    return ws.spark.read.parquet(dst).select("sample_key", "model_name", "mae")
+
+
+@query(
+    "q3_timed_labels",
+    f"""SELECT sample_key, 'label' AS status, oracle_model, oracle_value, {", ".join(EXPERTS)} FROM {MAE_SQL} WHERE window_index <> 1 UNION ALL
+        SELECT sample_key, 'late', oracle_model, oracle_value, {", ".join(EXPERTS)} FROM {MAE_SQL} WHERE window_index = 0 UNION ALL
+        SELECT sample_key, 'timeout', NULL, NULL, {", ".join(EXPERTS[:-1])}, NULL FROM {MAE_SQL} WHERE window_index = 1""",
+    ["oracle_value", *EXPERTS],
+)
+def _(ws):
+    """Second windows never get their last expert, first windows get one expert twice, third windows come two days later."""
+    f = ws.forecasts().select("sample_key", "model_name", "mae", "window_index")
+    missing = (F.col("window_index") == 1) & (F.col("model_name") == EXPERTS[-1])
+    deliveries = [
+        f.filter((F.col("window_index") != 2) & ~missing).withColumn("at", _at(F.col("window_index") % 60)),
+        f.filter((F.col("window_index") == 0) & (F.col("model_name") == EXPERTS[0])).withColumn("at", _at(F.lit(120))),
+        f.filter(F.col("window_index") == 2).withColumn("at", _at(F.lit(2 * 1440))),
+    ]
+    src, dst = _place(ws, "timed-errors"), _place(ws, "labels")
+    for rows in deliveries:
+        _arrive(src, rows)
+        stream = jobs.read_stream(ws.spark, src, rows.schema, 64).withWatermark("at", "3 hours")
+        with jobs.with_rocksdb(ws.spark):
+            timed = jobs.timed_labels(stream, EXPERTS, "mae", "at", 6 * 3_600_000)
+            jobs.to_table(timed, dst, dst + "-ckpt").awaitTermination()
+    return ws.spark.read.parquet(dst)
+
+
+@query(
+    "q6_late_rows_by_time",
+    f"""SELECT config_name, split, model_name, CASE WHEN delivery = 1 AND arrived < (SELECT max(arrived) - INTERVAL 2 HOUR FROM timed WHERE delivery = 0)
+                 THEN 'late' ELSE 'on_time' END AS status, count(*) AS row_count, sum(mae) AS mae_sum
+        FROM timed GROUP BY ALL""",
+    ["mae_sum"],
+    {
+        "timed": f"""
+        SELECT config_name, split, model_name, mae, CASE WHEN window_index % 4 = 3 THEN 1 ELSE 0 END AS delivery,
+               TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (CASE WHEN window_index % 4 < 3 THEN 600 - window_index % 4
+                 WHEN model_name IN ('{EXPERTS[0]}', '{EXPERTS[1]}') THEN 60 WHEN model_name = '{EXPERTS[2]}' THEN 480 ELSE 540 END) AS arrived
+        FROM forecasts"""
+    },
+)
+def _(ws):
+    """Every fourth window is delivered late: behind the watermark, just on it, or before it, by expert."""
+    f = ws.forecasts().select("config_name", "split", "model_name", "mae", (F.col("window_index") % 4).alias("part"))
+    name = F.col("model_name")
+    minutes = F.when(F.col("part") < 3, 600 - F.col("part")).when(name.isin(EXPERTS[:2]), 60).when(name == EXPERTS[2], 480).otherwise(540)
+    rows = f.withColumn("at", _at(minutes))
+    src, dst, late = _place(ws, "gate"), _place(ws, "on-time"), _place(ws, "late")
+    for ready in (F.col("part") < 3, F.col("part") == 3):
+        _arrive(src, rows.filter(ready))
+        stream = jobs.read_stream(ws.spark, src, rows.schema, 64)
+        jobs.split_late(stream, "at", "2 hours", dst, late, dst + "-ckpt").awaitTermination()
+    parts = [ws.spark.read.schema(rows.schema).parquet(p).withColumn("status", F.lit(s)) for p, s in ((dst, "on_time"), (late, "late"))]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("config_name", "split", "model_name", "status").agg(F.count(F.lit(1)).alias("row_count"), F.sum("mae").alias("mae_sum"))

@@ -8,12 +8,12 @@ same checkpoint goes on where it ended.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from castwise.functions.columns import argmin_name
@@ -135,56 +135,135 @@ def stream_labels(
     )
 
 
-def expiring_labels(forecasts: DataFrame, experts: Sequence[str], metric: str, event_time: str, wait_ms: int) -> DataFrame:
-    """Like :func:`stream_labels`, but a sample still incomplete ``wait_ms`` of event time
-    after its last row is given up with status ``timeout`` and its state dropped.
+LABEL_SHARDS = 64
 
-    Needs a watermarked ``event_time``.  A per-key Python function, for streams where
-    unbounded partial state matters more than throughput; state per sample is at most
-    one value per expert.
+
+class TimedLabels(StatefulProcessor):
+    """Labels of the samples of one shard, many at once.
+
+    State: one row per open or lately finished sample (first value of every expert, whether it is labelled, time of its
+    last row). A timer wakes the shard when its earliest sample has been silent for ``wait_ms`` of event time; the
+    sample then leaves the state, with status ``timeout`` if it is not labelled.
     """
-    names = list(experts)
-    out = "sample_key string, status string, oracle_model string, oracle_value double, " + ", ".join(
-        f"`{e}` double" for e in names
-    )
-    state_schema = ", ".join(f"`{e}` double" for e in names)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = [None if v is None or v != v else float(v) for v in (state.get if state.exists else [None] * len(names))]
-        if state.hasTimedOut:
-            state.remove()
-            yield _label_row(key[0], "timeout", None, None, seen, names)
+    def __init__(self, experts: Sequence[str], wait_ms: int):
+        self.experts, self.wait_ms = list(experts), wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = ["sample_key string", "done boolean", "last_ms long", *[f"v{i} double" for i in range(len(self.experts))]]
+        self.names = [f.split()[0] for f in fields]
+        self.samples = handle.getListState("samples", ", ".join(fields))
+
+    def _stored(self) -> pd.DataFrame:
+        held = pd.DataFrame([tuple(r) for r in self.samples.get()], columns=self.names)
+        values = {n: float for n in self.names[3:]}
+        return held.astype({"done": bool, "last_ms": "int64", **values}).set_index("sample_key")
+
+    def _store(self, held: pd.DataFrame, wake: bool) -> None:
+        """``wake`` sets a timer for the sample that has been silent longest; one that fires too early is set anew."""
+        if held.empty:
+            self.samples.clear()
             return
-        latest = 0
-        for pdf in batches:
-            latest = max(latest, int(pdf["at_ms"].max()))
-            for model, value in zip(pdf["model_name"], pdf["value"]):
-                i = names.index(model)
-                seen[i] = float(value) if seen[i] is None else seen[i]
-        if all(v is not None for v in seen):
-            best = min(range(len(names)), key=lambda i: (seen[i], i))
-            if state.exists:
-                state.remove()
-            yield _label_row(key[0], "label", names[best], seen[best], seen, names)
+        none = held.astype(object).where(held.notna(), None).reset_index()
+        self.samples.put([tuple(r) for r in none[self.names].itertuples(index=False)])
+        if wake:
+            self.handle.registerTimer(int(held["last_ms"].min()) + self.wait_ms)
+
+    def _rows(self, held: pd.DataFrame, status: str) -> pd.DataFrame:
+        values = held[self.names[3:]].set_axis(self.experts, axis=1)
+        out = pd.DataFrame({"sample_key": held.index.astype(object), "status": status}, index=held.index, dtype=object)
+        known = (held["done"] if status != "timeout" else held["done"] & False).to_numpy()
+        best = values.fillna(float("inf")).to_numpy().argmin(axis=1) if len(held) else []
+        out["oracle_model"] = pd.Series([self.experts[i] if ok else None for i, ok in zip(best, known)], held.index, dtype=object)
+        out["oracle_value"] = values.min(axis=1).where(known)
+        return pd.concat([out, values], axis=1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).dropna(subset=["expert", "value"]).sort_values(["at_ms", "value"])
+        if new.empty:
             return
-        state.update(tuple(seen))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait_ms)
-
-    rows = forecasts.filter(F.col("model_name").isin(names)).select(
+        stored = held = self._stored()
+        late = new["sample_key"].isin(held.index[held["done"]])
+        again = held.loc[new.loc[late, "sample_key"]]
+        first = new.drop_duplicates(["sample_key", "expert"]).pivot(index="sample_key", columns="expert", values="value")
+        first = first.reindex(columns=range(len(self.experts))).set_axis(self.names[3:], axis=1)
+        held = held.reindex(held.index.union(first.index))
+        values = held[self.names[3:]].combine_first(first)
+        was_done = held["done"].eq(True)
+        done = values.notna().all(axis=1)
+        last = new.groupby("sample_key")["at_ms"].max().reindex(held.index)
+        held = values.assign(done=done, last_ms=pd.concat([held["last_ms"], last], axis=1).max(axis=1).astype("int64"))
+        self._store(held, wake=stored.empty)
+        yield self._rows(held[done & ~was_done], "label")
+        yield self._rows(again, "late")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._stored()
+        over = held["last_ms"] + self.wait_ms <= timerValues.getCurrentWatermarkInMs()
+        self._store(held[~over], wake=True)
+        yield self._rows(held[over & ~held["done"]], "timeout")
+
+
+def timed_labels(
+    forecasts: DataFrame, experts: Sequence[str], metric: str, event_time: str, wait_ms: int, shards: int = LABEL_SHARDS
+) -> DataFrame:
+    """Labels as soon as a sample is complete, with bounded state: ``sample_key, status, oracle_model, oracle_value`` and the experts.
+
+    ``label``: all experts are there (of repeated values the earliest in the first batch that has one counts); ``late``: one more
+    row of a labelled sample, with the label that stands; ``timeout``: the sample was silent for ``wait_ms`` of event time. Rows
+    without value or of other experts only move the clock (a filter on them would be pushed below the watermark).
+    Needs a watermarked ``event_time`` and the RocksDB state store (see ``with_rocksdb``). Rows behind the watermark
+    are dropped here; ``split_late`` keeps them. Samples are dealt to ``shards`` state groups by hash, each worked off as one frame;
+    a shard rewrites its open samples in every trigger that touches it, so take more shards for more open samples.
+    """
+    names = list(experts)
+    expert = F.nullif(F.array_position(F.array(*[F.lit(e) for e in names]), F.col("model_name")), F.lit(0)).cast("int") - 1
+    rows = forecasts.select(
+        F.pmod(F.xxhash64("sample_key"), F.lit(shards)).alias("shard"),
         "sample_key",
-        "model_name",
-        event_time,
+        expert.alias("expert"),
         F.col(metric).alias("value"),
+        event_time,
         F.unix_millis(F.col(event_time)).alias("at_ms"),
     )
-    return rows.groupBy("sample_key").applyInPandasWithState(
-        step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    out = "sample_key string, status string, oracle_model string, oracle_value double, " + ", ".join(f"`{e}` double" for e in names)
+    return rows.groupBy("shard").transformWithStateInPandas(TimedLabels(names, wait_ms), out, "Append", "EventTime")
 
 
-def _label_row(key, status, model, value, seen, names) -> pd.DataFrame:
-    row = {"sample_key": key, "status": status, "oracle_model": model, "oracle_value": value, **dict(zip(names, seen))}
-    return pd.DataFrame([row]).astype({"oracle_value": float, **{n: float for n in names}})
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own choice stands again afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def split_late(rows: DataFrame, event_time: str, delay: str, dst: str, late_dst: str, checkpoint: str) -> StreamingQuery:
+    """Append rows of a stream to ``dst``, and rows behind the watermark to ``late_dst``.
+
+    The watermark of a batch is the largest event time of all earlier batches less ``delay``, as in Spark's own stateful
+    operators, which would drop the late rows without a trace; a row without event time is late. The largest time of every
+    batch is a file under the checkpoint and rows lie in a folder per batch, so a batch that is repeated after a
+    failure is split and written as before.
+    """
+    marks = f"{checkpoint}/times"
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        seen = batch.agg(F.max(event_time).alias("latest")).withColumn("epoch", F.lit(epoch))
+        seen.write.mode("overwrite").parquet(f"{marks}/batch={epoch}")
+        earlier = spark.read.schema("latest timestamp, epoch long, batch long").parquet(marks).filter(F.col("batch") < epoch)
+        mark = earlier.agg((F.max("latest") - F.expr(f"interval {delay}")).alias("mark")).first()["mark"]
+        on_time = F.col(event_time).isNotNull() & (F.lit(True) if mark is None else F.col(event_time) >= F.lit(mark))
+        batch.filter(on_time).write.mode("overwrite").parquet(f"{dst}/batch={epoch}")
+        batch.filter(~on_time).write.mode("overwrite").parquet(f"{late_dst}/batch={epoch}")
+
+    return rows.writeStream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(split).trigger(availableNow=True).start()
 
 
 def stream_route(features: DataFrame, router: LinearRouter, rules: DataFrame, experts: Sequence[str]) -> DataFrame:
