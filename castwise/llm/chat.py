@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
@@ -204,18 +204,25 @@ def _role_of(line: Column) -> Column:
     return F.replace(F.replace(unescaped(line), F.lit("~1"), F.lit("\n")), F.lit("~0"), F.lit("~"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside functions over lists, which compute what they mention for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(lengths: Column) -> Column:
     """Sums of all earlier lengths; by chunks, so that long lists do not take quadratic time."""
     zero, add = F.lit(0).cast("long"), lambda a, b: a + b
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(CHUNK)), lambda s: s + 1)
-    sums = F.transform(starts, lambda s: F.aggregate(F.slice(lengths, s, CHUNK), zero, add))
-    before = F.aggregate(sums, F.array(zero), lambda all_, s: F.concat(all_, F.array(F.element_at(all_, -1) + s)))
 
-    def total(_: Column, i: Column) -> Column:
-        first = i - i % CHUNK
-        return F.get(before, (first / CHUNK).cast("int")) + F.aggregate(F.slice(lengths, first + 1, i % CHUNK), zero, add)
+    def chunk_starts(sizes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(CHUNK))
+        sums = F.transform(starts, lambda s: F.aggregate(F.slice(sizes, s, CHUNK), zero, add))
+        return F.aggregate(sums, F.array(zero), lambda found, s: F.concat(found, F.array(F.element_at(found, -1) + s)))
+
+    def totals(sizes: Column, before: Column) -> Column:
+        within = lambda i: F.aggregate(F.slice(sizes, i - i % CHUNK + 1, i % CHUNK), zero, add)
+        return F.transform(sizes, lambda _, i: F.get(before, F.floor(i / CHUNK).cast("int")) + within(i))
 
-    return F.transform(lengths, total)
+    return _let(lengths, lambda sizes: _let(chunk_starts(sizes), lambda before: totals(sizes, before)))
 
 
 def formatted(turns: DataFrame, turns_col: str = "turns", loss_roles: Sequence[str] = LOSS_ROLES) -> DataFrame:
@@ -236,17 +243,16 @@ def formatted(turns: DataFrame, turns_col: str = "turns", loss_roles: Sequence[s
 
 def segments(text: Column) -> Column:
     """The turns of a formatted text with their marks, but without the closing one."""
-    parts = F.split(text, re.escape(END.rstrip("\n")) + "\n", -1)
-    return F.slice(parts, 1, F.size(parts) - 1)
+    return _let(F.split(text, re.escape(END.rstrip("\n")) + "\n", -1), lambda parts: F.slice(parts, 1, F.size(parts) - 1))
 
 
 def read_back(text: Column) -> Column:
     """Turns (role, text) parsed from a formatted text."""
 
     def turn(part: Column) -> Column:
-        line = F.substring_index(part, "\n", 1)
-        body = F.substring(part, F.length(line) + 2, F.length(part))
-        return F.struct(_role_of(F.substring(line, len(START) + 1, F.length(line))).alias("role"), unescaped(body).alias("text"))
+        at = F.locate("\n", part)
+        role = _role_of(F.substring(part, F.lit(len(START) + 1), at - len(START) - 1))
+        return F.struct(role.alias("role"), unescaped(F.substring(part, at + 1, F.length(part))).alias("text"))
 
     return F.transform(segments(text), turn)
 
