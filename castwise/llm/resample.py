@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import zlib
 
@@ -101,14 +102,14 @@ def scan(data: bytes):
     """For every block of ``data`` (lower-cased, other bytes spaces) its words in order: end, CRC, CRC behind a space, length with the space."""
     for lo, hi in _blocks(data):
         text = data[lo:hi].decode("latin-1")
-        words = sorted(set(text.split(" ")) - {""})
+        words = list(set(text.split(" ")) - {""})
         if not words:
             continue
         automaton = ahocorasick.Automaton()
         for i, word in enumerate(words):
             automaton.add_word(f" {word} ", i)
         automaton.make_automaton()
-        hits = np.fromiter(automaton.iter(f" {text} "), np.dtype((np.int64, 2)))
+        hits = np.fromiter(itertools.chain.from_iterable(automaton.iter(f" {text} ")), np.int64).reshape(-1, 2)
         raw = [word.encode("latin-1") for word in words]
         crc = np.array([zlib.crc32(w) for w in raw], np.uint32)
         spaced = np.array([zlib.crc32(b" " + w) for w in raw], np.uint32)
