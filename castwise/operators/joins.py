@@ -40,6 +40,34 @@ def strict_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> Dat
     return joined.withColumn(first, key).filter(F.col(first).isNotNull()).drop("_a", "_b", *[f"_r_{k}" for k in rest])
 
 
+def stored_strict_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> DataFrame:
+    """:func:`strict_join` for stored tables bucketed alike on the sample key: neither side is shuffled, and the result keeps the buckets.
+
+    A full outer join would lose them, so this is a left join that fails on rows of ``a`` without exactly one partner;
+    add :func:`no_others` to the end result for rows of ``b`` that ``a`` lacks.
+    """
+    on = ["sample_key"] if "sample_key" in keys else list(keys)
+    rest = [k for k in keys if k not in on]
+    per_key = W.partitionBy(*on)
+    left = a.withColumn("_a", F.count(F.lit(1)).over(per_key))
+    right = b.withColumn("_b", F.count(F.lit(1)).over(per_key)).withColumnsRenamed({k: f"_r_{k}" for k in rest})
+    both = (F.col("_a") == 1) & F.coalesce(F.col("_b") == 1, F.lit(False))
+    for k in rest:
+        both = both & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    said = F.concat(F.lit("not one partner in strict join: "), F.col(on[0]).cast("string"))
+    joined = left.join(right, on, "left").filter(F.when(both, True).otherwise(F.raise_error(said).cast("boolean")))
+    return joined.drop("_a", "_b", *[f"_r_{k}" for k in rest])
+
+
+def no_others(result: DataFrame, b: DataFrame, a: DataFrame, key: str = "sample_key") -> DataFrame:
+    """``result``, failing when ``b`` has a key that ``a`` lacks. Reads the keys of both once more, in their buckets."""
+    others = b.select(key).join(a.select(key), key, "left_anti")
+    said = F.concat(F.lit("not one partner in strict join: "), F.col(key).cast("string"))
+    kinds = {f.name: f.dataType for f in result.schema}
+    nothing = [(F.raise_error(said) if c == key else F.lit(None)).cast(kinds[c]).alias(c) for c in result.columns]
+    return result.unionByName(others.select(*nothing))
+
+
 def strict_join_report(a: DataFrame, b: DataFrame, keys: Sequence[str] = STABLE) -> DataFrame:
     """Rows matched and rows missing a partner on either side, in one pass."""
     left = a.select(*keys).withColumn("_a", F.lit(1))
@@ -139,13 +167,18 @@ def stack_experts(forecasts: DataFrame, experts: Sequence[str], values: Sequence
 
 
 def fusion_input(
-    features: DataFrame, labels: DataFrame, forecasts: DataFrame, experts: Sequence[str], feature_cols: Sequence[str]
+    features: DataFrame, labels: DataFrame, forecasts: DataFrame, experts: Sequence[str], feature_cols: Sequence[str], bucketed: bool = False
 ) -> DataFrame:
     """Features x label x all expert arrays, one wide row per sample.
 
     ``errors`` and ``y_preds`` are arrays in expert order, so expert names never meet
-    feature names.
+    feature names. With ``bucketed``, all three are tables bucketed alike on the sample key and nothing is shuffled.
     """
     lab = labels.select(*STABLE, "oracle_model", "oracle_value", F.array(*[F.col(e) for e in experts]).alias("errors"))
-    joined = strict_join(features.select(*STABLE, *feature_cols), lab)
-    return strict_join(joined, stack_experts(forecasts, experts), ["sample_key"])
+    slim = features.select(*STABLE, *feature_cols)
+    stacked = stack_experts(forecasts, experts)
+    if not bucketed:
+        return strict_join(strict_join(slim, lab), stacked, ["sample_key"])
+    joined = stored_strict_join(stored_strict_join(slim, lab), stacked, ["sample_key"])
+    known = forecasts.filter(F.col("model_name").isin(list(experts)))
+    return no_others(no_others(joined, labels, features), known, features)

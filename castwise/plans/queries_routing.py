@@ -94,19 +94,15 @@ FUSION = {
 }
 
 
-@query(
-    "f6_fusion_input",
-    f"""SELECT {STABLE_SQL}, oracle_model, oracle_value, mean, std, len(y_preds) AS expert_count, error_check,
+F6_SQL = f"""SELECT {STABLE_SQL}, oracle_model, oracle_value, mean, std, len(y_preds) AS expert_count, error_check,
                list_sum(list_transform(range(1, len(y_preds) + 1), lambda i: i * list_sum(y_preds[i]))) AS pred_check, list_sum(y_true) AS true_sum
         FROM feat4 JOIN stacked USING (sample_key)
         JOIN (SELECT sample_key, oracle_model, oracle_value, {" + ".join(f"{i + 1} * {e}" for i, e in enumerate(EXPERTS))} AS error_check
-              FROM labels WHERE metric = 'mae') USING (sample_key)""",
-    ["oracle_value", "error_check", "mean", "std", "pred_check", "true_sum"],
-    FUSION,
-)
-def _(ws):
-    lab = keys.for_metric(ws.labels(), "mae")
-    wide = joins.fusion_input(ws.features(), lab, ws.forecasts(), EXPERTS, ["mean", "std"])
+              FROM labels WHERE metric = 'mae') USING (sample_key)"""
+F6_DOUBLES = ["oracle_value", "error_check", "mean", "std", "pred_check", "true_sum"]
+
+
+def _fusion_checks(wide):
     check = asum(F.transform("y_preds", lambda a, i: (i + 1) * asum(a)))
     return wide.select(
         *STABLE,
@@ -121,6 +117,19 @@ def _(ws):
     )
 
 
+@query("f6_fusion_input", F6_SQL, F6_DOUBLES, FUSION)
+def _(ws):
+    lab = keys.for_metric(ws.labels(), "mae")
+    return _fusion_checks(joins.fusion_input(ws.features(), lab, ws.forecasts(), EXPERTS, ["mean", "std"]))
+
+
+@query("f6_fusion_input_bucketed", F6_SQL, F6_DOUBLES, FUSION)
+def _(ws):
+    """The same from tables bucketed on the sample key: no row is shuffled."""
+    lab = keys.for_metric(ws.bucketed("labels"), "mae")
+    return _fusion_checks(joins.fusion_input(ws.bucketed("features"), lab, ws.bucketed("forecasts"), EXPERTS, ["mean", "std"], bucketed=True))
+
+
 @query(
     "f8_relative_to",
     """SELECT model, config_name, MAE, (b - MAE) / b AS gain FROM (SELECT model, config_name, avg(MAE) AS MAE FROM items GROUP BY ALL)

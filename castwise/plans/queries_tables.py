@@ -86,14 +86,14 @@ def _(ws):
     "a7_unpack_arrays",
     f"""SELECT sample_key, row_index, list_sum(y) AS sum_y FROM (
           SELECT sample_key, CAST(list_position([{NAMES_SQL}], model_name) - 1 AS INTEGER) AS row_index, y_pred AS y
-          FROM forecasts WHERE split = 'test')""",
+          FROM forecasts)""",
     ["sum_y"],
 )
 def _(ws):
     from castwise.functions.columns import asum
     from castwise.operators.joins import stack_experts
 
-    packed = stack_experts(keys.for_split(ws.forecasts(), "test"), EXPERTS).select("sample_key", "y_preds")
+    packed = stack_experts(ws.forecasts(), EXPERTS).select("sample_key", "y_preds")
     return evals.unpack_arrays(packed, "y_preds").select("sample_key", "row_index", asum(F.col("y")).alias("sum_y"))
 
 
@@ -105,7 +105,7 @@ def _(ws):
 )
 def _(ws):
     path = f"{ws.root}/sink-{uuid.uuid4().hex}"
-    tables.write_table(ws.labels(), path, ["config_name", "split"])
+    tables.write_table(ws.labels(), path, ["config_name", "split"], files=4)
     rows = ws.spark.read.schema(ws.labels().schema).parquet(path)
     return rows.groupBy("config_name", "split", "metric").agg(
         F.count(F.lit(1)).alias("row_count"), F.avg("oracle_value").alias("oracle_value")
@@ -114,12 +114,10 @@ def _(ws):
 
 @query(
     "a8_write_bucketed",
-    "SELECT model_name, count(*) AS sample_count FROM forecasts WHERE split = 'test' GROUP BY ALL",
+    "SELECT model_name, count(*) AS sample_count FROM forecasts GROUP BY ALL",
 )
 def _(ws):
-    name = f"cw_{uuid.uuid4().hex}"
-    tables.write_bucketed(keys.for_split(ws.forecasts(), "test"), name, f"{ws.root}/{name}", ["sample_key"], SHARDS)
-    pairs = ws.spark.table(name).groupBy("sample_key", "model_name").agg(F.count(F.lit(1)).alias("n"))
+    pairs = ws.bucketed("forecasts").groupBy("sample_key", "model_name").agg(F.count(F.lit(1)).alias("n"))
     return pairs.groupBy("model_name").agg(F.count(F.lit(1)).alias("sample_count"))
 
 
@@ -132,7 +130,7 @@ def _(ws):
     from castwise.operators.sampling import shard_by_key_rank
 
     path = f"{ws.root}/shards-{uuid.uuid4().hex}"
-    tables.write_table(shard_by_key_rank(ws.samples(), SHARDS), path, ["shard"])
+    tables.write_table(shard_by_key_rank(ws.samples(), SHARDS), path, ["shard"], files=1)
     return tables.shard_index(ws.spark.read.parquet(path), SHARDS, path).drop("path")
 
 
@@ -381,7 +379,7 @@ def _(ws):
     f = ws.forecasts()
     parts = [f.filter(F.col("model_name") == e) for e in EXPERTS]
     parts.append(parts[0].filter("window_index = 0"))  # a repeated tail
-    merged = incremental.merge_shards(parts, ws.samples())
+    merged = incremental.merge_shards(parts, ws.samples(), EXPERTS)
     return merged.select("sample_key", "model_name", "mae", "mse")
 
 
@@ -440,6 +438,24 @@ def _(ws):
     return incremental.append_new(existing, batch, ws.samples())
 
 
+PARTS = ["config_name", "split", "dataset_name"]
+
+
+@query(
+    "m4_redo_partial",
+    f"""SELECT sample_key, mean + CASE WHEN dataset_name = 'ITEMS_1W' THEN 0.5 ELSE 0 END AS mean FROM feat4""",
+    ["mean"],
+)
+def _(ws):
+    """A stored table whose event groups hold one channel only: they are built again in place, complete groups keep what they hold."""
+    f = ws.features().select("sample_key", "channel_id", *PARTS, "mean")
+    path = f"{ws.root}/partial-{uuid.uuid4().hex}"
+    tables.write_table(f.filter(DONE_SQL).withColumn("mean", F.col("mean") + 0.5), path, PARTS, files=2)
+    stored = ws.spark.read.schema(f.schema).parquet(path).select(*f.columns)
+    incremental.redo_partial(stored, path, ws.samples(), lambda todo: f.join(todo.select("sample_key"), "sample_key", "left_semi"), PARTS, 2)
+    return ws.spark.read.schema(f.schema).parquet(path).select("sample_key", "mean")
+
+
 # --- sort and limit ------------------------------------------------------------------
 
 

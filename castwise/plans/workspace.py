@@ -14,7 +14,7 @@ from castwise.operators.joins import enrich
 from castwise.operators.oracle import oracle_labels
 from castwise.plans import derived
 from castwise.session import shared_dir
-from castwise.sources.tables import write_table
+from castwise.sources.tables import write_bucketed, write_table
 
 PARTITIONS = ["config_name", "split"]
 
@@ -95,6 +95,16 @@ class Workspace:
         """The forecast table with known faults in it."""
         return self.stored("faulty", lambda: derived.faulty_from(self.forecasts()), PARTITIONS)
 
+    def bucketed(self, name: str, buckets: int = 8) -> DataFrame:
+        """The named table bucketed and sorted on the sample key, written on first use."""
+        table = f"castwise_{hashlib.sha1(f'{self.root}/{name}'.encode()).hexdigest()[:16]}"
+        with self._lock:
+            if table not in self._schemas:
+                df = getattr(self, name)()
+                write_bucketed(df, table, f"{self.root}/bucketed-{name}", ["sample_key"], buckets)
+                self._schemas[table] = df.schema
+        return self.spark.table(table)
+
     def path(self, name: str) -> str:
         getattr(self, name)()
         return f"{self.root}/{name}"

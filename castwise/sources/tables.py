@@ -29,18 +29,41 @@ def read_features(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths).withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """zstd Parquet sink, partitioned so that config and split filters prune folders."""
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", files: int | None = None, spread: str = "sample_key"
+) -> None:
+    """zstd Parquet sink, partitioned so that config and split filters prune folders.
+
+    ``files`` bounds the files of a folder: rows are dealt by folder and, so that a folder with most rows is
+    written by as many tasks, by the hash of ``spread``. Without it every task may leave a file in every folder.
+    """
+    if files:
+        dealt = [F.col(c) for c in partition_by] + ([F.pmod(F.xxhash64(spread), F.lit(files))] if files > 1 else [])
+        df = df.repartition(*dealt) if dealt else df.repartition(files)
     writer = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def replace_groups(df: DataFrame, path: str, group: Sequence[str], files: int = 1) -> None:
+    """Replaces exactly the folders of a stored table that ``df`` has rows of; all others keep their files.
+
+    ``group`` are the columns the table is partitioned by, in their order. ``df`` must not read the table it replaces.
+    """
+    dealt = [F.col(c) for c in group] + ([F.pmod(F.xxhash64("sample_key"), F.lit(files))] if files > 1 else [])
+    writer = df.repartition(*dealt).write.mode("overwrite").option("compression", "zstd")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*group).parquet(path)
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Sink bucketed and sorted on the join keys: later joins and groupings on them need no shuffle."""
+    """Sink bucketed and sorted on the join keys: later joins and groupings on them need no shuffle.
+
+    Rows are dealt to the buckets before they are written, so there is one file a bucket.
+    """
     (
-        df.write.mode("overwrite")
+        df.repartition(buckets, *keys)
+        .write.mode("overwrite")
         .option("compression", "zstd")
         .option("path", path)
         .bucketBy(buckets, *keys)
@@ -50,10 +73,13 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], bu
 
 
 def write_sharded(df: DataFrame, path: str, shards: int, key: str = "sample_key") -> DataFrame:
-    """Write ``shards`` folders by key hash; returns the shard index (shard, rows, path)."""
+    """Write ``shards`` folders of one file each by key hash; returns the shard index (shard, rows, path).
+
+    Take as many shards as keep one within a task: the hash spreads keys evenly, and a sample is one row.
+    """
     spark = df.sparkSession
     sharded = df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-    write_table(sharded, path, ["shard"])
+    write_table(sharded, path, ["shard"], files=1)
     written = spark.read.parquet(path)
     return shard_index(written, shards, path)
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from castwise.operators import fusion, incremental, joins, oracle, ordering, sampling
+from castwise.schemas import STABLE
+from castwise.sources import tables
 from castwise.sources.panel import read_panel, share_bounds
 
 FORECASTS = "sample_key string, model_name string, mae double, mse double"
@@ -99,3 +101,95 @@ def test_strategy_names():
     assert names == ["soft_T0p5", "raw_soft", "top1_hard", "top2_fusion_T0p5", "top2_fusion"]
     with pytest.raises(ValueError):
         fusion.strategies([0.0])
+
+
+SHARD = "sample_key string, model_name string, config_name string, y_true array<double>, y_pred array<double>"
+
+
+def shard(spark, rows):
+    return spark.createDataFrame(rows, SHARD)
+
+
+GOOD = [("s", "a", "c", [1.0], [2.0]), ("t", "a", "c", [3.0], [2.0])], [("s", "b", "c", [1.0], [0.0]), ("t", "b", "c", [3.0], [0.0])]
+
+
+@pytest.mark.parametrize(
+    "rows, said",
+    [
+        ([("s", "b", "c", [1.5], [0.0]), ("t", "b", "c", [3.0], [0.0])], "truth differs: s"),
+        ([("s", "b", "c", [1.0], [0.0]), ("t", "b", "d", [3.0], [0.0])], "metadata differ: t"),
+        ([("s", "b", "c", [1.0], [0.0])], "an expert is missing: t"),
+        ([*GOOD[1], ("s", "z", "c", [1.0], [0.0])], "an expert is unknown: s"),
+        ([*GOOD[1], ("s", "b", "c", [1.0], [9.0])], "rows of one expert differ: s"),
+    ],
+)
+def test_bad_shards_stop_the_merge(spark, rows, said):
+    samples = spark.createDataFrame([("s", "c"), ("t", "c")], "sample_key string, config_name string")
+    with pytest.raises(Exception, match=said):
+        incremental.merge_shards([shard(spark, GOOD[0]), shard(spark, rows)], samples, ["a", "b"]).collect()
+    bad = shard(spark, [*GOOD[0], *rows])
+    report = {r.check: r.violations for r in incremental.merge_report(bad, "a", ["a", "b"]).collect()}
+    assert sum(report.values()) == 1
+
+
+def test_merge_drops_foreign_and_repeated_rows(spark):
+    parts = [shard(spark, [*GOOD[0], GOOD[0][0], ("x", "a", "c", [9.0], [9.0])]), shard(spark, GOOD[1])]
+    samples = spark.createDataFrame([("s", "c"), ("t", "c")], "sample_key string, config_name string")
+    got = sorted(map(tuple, incremental.merge_shards(parts, samples, ["a", "b"]).collect()))
+    assert got == sorted(GOOD[0] + GOOD[1])
+    assert incremental.merge_shards([shard(spark, p) for p in GOOD], samples).count() == 4
+    other = spark.createDataFrame([("s", "c"), ("t", "other")], "sample_key string, config_name string")
+    with pytest.raises(Exception, match="metadata differ: t"):
+        incremental.merge_shards([shard(spark, p) for p in GOOD], other).collect()
+
+
+def test_redo_leaves_files_of_complete_groups(spark, tmp_path):
+    kind = "sample_key string, g string, v double"
+    rows = [(f"{g}{i}", g, float(i)) for g in "abc" for i in range(4)]
+    all_rows = spark.createDataFrame(rows, kind)
+    path = str(tmp_path / "t")
+    held = all_rows.filter("NOT (g = 'b' AND v > 1) AND g <> 'c'").withColumn("v", F.col("v") + 100)
+    tables.write_table(held, path, ["g"], files=1)
+
+    def files(g):
+        return {(f.name, f.stat().st_mtime_ns) for f in (tmp_path / "t" / f"g={g}").glob("*.parquet")}
+
+    before, stored = files("a"), spark.read.schema(kind).parquet(path).select("sample_key", "g", "v")
+    redone = incremental.redo_partial(stored, path, all_rows.select("sample_key", "g"), lambda todo: all_rows.join(todo.select("sample_key"), "sample_key"), ["g"])
+    assert sorted({r.g for r in redone.collect()}) == ["b", "c"] and files("a") == before and len(files("b")) == 1
+    got = {r.sample_key: r.v for r in spark.read.schema(kind).parquet(path).collect()}
+    assert got == {k: v + (100 if g == "a" else 0) for k, g, v in rows}
+    stored = spark.read.schema(kind).parquet(path).select("sample_key", "g", "v")
+    with pytest.raises(Exception, match="not one partner"):  # a build that loses a key
+        incremental.redo_partial(stored.filter("g <> 'c'"), path, all_rows.select("sample_key", "g"), lambda todo: all_rows.filter("v > 0"), ["g"])
+    with pytest.raises(ValueError, match="no samples"):
+        incremental.redo_partial(stored, path, all_rows.filter("g <> 'a'"), lambda todo: all_rows, ["g"])
+
+
+def test_bucketed_fusion_has_no_exchange(spark, tmp_path):
+    experts, n = ["a", "b"], 40
+    base = spark.range(n).select(F.concat(F.lit("s"), "id").alias("sample_key"), *[F.lit("x").alias(c) for c in STABLE[1:]], F.col("id").cast("double").alias("f"))
+    labels = base.withColumns({"oracle_model": F.lit("a"), "oracle_value": F.lit(1.0), "a": F.lit(1.0), "b": F.lit(2.0)}).drop("f")
+    forecasts = base.select("sample_key", F.explode(F.array(*[F.lit(e) for e in experts])).alias("model_name"), F.array("f").alias("y_true"), F.array("f").alias("y_pred"))
+
+    def stored(df, name):
+        name = f"t_{name}_{tmp_path.name}"
+        tables.write_bucketed(df, name, str(tmp_path / name), ["sample_key"], 4)
+        assert len(list((tmp_path / name).glob("*.parquet"))) == 4
+        return spark.table(name)
+
+    few = stored(base.filter("f < 5"), "few")
+    f, lab, fc = stored(base, "f"), stored(labels, "l"), stored(forecasts, "fc")
+    wide = joins.fusion_input(f, lab, fc, experts, ["f"], bucketed=True)
+    plain = joins.fusion_input(base, labels, forecasts, experts, ["f"])
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, plain.select(*wide.columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large tables
+    try:
+        large = joins.fusion_input(f, lab, fc, experts, ["f"], bucketed=True)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    for args in ((few, lab, fc), (f, lab.filter("sample_key <> 's3'"), fc), (f, lab, fc.filter("sample_key <> 's3'"))):
+        with pytest.raises(Exception, match="not one partner"):
+            joins.fusion_input(*args, experts, ["f"], bucketed=True).collect()
