@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from castwise.functions.columns import ratio, softmax
 from castwise.schemas import STABLE
-from castwise.session import lookup_table
+from castwise.session import lookup_table, written
 
 
 # --- scaler and class weights ---------------------------------------------------
@@ -110,13 +110,24 @@ def score_routers(routers: dict[str, LinearRouter], features: DataFrame, split:
 # --- hard-label logistic router ------------------------------------------------
 
 
+@dataclass
+class LogisticFit:
+    """Spark ML model, mean loss without penalty, largest gradient entry with it, and training rows."""
+
+    model: object
+    loss: float
+    gradient_norm: float
+    rows: int
+
+
 def fit_logistic_router(
-    features: DataFrame, labels: DataFrame, cols: Sequence[str], experts: Sequence[str], max_iter: int = 100
-) -> tuple[DataFrame, object]:
+    features: DataFrame, labels: DataFrame, cols: Sequence[str], experts: Sequence[str], max_iter: int = 100, tol: float = 1e-6
+) -> tuple[DataFrame, LogisticFit]:
     """Multinomial logistic regression of the oracle expert on the features, one config.
 
-    Returns the routed test rows and the Spark ML model.  Penalty and class weights
-    follow the usual balanced setting with unit inverse penalty.
+    Returns the routed test rows and the fit.  Penalty and class weights
+    follow the usual balanced setting with unit inverse penalty.  The gradient at the end is summed once more over the
+    training rows, so that convergence is told by the objective and not by the solver.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
@@ -136,19 +147,29 @@ def fit_logistic_router(
         .join(lookup_table(weights.select("config_name", "oracle_model", "class_weight"), "weights"), ["config_name", "oracle_model"])
         .select(vec, "label", "class_weight")
     )
+    train = written(train, "logistic")
+    penalty = 1.0 / seen["n"]
     lr = LogisticRegression(
         featuresCol="x",
         labelCol="label",
         weightCol="class_weight",
         family="multinomial",
         maxIter=max_iter,
-        regParam=1.0 / seen["n"],
+        regParam=penalty,
         standardization=False,
+        tol=tol,
     )
     model = lr.fit(train)
+    # classes that vali lacks have no weight in the sums below, as in the fit
+    coef = model.coefficientMatrix.toArray().T
+    net = NetRouter(list(experts), np.zeros(len(cols)), np.ones(len(cols)), [coef, model.interceptVector.toArray()])
+    rows = train.select(vector_to_array("x").alias("x"), F.col("label").cast("int").alias("label"), "class_weight")
+    loss, g = _evaluate(rows, net, _class_batch(net.center, net.scale), _flat(net.params))
+    g[: coef.size] += penalty * coef.ravel()
+    fit = LogisticFit(model, loss, float(np.abs(g).max()), int(seen["n"]))
     test = data.filter(F.col("split") == "test").select(*STABLE, vec)
     out = model.transform(test)
-    return out.select(*STABLE, vector_to_array("probability").alias("weights")), model
+    return out.select(*STABLE, vector_to_array("probability").alias("weights")), fit
 
 
 def per_config(fn: Callable[[str], DataFrame], df: DataFrame) -> DataFrame:
@@ -169,21 +190,31 @@ class NetRouter:
     scale: np.ndarray
     params: list[np.ndarray]
     history: list[float] = field(default_factory=list)
+    steps: int = 0
+    moments: tuple[np.ndarray, np.ndarray] | None = None  # of Adam, to go on from
+    gradient_norm: float = float("nan")  # largest entry, penalty included, at ``params``
+    converged: bool = False
 
 
-def _forward(params: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden activations (or x) and softmax weights."""
-    h = x
+def _forward(params: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden activations (or x), their slopes, and softmax weights.
+
+    The activation is the Gaussian error unit in its tanh form: smooth, so that a gradient can reach zero.
+    """
+    h, slope = x, np.ones(1)
     if len(params) == 4:
-        h = np.maximum(x @ params[0] + params[1], 0.0)
+        u = x @ params[0] + params[1]
+        t = np.tanh(0.7978845608028654 * (u + 0.044715 * u**3))
+        h = 0.5 * u * (1 + t)
+        slope = 0.5 * (1 + t) + 0.5 * u * (1 - t * t) * 0.7978845608028654 * (1 + 3 * 0.044715 * u * u)
     z = h @ params[-2] + params[-1]
     e = np.exp(z - z.max(axis=1, keepdims=True))
-    return h, e / e.sum(axis=1, keepdims=True)
+    return h, slope, e / e.sum(axis=1, keepdims=True)
 
 
 def _fusion_gradient(params, x, preds, true, q, beta: float, lam: float) -> tuple[list[np.ndarray], float]:
     """Summed loss and gradient of one batch: SmoothL1 of the fused forecast + lam * KL(q || weights)."""
-    h, w = _forward(params, x)
+    h, bend, w = _forward(params, x)
     err = np.einsum("bm,bmt->bt", w, preds) - true
     small = np.abs(err) < beta
     loss = np.where(small, 0.5 * err**2 / beta, np.abs(err) - 0.5 * beta).mean(axis=1).sum()
@@ -193,24 +224,24 @@ def _fusion_gradient(params, x, preds, true, q, beta: float, lam: float) -> tupl
     if lam:
         loss += lam * (q * (np.log(np.maximum(q, 1e-300)) - np.log(np.maximum(w, 1e-300)))).sum()
         gz = gz + lam * (w - q)
-    return _backward(params, x, h, gz), float(loss)
+    return _backward(params, x, h, bend, gz), float(loss)
 
 
 def _class_gradient(params, x, y, row_weight) -> tuple[list[np.ndarray], float]:
     """Summed weighted cross-entropy and gradient of one batch."""
-    h, w = _forward(params, x)
+    h, bend, w = _forward(params, x)
     rows = np.arange(len(y))
     loss = -(row_weight * np.log(np.maximum(w[rows, y], 1e-300))).sum()
     gz = w.copy()
     gz[rows, y] -= 1.0
     gz *= row_weight[:, None]
-    return _backward(params, x, h, gz), float(loss)
+    return _backward(params, x, h, bend, gz), float(loss)
 
 
-def _backward(params, x, h, gz) -> list[np.ndarray]:
+def _backward(params, x, h, bend, gz) -> list[np.ndarray]:
     out = [h.T @ gz, gz.sum(axis=0)]
     if len(params) == 4:
-        gh = (gz @ params[2].T) * (h > 0)
+        gh = (gz @ params[2].T) * bend
         out = [x.T @ gh, gh.sum(axis=0), *out]
     return out
 
@@ -254,33 +285,111 @@ def _distributed_sum(data: DataFrame, params: list[np.ndarray], batch_gradient)
     return out
 
 
-def _adam(data: DataFrame, params: list[np.ndarray], batch_gradient, epochs: int, lr: float, decay: float = 0.0):
-    """Full-batch Adam; returns fitted parameters and the loss of every epoch."""
-    theta = _flat(params)
-    shapes = [p.shape for p in params]
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
-    history: list[float] = []
-
-    def split(flat: np.ndarray) -> list[np.ndarray]:
-        out, at = [], 0
-        for s in shapes:
-            size = int(np.prod(s))
-            out.append(flat[at : at + size].reshape(s))
-            at += size
-        return out
-
-    for t in range(1, epochs + 1):
-        total = _distributed_sum(data, split(theta), batch_gradient)
-        if len(total) == 0:
-            raise ValueError("no training rows")
-        g, n = total[:-2] / total[-1], total[-1]
-        history.append(float(total[-2] / n))
+def _unflatten(flat: np.ndarray, shapes: Sequence[Sequence[int]]) -> list[np.ndarray]:
+    out, at = [], 0
+    for shape in shapes:
+        size = int(np.prod(shape))
+        out.append(flat[at : at + size].reshape(shape))
+        at += size
+    return out
+
+
+def _evaluate(data: DataFrame, net: NetRouter, batch_gradient, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss and gradient at ``theta``: one pass over the data."""
+    total = _distributed_sum(data, _unflatten(theta, [p.shape for p in net.params]), batch_gradient)
+    if len(total) == 0:
+        raise ValueError("no training rows")
+    return float(total[-2] / total[-1]), total[:-2] / total[-1]
+
+
+def _adam(data: DataFrame, net: NetRouter, batch_gradient, epochs: int, lr: float, decay: float = 0.0) -> NetRouter:
+    """``epochs`` more full-batch Adam steps; a net that was stored goes on with its moments and step number."""
+    theta, shapes = _flat(net.params), [p.shape for p in net.params]
+    m, v = net.moments or (np.zeros_like(theta), np.zeros_like(theta))
+    history = list(net.history)
+    for t in range(net.steps + 1, net.steps + epochs + 1):
+        loss, g = _evaluate(data, net, batch_gradient, theta)
+        history.append(loss)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         step = (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta = theta * (1 - lr * decay) - lr * step
-    return split(theta), history
+    return replace(net, params=_unflatten(theta, shapes), history=history, steps=net.steps + epochs, moments=(m, v))
+
+
+CURVATURE_PAIRS = 10
+
+
+def _quasi_newton(data: DataFrame, net: NetRouter, batch_gradient, most: int, tol: float, penalty: float = 0.0) -> NetRouter:
+    """Limited-memory BFGS with a line search on the same gradient sums, until no entry of the gradient exceeds ``tol``.
+
+    The objective is the mean loss and ``penalty / 2`` times the squared parameters. Every evaluation is one pass over the data;
+    the driver holds ``CURVATURE_PAIRS`` pairs of parameter size. Ending at ``most`` steps, or where no step lowers
+    the objective, leaves ``converged`` false.
+    """
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = _evaluate(data, net, batch_gradient, theta)
+        return loss + 0.5 * penalty * float(theta @ theta), g + penalty * theta
+
+    theta = _flat(net.params)
+    value, g = at(theta)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    history, steps = [*net.history, value], 0
+    while np.abs(g).max() > tol and steps < most:
+        direction = -_two_loop(pairs, g)
+        if not pairs:
+            direction /= max(1.0, float(np.linalg.norm(g)))
+        found = _line_search(at, theta, value, g, direction)
+        if found is None and pairs:  # the curvature misleads: begin anew along the gradient
+            pairs = []
+            continue
+        if found is None:
+            break
+        new, value, new_g = found
+        s, y = new - theta, new_g - g
+        if float(s @ y) > 1e-12 * float(y @ y):
+            pairs = [*pairs, (s, y)][-CURVATURE_PAIRS:]
+        theta, g, steps = new, new_g, steps + 1
+        history.append(value)
+    norm = float(np.abs(g).max())
+    params = _unflatten(theta, [p.shape for p in net.params])
+    return replace(net, params=params, history=history, steps=net.steps + steps, gradient_norm=norm, converged=norm <= tol)
+
+
+def _two_loop(pairs: list[tuple[np.ndarray, np.ndarray]], g: np.ndarray) -> np.ndarray:
+    """The inverse Hessian that the pairs describe, times ``g``."""
+    q, used = g.copy(), []
+    for s, y in reversed(pairs):
+        a = float(s @ q) / float(s @ y)
+        q -= a * y
+        used.append(a)
+    if pairs:
+        s, y = pairs[-1]
+        q *= float(s @ y) / float(y @ y)
+    for (s, y), a in zip(pairs, reversed(used)):
+        q += s * (a - float(y @ q) / float(s @ y))
+    return q
+
+
+def _line_search(at, theta: np.ndarray, value: float, g: np.ndarray, direction: np.ndarray, tries: int = 25):
+    """A step that lowers the objective enough and flattens the slope (weak Wolfe), by doubling and bisection."""
+    slope = float(g @ direction)
+    if slope >= 0:
+        return None
+    low, high, step, best = 0.0, np.inf, 1.0, None
+    for _ in range(tries):
+        new = theta + step * direction
+        new_value, new_g = at(new)
+        if not np.isfinite(new_value) or new_value > value + 1e-4 * step * slope:
+            high = step
+        else:
+            best = (new, new_value, new_g)
+            if float(new_g @ direction) >= 0.9 * slope:
+                return best
+            low = step
+        step = 2 * low if np.isinf(high) else (low + high) / 2
+    return best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -310,6 +419,26 @@ def _moments(data: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return center, scale
 
 
+def _fitted(data: DataFrame, net: NetRouter, batch, epochs: int, lr: float, decay: float, tol: float | None) -> NetRouter:
+    if tol is None:
+        return _adam(data, net, batch, epochs, lr, decay)
+    return _quasi_newton(data, net, batch, epochs, tol, decay)
+
+
+def _fusion_batch(center: np.ndarray, scale: np.ndarray, beta: float, tau: float, lam: float):
+    """Gradient sums of batches with ``x, y_preds, y_true, errors``."""
+
+    def batch(params, rows):
+        x = (_matrix(rows["x"]) - center) / scale
+        errors = _matrix(rows["errors"])
+        e = np.exp(-(errors - errors.min(axis=1, keepdims=True)) / tau)
+        q = e / e.sum(axis=1, keepdims=True)
+        grads, loss = _fusion_gradient(params, x, _cube(rows["y_preds"]), _matrix(rows["y_true"]), q, beta, lam)
+        return grads, loss, rows.num_rows
+
+    return batch
+
+
 def fit_fusion_router(
     data: DataFrame,
     experts: Sequence[str],
@@ -322,26 +451,26 @@ def fit_fusion_router(
     lam: float = 0.0,
     decay: float = 0.0,
     seed: int = 16,
+    tol: float | None = None,
+    resume: NetRouter | None = None,
 ) -> NetRouter:
     """Softmax router trained on the fused forecast error.
 
     ``data`` has ``x`` (inputs), ``y_preds``, ``y_true`` and ``errors`` (one per expert),
     and should be a written or persisted table: it is read once per epoch.  With
     ``hidden=0`` this is the linear fusor; ``lam > 0`` adds KL to the error softmax.
-    """
-    center, scale = _moments(data, dim)
-
-    def batch(params, rows):
-        x = (_matrix(rows["x"]) - center) / scale
-        errors = _matrix(rows["errors"])
-        e = np.exp(-(errors - errors.min(axis=1, keepdims=True)) / tau)
-        q = e / e.sum(axis=1, keepdims=True)
-        grads, loss = _fusion_gradient(params, x, _cube(rows["y_preds"]), _matrix(rows["y_true"]), q, beta, lam)
-        return grads, loss, rows.num_rows
 
-    sizes = [dim, hidden, len(experts)] if hidden else [dim, len(experts)]
-    params, history = _adam(data.select("x", "y_preds", "y_true", "errors"), _initial(sizes, seed), batch, epochs, lr, decay)
-    return NetRouter(list(experts), center, scale, params, history)
+    Without ``tol`` it takes ``epochs`` Adam steps; with it, quasi-Newton steps until no entry of the gradient exceeds
+    ``tol``, ``epochs`` at most (``converged`` tells), and ``decay`` is a penalty on squared parameters. ``resume`` is
+    a net fitted before: its inputs stay scaled as they were, and Adam goes on as if it had not stopped.
+    """
+    if resume:
+        start = resume
+    else:
+        center, scale = _moments(data, dim)
+        start = NetRouter(list(experts), center, scale, _initial([dim, hidden, len(experts)] if hidden else [dim, len(experts)], seed))
+    batch = _fusion_batch(start.center, start.scale, beta, tau, lam)
+    return _fitted(data.select("x", "y_preds", "y_true", "errors"), start, batch, epochs, lr, decay, tol)
 
 
 def fit_class_router(
@@ -353,12 +482,24 @@ def fit_class_router(
     lr: float = 0.05,
     decay: float = 0.0,
     seed: int = 16,
+    tol: float | None = None,
+    resume: NetRouter | None = None,
 ) -> NetRouter:
     """Softmax router trained on the oracle label with balanced class weights.
 
-    ``data`` has ``x``, ``label`` (expert position) and ``class_weight``.
+    ``data`` has ``x``, ``label`` (expert position) and ``class_weight``; ``tol`` and ``resume`` as for :func:`fit_fusion_router`.
     """
-    center, scale = _moments(data, dim)
+    if resume:
+        start = resume
+    else:
+        center, scale = _moments(data, dim)
+        start = NetRouter(list(experts), center, scale, _initial([dim, hidden, len(experts)] if hidden else [dim, len(experts)], seed))
+    batch = _class_batch(start.center, start.scale)
+    return _fitted(data.select("x", "label", "class_weight"), start, batch, epochs, lr, decay, tol)
+
+
+def _class_batch(center: np.ndarray, scale: np.ndarray):
+    """Gradient sums of batches with ``x, label, class_weight``."""
 
     def batch(params, rows):
         x = (_matrix(rows["x"]) - center) / scale
@@ -366,10 +507,21 @@ def fit_class_router(
         grads, loss = _class_gradient(params, x, np.asarray(rows["label"], dtype=int), w)
         return grads, loss, w.sum()
 
-    params, history = _adam(
-        data.select("x", "label", "class_weight"), _initial([dim, hidden, len(experts)], seed), batch, epochs, lr, decay
-    )
-    return NetRouter(list(experts), center, scale, params, history)
+    return batch
+
+
+def fusion_gradient(data: DataFrame, router: LinearRouter, beta: float = 0.01, tau: float = 1.0, lam: float = 0.0) -> DataFrame:
+    """Mean loss and gradient of a linear fusor at its coefficients: ``expert, input, gradient, loss`` (input ``bias`` last).
+
+    ``data`` as for :func:`fit_linear_fusor`. One pass; the result has the size of the coefficients.
+    """
+    net = linear_net_from(router)
+    batch = _fusion_batch(net.center, net.scale, beta, tau, lam)
+    loss, g = _evaluate(_fusor_rows(data, router.features), net, batch, _flat(net.params))
+    w, b = _unflatten(g, [p.shape for p in net.params])
+    rows = [(e, f, float(w[j, i]), loss) for i, e in enumerate(router.experts) for j, f in enumerate(router.features)]
+    rows += [(e, "bias", float(b[i]), loss) for i, e in enumerate(router.experts)]
+    return data.sparkSession.createDataFrame(rows, "expert string, input string, gradient double, loss double")
 
 
 def linear_router_from(net: NetRouter, features: Sequence[str]) -> LinearRouter:
@@ -380,18 +532,30 @@ def linear_router_from(net: NetRouter, features: Sequence[str]) -> LinearRouter:
     )
 
 
+def linear_net_from(router: LinearRouter) -> NetRouter:
+    """A linear router in the form of the fitted ones."""
+    params = [np.array(router.coef).T, np.array(router.intercept)]
+    return NetRouter(list(router.experts), np.array(router.center), np.array(router.scale), params, list(router.history))
+
+
+def _fusor_rows(inputs: DataFrame, features: Sequence[str]) -> DataFrame:
+    return inputs.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), "y_preds", "y_true", "errors")
+
+
 def fit_linear_fusor(
-    inputs: DataFrame, features: Sequence[str], experts: Sequence[str], epochs: int = 20, lr: float = 0.05, beta: float = 0.01
-) -> LinearRouter:
-    """Linear softmax fusor on the feature columns of a fusion input table (vali rows)."""
-    data = inputs.select(
-        F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
-        "y_preds",
-        "y_true",
-        "errors",
-    )
-    net = fit_fusion_router(data, experts, len(features), 0, epochs, lr, beta)
-    return linear_router_from(net, features)
+    inputs: DataFrame,
+    features: Sequence[str],
+    experts: Sequence[str],
+    epochs: int = 20,
+    lr: float = 0.05,
+    beta: float = 0.01,
+    decay: float = 0.0,
+    tol: float | None = None,
+    resume: NetRouter | None = None,
+) -> NetRouter:
+    """Linear softmax fusor on the feature columns of a fusion input table (vali rows); see :func:`fit_fusion_router`."""
+    data = _fusor_rows(inputs, features)
+    return fit_fusion_router(data, experts, len(features), 0, epochs, lr, beta, decay=decay, tol=tol, resume=resume)
 
 
 def score_net(net: NetRouter, df: DataFrame, keep: Sequence[str], x: str = "x") -> DataFrame:
@@ -402,7 +566,7 @@ def score_net(net: NetRouter, df: DataFrame, keep: Sequence[str], x: str = "x")
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            _, w = _forward(net.params, (_matrix(batch[x]) - net.center) / net.scale)
+            _, _, w = _forward(net.params, (_matrix(batch[x]) - net.center) / net.scale)
             offsets = pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1])
             weights = pa.ListArray.from_arrays(offsets, pa.array(w.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], weights], names=[*keep, "weights"])
@@ -414,7 +578,8 @@ def score_net(net: NetRouter, df: DataFrame, keep: Sequence[str], x: str = "x")
 
 
 def save_model(spark: SparkSession, net: NetRouter, signature: dict, path: str) -> None:
-    """One-row model table with the settings it was fitted with."""
+    """One-row model table with the settings it was fitted with and what training needs to go on."""
+    moments = [None if net.moments is None else [float(v) for v in x] for x in (net.moments or (None, None))]
     row = (
         json.dumps(signature, sort_keys=True),
         list(net.experts),
@@ -423,26 +588,31 @@ def save_model(spark: SparkSession, net: NetRouter, signature: dict, path: str)
         [float(v) for v in _flat(net.params)],
         json.dumps([list(p.shape) for p in net.params]),
         [float(v) for v in net.history],
+        net.steps,
+        *moments,
+        net.gradient_norm,
+        net.converged,
     )
     schema = (
         "signature string, experts array<string>, center array<double>, scale array<double>, "
-        "params array<double>, shapes string, history array<double>"
+        "params array<double>, shapes string, history array<double>, steps long, "
+        "first_moment array<double>, second_moment array<double>, gradient_norm double, converged boolean"
     )
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str, signature: dict) -> NetRouter:
-    """Load a model; refused when its settings differ from ``signature``."""
+    """Load a model, to score with or to train on; refused when its settings differ from ``signature``."""
     row = spark.read.parquet(path).first()
     want = json.dumps(signature, sort_keys=True)
     if row["signature"] != want:
         raise ValueError(f"model settings differ: stored {row['signature']}, asked {want}")
-    flat, at, params = np.array(row["params"]), 0, []
-    for shape in json.loads(row["shapes"]):
-        size = int(np.prod(shape))
-        params.append(flat[at : at + size].reshape(shape))
-        at += size
-    return NetRouter(row["experts"], np.array(row["center"]), np.array(row["scale"]), params, row["history"])
+    params = _unflatten(np.array(row["params"]), json.loads(row["shapes"]))
+    moments = None if row["first_moment"] is None else (np.array(row["first_moment"]), np.array(row["second_moment"]))
+    return NetRouter(
+        row["experts"], np.array(row["center"]), np.array(row["scale"]), params, row["history"], row["steps"], moments,
+        row["gradient_norm"], row["converged"],
+    )
 
 
 def label_share(labels: DataFrame) -> DataFrame:

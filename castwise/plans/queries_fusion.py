@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from castwise.functions.columns import asum
 from castwise.operators import fusion, joins, keys, learn, routing, validate
-from castwise.plans.derived import EXPERTS, ROUTER, ROUTER_NAME
+from castwise.plans.derived import CONFIGS, EXPERTS, ROUTER, ROUTER_NAME
 from castwise.plans.queries_routing import HARD, METHOD_DOUBLES, METHODS, NAMES, WEIGHT_MEANS, comparison
 from castwise.plans.registry import query
 from castwise.plans.sqlbase import STABLE_SQL
@@ -334,24 +334,61 @@ def _vali(ws, config: str):
     return training_rows(ws).filter((F.col("config_name") == config) & (F.col("split") == "vali"))
 
 
+def _config_features(ws, config: str):
+    return ws.features().filter(F.col("config_name") == config)
+
+
+def _config_labels(ws, config: str):
+    return keys.for_metric(ws.labels(), "mae").filter(F.col("config_name") == config)
+
+
+LINEAR_TOL, HIDDEN_TOL, LOGISTIC_TOL = 1e-4, 1e-3, 1e-4  # largest gradient entry at the end of training
+
+
+def _logistic(ws, config: str):
+    fit = lambda: learn.fit_logistic_router(
+        _config_features(ws, config), _config_labels(ws, config), FEATURES, EXPERTS, max_iter=500, tol=1e-9
+    )
+    return ws.fitted(f"logistic {config}", fit)
+
+
 def _fit_linear(ws, config: str):
-    return learn.fit_linear_fusor(_vali(ws, config), FEATURES, EXPERTS, epochs=6, lr=0.1)
+    fit = lambda: learn.fit_linear_fusor(_vali(ws, config), FEATURES, EXPERTS, epochs=300, decay=1e-4, tol=LINEAR_TOL)
+    return ws.fitted(f"linear {config}", fit)
+
+
+def _with_inputs(df):
+    return df.withColumn("x", F.array(*[F.col(c).cast("double") for c in FEATURES]))
 
 
-def _hard_and_loss(ws, config: str, weights, history):
-    lab = test_mae(ws).filter(F.col("config_name") == config)
+def _hidden(ws, config: str):
+    fit = lambda: learn.fit_fusion_router(
+        _with_inputs(_vali(ws, config)), EXPERTS, len(FEATURES), hidden=8, epochs=300, lam=0.1, decay=1e-3, tol=HIDDEN_TOL
+    )
+    return ws.fitted(f"hidden {config}", fit)
+
+
+def _embedding_net(ws):
+    rows = embedding_rows(ws)
+    cw = learn.class_weights(rows, EXPERTS).select("oracle_model", "class_weight")
+    vali = rows.filter("split = 'vali'").join(lookup_table(cw), "oracle_model")
+    fit = lambda: learn.fit_class_router(vali, EXPERTS, 64, hidden=16, epochs=300, decay=0.02, tol=HIDDEN_TOL)
+    return ws.fitted("embedding", fit)
+
+
+def _hard_and_loss(ws, config: str, weights, net):
+    lab = keys.for_split(_config_labels(ws, config), "test")
     summary = routing.summarize_hard(fusion.hard_route(weights, lab, EXPERTS, "fitted"))
-    return summary.withColumn("first_loss", F.lit(history[0])).withColumn("last_loss", F.lit(history[-1]))
+    marks = {"first_loss": net.history[0], "last_loss": net.history[-1], "gradient_norm": net.gradient_norm, "converged": net.converged}
+    return summary.withColumns({k: F.lit(v) for k, v in marks.items()})
 
 
 @query("k3_logistic_router")
 def _(ws):
     def one(config: str):
-        f = ws.features().filter(F.col("config_name") == config)
-        lab = keys.for_metric(ws.labels(), "mae").filter(F.col("config_name") == config)
-        weights, _ = learn.fit_logistic_router(f, lab, FEATURES, EXPERTS, max_iter=20)
-        routed = fusion.hard_route(weights, keys.for_split(lab, "test"), EXPERTS, "logistic_router")
-        return routing.summarize_hard(routed)
+        weights, fit = _logistic(ws, config)
+        routed = fusion.hard_route(weights, keys.for_split(_config_labels(ws, config), "test"), EXPERTS, "logistic_router")
+        return routing.summarize_hard(routed).withColumns({"loss": F.lit(fit.loss), "gradient_norm": F.lit(fit.gradient_norm)})
 
     return learn.per_config(one, ws.features())
 
@@ -359,9 +396,9 @@ def _(ws):
 @query("k4_k7_linear_fusor")
 def _(ws):
     def one(config: str):
-        router = _fit_linear(ws, config)
-        scored = learn.score_router(router, ws.features().filter(F.col("config_name") == config))
-        return _hard_and_loss(ws, config, scored, router.history)
+        net = _fit_linear(ws, config)
+        scored = learn.score_router(learn.linear_router_from(net, FEATURES), _config_features(ws, config))
+        return _hard_and_loss(ws, config, scored, net)
 
     return learn.per_config(one, ws.features())
 
@@ -369,13 +406,9 @@ def _(ws):
 @query("k5_hidden_router_fusion")
 def _(ws):
     def one(config: str):
-        x = F.array(*[F.col(c).cast("double") for c in FEATURES])
-        net = learn.fit_fusion_router(
-            _vali(ws, config).withColumn("x", x), EXPERTS, len(FEATURES), hidden=8, epochs=5, lr=0.05, lam=0.1, decay=0.01
-        )
-        test = ws.features().filter((F.col("config_name") == config) & (F.col("split") == "test"))
-        scored = learn.score_net(net, test.withColumn("x", x), STABLE)
-        return _hard_and_loss(ws, config, scored, net.history)
+        net = _hidden(ws, config)
+        test = keys.for_split(_config_features(ws, config), "test")
+        return _hard_and_loss(ws, config, learn.score_net(net, _with_inputs(test), STABLE), net)
 
     return learn.per_config(one, ws.features())
 
@@ -394,38 +427,107 @@ def embedding_rows(ws):
 
 @query("k5_embedding_router")
 def _(ws):
-    rows = embedding_rows(ws)
-    cw = learn.class_weights(rows, EXPERTS).select("oracle_model", "class_weight")
-    vali = rows.filter("split = 'vali'").join(lookup_table(cw), "oracle_model")
-    net = learn.fit_class_router(vali, EXPERTS, 64, hidden=16, epochs=15, lr=0.02)
-    scored = learn.score_net(net, rows.filter("split = 'test'"), ["sample_key", "label"])
+    net = _embedding_net(ws)
+    scored = learn.score_net(net, embedding_rows(ws).filter("split = 'test'"), ["sample_key", "label"])
     hit = (F.array_position("weights", F.array_max("weights")) - 1) == F.col("label")
-    return scored.agg(
+    out = scored.agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.avg(hit.cast("double")).alias("accuracy"),
         F.max(F.abs(asum(F.col("weights")) - 1)).alias("row_sum_error"),
-    ).withColumn("first_loss", F.lit(net.history[0])).withColumn("last_loss", F.lit(net.history[-1]))
+    )
+    marks = {"first_loss": net.history[0], "last_loss": net.history[-1], "gradient_norm": net.gradient_norm, "converged": net.converged}
+    return out.withColumns({k: F.lit(v) for k, v in marks.items()})
 
 
-@query("k8_model_table")
+@query(
+    "k3_k5_converged",
+    """SELECT model, config_name, count(*) AS train_rows, true AS converged FROM windows CROSS JOIN (VALUES ('hidden'), ('linear'), ('logistic')) m(model)
+       WHERE split = 'vali' GROUP BY ALL
+       UNION ALL SELECT 'embedding', 'embedding', count(*), true FROM embeddings WHERE vec_id % 10 < 4""",
+)
 def _(ws):
-    router = _fit_linear(ws, "24_6_S")
-    net = learn.NetRouter(
-        router.experts,
-        learn.np.array(router.center),
-        learn.np.array(router.scale),
-        [learn.np.array(router.coef).T, learn.np.array(router.intercept)],
-        router.history,
-    )
-    path = f"{ws.root}/model-{uuid.uuid4().hex}"
-    signature = {"config": "24_6_S", "features": FEATURES, "experts": EXPERTS}
-    learn.save_model(ws.spark, net, signature, path)
-    again = learn.linear_router_from(learn.load_model(ws.spark, path, signature), FEATURES)
-    test = ws.features().filter("config_name = '24_6_S' AND split = 'test'")
-    a = learn.score_router(router, test).select("sample_key", F.col("weights").alias("a"))
-    b = learn.score_router(again, test).select("sample_key", F.col("weights").alias("b"))
-    gap = asum(F.zip_with("a", "b", lambda u, v: F.abs(u - v)))
-    return a.join(b, "sample_key").agg(F.count(F.lit(1)).alias("sample_count"), F.max(gap).alias("max_weight_gap"))
+    """Every learned router and config: the gradient, summed over all training rows, is below its tolerance."""
+    found = []
+    for config in sorted(CONFIGS):
+        n = _vali(ws, config).count()
+        found.append(("linear", config, n, _fit_linear(ws, config).gradient_norm <= LINEAR_TOL))
+        found.append(("hidden", config, n, _hidden(ws, config).gradient_norm <= HIDDEN_TOL))
+        fit = _logistic(ws, config)[1]
+        found.append(("logistic", config, fit.rows, fit.gradient_norm <= LOGISTIC_TOL))
+    n = embedding_rows(ws).filter("split = 'vali'").count()
+    found.append(("embedding", "embedding", n, _embedding_net(ws).gradient_norm <= HIDDEN_TOL))
+    return ws.spark.createDataFrame(found, "model string, config_name string, train_rows long, converged boolean")
+
+
+_ERRORS = "list_transform(range(1, len(y_true) + 1), lambda t: " + " + ".join(f"w[{i + 1}] * y_preds[{i + 1}][t]" for i in range(M)) + " - y_true[t])"
+_INPUTS = "[" + ", ".join(f"({n} - {m}) / {s}" for n, m, s in zip(ROUTER.features, ROUTER.center, ROUTER.scale)) + ", 1.0]"
+_GRADIENT_TABLES = {
+    **STACK,
+    "steps": f"""
+        SELECT config_name, w, q, y_preds, inputs, err, list_transform(err, lambda e: (CASE WHEN abs(e) < 0.5 THEN e / 0.5 ELSE sign(e) END) / len(err)) AS slope
+        FROM (SELECT *, {_ERRORS} AS err FROM (
+          SELECT config_name, weights AS w, y_preds, y_true, {_INPUTS} AS inputs, list_transform(q0, lambda v: v / list_sum(q0)) AS q
+          FROM weights JOIN stacked USING (sample_key) JOIN (SELECT sample_key, mean, std, min, max FROM feat4) USING (sample_key)
+          JOIN (SELECT sample_key, [{", ".join(f"exp(-({e} - oracle_value) / 0.5)" for e in EXPERTS)}] AS q0 FROM {MAE_SQL}) USING (sample_key)))""",
+    "pulls": f"""
+        SELECT config_name, inputs, w, q, list_transform(range(1, {M + 1}), lambda i: list_sum(list_transform(range(1, len(slope) + 1), lambda t: slope[t] * y_preds[i][t]))) AS g,
+               list_sum(list_transform(err, lambda e: CASE WHEN abs(e) < 0.5 THEN e * e ELSE abs(e) - 0.25 END)) / len(err)
+                 + 0.1 * list_sum(list_transform(range(1, {M + 1}), lambda i: CASE WHEN q[i] > 0 THEN q[i] * (ln(q[i]) - ln(w[i])) ELSE 0 END)) AS loss
+        FROM steps""",
+    "logit_pulls": f"""
+        SELECT config_name, inputs, loss, unnest(range(1, {M + 1})) AS i,
+               unnest(list_transform(range(1, {M + 1}), lambda i: w[i] * (g[i] - list_inner_product(w, g)) + 0.1 * (w[i] - q[i]))) AS z FROM pulls""",
+}
+
+
+@query(
+    "k4_loss_gradient",
+    f"""SELECT config_name, {NAMES}[i] AS expert, input, avg(z * inputs[j]) AS gradient, avg(loss) AS loss
+        FROM logit_pulls, (SELECT unnest(range(1, {len(ROUTER.features) + 2})) AS j, unnest([{", ".join(f"'{f}'" for f in ROUTER.features)}, 'bias']) AS input)
+        GROUP BY ALL""",
+    ["gradient", "loss"],
+    _GRADIENT_TABLES,
+)
+def _(ws):
+    """Loss and gradient of the fixed router on all test windows."""
+    rows = training_rows(ws).filter("split = 'test'")
+    one = lambda config: learn.fusion_gradient(
+        rows.filter(F.col("config_name") == config), ROUTER, 0.5, 0.5, 0.1
+    ).withColumn("config_name", F.lit(config))
+    return learn.per_config(one, ws.features())
+
+
+@query(
+    "k8_model_table",
+    """SELECT config_name, count(*) AS sample_count, 0.0 AS max_weight_gap, 0.0 AS max_resume_gap, true AS refused
+       FROM windows WHERE split = 'test' GROUP BY config_name""",
+    ["max_weight_gap", "max_resume_gap"],
+)
+def _(ws):
+    """Stored and loaded again: equal weights; trained on for three steps after loading: the same as six steps at once."""
+
+    def one(config: str):
+        path = f"{ws.root}/model-{uuid.uuid4().hex}"
+        signature = {"config": config, "features": FEATURES, "experts": EXPERTS, "lr": 0.1}
+        fit = lambda epochs, net=None: learn.fit_linear_fusor(
+            _vali(ws, config), FEATURES, EXPERTS, epochs=epochs, lr=0.1, resume=net
+        )
+        half = fit(3)
+        learn.save_model(ws.spark, half, signature, path)
+        loaded = learn.load_model(ws.spark, path, signature)
+        gap = max(float(abs(a - b).max()) for a, b in zip(fit(3, loaded).params, fit(6).params))
+        try:
+            learn.load_model(ws.spark, path, signature | {"lr": 0.2})
+            refused = False
+        except ValueError:
+            refused = True
+        test = keys.for_split(_config_features(ws, config), "test")
+        a, b = (learn.score_router(learn.linear_router_from(n, FEATURES), test).select("sample_key", F.col("weights").alias(c)) for n, c in ((half, "a"), (loaded, "b")))
+        far = asum(F.zip_with("a", "b", lambda u, v: F.abs(u - v)))
+        out = a.join(b, "sample_key").agg(F.count(F.lit(1)).alias("sample_count"), F.max(far).alias("max_weight_gap"))
+        return out.withColumns({"config_name": F.lit(config), "max_resume_gap": F.lit(gap), "refused": F.lit(refused)})
+
+    return learn.per_config(one, ws.features())
 
 
 @query(

@@ -28,6 +28,7 @@ class Workspace:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         self.root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/derived-{tag}"
         self._schemas: dict = {}
+        self._fits: dict = {}
         self._lock = threading.RLock()
 
     def source(self, name: str) -> DataFrame:
@@ -95,6 +96,13 @@ class Workspace:
         """The forecast table with known faults in it."""
         return self.stored("faulty", lambda: derived.faulty_from(self.forecasts()), PARTITIONS)
 
+    def fitted(self, name: str, fit: Callable):
+        """A model, fitted on first use."""
+        with self._lock:
+            if name not in self._fits:
+                self._fits[name] = fit()
+        return self._fits[name]
+
     def bucketed(self, name: str, buckets: int = 8) -> DataFrame:
         """The named table bucketed and sorted on the sample key, written on first use."""
         table = f"castwise_{hashlib.sha1(f'{self.root}/{name}'.encode()).hexdigest()[:16]}"

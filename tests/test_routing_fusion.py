@@ -199,3 +199,63 @@ def test_fusor_learns_and_model_table_guards_settings(spark, tmp_path):
     assert np.allclose(again.params[0], net.params[0])
     with pytest.raises(ValueError, match="settings differ"):
         learn.load_model(spark, str(tmp_path / "m"), {"lr": 0.1})
+
+
+def test_training_goes_on_where_it_stopped(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(list(map(float, x)), int(x[0] > 0) + int(x[1] > 1), 1.0) for x in rng.normal(size=(60, 3))]
+    data = spark.createDataFrame(rows, "x array<double>, label int, class_weight double").cache()
+    path, sign = str(tmp_path / "m"), {"lr": 0.1}
+    six = learn.fit_class_router(data, ["a", "b", "c"], 3, hidden=4, epochs=6, lr=0.1)
+    learn.save_model(spark, learn.fit_class_router(data, ["a", "b", "c"], 3, hidden=4, epochs=3, lr=0.1), sign, path)
+    more = learn.fit_class_router(data, ["a", "b", "c"], 3, epochs=3, lr=0.1, resume=learn.load_model(spark, path, sign))
+    assert more.steps == 6 and np.allclose(more.history, six.history, atol=1e-12)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(more.params, six.params))
+    with pytest.raises(ValueError, match="settings differ"):
+        learn.load_model(spark, path, {"lr": 0.2})
+
+
+def test_training_ends_by_its_gradient(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3))
+    label = (x @ [1.0, -2.0, 0.5] + 0.3 * rng.normal(size=80) > 0).astype(int)
+    data = spark.createDataFrame([(list(map(float, r)), int(k), 1.0) for r, k in zip(x, label)], "x array<double>, label int, class_weight double").cache()
+    net = learn.fit_class_router(data, ["a", "b"], 3, hidden=0, epochs=100, decay=0.01, tol=1e-7)
+    assert net.converged and net.gradient_norm <= 1e-7 and net.history[-1] == min(net.history)
+    # the optimum of the same penalised loss, by Newton steps
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    z, t = np.column_stack([z, np.ones(80)]), np.zeros(4)
+    for _ in range(30):  # two softmax rows a and -a: penalty 0.01 * a^2 on the difference d = 2a
+        p = 1 / (1 + np.exp(-z @ t))
+        t -= np.linalg.solve((z.T * (p * (1 - p))) @ z / 80 + 0.005 * np.eye(4), z.T @ (p - label) / 80 + 0.005 * t)
+    w, b = net.params
+    assert np.allclose(np.append(w[:, 1] - w[:, 0], b[1] - b[0]), t, atol=1e-5)
+    short = learn.fit_class_router(data, ["a", "b"], 3, hidden=0, epochs=1, decay=0.01, tol=1e-7)
+    assert not short.converged and short.steps == 1
+
+
+def test_gradient_is_the_slope_of_the_loss(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), rng.normal(size=(2, 3)).tolist(), rng.normal(size=3).tolist(), rng.random(2).tolist()) for a, b in rng.normal(size=(20, 2))]
+    data = spark.createDataFrame(rows, "f double, g double, y_preds array<array<double>>, y_true array<double>, errors array<double>").cache()
+    router = learn.LinearRouter(["a", "b"], ["f", "g"], [0.1, 0.0], [1.0, 2.0], [[0.3, -0.2], [0.1, 0.4]], [0.0, 0.2])
+
+    def at(step):
+        moved = learn.replace(router, coef=[[0.3 + step, -0.2], [0.1, 0.4]])
+        return {(r.expert, r.input): r for r in learn.fusion_gradient(data, moved, 0.5, 0.5, 0.1).collect()}
+
+    up, down, here = at(1e-5), at(-1e-5), at(0.0)
+    slope = (up["a", "f"].loss - down["a", "f"].loss) / 2e-5
+    assert abs(slope - here["a", "f"].gradient) < 1e-7 and len(here) == 6
+
+
+def test_gradient_of_the_hidden_layer():
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(9, 3)), rng.integers(0, 2, 9), rng.random(9)
+    params = learn._initial([3, 4, 2], 1)
+    theta, shapes = learn._flat(params), [p.shape for p in params]
+    grads, _ = learn._class_gradient(params, x, y, w)
+    for i, g in enumerate(learn._flat(grads)):
+        step = np.eye(len(theta))[i] * 1e-6
+        up, down = (learn._class_gradient(learn._unflatten(theta + s, shapes), x, y, w)[1] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - g) < 1e-6
