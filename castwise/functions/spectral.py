@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from castwise.schemas import FEATURES
 
 # MacKinnon (1994) response surface of the Dickey-Fuller tau statistic,
 # constant only, one variable: p = Phi(b0 + b1 tau + b2 tau^2) for tau <= -1.61,
@@ -24,9 +23,10 @@ NORMAL_5_PERCENT = -1.6448536269514722
 
 PSD_FLOOR = 1e-12
 
-# Shares of spectral power are compared in steps of 1e-6 with shifted step edges.
-SHARE_STEPS = 1e6
-SHARE_SHIFT = 0.2718
+# Bins whose powers differ by less than this share of the total power count as equal: it lies far
+# above the rounding error of any way to sum them, and far below any difference of the data.
+POWER_TIE = 1e-12
+PIECE_BYTES = 1 << 26  # of the arrays that one piece of a batch makes
 SPECTRAL = ["frequency_mean", "frequency_peak", "spectral_entropy", "spectral_skewness", "spectral_kurtosis"]
 
 
@@ -86,14 +86,13 @@ def spectral_matrix(m: np.ndarray) -> np.ndarray:
     psd = _power(m) / n
     psd[:, 1 : (n + 1) // 2] *= 2.0
     freqs = np.arange(psd.shape[1]) / n
-    # Bins equal to within 1e-6 of the total count as equal: the first one is the peak.
-    total = psd.sum(axis=1, keepdims=True)
-    share = np.floor(psd / np.where(total > 0, total, 1.0) * SHARE_STEPS + SHARE_SHIFT)
+    # of equal bins the first one is the peak
+    near = psd >= psd.max(axis=1, keepdims=True) - POWER_TIE * psd.sum(axis=1, keepdims=True)
     p = psd + PSD_FLOOR
     p = p / p.sum(axis=1, keepdims=True)
     skew, kurt = _moments(psd)
     return np.column_stack(
-        [psd.mean(axis=1), freqs[np.argmax(share, axis=1)], -(p * np.log(p)).sum(axis=1), skew, kurt]
+        [psd.mean(axis=1), freqs[np.argmax(near, axis=1)], -(p * np.log(p)).sum(axis=1), skew, kurt]
     )
 
 
@@ -132,25 +131,32 @@ def _lagged(d: np.ndarray, level: np.ndarray, lags: int) -> tuple[np.ndarray, np
     return np.stack(cols, axis=2), d[:, lags:]
 
 
-def adf_statistic(m: np.ndarray) -> np.ndarray:
-    """Augmented Dickey-Fuller t statistic per row (constant; lag by AIC); NaN if undefined."""
+def most_lags(n: int) -> int:
+    """Largest lag tried for a window of ``n`` values."""
+    return min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))
+
+
+def adf_statistic(m: np.ndarray, lag: int | None = None) -> np.ndarray:
+    """Augmented Dickey-Fuller t statistic per row (constant; lag by AIC unless given); NaN if undefined."""
     b, n = m.shape
     out = np.full(b, np.nan)
-    max_lag = min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))
+    max_lag = most_lags(n)
     varied = np.flatnonzero(m.max(axis=1) != m.min(axis=1))
     if max_lag < 0 or varied.size == 0:
         return out
     s = m[varied]
     d, level = np.diff(s, axis=1), s[:, :-1]
-    x, y = _lagged(d, level, max_lag)
-    obs = y.shape[1]
-    ssr, rank = _nested_ssr(x, y, 2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        aic = obs * (np.log(2 * np.pi) + np.log(ssr / obs) + 1.0) + 2.0 * rank
-        best = np.argmin(np.where(np.isnan(aic), np.inf, aic), axis=1)
-        for lag in np.unique(best):
-            rows = np.flatnonzero(best == lag)
-            x, y = _lagged(d[rows], level[rows], int(lag))
+        best = np.full(len(s), max_lag if lag is None else min(lag, max_lag))
+        if lag is None:
+            x, y = _lagged(d, level, max_lag)
+            obs = y.shape[1]
+            ssr, rank = _nested_ssr(x, y, 2)
+            aic = obs * (np.log(2 * np.pi) + np.log(ssr / obs) + 1.0) + 2.0 * rank
+            best = np.argmin(np.where(np.isnan(aic), np.inf, aic), axis=1)
+        for chosen in np.unique(best):
+            rows = np.flatnonzero(best == chosen)
+            x, y = _lagged(d[rows], level[rows], int(chosen))
             beta, var, s2, rk = _ols(x, y)
             scale = s2 / (y.shape[1] - rk)
             out[varied[rows]] = beta[:, 1] / np.sqrt(scale * var[:, 1])
@@ -167,71 +173,45 @@ def is_stationary(m: np.ndarray) -> np.ndarray:
     return small.astype(float)
 
 
-def _features(x: pa.Array, names: list[str], compute) -> pa.StructArray:
+def _features(x: pa.Array, names: list[str], compute, width) -> pa.StructArray:
+    """``compute`` over pieces of equal windows; ``width(n)`` is how many numbers it makes of a window of ``n``."""
     out = np.zeros((len(x), len(names)))
     for rows, m in by_length(x):
-        out[rows] = compute(m)
+        most = max(1, PIECE_BYTES // (8 * width(m.shape[1])))
+        for at in range(0, len(rows), most):
+            out[rows[at : at + most]] = compute(m[at : at + most])
     out[~np.isfinite(out)] = 0.0
     return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(len(names))], names=names)
 
 
+def _test_width(n: int) -> int:
+    return 6 * n * (most_lags(n) + 3)  # regressors, their factors and copies
+
+
 @F.arrow_udf(_doubles(SPECTRAL))
 def spectral_features_of(x: pa.Array) -> pa.Array:
-    return _features(x, SPECTRAL, spectral_matrix)
-
-
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a / b, 0 where b is 0."""
-    return np.where(b != 0, a / np.where(b != 0, b, 1.0), 0.0)
-
-
-def time_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
-    """The eleven time-domain features of every row."""
-    d = m - m.mean(axis=1, keepdims=True)
-    skew, kurt = _moments(m)
-    before, after = m[:, :-1], m[:, 1:]
-    # zeros before a step drop out of the rate of change
-    with np.errstate(over="ignore", invalid="ignore"):
-        rate = _ratio(after - before, before)
-    used = (before != 0) & np.isfinite(rate)
-    n = used.sum(axis=1)
-    rate = np.where(used, rate, 0.0)
-    rate_mean = _ratio(rate.sum(axis=1), n)
-    spread = np.where(used, rate - rate_mean[:, None], 0.0)
-    # AR(1) with intercept; minimum norm when the lagged values are all equal
-    mb, ma = before.mean(axis=1), after.mean(axis=1)
-    db, da = before - mb[:, None], after - ma[:, None]
-    sxx, syy, sxy = (db * db).sum(axis=1), (da * da).sum(axis=1), (db * da).sum(axis=1)
-    flat = sxx <= 1e-18
-    slope = np.where(flat, mb * ma / (1 + mb * mb), _ratio(sxy, sxx))
-    left = np.where(flat, syy, syy - _ratio(sxy * sxy, sxx))
-    return {
-        "mean": m.mean(axis=1),
-        "std": np.sqrt((d * d).mean(axis=1)),
-        "min": m.min(axis=1),
-        "max": m.max(axis=1),
-        "skewness": skew,
-        "kurtosis": kurt,
-        "autocorrelation_mean": _ratio((d[:, :-1] * d[:, 1:]).sum(axis=1), (d * d).sum(axis=1)),
-        "rate_of_change_mean": rate_mean,
-        "rate_of_change_std": np.sqrt(_ratio((spread * spread).sum(axis=1), n)),
-        "autoreg_coef_mean": slope,
-        "residual_std_mean": np.sqrt(np.maximum(left, 0.0) / before.shape[1]),
-    }
-
-
-def _all_matrix(m: np.ndarray) -> np.ndarray:
-    spectral = spectral_matrix(m)
-    parts = {**time_matrix(m), "stationarity": is_stationary(m), **{n: spectral[:, i] for i, n in enumerate(SPECTRAL)}}
-    return np.column_stack([parts[n] for n in FEATURES])
-
-
-@F.arrow_udf(_doubles(FEATURES))
-def all_features_of(x: pa.Array) -> pa.Array:
-    """All 17 features in one pass over Arrow batches."""
-    return _features(x, FEATURES, _all_matrix)
+    return _features(x, SPECTRAL, spectral_matrix, lambda n: 8 * n)
+
+
+ARROW_FEATURES = [*SPECTRAL, "stationarity"]
+
+
+@F.arrow_udf(_doubles(ARROW_FEATURES))
+def arrow_features_of(x: pa.Array) -> pa.Array:
+    """Spectrum and unit-root test in one pass over Arrow batches."""
+    both = lambda m: np.column_stack([spectral_matrix(m), is_stationary(m)])
+    return _features(x, ARROW_FEATURES, both, lambda n: 8 * n + _test_width(n))
 
 
 @F.arrow_udf(T.DoubleType())
 def stationarity_of(x: pa.Array) -> pa.Array:
-    return _features(x, ["s"], lambda m: is_stationary(m)[:, None]).field(0)
+    return _features(x, ["s"], lambda m: is_stationary(m)[:, None], _test_width).field(0)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def adf_at_lags(x: pa.Array, lags: pa.Array) -> pa.Array:
+    """Statistics at the given lags (the same list in every row); 0 where undefined."""
+    wanted = lags[0].as_py() if len(lags) else []
+    each = lambda m: np.column_stack([adf_statistic(m, k) for k in wanted])
+    out = _features(x, [str(k) for k in wanted], each, lambda n: len(wanted) * _test_width(n))
+    return _list_array([list(r) for r in zip(*[np.asarray(out.field(i)) for i in range(len(wanted))])])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castwise.functions.columns import amean, asum, central_sum, finite_or_zero, is_finite, let, ratio, sample_key
-from castwise.functions.spectral import SPECTRAL, all_features_of, spectral_features_of, stationarity_of
+from castwise.functions.spectral import ARROW_FEATURES, SPECTRAL, adf_at_lags, arrow_features_of, spectral_features_of, stationarity_of
 from castwise.schemas import FEATURE_METADATA, FEATURE_VERSION, FEATURES, STABLE
 
 
@@ -135,15 +135,20 @@ def stationarity(df: DataFrame) -> DataFrame:
     return df.withColumn("stationarity", stationarity_of("x"))
 
 
+def adf_statistics(df: DataFrame, lags: Sequence[int], out: str = "adf") -> DataFrame:
+    """Unit-root statistics at fixed lags; 0 where undefined (constant windows)."""
+    return df.withColumn(out, adf_at_lags("x", F.array(*[F.lit(int(k)) for k in lags])))
+
+
 def build_features(windows: DataFrame, feature_type: str = "window_17", version: str = FEATURE_VERSION) -> DataFrame:
     """Feature table: metadata and 17 columns, no shuffle.
 
-    The history is the only array read from the windows table.  The spectrum and the
-    unit-root test need Arrow batches anyway, so all 17 features are taken from the
-    same stacked batch; the single-family functions above are the Catalyst forms.
+    The history is the only array read from the windows table.  The eleven features of the time domain are
+    columns; the spectrum and the unit-root test go through Arrow once, together.
     """
-    history = windows.select(*STABLE, "history_length", "pred_length", "x")
-    full = history.withColumn("_f", all_features_of("x")).select(*STABLE, "history_length", "pred_length", "_f.*")
+    keep = [*STABLE, "history_length", "pred_length"]
+    arrow = windows.select(*keep, "x").withColumn("_f", arrow_features_of("x"))
+    full = ar1_features(rate_of_change(_with_moments(arrow))).select(*keep, *_TIME_FEATURES, *[f"_f.{c}" for c in ARROW_FEATURES])
     meta = full.withColumns(
         {
             "feature_version": F.lit(version),
@@ -154,6 +159,9 @@ def build_features(windows: DataFrame, feature_type: str = "window_17", version:
     return meta.select(*FEATURE_METADATA, *[_zero(F.col(c)).alias(c) for c in FEATURES])
 
 
+_TIME_FEATURES = [c for c in FEATURES if c not in ARROW_FEATURES]
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     """Numeric columns that are not metadata."""
     return [f.name for f in df.schema.fields if f.name not in FEATURE_METADATA and isinstance(f.dataType, T.NumericType)]

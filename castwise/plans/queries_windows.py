@@ -245,6 +245,18 @@ def _(ws):
 
 # --- transforms ------------------------------------------------------------------
 
+
+
+def best_three(scored: str) -> str:
+    """Three times the first period within the tie of the best one left (every window here has three)."""
+    rows = f"SELECT sample_key, tie, c, CAST([] AS BIGINT[]) AS ps FROM {scored}"
+    for _ in range(3):
+        left = f"SELECT sample_key, tie, c, ps, list_filter(c, lambda e: NOT list_contains(ps, e.p)) AS r FROM ({rows})"
+        best = f"SELECT *, list_max(list_transform(r, lambda e: e.s)) AS m FROM ({left})"
+        rows = f"SELECT sample_key, tie, c, list_append(ps, list_filter(r, lambda e: e.s >= m - tie)[1].p) AS ps FROM ({best})"
+    return f"SELECT sample_key, ps FROM ({rows})"
+
+
 NORM = {
     "norms": """
         SELECT sample_key, x, mean AS norm_mean, greatest(std, 1e-6) AS norm_std, min AS norm_min, max AS norm_max, max - min AS norm_range,
@@ -256,20 +268,15 @@ NORM = {
         SELECT DISTINCT l, list_filter(range(2, l + 1), lambda p: l % p = 0 OR p = l
                OR list_contains({transforms.ANCHOR_PERIODS}, p)) AS cand FROM cfg""",
     "period_scores": """
-        SELECT sample_key, p, share[least(greatest(CAST(round_even(l / p, 0) AS INTEGER), 1), len(share))] AS score
-        FROM (SELECT sample_key, share, l, unnest(cand) AS p FROM shares JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key)
-              JOIN cand_lists ON l = history_length)""",
-    "tops": """
-        SELECT sample_key, list(p ORDER BY score DESC, p)[1:3] AS ps FROM period_scores GROUP BY sample_key""",
+        SELECT sample_key, 1e-12 * list_sum(power) AS tie,
+               list_transform(cand, lambda p: {'p': p, 's': power[least(greatest(CAST(round_even(l / p, 0) AS INTEGER), 1), len(power))]}) AS c
+        FROM powers JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key) JOIN cand_lists ON l = history_length""",
+    "tops": best_three("period_scores"),
     "bin_periods": """
-        SELECT sample_key, least(greatest(CAST(round_even(l / b, 0) AS INTEGER), 2), l) AS p, share[b] AS score, b
-        FROM (SELECT sample_key, share, history_length AS l, unnest(range(1, len(share) + 1)) AS b
-              FROM shares JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key))""",
-    "best_bins": """
-        SELECT sample_key, p, min(place) AS place FROM (
-          SELECT sample_key, p, row_number() OVER (PARTITION BY sample_key ORDER BY score DESC, b) AS place FROM bin_periods)
-        GROUP BY ALL""",
-    "dyn_tops": "SELECT sample_key, list(p ORDER BY place)[1:3] AS ps FROM best_bins GROUP BY sample_key",
+        SELECT sample_key, 1e-12 * list_sum(power) AS tie, list_transform(range(1, len(power) + 1), lambda b:
+                 {'p': least(greatest(CAST(round_even(history_length / b, 0) AS INTEGER), 2), history_length), 's': power[b]}) AS c
+        FROM powers JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key)""",
+    "dyn_tops": best_three("bin_periods"),
 }
 
 
@@ -312,7 +319,10 @@ def _(ws):
     ["power_sum", "power_check"],
 )
 def _(ws):
-    p = transforms.with_power(ws.windows().select("sample_key", "x"))
+    return _power_checks(transforms.with_power(ws.windows().select("sample_key", "x")))
+
+
+def _power_checks(p):
     return p.select(
         "sample_key",
         F.size("power").cast("long").alias("bin_count"),
@@ -321,6 +331,15 @@ def _(ws):
     )
 
 
+@query(
+    "d4_with_power_columns",
+    f"SELECT sample_key, len(power) AS bin_count, list_sum(power) AS power_sum, CASE WHEN list_sum(power) > 0 THEN {checksum_sql('power')} / list_sum(power) ELSE 0 END AS power_check FROM powers",
+    ["power_sum", "power_check"],
+)
+def _(ws):
+    return _power_checks(transforms.with_power_columns(ws.windows().select("sample_key", "x")))
+
+
 @query("d5_top_periods", "SELECT sample_key, ps[1] AS p1, ps[2] AS p2, ps[3] AS p3 FROM tops", extra=NORM)
 def _(ws):
     return _periods(transforms.top_periods(ws.windows().select("sample_key", "x"), 3))
@@ -353,7 +372,7 @@ def _(ws):
 @query(
     "d8_period_fold",
     """SELECT sample_key, p AS period, n AS cycles, list_sum(list_transform(range(1, n * p + 1), lambda i: x[least(i, len(x))] * i)) AS fold_check
-       FROM (SELECT sample_key, x, ps[1] AS p, (len(x) + ps[1] - 1) // ps[1] AS n FROM tops JOIN hist USING (sample_key))""",
+       FROM (SELECT sample_key, x, ps[1] AS p, (len(x) + ps[1] - 1) // ps[1] AS n FROM tops JOIN (SELECT sample_key, x FROM feat4) USING (sample_key))""",
     ["fold_check"],
     NORM,
 )
@@ -387,21 +406,76 @@ def _(ws):
        FROM windows CROSS JOIN (SELECT unnest(['3view', 'top3fold']) AS variant) v GROUP BY ALL""",
 )
 def _(ws):
-    w, keep = ws.windows(), ["sample_key", "config_name", "split"]
-    both = transforms.imageize(w, "3view", keep=keep).unionByName(transforms.imageize(w, "top3fold", keep=keep))
+    both = transforms.imageize(ws.windows(), ["3view", "top3fold"], keep=["sample_key", "config_name", "split"])
     bad = F.size(F.filter("pixels", lambda p: ~((p >= 0) & (p <= 1))))
     return both.groupBy("config_name", "split", "variant").agg(
         F.count(F.lit(1)).alias("image_count"), F.sum(F.size("pixels")).alias("pixel_count"), F.sum(bad).alias("outside")
     )
 
 
+def _part_mean(channel: int, size: int) -> Column:
+    part = F.slice("pixels", channel * size * size + 1, size * size)
+    return asum(F.transform(part, lambda v: v.cast("double"))) / (size * size)
+
+
+EDGE = 4
+_CURVE = "(least(greatest({v}, -5.0), 5.0) + 5.0) / 10.0"
+_PIXELS = {
+    **NORM,
+    # for every axis length n: the samples left and right of each of EDGE evenly spread points, and the share of the right one
+    "between": f"""
+        SELECT n, e, lo, least(lo + 1, n - 1) AS hi, pos - lo AS part FROM (
+          SELECT n, e, pos, greatest(least(CAST(floor(pos) AS INTEGER), n - 2), 0) AS lo FROM (
+            SELECT n, e, e * (n - 1) / {EDGE - 1}.0 AS pos FROM (SELECT unnest(range(1, 49)) AS n) CROSS JOIN (SELECT unnest(range(0, {EDGE})) AS e)))""",
+    "normed": """
+        SELECT sample_key, x_norm AS x, len(x_norm) AS n, ps[1] AS p, (len(x_norm) + ps[1] - 1) // ps[1] AS cycles FROM norms JOIN norm_tops USING (sample_key)""",
+    "raster_means": f"""
+        SELECT sample_key, avg(CAST(CAST(exp(-(y - h) * (y - h) / 2) AS FLOAT) AS DOUBLE)) AS m0 FROM (
+          SELECT sample_key, {EDGE - 1} * (1 - (a + part * (b - a))) AS h FROM (
+            SELECT sample_key, part, {_CURVE.format(v="x[lo + 1]")} AS a, {_CURVE.format(v="x[hi + 1]")} AS b FROM normed JOIN between USING (n)))
+        CROSS JOIN (SELECT unnest(range(0, {EDGE})) AS y) GROUP BY sample_key""",
+    "fold_means": f"""
+        SELECT sample_key, avg(CAST(CAST({_CURVE.format(v="top + lean * (bottom - top)")} AS FLOAT) AS DOUBLE)) AS m1 FROM (
+          SELECT sample_key, r.part AS lean,
+                 x[least(r.lo * p + c.lo, normed.n - 1) + 1] * (1 - c.part) + x[least(r.lo * p + c.hi, normed.n - 1) + 1] * c.part AS top,
+                 x[least(r.hi * p + c.lo, normed.n - 1) + 1] * (1 - c.part) + x[least(r.hi * p + c.hi, normed.n - 1) + 1] * c.part AS bottom
+          FROM normed JOIN between r ON r.n = cycles JOIN between c ON c.n = p) GROUP BY sample_key""",
+    "norm_spectra": """
+        SELECT sample_key, list(pow(list_inner_product(d, c), 2) + pow(list_inner_product(d, s), 2) ORDER BY k) AS power FROM (
+          SELECT sample_key, len(x_norm) AS n, list_transform(x_norm, lambda v: v - list_sum(x_norm) / len(x_norm)) AS d FROM norms)
+        JOIN twiddle ON l = n WHERE k > 0 GROUP BY sample_key""",
+    "norm_scores": """
+        SELECT sample_key, 1e-12 * list_sum(power) AS tie, list_transform(cand, lambda p:
+                 {'p': p, 's': power[least(greatest(CAST(round_even(l / p, 0) AS INTEGER), 1), len(power))]}) AS c
+        FROM norm_spectra JOIN (SELECT sample_key, history_length FROM windows) USING (sample_key) JOIN cand_lists ON l = history_length""",
+    "norm_tops": best_three("norm_scores"),
+    "band_means": """
+        SELECT sample_key, avg(CAST(CAST(a + part * (b - a) AS FLOAT) AS DOUBLE)) AS m2 FROM (
+          SELECT sample_key, part, (lg[lo + 1] - least_) / span AS a, (lg[hi + 1] - least_) / span AS b FROM (
+            SELECT sample_key, lg, len(lg) AS n, list_min(lg) AS least_, greatest(list_max(lg) - list_min(lg), 1e-6) AS span
+            FROM (SELECT sample_key, list_transform(power, lambda v: ln(1 + v)) AS lg FROM norm_spectra)) JOIN between USING (n)) GROUP BY sample_key""",
+}
+
+
+@query(
+    "d10_view_means",
+    """SELECT sample_key, m0 AS mean_pixel_0, m1 AS mean_pixel_1, m2 AS mean_pixel_2
+       FROM raster_means JOIN fold_means USING (sample_key) JOIN band_means USING (sample_key)""",
+    ["mean_pixel_0", "mean_pixel_1", "mean_pixel_2"],
+    _PIXELS,
+)
+def _(ws):
+    """Mean of every view of every window, drawn small."""
+    images = transforms.imageize(ws.windows(), "3view", size=EDGE, keep=["sample_key"])
+    return images.select("sample_key", *[_part_mean(c, EDGE).alias(f"mean_pixel_{c}") for c in range(3)])
+
+
 @query("d10_image_values")
 def _(ws):
     images = transforms.imageize(ws.windows(), "3view", keep=["sample_key", "config_name", "split"])
 
     def part_mean(channel: int) -> Column:
-        part = F.slice("pixels", channel * 256 + 1, 256)
-        return F.avg(asum(F.transform(part, lambda v: v.cast("double"))) / 256)
+        return F.avg(_part_mean(channel, 16))
 
     return images.groupBy("config_name", "split").agg(*[part_mean(c).alias(f"mean_pixel_{c}") for c in range(3)])
 
@@ -411,7 +485,7 @@ def _(ws):
     f"""SELECT sample_key, {checksum_sql('half')} AS half_check, {checksum_sql('imagenet')} AS imagenet_check FROM (
           SELECT sample_key, list_transform(px, lambda v: (v - 0.5) / 0.5) AS half,
                  list_transform(px, lambda v: (v - [0.485, 0.456, 0.406][channel_id + 1]) / [0.229, 0.224, 0.225][channel_id + 1]) AS imagenet
-          FROM pixel_rows JOIN (SELECT sample_key, channel_id FROM windows) USING (sample_key))""",
+          FROM (SELECT sample_key, px, CAST(regexp_extract(sample_key, '__ch([0-9]+)__', 1) AS INTEGER) AS channel_id FROM pixel_rows))""",
     ["half_check", "imagenet_check"],
     NORM,
 )
@@ -497,6 +571,46 @@ def _(ws):
     )
 
 
+_LAGS = {
+    "adf_rows": """
+        SELECT sample_key, list_transform(range(1, len(x)), lambda i: x[i + 1] - x[i]) AS d, x[1 : len(x) - 1] AS level FROM windows WHERE list_min(x) <> list_max(x)""",
+    "adf_zero": """
+        SELECT *, len(d) AS n, list_sum(d) / len(d) AS md, list_sum(level) / len(level) AS ml FROM adf_rows""",
+    "adf_lag0": """
+        SELECT sample_key, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS adf_0 FROM (
+          SELECT sample_key, n, list_sum(list_transform(level, lambda v: (v - ml) * (v - ml))) AS sxx, list_sum(list_transform(d, lambda v: (v - md) * (v - md))) AS syy,
+                 list_sum(list_transform(range(1, n + 1), lambda i: (level[i] - ml) * (d[i] - md))) AS sxy FROM adf_zero)""",
+    "adf_one": """
+        SELECT *, list_sum(y) / n AS my, list_sum(a) / n AS ma, list_sum(b) / n AS mb FROM (
+          SELECT sample_key, len(d) - 1 AS n, d[2 : len(d)] AS y, level[2 : len(level)] AS a, d[1 : len(d) - 1] AS b FROM adf_rows)""",
+    "adf_lag1": """
+        SELECT sample_key, (say * sbb - sby * sab) / det / sqrt((syy - ((say * sbb - sby * sab) * say + (sby * saa - say * sab) * sby) / det) / (n - 3) * sbb / det) AS adf_1
+        FROM (SELECT *, saa * sbb - sab * sab AS det FROM (
+          SELECT sample_key, n, list_sum(list_transform(range(1, n + 1), lambda i: (a[i] - ma) * (a[i] - ma))) AS saa,
+                 list_sum(list_transform(range(1, n + 1), lambda i: (b[i] - mb) * (b[i] - mb))) AS sbb,
+                 list_sum(list_transform(range(1, n + 1), lambda i: (a[i] - ma) * (b[i] - mb))) AS sab,
+                 list_sum(list_transform(range(1, n + 1), lambda i: (a[i] - ma) * (y[i] - my))) AS say,
+                 list_sum(list_transform(range(1, n + 1), lambda i: (b[i] - mb) * (y[i] - my))) AS sby,
+                 list_sum(list_transform(y, lambda v: (v - my) * (v - my))) AS syy FROM adf_one))""",
+}
+WELL_POSED = "list_unique(x[1 : len(x) - 1]) > 3 AND list_unique(x) > 3"
+
+
+@query(
+    "e7_adf_fixed_lags",
+    f"""SELECT sample_key, CASE WHEN abs(adf_0) < 1000 THEN adf_0 END AS adf_0, CASE WHEN abs(adf_1) < 1000 THEN adf_1 END AS adf_1
+        FROM adf_lag0 JOIN adf_lag1 USING (sample_key) JOIN windows USING (sample_key) WHERE {WELL_POSED}""",
+    ["adf_0", "adf_1"],
+    _LAGS,
+)
+def _(ws):
+    """Statistics without and with one lagged difference. Windows of at most three different values fit (nearly) exactly and are left to the tests."""
+    apart = (F.size(F.array_distinct(F.slice("x", F.lit(1), F.size("x") - 1))) > 3) & (F.size(F.array_distinct("x")) > 3)
+    rows = features.adf_statistics(ws.windows().select("sample_key", "x").filter(apart), [0, 1])
+    small = [F.when(F.abs(F.element_at("adf", i + 1)) < 1000, F.element_at("adf", i + 1)).alias(f"adf_{i}") for i in (0, 1)]
+    return rows.select("sample_key", *small)
+
+
 SIXTEEN = [c for c in FEATURES if c != "stationarity"]
 
 

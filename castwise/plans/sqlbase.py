@@ -198,9 +198,6 @@ TABLES: dict[str, str] = {
         FROM (SELECT sample_key, history_length, list_transform(x, lambda v: v - mu) AS d FROM hist)
         JOIN twiddle ON l = history_length""",
     "powers": "SELECT sample_key, list(p ORDER BY k) AS power FROM bins WHERE k > 0 GROUP BY sample_key",
-    "shares": """
-        SELECT sample_key, power, list_transform(power, lambda p: floor(CASE WHEN list_sum(power) > 0
-                 THEN p / list_sum(power) ELSE 0.0 END * 1e6 + 0.2718)) AS share FROM powers""",
     "psd": """
         SELECT sample_key, l, psd, list_sum(psd) AS total, list_sum(psd) / len(psd) AS mu FROM (
           SELECT sample_key, any_value(history_length) AS l,
@@ -210,11 +207,10 @@ TABLES: dict[str, str] = {
         SELECT *, list_sum(list_transform(psd, lambda v: pow(v - mu, 2))) / len(psd) AS m2,
                list_sum(list_transform(psd, lambda v: pow(v - mu, 3))) / len(psd) AS m3,
                list_sum(list_transform(psd, lambda v: pow(v - mu, 4))) / len(psd) AS m4,
-               list_transform(psd, lambda v: floor(CASE WHEN total > 0 THEN v / total ELSE 0.0 END * 1e6 + 0.2718)) AS share,
                list_transform(psd, lambda v: (v + 1e-12) / (total + 1e-12 * len(psd))) AS w
         FROM psd""",
     "spectral": """
-        SELECT sample_key, mu AS frequency_mean, (list_position(share, list_max(share)) - 1) / l AS frequency_peak,
+        SELECT sample_key, mu AS frequency_mean, (list_filter(range(1, len(psd) + 1), lambda i: psd[i] >= list_max(psd) - 1e-12 * total)[1] - 1) / l AS frequency_peak,
                -list_sum(list_transform(w, lambda v: v * ln(v))) AS spectral_entropy,
                CASE WHEN m2 <= pow(2.220446049250313e-16 * mu, 2) THEN 0 ELSE m3 / pow(m2, 1.5) END AS spectral_skewness,
                CASE WHEN m2 <= pow(2.220446049250313e-16 * mu, 2) THEN 0 ELSE m4 / (m2 * m2) - 3 END AS spectral_kurtosis

@@ -48,14 +48,56 @@ WINDOWS = [
 
 def test_features_match_direct_formulas_in_both_forms(spark):
     df = frame(spark, WINDOWS)
-    one_pass = df.select("sample_key", spectral.all_features_of("x").alias("f")).select("sample_key", "f.*").toPandas().set_index("sample_key")
+    arrow = df.select("sample_key", spectral.arrow_features_of("x").alias("f")).select("sample_key", "f.*").toPandas().set_index("sample_key")
     jvm = features.ar1_features(features.rate_of_change(features._with_moments(df))).toPandas().set_index("sample_key")
     for i, w in enumerate(WINDOWS):
         for name, value in by_hand(w).items():
-            assert one_pass.loc[str(i), name] == pytest.approx(value, abs=1e-9), (i, name)
-            if name in jvm.columns:
-                assert jvm.loc[str(i), name] == pytest.approx(value, abs=1e-9), (i, name)
-    assert set(FEATURES) <= set(one_pass.columns)
+            both = jvm if name in jvm.columns else arrow
+            assert both.loc[str(i), name] == pytest.approx(value, abs=1e-9), (i, name)
+    assert set(FEATURES) <= set(arrow.columns) | set(jvm.columns)
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    x = pa.array([list(w) for w in WINDOWS * 3])
+    run = lambda: spectral._features(x, ["a", "b"], lambda m: np.column_stack([m.sum(axis=1), spectral.is_stationary(m)]), lambda n: n)
+    whole = run()
+    monkeypatch.setattr(spectral, "PIECE_BYTES", 1)
+    assert run().equals(whole)
+
+
+def test_power_in_columns_and_exact_ranks(spark):
+    df = frame(spark, [*WINDOWS, [3.0], [1.0, 2.0]])
+    both = transforms.with_power_columns(transforms.with_power(df), out="columns").collect()
+    for r in both:
+        assert len(r.power) == len(r["columns"]) == len(r.x) // 2
+        assert np.allclose(r.power, r["columns"], atol=1e-10 * (1 + sum(r.power)))
+    # two bins that differ by a millionth of the total are told apart, equal ones go to the lower bin
+    t = np.arange(24)
+    waves = [np.cos(2 * np.pi * 3 * t / 24) + (1 + 1e-6) * np.cos(2 * np.pi * 5 * t / 24), np.cos(2 * np.pi * 3 * t / 24) + np.cos(2 * np.pi * 5 * t / 24)]
+    got = [r.periods for r in transforms.top_periods_dynamic(frame(spark, waves), 2).orderBy("sample_key").collect()]
+    assert got == [[5, 8], [8, 5]]
+
+
+def test_unit_root_statistics_at_fixed_lags(spark):
+    w = np.cumsum(np.random.default_rng(8).normal(size=40))
+    d, level = np.diff(w), w[:-1]
+    got = features.adf_statistics(frame(spark, [w, np.ones(9)]), [0, 1]).orderBy("sample_key").collect()
+    for lag in (0, 1):
+        x = np.column_stack([np.ones(39 - lag), level[lag:], *[d[lag - i : 39 - i] for i in range(1, lag + 1)]])
+        y = d[lag:]
+        beta, (ssr,), *_ = np.linalg.lstsq(x, y)
+        se = np.sqrt(ssr / (len(y) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        assert got[0].adf[lag] == pytest.approx(beta[1] / se)
+    assert got[1].adf == [0.0, 0.0]
+
+
+def test_variants_are_drawn_in_one_pass(spark):
+    df = frame(spark, WINDOWS)
+    pick = lambda images: sorted((r.sample_key, r.variant, tuple(r.pixels)) for r in images.collect())
+    alone = [pick(transforms.imageize(df, v, size=8)) for v in ("3view", "top3fold")]
+    assert pick(transforms.imageize(df, ["3view", "top3fold"], size=8)) == sorted(alone[0] + alone[1])
 
 
 def adf_by_loop(x):
