@@ -139,6 +139,49 @@ def best_epoch(epochs: DataFrame, by: str = "mse", versus: str = "mae", run: Seq
     )
 
 
+def epoch_of_file(path: Column, kind: str) -> Column:
+    """Epoch in a checkpoint file name ``<kind>_epoch=<n>_step=<n>_<rest>.ckpt``; NULL for other names."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.nullif(F.regexp_extract(name, rf"^{kind}_epoch=(\d+)_step=\d+_.*\.ckpt$", 1), F.lit("")).cast("int")
+
+
+def best_checkpoint(
+    curve: DataFrame, files: DataFrame, by: str = "mse", versus: str = "mae", run: Sequence[str] = ("model", "config_name")
+) -> DataFrame:
+    """Best saved epoch per run: validation curve joined with the checkpoints that exist as files.
+
+    ``curve``: run columns, ``epoch`` and ``validation_<metric>``. ``files``: run columns, ``path`` and ``modified``; names with
+    ``ckpt`` are saved epochs, the latest with ``best`` is the choice of the run itself (by ``versus``). An epoch without a
+    checkpoint cannot win; a checkpoint without a point on the curve fails the job, as does a run without
+    any checkpoint. Equal metrics go to the earlier epoch; of several files of one epoch the last by name counts.
+    """
+    named = files.select(*run, "path", "modified", epoch_of_file(F.col("path"), "ckpt").alias("_ckpt"), epoch_of_file(F.col("path"), "best").alias("_best"))
+    saved = named.filter("_ckpt IS NOT NULL").groupBy(*run, F.col("_ckpt").alias("epoch")).agg(F.max("path").alias("_path"))
+    own = named.filter("_best IS NOT NULL").groupBy(*run).agg(F.max(F.struct("modified", "path", "_best")).alias("_own"))
+    both = curve.withColumn("_seen", F.lit(True)).join(saved, [*run, "epoch"], "full_outer")
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in (*run, "epoch")])
+    point = F.when(F.col("_seen").isNotNull(), F.col(f"validation_{by}")).otherwise(
+        F.raise_error(F.concat(F.lit("checkpoint without a point on the curve: "), text)).cast("double")
+    )
+    usable = F.col("_path").isNotNull() & F.col("_point").isNotNull()
+    best = both.withColumn("_point", point).groupBy(*run).agg(
+        F.min(F.when(usable, F.struct("_point", "epoch", f"validation_{versus}", "_path"))).alias("_b"), F.count_if(usable).alias("epoch_count")
+    )
+    found = F.when(F.col("epoch_count") > 0, F.col("_b.epoch")).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit("no checkpoint with a curve:"), *[F.col(c).cast("string") for c in run])).cast("int")
+    )
+    return best.join(own, list(run), "left").select(
+        *run,
+        "epoch_count",
+        found.alias(f"{by}_best_epoch"),
+        F.col("_own._best").alias(f"{versus}_best_epoch"),
+        F.col("_b._point").alias(f"validation_{by}"),
+        F.col(f"_b.validation_{versus}").alias(f"validation_{versus}"),
+        (~F.col("_b.epoch").eqNullSafe(F.col("_own._best"))).alias(f"{by}_best_differs_from_{versus}_best"),
+        F.col("_b._path").alias("checkpoint_path"),
+    )
+
+
 def lineage(forecasts: DataFrame) -> DataFrame:
     """Where each model's forecasts come from."""
     return (

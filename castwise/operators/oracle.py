@@ -15,15 +15,17 @@ def error_matrix(forecasts: DataFrame, metric: str, experts: Sequence[str], keys
     """One row per sample, one error column per expert.
 
     Conditional maxima pivot in a single shuffle on the sample; ``pivot`` would first
-    shuffle on (sample, expert).  A repeated (sample, expert) fails the job; an
-    expert that is not in ``experts`` has no column, a missing one is NULL.
+    shuffle on (sample, expert).  A repeated (sample, expert) and an
+    expert that is not in ``experts`` fail the job; a missing one is NULL.
     """
     cells = [F.max(F.when(F.col("model_name") == e, F.col(metric))).alias(e) for e in experts]
     repeated = [F.count_if(F.col("model_name") == e).alias(f"_n_{k}") for k, e in enumerate(experts)]
     most = F.greatest(*[F.col(f"_n_{k}") for k in range(len(experts))], F.lit(0))
     first = experts[0]
-    checked = F.when(most <= 1, F.col(first)).otherwise(F.raise_error(F.lit("an expert is repeated in a sample")).cast("double"))
-    return forecasts.groupBy(*keys).agg(*cells, *repeated).select(*keys, checked.alias(first), *experts[1:])
+    other = F.count_if(~F.col("model_name").isin(list(experts))).alias("_other")
+    fault = F.when(most > 1, "an expert is repeated in a sample").when(F.col("_other") > 0, "a sample has an unknown expert")
+    checked = F.when(fault.isNull(), F.col(first)).otherwise(F.raise_error(fault).cast("double"))
+    return forecasts.groupBy(*keys).agg(*cells, *repeated, other).select(*keys, checked.alias(first), *experts[1:])
 
 
 def oracle_labels(

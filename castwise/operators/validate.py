@@ -182,27 +182,28 @@ def validate_outputs(labels: DataFrame, enriched: DataFrame, expected_samples: i
 
 
 def readiness(features: DataFrame, labels: DataFrame, samples: DataFrame, shard_count: int, shard_col: str = "shard") -> DataFrame:
-    """Input readiness, one row per check with the seen and the wanted number."""
-    one = F.lit(1).alias("_one")
-    f = features.agg(
-        F.countDistinct(shard_col).alias("a"), F.count(F.lit(1)).alias("b"), F.countDistinct("feature_version").alias("c"), one
-    )
-    s = samples.agg(F.count(F.lit(1)).alias("n"), one)
-    lab = labels.agg(F.countDistinct("metric").alias("m"), one)
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("check"), seen.cast("long").alias("found"), want.cast("long").alias("expected"))
-            for name, seen, want in (
-                ("feature_shards", F.col("a"), F.lit(shard_count)),
-                ("feature_rows", F.col("b"), F.col("n")),
-                ("feature_versions", F.col("c"), F.lit(1)),
-                ("label_metrics", F.col("m"), F.lit(2)),
-            )
-        ]
-    )
-    # three one-row tables
-    j = f.join(s, "_one").join(lab, "_one")
-    return j.select(F.inline(rows)).withColumn("ready", F.col("found") == F.col("expected"))
+    """Input readiness, one row per check with the seen and the wanted number.
+
+    Each table gives its checks as rows; rows of one check meet in a small aggregation, so nothing is joined.
+    """
+
+    def numbers(df: DataFrame, rows: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+        counted = df.agg(*[c.cast("long").alias(f"_{k}{i}") for i, (_, found, want) in enumerate(rows) for k, c in (("f", found), ("w", want))])
+        each = [F.struct(F.lit(n).alias("check"), F.col(f"_f{i}").alias("found"), F.col(f"_w{i}").alias("expected")) for i, (n, _, _) in enumerate(rows)]
+        return counted.select(F.inline(F.array(*each)))
+
+    nothing, rows = F.max(F.lit(None).cast("long")), F.count(F.lit(1))
+    of_features = [
+        ("feature_shards", F.countDistinct(shard_col), nothing),
+        ("feature_rows", rows, nothing),
+        ("feature_versions", F.countDistinct("feature_version"), nothing),
+    ]
+    union = numbers(features, of_features).unionByName(numbers(samples, [("feature_rows", nothing, rows)]))
+    union = union.unionByName(numbers(labels, [("label_metrics", F.countDistinct("metric"), nothing)]))
+    wanted = {"feature_shards": shard_count, "feature_versions": 1, "label_metrics": 2}
+    fixed = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("check")]
+    g = union.groupBy("check").agg(F.max("found").alias("found"), F.max("expected").alias("_e"))
+    return g.select("check", "found", F.coalesce("_e", fixed).cast("long").alias("expected")).withColumn("ready", F.col("found") == F.col("expected"))
 
 
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -283,13 +283,13 @@ def _(ws):
 
 # --- learned routers ----------------------------------------------------------------
 
-SCALED = ["mean", "std", "min", "max"]
+SCALED = [c for c in FEATURES if c != "stationarity"]  # the unit-root flag has no SQL twin; tests cover it
 
 
 @query(
     "k1_fit_scaler",
     " UNION ALL ".join(
-        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feat4 WHERE split = 'vali' GROUP BY config_name"
+        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feature_rows WHERE split = 'vali' GROUP BY config_name"
         for c in SCALED
     ),
     ["mean", "std"],
@@ -302,9 +302,9 @@ def _(ws):
     "k1_apply_scaler",
     "SELECT sample_key, "
     + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SCALED)
-    + " FROM feat4 JOIN (SELECT config_name, "
+    + " FROM feature_rows JOIN (SELECT config_name, "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALED)
-    + " FROM feat4 WHERE split = 'vali' GROUP BY config_name) USING (config_name)",
+    + " FROM feature_rows WHERE split = 'vali' GROUP BY config_name) USING (config_name)",
     SCALED,
 )
 def _(ws):
@@ -614,7 +614,7 @@ def _(ws):
 @query(
     "q5_stream_moments",
     " UNION ALL ".join(
-        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feat4 GROUP BY config_name"
+        f"SELECT config_name, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std FROM feature_rows GROUP BY config_name"
         for c in SCALED
     ),
     ["mean", "std"],

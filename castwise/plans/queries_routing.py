@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwise.functions.columns import asum
@@ -362,6 +363,30 @@ def _(ws):
     return audit.best_epoch(curves.withColumn("checkpoint_saved", F.col("epoch") != 2))
 
 
+@query(
+    "g15_best_checkpoint",
+    f"""SELECT model, config_name, count(*) AS epoch_count, arg_min(epoch, vmse) AS mse_best_epoch, CASE WHEN model <> '{EXPERTS[-1]}' THEN 3 END AS mae_best_epoch,
+               min(vmse) AS validation_mse, arg_min(vmae, vmse) AS validation_mae,
+               arg_min(epoch, vmse) IS DISTINCT FROM CASE WHEN model <> '{EXPERTS[-1]}' THEN 3 END AS mse_best_differs_from_mae_best,
+               'runs/' || model || '/' || config_name || '/checkpoints/ckpt_epoch=' || arg_min(epoch, vmse) || '_step=' || arg_min(epoch, vmse) * 100 || '_v.ckpt' AS checkpoint_path
+        FROM curves WHERE saved GROUP BY model, config_name""",
+    ["validation_mse", "validation_mae"],
+    CURVES,
+)
+def _(ws):
+    """Epochs 0 to 4 of the curve, checkpoints of all but epoch 2; epochs 1 and 3 were best by the run itself, in one model none was."""
+    vali = keys.for_split(ws.forecasts(), "vali").withColumn("model", F.col("model_name")).withColumn("epoch", F.col("window_index") % 5)
+    curve = vali.groupBy("model", "config_name", "epoch").agg(F.avg("mse").alias("validation_mse"), F.avg("mae").alias("validation_mae"))
+
+    def files(kind: str, of) -> DataFrame:
+        step = (F.col("epoch") * 100).cast("string")
+        path = F.concat(F.lit("runs/"), "model", F.lit("/"), "config_name", F.lit(f"/checkpoints/{kind}_epoch="), F.col("epoch").cast("string"), F.lit("_step="), step, F.lit("_v.ckpt"))
+        return vali.filter(of).select("model", "config_name", path.alias("path"), F.col("epoch").alias("modified")).distinct()
+
+    saved = files("ckpt", F.col("epoch") != 2).unionByName(files("best", F.col("epoch").isin(1, 3) & (F.col("model") != EXPERTS[-1])))
+    return audit.best_checkpoint(curve, saved)
+
+
 @query("g16_lineage", "SELECT DISTINCT model_name, config_name, expert_version, 'not_applicable' AS checkpoint_selection FROM forecasts")
 def _(ws):
     blank = ws.forecasts().withColumn("checkpoint_selection", F.when(F.col("model_name") != "ses", F.col("checkpoint_selection")))
@@ -653,11 +678,11 @@ def _(ws):
 
 @query(
     "k10_rewards",
-    " UNION ALL ".join(f"SELECT {STABLE_SQL}, metric, '{e}' AS action, -{e} AS reward, -{e}_regret AS regret_reward FROM labels WHERE metric = 'mae'" for e in EXPERTS),
+    " UNION ALL ".join(f"SELECT {STABLE_SQL}, metric, '{e}' AS action, -{e} AS reward, -{e}_regret AS regret_reward FROM labels" for e in EXPERTS),
     ["reward", "regret_reward"],
 )
 def _(ws):
-    return audit.rewards(keys.for_metric(ws.labels(), "mae"), EXPERTS)
+    return audit.rewards(ws.labels(), EXPERTS)
 
 
 @query(

@@ -14,7 +14,7 @@ from castwise.plans.registry import query
 from castwise.plans.sqlbase import STABLE_SQL
 from castwise.schemas import FORECASTS_SCHEMA, REGIME, SAMPLES_SCHEMA, STABLE
 from castwise.sources import evals, shards, tables
-from castwise.sources.panel import item_views
+from castwise.sources.panel import item_views, read_panel
 
 NAMES_SQL = ", ".join(f"'{e}'" for e in EXPERTS)
 SHARDS = 8
@@ -28,6 +28,15 @@ def _(ws):
     return derived.build_panel(ws.spark, ws.sf_dir)
 
 
+@query("a1_read_panel_by_time", "SELECT item_id, channel_id, step, raw FROM raw_panel WHERE dataset_name = 'EVENTS_2H'", ["raw"])
+def _(ws):
+    """Events by their own timestamps in buckets of two hours."""
+    events, amounts = ws.source("events"), [F.col("value"), F.lit(1.0)]
+    p = read_panel(events, "EVENTS_2H", F.col("user_id"), None, amounts, time=F.col("ts"), bucket="2 hours")
+    raw = F.when(F.col("channel_id") == 0, F.round(F.col("value") * 100)).otherwise(F.col("value"))
+    return p.select("item_id", "channel_id", "step", raw.alias("raw"))
+
+
 @query(
     "a2_read_forecasts",
     "SELECT model_name, count(*) AS row_count, avg(mae) AS mean_mae FROM forecasts GROUP BY ALL",
@@ -65,6 +74,49 @@ def _(ws):
     return evals.read_regimes(twice, "first")
 
 
+@query("a5_read_regimes_strict", "SELECT * FROM regimes")
+def _(ws):
+    return evals.read_regimes(ws.regimes(), "error")
+
+
+GATES = ["regimes", "shard_grid", "integrity"]
+
+
+@query(
+    "a5_a10_l8_gates",
+    f"SELECT gate, input, input = 'faulty' AS stopped FROM (SELECT unnest({GATES}) AS gate) CROSS JOIN (SELECT unnest(['clean', 'faulty']) AS input)",
+)
+def _(ws):
+    """Each gate over whole tables: clean ones pass, ones with faults stop the job."""
+
+    def grid(rows):
+        path = F.concat(F.lit("cache/shard_"), (F.col("window_index") % SHARDS).cast("string"), F.lit("/part.parquet"))
+        return shards.shard_grid(rows.select("model_name", shards.shard_of_path(path).alias("shard")), EXPERTS)
+
+    without_one = ws.forecasts().filter(~((F.col("window_index") % SHARDS == 1) & (F.col("model_name") == EXPERTS[-1])))
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    trials = {
+        ("regimes", "clean"): lambda: noop(evals.read_regimes(ws.regimes(), "error")),
+        ("regimes", "faulty"): lambda: noop(evals.read_regimes(ws.regimes().unionByName(ws.regimes()), "error")),
+        ("shard_grid", "clean"): lambda: shards.require_full_grid(grid(ws.forecasts())),
+        ("shard_grid", "faulty"): lambda: shards.require_full_grid(grid(without_one)),
+        ("integrity", "clean"): lambda: validate.require_passed(validate.integrity_report(ws.forecasts(), EXPERTS)),
+        ("integrity", "faulty"): lambda: validate.require_passed(validate.integrity_report(ws.faulty(), EXPERTS)),
+    }
+    said = {"regimes": "repeated item", "shard_grid": "lacks experts", "integrity": "integrity check failed"}
+    found = []
+    for (gate, name), run in trials.items():
+        try:
+            run()
+            stopped = False
+        except Exception as exc:
+            if said[gate] not in str(exc):  # a failure of another kind is no verdict
+                raise
+            stopped = True
+        found.append((gate, name, stopped))
+    return ws.spark.createDataFrame(found, "gate string, input string, stopped boolean")
+
+
 @query(
     "a6_read_features",
     f"SELECT config_name, split, {SHARDS} AS shard_count, count(*) AS row_count, sum(mean) AS sum_mean FROM feat4 GROUP BY ALL",

@@ -33,35 +33,39 @@ def scored_panel(ws):
 # --- windowing ------------------------------------------------------------------
 
 
+def every_config(fn):
+    """``fn(config_name, history, future)`` of both window configs as one table."""
+    parts = [fn(name, *sizes).withColumn("config_name", F.lit(name)) for name, sizes in derived.CONFIGS.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "c1_enumerate_windows",
-    f"SELECT split, {SERIES_SQL}, CAST(unnest(range(0, t - {L + H} + 1)) AS INTEGER) AS window_index FROM series",
+    f"SELECT config_name, split, {SERIES_SQL}, CAST(unnest(range(0, t - l - h + 1)) AS INTEGER) AS window_index FROM series CROSS JOIN cfg",
 )
 def _(ws):
-    return windows.enumerate_windows(scored_panel(ws), L, H, block=16)
+    return every_config(lambda _, l, h: windows.enumerate_windows(scored_panel(ws), l, h, block=16))  # noqa: E741
 
 
 @query(
     "c2_with_history",
-    f"""SELECT split, {SERIES_SQL}, window_index, {checksum_sql("v[window_index + 1 : window_index + " + str(L) + "]")} AS x_check
-        FROM (SELECT *, CAST(unnest(range(0, t - {L} + 1)) AS INTEGER) AS window_index FROM series)""",
+    f"""SELECT config_name, split, {SERIES_SQL}, window_index, {checksum_sql("v[window_index + 1 : window_index + l]")} AS x_check
+        FROM (SELECT *, CAST(unnest(range(0, t - l + 1)) AS INTEGER) AS window_index FROM series CROSS JOIN cfg)""",
     ["x_check"],
 )
 def _(ws):
-    return windows.with_history(scored_panel(ws), L, block=32).select(
-        "split", *SERIES, "window_index", checksum(F.col("x")).alias("x_check")
-    )
+    cut = every_config(lambda _, l, h: windows.with_history(scored_panel(ws), l, block=32))  # noqa: E741
+    return cut.select("config_name", "split", *SERIES, "window_index", checksum(F.col("x")).alias("x_check"))
 
 
 @query(
     "c3_with_future",
-    f"""SELECT split, {SERIES_SQL}, window_index, {checksum_sql("y_true")} AS y_check FROM windows WHERE config_name = '24_6_S'""",
+    f"""SELECT config_name, split, {SERIES_SQL}, window_index, {checksum_sql("y_true")} AS y_check FROM windows""",
     ["y_check"],
 )
 def _(ws):
-    return windows.with_future(scored_panel(ws), L, H, block=32).select(
-        "split", *SERIES, "window_index", checksum(F.col("y_true")).alias("y_check")
-    )
+    cut = every_config(lambda _, l, h: windows.with_future(scored_panel(ws), l, h, block=32))  # noqa: E741
+    return cut.select("config_name", "split", *SERIES, "window_index", checksum(F.col("y_true")).alias("y_check"))
 
 
 @query(
@@ -77,12 +81,12 @@ def _(ws):
 
 @query(
     "c4_candidate_stats",
-    f"""SELECT split, dataset_name, count(DISTINCT item_id) AS item_count, count(*) AS series_count,
-               max(t - {L + H} + 1) AS windows_per_series, CAST(sum(t - {L + H} + 1) AS BIGINT) AS window_count
-        FROM series GROUP BY ALL""",
+    """SELECT config_name, split, dataset_name, count(DISTINCT item_id) AS item_count, count(*) AS series_count,
+              max(t - l - h + 1) AS windows_per_series, CAST(sum(t - l - h + 1) AS BIGINT) AS window_count
+       FROM series CROSS JOIN cfg GROUP BY ALL""",
 )
 def _(ws):
-    return windows.candidate_stats(scored_panel(ws), L, H)
+    return every_config(lambda _, l, h: windows.candidate_stats(scored_panel(ws), l, h))  # noqa: E741
 
 
 CENTER = "(2 * k + 1) * n // (2 * cnt)"
@@ -204,21 +208,28 @@ def _(ws):
 
 def samples_sql(items: str, strategy: str) -> str:
     return f"""
-      SELECT '24_6_S__' || w.split || '__' || w.dataset_name || '__item' || w.item_id || '__ch' || w.channel_id || '__win' || w.window_index AS sample_key,
+      SELECT w.config_name || '__' || w.split || '__' || w.dataset_name || '__item' || w.item_id || '__ch' || w.channel_id || '__win' || w.window_index AS sample_key,
              w.config_name, w.split, w.dataset_name, w.item_id, w.channel_id, w.window_index, w.history_length, w.pred_length,
              '{strategy}' AS selection_strategy, r.* EXCLUDE (item_id)
       FROM windows w JOIN {items} i ON i.split = w.split AND i.dataset_name = w.dataset_name AND i.item_id = w.item_id
       JOIN regimes r ON r.item_id = w.item_id
-      JOIN (SELECT split, dataset_name, max(window_index) + 1 AS n FROM windows WHERE config_name = '24_6_S' GROUP BY ALL) c
-        ON c.split = w.split AND c.dataset_name = w.dataset_name
-      WHERE config_name = '24_6_S' AND channel_id < 2
+      JOIN (SELECT config_name, split, dataset_name, max(window_index) + 1 AS n FROM windows GROUP BY ALL) c
+        ON c.config_name = w.config_name AND c.split = w.split AND c.dataset_name = w.dataset_name
+      WHERE channel_id < 2
         AND list_contains(list_transform(range(0, 5), lambda k: (2 * k + 1) * c.n // 10), window_index)"""
 
 
+def _samples(ws, strategy: str):
+    def one(name: str, l: int, h: int):  # noqa: E741
+        cfg = sampling.SampleConfig(name, l, h, items=10, windows=5, channels=2, strategy=strategy)
+        return sampling.build_samples(scored_panel(ws), ws.regimes(), cfg)
+
+    return every_config(one)
+
+
 @query("c14_build_samples_balanced", samples_sql("balanced", "tsf_balanced"), extra=ITEMS_TABLE)
 def _(ws):
-    cfg = sampling.SampleConfig("24_6_S", L, H, items=10, windows=5, channels=2)
-    return sampling.build_samples(scored_panel(ws), ws.regimes(), cfg)
+    return _samples(ws, "tsf_balanced")
 
 
 @query(
@@ -227,8 +238,7 @@ def _(ws):
     extra=ITEMS_TABLE,
 )
 def _(ws):
-    cfg = sampling.SampleConfig("24_6_S", L, H, items=10, windows=5, channels=2, strategy="even_spaced")
-    return sampling.build_samples(scored_panel(ws), ws.regimes(), cfg)
+    return _samples(ws, "even_spaced")
 
 
 @query(

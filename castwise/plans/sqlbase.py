@@ -240,6 +240,9 @@ TABLES: dict[str, str] = {
                CASE WHEN sxx <= 1e-18 THEN ma * mb / (1 + ma * ma) ELSE sxy / sxx END AS autoreg_coef_mean,
                sqrt(greatest(CASE WHEN sxx <= 1e-18 THEN syy ELSE syy - sxy * sxy / sxx END / nn, 0)) AS residual_std_mean
         FROM ar_sums""",
+    "feature_rows": """
+        SELECT w.config_name, w.split, t.*, s.* EXCLUDE (sample_key) FROM time_features t JOIN spectral s USING (sample_key)
+        JOIN (SELECT sample_key, config_name, split FROM windows) w USING (sample_key)""",
     "logits": f"SELECT {STABLE_SQL}, {_logits} AS z FROM feat4 WHERE split = 'test'",
     "weights": f"""
         SELECT {STABLE_SQL}, list_transform(e, lambda v: v / list_sum(e)) AS weights

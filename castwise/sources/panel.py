@@ -14,12 +14,17 @@ def read_panel(
     events: DataFrame,
     dataset_name: str,
     item: Column,
-    step: Column,
+    step: Column | None,
     channels: Sequence[Column],
     axis: tuple[int, int] | None = None,
+    time: Column | None = None,
+    bucket: str | None = None,
 ) -> DataFrame:
     """Bucket events to a dense grid: one row per (item, channel, step), gaps are 0.
 
+    Steps are given as whole numbers (``step``), or made from a date or timestamp ``time`` and a ``bucket``
+    such as ``"2 hours"`` (:func:`time_steps`).
+
     ``channels`` are per-event amounts; a channel's value is their sum in the bucket.
     ``axis``: first and last step; by default those of the events, so that none is left out.
     Steps of the result count from 0 at the first step of the axis. Events without a step are dropped.
@@ -28,6 +33,9 @@ def read_panel(
     single map-side-combined aggregation does bucketing and gap filling, and a
     busy item is split over its (item, step) keys.
     """
+    if (step is None) == (time is None or bucket is None):
+        raise ValueError("give either a step, or a time and a bucket")
+    step = time_steps(time, bucket) if step is None else step
     names = [f"c{i}" for i in range(len(channels))]
     hits = events.select(
         item.cast("long").alias("item_id"),
@@ -47,6 +55,18 @@ def read_panel(
     )
 
 
+# Seconds of the bucket units.
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def time_steps(time: Column, bucket: str) -> Column:
+    """Number of the bucket a time falls in, from the first of January 1970 (weeks from the Monday after it)."""
+    amount, unit = bucket.split()
+    seconds = int(amount) * UNIT_SECONDS[unit.removesuffix("s")]
+    monday = 4 * UNIT_SECONDS["day"] if unit.startswith("week") else 0
+    return F.floor((F.unix_seconds(time.cast("timestamp")) - F.lit(monday)) / F.lit(seconds))
+
+
 def step_range(hits: DataFrame) -> tuple[int, int]:
     """First and last step of the events (two numbers); step 0 alone where there are none."""
     found = hits.agg(F.min("step"), F.max("step")).first()

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from castwise.operators import fusion, incremental, joins, oracle, ordering, sampling
+from castwise.operators import audit, fusion, incremental, joins, oracle, ordering, sampling
 from castwise.schemas import STABLE
 from castwise.sources import tables
-from castwise.sources.panel import read_panel, share_bounds
+from castwise.sources.panel import read_panel, share_bounds, time_steps
 
 FORECASTS = "sample_key string, model_name string, mae double, mse double"
 
@@ -193,3 +193,43 @@ def test_bucketed_fusion_has_no_exchange(spark, tmp_path):
     for args in ((few, lab, fc), (f, lab.filter("sample_key <> 's3'"), fc), (f, lab, fc.filter("sample_key <> 's3'"))):
         with pytest.raises(Exception, match="not one partner"):
             joins.fusion_input(*args, experts, ["f"], bucketed=True).collect()
+
+
+CURVE = "model string, config_name string, epoch int, validation_mse double, validation_mae double"
+FILES = "model string, config_name string, path string, modified long"
+
+
+def test_best_checkpoint(spark):
+    curve = spark.createDataFrame([("m", "c", e, mse, mae) for e, mse, mae in ((0, 3.0, 1.0), (1, 1.0, 3.0), (2, 2.0, 2.0), (3, 2.0, 2.0))], CURVE)
+
+    def files(*names):
+        return spark.createDataFrame([("m", "c", f"r/checkpoints/{n}", k) for k, n in enumerate(names)], FILES)
+
+    saved = ["ckpt_epoch=0_step=9_x.ckpt", "ckpt_epoch=2_step=9_x.ckpt", "ckpt_epoch=3_step=9_x.ckpt", "best_epoch=2_step=9_x.ckpt", "best_epoch=0_step=9_x.ckpt", "notes.txt"]
+    r = audit.best_checkpoint(curve, files(*saved)).first()
+    # epoch 1 has no checkpoint; 2 and 3 are equal
+    assert (r.epoch_count, r.mse_best_epoch, r.mae_best_epoch, r.mse_best_differs_from_mae_best) == (3, 2, 0, True)
+    assert r.checkpoint_path.endswith("ckpt_epoch=2_step=9_x.ckpt")
+    alone = audit.best_checkpoint(curve, files("ckpt_epoch=0_step=9_x.ckpt")).first()
+    assert alone.mae_best_epoch is None and alone.mse_best_differs_from_mae_best
+    with pytest.raises(Exception, match="without a point on the curve: m c 7"):
+        audit.best_checkpoint(curve, files(*saved, "ckpt_epoch=7_step=9_x.ckpt")).collect()
+    with pytest.raises(Exception, match="no checkpoint with a curve: m c"):
+        audit.best_checkpoint(curve, files("best_epoch=2_step=9_x.ckpt")).collect()
+
+
+def test_matrix_refuses_unknown_experts(spark):
+    rows = [("s", "a", 1.0, 1.0), ("s", "z", 3.0, 3.0)]
+    with pytest.raises(Exception, match="unknown expert"):
+        oracle.error_matrix(table(spark, rows), "mae", ["a", "b"], ["sample_key"]).collect()
+
+
+def test_time_buckets(spark):
+    df = spark.sql("SELECT timestamp '1970-01-01 03:59:59' AS t, date '1970-01-06' AS d")
+    steps = [time_steps(F.col(c), b) for c, b in (("t", "2 hours"), ("t", "30 minutes"), ("d", "1 day"), ("d", "1 week"), ("t", "1 week"))]
+    assert list(df.select(*steps).first()) == [1, 7, 5, 0, -1]
+    events = spark.createDataFrame([(1, 2.0)], "i long, v double").withColumn("t", F.lit("2024-01-01 05:00:00").cast("timestamp"))
+    panel = read_panel(events, "d", F.col("i"), None, [F.col("v")], time=F.col("t"), bucket="1 hour")
+    assert [(r.step, r.value) for r in panel.collect()] == [(0, 2.0)]
+    with pytest.raises(ValueError):
+        read_panel(events, "d", F.col("i"), None, [F.col("v")])
