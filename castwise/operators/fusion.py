@@ -24,7 +24,7 @@ from castwise.functions.columns import (
     ratio,
     softmax,
 )
-from castwise.functions.spectral import by_length
+from castwise.functions.spectral import PIECE_BYTES, by_length
 from castwise.operators.features import as_checks
 from castwise.operators.joins import stack_experts, strict_join
 from castwise.schemas import STABLE
@@ -288,10 +288,13 @@ def _swept_errors(grid: Sequence[Strategy]):
         w_all = np.asarray(weights.flatten(), dtype=float).reshape(rows_total, m)
         cal = np.empty((rows_total, n, m))
         mae, mse = np.empty((rows_total, n)), np.empty((rows_total, n))
-        for rows, true in by_length(y_true):
-            part = y_preds.take(pa.array(rows)).flatten()
-            preds = np.asarray(part.flatten(), dtype=float).reshape(len(rows), m, -1)
-            cal[rows], mae[rows], mse[rows] = _sweep_batch(w_all[rows], preds, true, grid)
+        for every, truths in by_length(y_true):
+            most = max(1, PIECE_BYTES // (8 * truths.shape[1] * (m + 3 * n)))
+            for at in range(0, len(every), most):
+                rows, true = every[at : at + most], truths[at : at + most]
+                part = y_preds.take(pa.array(rows)).flatten()
+                preds = np.asarray(part.flatten(), dtype=float).reshape(len(rows), m, -1)
+                cal[rows], mae[rows], mse[rows] = _sweep_batch(w_all[rows], preds, true, grid)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(rows_total * n + 1, dtype=np.int32) * m), pa.array(cal.ravel()))
         structs = pa.StructArray.from_arrays([flat, pa.array(mae.ravel()), pa.array(mse.ravel())], names=["weights", "mae", "mse"])
         return pa.ListArray.from_arrays(pa.array(np.arange(rows_total + 1, dtype=np.int32) * n), structs)

@@ -106,11 +106,11 @@ def simple_predictions(windows: DataFrame) -> DataFrame:
         F.slice(x, F.lit(2), n - 1), firstv, lambda s, v: F.lit(SES_ALPHA) * v + F.lit(1 - SES_ALPHA) * s
     )
     preds = {
-        "last": F.transform(hs, lambda h: lastv),
+        "last": F.array_repeat(lastv, F.col("pred_length")),
         "snaive": F.transform(hs, lambda h: F.element_at(x, n - m + F.pmod(h - 1, m).cast("int") + 1)),
-        "mean": F.transform(hs, lambda h: on_grid(amean(x))),
+        "mean": F.array_repeat(on_grid(amean(x)), F.col("pred_length")),
         "drift": F.transform(hs, lambda h: on_grid(lastv + h * ratio(lastv - firstv, n - 1))),
-        "ses": F.transform(hs, lambda h: on_grid(ses)),
+        "ses": F.array_repeat(on_grid(ses), F.col("pred_length")),
     }
     rows = F.array(*[F.struct(F.lit(e).alias("model_name"), preds[e].alias("y_pred")) for e in EXPERTS])
     return windows.select("*", F.inline(rows))
