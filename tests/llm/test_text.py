@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from castwise.llm import decontaminate, html_extract, licenses, lm, secrets
 
+SF = "/root/testdata/sf0.001"
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>menu</a></ul></nav><div class="cookie-banner">We use cookies</div>
 <div class=sidebar><p>Side</p></div><!-- note --><article><h1>A&amp;B &lt;c&gt;</h1><p>First   paragraph
@@ -27,6 +28,74 @@ def test_page_text():
     assert html_extract.main_text(f"<body><div><a>x</a> <a>y</a></div>{plain}</body>").endswith("Ok.")
 
 
+PROSE = "".join(f"<p>Paragraph {k} tells a story with quite enough words to count as prose.</p>" for k in range(12))
+STORY = [f"Paragraph {k} tells a story with quite enough words to count as prose." for k in range(12)]
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    links = "<div class=x>" + "".join(f"<div><a href=/{k}>Go {k}</a> <a href=/b{k}>More</a></div>" for k in range(9)) + "</div>"
+    body = f"<body>{links}<div class=page><h2>Title</h2><div>{PROSE}</div></div>{links}</body>"
+    assert html_extract.main_text(body).split("\n\n") == ["Title", *STORY]
+    monkeypatch.setattr(html_extract, "upper_lines", lambda ratios: [True] * len(ratios))
+    assert "Go 3" in html_extract.main_text(body)
+
+
+def test_nothing_of_the_content_is_cut():
+    page = f"<h1>Head</h1><p>Intro.</p><div>{PROSE}</div><p>The end.</p>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", "Intro.", *STORY, "The end."]
+    for name in ("content with-sidebar", "post has-comments", "no-ads story"):
+        assert html_extract.main_text(f'<body><div class="{name}"><h1>T</h1>{PROSE}</div></body>').split("\n\n") == ["T", *STORY]
+    # classes that would leave nothing do not count; hidden parts and comments do
+    assert html_extract.main_text(f'<body><div class="search-results">{PROSE}</div></body>').split("\n\n") == STORY
+    comments = "<article class=comment><p>" + "A reader says a lot about this. " * 90 + "</p></article>"
+    assert html_extract.main_text(f"<body><article>{PROSE}<div class=comments>{comments}</div></article>{comments}<p hidden>Secret.</p></body>").split("\n\n") == STORY
+
+
+class Reference(html_extract.HTMLParser):
+    """All block texts inside the article that no tag or class excludes: a plain reading of pages that have one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.text = [], [], ""
+
+    def flush(self):
+        if " ".join(self.text.split()):
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCKS:
+            self.flush()
+            if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
+                self.stack.pop()
+        if tag == "br":
+            self.text += " "
+        if tag not in html_extract.VOID:
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+            bad = tag in html_extract.LEFT_OUT or bool(html_extract.MARKS.intersection(re.findall("[a-z0-9]+", names)))
+            self.stack.append((tag, bad))
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCKS:
+            self.flush()
+        while tag in [t for t, _ in self.stack] and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(bad for _, bad in self.stack):
+            self.text += data
+
+
+def test_all_small_pages_against_a_plain_reading(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()
+    for (html,) in pages:
+        plain = Reference()
+        plain.feed(html or "")
+        plain.close()
+        plain.flush()
+        assert html_extract.main_text(html) == "\n\n".join(plain.blocks)
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y"), (2, "u", "", None)], "page_id long, url string, html string, text string")
     got = html_extract.main_texts(pages).collect()
@@ -211,3 +280,57 @@ def test_benchmark_hits(spark, made):
     assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 7] and left.columns == table.columns
     assert decontaminate.benchmark_hits(table.limit(0), items).count() == 0
     assert decontaminate.benchmark_hits(table, items.limit(0)).count() == 0
+
+
+def plain_stretch(same):
+    """Best run of equal (1) and replaced (-2) words: equal words, start, end."""
+    best, cur, hits, start, out = 0, 0, 0, 0, (0, 0, 0)
+    for i, x in enumerate(same):
+        cur += 1 if x else -2
+        hits += bool(x)
+        if cur <= 0:
+            cur, hits, start = 0, 0, i + 1
+        elif cur > best:
+            best, out = cur, (hits, start, i + 1)
+    return out
+
+
+def plain_hits(doc, item):
+    """Every way to lay the item beside the document that has a seed: the best stretch found."""
+    n, m, found = len(doc), len(item), []
+    masks = decontaminate.MASKS if m >= 8 else ["1" * m]
+    for shift in range(-m + 1, n):
+        pairs = [(shift + j, j) for j in range(m) if 0 <= shift + j < n]
+        same = [doc[i] == item[j] for i, j in pairs]
+        seeded = any(
+            all(same[a + o] for o, c in enumerate(mask) if c == "1") for mask in masks for a in range(len(same) - len(mask) + 1)
+        )
+        if seeded:
+            k, lo, hi = plain_stretch(same)
+            if k >= min(10, math.ceil(0.6 * m)):
+                found.append((k, -(pairs[0][0] + lo), pairs[0][0] + hi, m))
+    return max(found, default=None)
+
+
+def test_decontamination_against_all_alignments(spark, made):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(12)] + ["Ü", "é"]
+    words = lambda n: [str(w) for w in rng.choice(vocab, n)]
+    items = {k: words(n) for k, n in enumerate((1, 2, 3, 5, 7, 8, 9, 12, 15, 30, 70, 140))} | {50: ["same"] * 15, 51: ["same"] * 4, 52: []}
+    docs = {100: ["same"] * 400, 101: ["same"] * 3, 102: [], 103: words(5)}
+    for i in range(30):
+        item = list(items[int(rng.integers(0, 12))])
+        for _ in range(len(item) // 9):
+            item[int(rng.integers(0, len(item)))] = "other"
+        docs[i] = [f"d{rng.integers(0, 30)}" for _ in range(int(rng.integers(0, 90)))] + item + words(int(rng.integers(0, 20)))
+    bench = spark.createDataFrame([(k, " ".join(v), "x") for k, v in items.items()], "item_id long, text string, seed string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, -r.start_word, r.end_word, r.item_words) for r in decontaminate.benchmark_hits(made([(k, " ".join(v)) for k, v in docs.items()]), bench).collect()}
+    low = lambda ws: [w.lower() for w in ws]
+    want = {(d, k): hit for d, doc in docs.items() for k, item in items.items() if item and (hit := plain_hits(low(doc), low(item)))}
+    assert got == want and len(want) > 50
+
+
+def test_decontamination_of_a_repetitive_text(spark, made):
+    bench = spark.createDataFrame([(1, "word " * 15)], "item_id long, text string")
+    r = decontaminate.benchmark_hits(made([(1, "word " * 30_000)]), bench).collect()
+    assert [(x.start_word, x.end_word, x.n_equal) for x in r] == [(0, 15, 15)]
