@@ -10,7 +10,8 @@ document id, then smaller line number) has a Jaccard similarity of ``threshold``
 3. Prefix filter: two sets of enough similarity share a word among their first
    ``n - ceil(t * n) + 1``. Every set is listed under each of those words.
 4. A semi-join of the lists with themselves keeps sets that have a plausible partner: one
-   whose length, position and parity bitmap leave room for enough shared words.
+   whose length, position and parity bitmap leave room for enough shared words. A second
+   one compares long sets, which short bitmaps cannot tell apart, by wide bitmaps.
 5. In the list of a word, those sets meet the first few sets of the list and the one before them.
    Most members of a group of near copies are settled here, so no group is paired with itself.
    Sets that are still unsettled meet all earlier sets in their lists.
@@ -30,6 +31,8 @@ from castwise.llm.common import NO_ID, maybe, membership, written
 
 RARITY = 1 << 17
 HUBS = 3
+WIDE = 3
+LONG = 48  # words from which a set has a wide parity
 
 
 def _words(text: Column) -> Column:
@@ -51,7 +54,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _rarity(rows: DataFrame) -> Column:
     """A literal array: for each of ``RARITY`` hash buckets, 3 times the base-2 logarithm of its count.
 
-    The driver gets ``RARITY`` small numbers, whatever the size of the input.
+    The driver gets ``RARITY`` small numbers, whatever the size of the input. Only the plan that lists sets holds them.
     """
     words = rows.select(F.explode(_words(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("_w"))
     counts = words.groupBy(F.xxhash64("_w").bitwiseAND(F.lit(RARITY - 1)).alias("_b")).agg(F.count("*").alias("_c"))
@@ -73,6 +76,11 @@ def _codes(line: Column, rarity: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
 
+def _hashes(line: Column) -> Column:
+    """Distinct word hashes of a line, in no order: enough to compare two sets."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     lines = rows.select("_id", "_fp", F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
     return lines.filter(F.length(F.btrim("_words", F.lit(" \t\x0b\x0c\r"))) > 0)
@@ -88,14 +96,20 @@ def _parity(codes: Column) -> Column:
 
 
 def _wide(codes: Column) -> Column:
-    """As ``_parity``, with 256 bits: sharp for long lines too."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: _parity(F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == k)))
+    """As ``_parity``, with ``64 * WIDE`` bits: sharp for long lines too."""
+    own = lambda c: F.pmod(F.shiftright(c, 6), F.lit(WIDE))
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: _parity(F.filter(codes, lambda c: own(c) == k)))
+
+
+def _need(n: Column, m: Column, threshold: float) -> Column:
+    """Words that sets of these sizes must share."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9).cast("int")
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
     """Length, position and parity filters for two listed sets (``a`` and ``b``)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9).cast("int")
+    need = _need(n, m, threshold)
     apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     # the cheapest filter that fails most often comes first
     return (
@@ -105,11 +119,18 @@ def _close(a: str, b: str, threshold: float) -> Column:
     )
 
 
+def _closer(a: str, b: str, threshold: float) -> Column:
+    """``_close``, and the wide parity of long sets (null for short ones, which 64 bits tell apart)."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(WIDE)), F.lit(0))
+    return _close(a, b, threshold) & F.coalesce(apart <= n + m - F.lit(2) * _need(n, m, threshold), F.lit(True))
+
+
 def _at(s: str) -> Column:
     return F.struct(f"{s}.id", f"{s}.line", f"{s}.fp")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, rarity: Column, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (``x`` later, ``y`` earlier; structs id, line, fp) the later ones whose whole sets agree."""
     ends = pairs.select("x").union(pairs.select("y")).distinct()
     known = membership(ends.select("x.*"), F.xxhash64("id", "fp"))
@@ -118,7 +139,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, rarity: Column, threshold: floa
     lines = membership(ends.select("x.*"), F.xxhash64("id", "line", "fp"))
     named = named.filter(maybe(lines, F.xxhash64("x.id", "x.line", "x.fp")))
     sets = named.join(ends, "x", "left_semi").distinct()
-    coded = sets.select("x", _codes(F.col("_words"), rarity).alias("_set"))
+    coded = sets.select("x", _hashes(F.col("_words")).alias("_set"))
     sets = written(coded.select("x", "_set", F.size("_set").alias("n"), _wide(F.col("_set")).alias("w")), "linesets")
     # sizes and 256 bits of both first: the sets themselves move only for pairs that may well agree
     mine = sets.select("x", F.struct("n", "w").alias("a"))
@@ -146,13 +167,14 @@ def repeated_lines(
         F.hash("_codes").alias("_k2"),
         n.alias("_n"),
         _parity(F.col("_codes")).alias("_bits"),
+        F.when(n >= LONG, _wide(F.col("_codes"))).alias("_w"),
         # words are told apart by 32 bits here; a chance meeting only adds a candidate
         F.transform(F.slice("_codes", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1), lambda c: F.hash(c)).alias("_head"),
     )
     lines = written(described, "lines")
     sets = written(
         lines.groupBy("_k1", "_k2").agg(
-            F.min("_at").alias("_at"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"), F.first("_head").alias("_head")
+            F.min("_at").alias("_at"), *[F.first(c).alias(c) for c in ("_n", "_bits", "_w", "_head")]
         ).withColumn("_set", F.monotonically_increasing_id()),  # written, so the numbers stay
         "sets",
     )
@@ -161,27 +183,31 @@ def repeated_lines(
     # one pass over the lists leaves the sets that have a plausible partner; both sides share one shuffle
     meet = (F.col("me.word") == F.col("it.word")) & (F.col("me._set") != F.col("it._set")) & _close("me", "it", threshold)
     near = written(listed.alias("me").join(listed.alias("it"), meet, "left_semi"), "near")
-    near = near.join(sets.select("_set", "_at.*"), "_set").select("word", F.struct("id", "line", "fp", "n", "pos", "bits").alias("me"))
-    near = written(near, "lists")
+    # long sets of few shared words pass 64 bits by chance, the more the longer the list: a second pass compares wide ones
+    wide = [F.get("_w", F.lit(k)).alias(f"w{k}") for k in range(WIDE)]
+    near = near.join(sets.select("_set", F.col("_at.*"), *wide), "_set")
+    near = written(near.select("word", F.struct("id", "line", "fp", "n", "pos", "bits", *[f"w{k}" for k in range(WIDE)]).alias("me")), "near")
+    meet = (F.col("a.word") == F.col("b.word")) & (_at("a.me") != _at("b.me")) & _closer("a.me", "b.me", threshold)
+    near = written(near.alias("a").join(near.alias("b"), meet, "left_semi"), "lists")
 
     in_list = Window.partitionBy("word").orderBy("me")
     so_far = in_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hubs = F.array(*[F.nth_value("me", k).over(so_far) for k in range(1, HUBS + 1)], F.lag("me").over(in_list))
     first = near.select("me", hubs.alias("hubs")).select("me", F.explode("hubs").alias("hub")).filter(F.col("hub").isNotNull())
-    first = first.filter((_at("hub") < _at("me")) & _close("hub", "me", threshold))
+    first = first.filter((_at("hub") < _at("me")) & _closer("hub", "me", threshold))
     first = written(first.select(_at("me").alias("x"), _at("hub").alias("y")).distinct(), "pairs")
-    settled = written(_verified(first, rows, rarity, threshold), "settled")
+    settled = written(_verified(first, rows, threshold), "settled")
 
     open_rows = near.withColumn("x", _at("me")).join(settled, "x", "left_anti")
     index = near.select("word", F.col("me").alias("it"))
     second = (
         open_rows.join(index, "word")
-        .filter((_at("it") < _at("me")) & _close("it", "me", threshold))
+        .filter((_at("it") < _at("me")) & _closer("it", "me", threshold))
         .select("x", _at("it").alias("y"))
         .distinct()
         .join(first, ["x", "y"], "left_anti")
     )
-    later = _verified(written(second, "pairs"), rows, rarity, threshold)
+    later = _verified(written(second, "pairs"), rows, threshold)
     matched = settled.union(later).distinct().select(F.col("x").alias("_at"), F.lit(True).alias("_matched"))
     verdict = sets.select("_k1", "_k2", "_at").join(matched, "_at", "left")
     verdict = verdict.select("_k1", "_k2", F.col("_at").alias("_first"), "_matched")
