@@ -139,6 +139,95 @@ def test_licenses_in_blocks_and_short_forms(made):
     assert got[4] == (1, False, "CC-BY-NC-4.0") and got[5] == (1, False, "GPL-3.0-or-later")
 
 
+class PlainModel:
+    """The model in memory, from given counts of n-grams as tuples: another way to the same numbers. State 0 is the root."""
+
+    def __init__(self, unigrams: dict[int, int], grams: list[dict[tuple[int, ...], int]], total: int, distinct: int, texts: int):
+        norm = total + 0.5 * (distinct + 1)
+        self.word = {h: i for i, h in enumerate(unigrams)}
+        self.states: dict[tuple[int, ...], int] = {(): 0}
+        for h in unigrams:
+            self.states[(h,)] = len(self.states)
+        for level in grams[:-1]:
+            for g in level:
+                self.states[g] = len(self.states)
+        count = {(h,): c for h, c in unigrams.items()}
+        for level in grams:
+            count |= level
+        count[(lm.END,)] = texts  # each text begins after an end token
+        prob = {(h,): (c + 0.5) / norm for h, c in unigrams.items()}
+        size = len(self.states)
+        self.fail = [0] * size
+        self.weight = [0.0] * size
+        self.arcs: dict[int, tuple[float, int]] = {}
+        self.radix = max(len(unigrams), 1)
+
+        def after(history: tuple[int, ...]) -> int:
+            while history not in self.states:
+                history = history[1:]
+            return self.states[history]
+
+        def lower(gram: tuple[int, ...]) -> float:
+            """Probability of the last word after a shorter history, through failure arcs."""
+            scale = 1.0
+            while gram not in prob:
+                scale *= 10 ** self.weight[self.states[gram[:-1]]] if gram[:-1] in self.states else 1.0
+                gram = gram[1:]
+            return scale * prob[gram]
+
+        for level in grams:
+            kept: dict[tuple[int, ...], float] = {}
+            below: dict[tuple[int, ...], float] = {}
+            fresh = {}
+            for g, c in level.items():
+                fresh[g] = max(c - lm.DISCOUNT, 0.0) / count[g[:-1]]
+                kept[g[:-1]] = kept.get(g[:-1], 0.0) + fresh[g]
+                below[g[:-1]] = below.get(g[:-1], 0.0) + lower(g[1:])
+            for history, mass in kept.items():
+                rest = max(1.0 - below[history], 1e-12)
+                self.weight[self.states[history]] = math.log10(max(1.0 - mass, 1e-12) / rest)
+            prob |= fresh
+        for g, s in self.states.items():
+            if len(g) > 1:
+                self.fail[s] = after(g[1:])
+        for level in grams:
+            for g in level:
+                self.arcs[self.states[g[:-1]] * self.radix + self.word[g[-1]]] = (math.log10(max(prob[g], 1e-300)), after(g))
+        self.start = self.states.get((lm.END,), 0)
+        hashes = np.array(list(self.word), dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], order
+        self.after_word = [self.states[(h,)] for h in self.word]
+
+    def score(self, tokens: np.ndarray, root: np.ndarray) -> float:
+        """log10 probability of a text; ``root``: the tokens' log10 unigram probabilities."""
+        if not len(self.hashes):
+            return float(root.sum())
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        ids = np.where(self.hashes[at] == tokens, self.ids[at], -1).tolist()
+        arcs, fail, weight, radix, after_word = self.arcs, self.fail, self.weight, self.radix, self.after_word
+        state, total = self.start, 0.0
+        for w, alone in zip(ids, root.tolist()):
+            if w < 0:
+                while state:
+                    total += weight[state]
+                    state = fail[state]
+                total += alone
+                continue
+            arc = arcs.get(state * radix + w) if state else None
+            while state and arc is None:
+                total += weight[state]
+                state = fail[state]
+                arc = arcs.get(state * radix + w) if state else None
+            if arc is None:
+                total += alone
+                state = after_word[w]
+            else:
+                total += arc[0]
+                state = arc[1]
+        return total
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [b"\n"]
 
@@ -170,7 +259,7 @@ def test_automaton_distributions_sum_to_one():
     kept = [{g: c for g, c in level.items() if c >= 20} for level in grams]
     kept[1] = {g: c for g, c in kept[1].items() if g[:-1] in kept[0] and g[1:] in kept[0]}
     total, distinct = sum(uni.values()), len(uni)
-    model = lm.Automaton(dict(uni), kept, total, distinct, len(texts))
+    model = PlainModel(dict(uni), kept, total, distinct, len(texts))
     norm = total + 0.5 * (distinct + 1)
 
     def chance(history, word):
@@ -195,7 +284,7 @@ def test_lm_keeps_every_repeated_gram(made):
     grams = [Counter(tuple(g) for t in train for g in zip(*([lm.END, *t][k:] for k in range(n)))) for n in (2, 3)]
     kept = [{g: c for g, c in level.items() if c >= 2} for level in grams]
     total, distinct = sum(uni.values()), len(uni)
-    model = lm.Automaton({w: c for w, c in uni.items() if c >= 2}, kept, total, distinct, len(train))
+    model = PlainModel({w: c for w, c in uni.items() if c >= 2}, kept, total, distinct, len(train))
     want = []
     for i, t in rows:
         root = np.log10((np.array([uni[w] for w in hashed[t]]) + 0.5) / (total + 0.5 * (distinct + 1)))
