@@ -203,7 +203,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_digests(table(spark, sf_dir, "documents"))
 
 
-@query("op13_importance_resampling")
+@query(
+    "op13_importance_resampling",
+    r"""
+    WITH texts AS (
+      SELECT doc_id AS id, 0 AS kind, coalesce(text, '') AS text FROM documents UNION ALL SELECT item_id, 1, coalesce(text, '') FROM benchmark),
+    words AS (
+      SELECT id, kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+    runs AS (
+      SELECT id, kind, len(w) AS n, unnest(list_concat(w, list_concat(
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM words),
+    counted AS (SELECT f, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM runs GROUP BY f),
+    -- a byte to be mixed in, then eight steps of one bit (-1); every code point is one to four bytes
+    steps AS (
+      SELECT f, s, t, flatten(list_transform(string_split(f, ''), lambda ch:
+        CASE WHEN unicode(ch) < 128 THEN [unicode(ch), -1, -1, -1, -1, -1, -1, -1, -1]
+          WHEN unicode(ch) < 2048 THEN [192 + (unicode(ch) >> 6), -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(ch) & 63), -1, -1, -1, -1, -1, -1, -1, -1]
+          WHEN unicode(ch) < 65536 THEN [224 + (unicode(ch) >> 12), -1, -1, -1, -1, -1, -1, -1, -1, 128 + ((unicode(ch) >> 6) & 63), -1, -1, -1, -1, -1, -1, -1, -1,
+            128 + (unicode(ch) & 63), -1, -1, -1, -1, -1, -1, -1, -1]
+          ELSE [240 + (unicode(ch) >> 18), -1, -1, -1, -1, -1, -1, -1, -1, 128 + ((unicode(ch) >> 12) & 63), -1, -1, -1, -1, -1, -1, -1, -1,
+            128 + ((unicode(ch) >> 6) & 63), -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(ch) & 63), -1, -1, -1, -1, -1, -1, -1, -1] END)) AS x
+      FROM counted),
+    hashed AS (
+      SELECT f, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, x::BIGINT[]),
+        lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 10000 AS bucket FROM steps),
+    sums AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket),
+    gains AS (
+      SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM sums) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums),
+    weights AS (SELECT id, sum(gain)::BIGINT AS weight FROM runs JOIN hashed USING (f) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY id),
+    scores AS (
+      SELECT id AS doc_id, len(w) AS n, (greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+      FROM words LEFT JOIN weights USING (id) WHERE kind = 0),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scores WHERE n >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank FROM scores LEFT JOIN ranked USING (doc_id)
+    """,
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of a hundred documents, drawn towards the benchmark's distribution."""
     return resample.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
