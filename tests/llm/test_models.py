@@ -65,7 +65,7 @@ def test_toxicity_on_held_out_rows(larger):
     held = got[got.held_out & got.toxic.notna()]
     bad, good = held[held.toxic == 1].score, held[held.toxic == 0].score
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
-    assert auc > 0.75 and (good < 0.5).mean() > 0.97
+    assert auc > 0.75 and (good < 0.5).mean() > 0.97 and (bad >= 0.5).mean() > 0.5
 
 
 def test_toxicity_features():
@@ -105,3 +105,17 @@ def test_pipeline(spark, larger):
     for r in docs.select("text").collect():
         flat = " ".join(r.text.lower().split())
         assert not any(item in flat for item in items)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, made, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some words", "en", "s", 10), (3, "a b c d e", "en", "s", 9), (3, "a b c d e", "en", "s", 9)]
+    for k, rows in enumerate(([], odd)):
+        folder = tmp_path / str(k)
+        spark.createDataFrame(rows, columns).write.parquet(str(folder / "documents.parquet"))
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(folder / f"{name}.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).select("doc_id").collect()
+        assert {r.doc_id for r in got} == {r[0] for r in rows}
