@@ -1,4 +1,9 @@
-"""Cleaning and mixing of the documents table: five stages, each written as Parquet and read back."""
+"""Cleaning and mixing of the documents table: five stages, each written as Parquet and read back.
+
+Null texts count as empty: no stage rejects a document for having no words, and all documents without words pass on
+(a near-copy group needs words). A null id is an id of its own. Rows of one id share the verdicts of toxicity, near copies and
+decontamination; ties stay with the earlier line and the smallest id. Empty tables give empty tables, and further columns pass through.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from castwise.llm.common import table, without, written
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; without labels of both classes none does, unless all labels are toxic."""
     scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
     return without(docs, scores.filter("predicted = 1").select(F.col("doc_id").alias("_gone")), "doc_id")
 
@@ -26,12 +31,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one of the smallest id."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; items without words are never held."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
