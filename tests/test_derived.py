@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from castwise.operators import oracle, windows
+from castwise.operators import features, oracle, windows
 from castwise.plans import derived, workspace
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,10 @@ def test_narrow_windows_from_wide_blocks(ws):
     narrow = windows.cut_windows(panel, 5, 2, 16)
     wide = windows.open_blocks(windows.series_blocks(panel, 40, 64), 5, 2)
     assert narrow.exceptAll(wide).isEmpty() and wide.exceptAll(narrow).isEmpty()
+
+
+def test_features_take_one_pass_over_arrow(ws):
+    """All seventeen features in one call; no array lambdas, which run value by value outside generated code."""
+    text = plan(features.build_features(ws.windows()))
+    assert "aggregate(" not in text and len(re.findall(r"\bArrowEvalPython\b", text)) <= 2 * len(derived.CONFIGS)
+    assert "aggregate(" not in plan(features.ar1_features(ws.windows()))
