@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from castwise.operators import features, oracle, windows
+from castwise.operators import features, oracle, transforms, windows
 from castwise.plans import derived, workspace
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,12 @@ def test_features_take_one_pass_over_arrow(ws):
     text = plan(features.build_features(ws.windows()))
     assert "aggregate(" not in text and len(re.findall(r"\bArrowEvalPython\b", text)) <= 2 * len(derived.CONFIGS)
     assert "aggregate(" not in plan(features.ar1_features(ws.windows()))
+
+
+def test_periods_and_images_take_no_array_lambdas(ws):
+    for df in (
+        transforms.top_periods(ws.windows()),
+        transforms.top_periods_dynamic(ws.windows()),
+        transforms.imageize(ws.windows(), "top3fold", 4),
+    ):
+        assert "lambdafunction" not in plan(df)
