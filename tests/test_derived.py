@@ -77,3 +77,10 @@ def test_periods_and_images_take_no_array_lambdas(ws):
         transforms.imageize(ws.windows(), "top3fold", 4),
     ):
         assert "lambdafunction" not in plan(df)
+
+
+def test_buckets_grow_with_the_windows(ws, monkeypatch):
+    monkeypatch.setattr(derived, "POINTS", 500)
+    monkeypatch.setattr(ws, "root", ws.root + "-small")
+    wanted = -(-ws.points(ws.blocks()) // 500)
+    assert wanted > 8 and len(ws.bucketed("labels").inputFiles()) == wanted  # one file a bucket
