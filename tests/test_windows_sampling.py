@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from castwise.operators import ordering, sampling, windows
-from castwise.sources.panel import read_panel, scale_series, split_steps
+from castwise.sources.panel import open_panel, panel_blocks, read_panel, scale_series, scaled_panel, split_steps
 
 PANEL = "split string, dataset_name string, item_id long, channel_id int, pos int, value double"
 
@@ -51,6 +51,28 @@ def test_read_panel_fills_gaps_and_scales(spark):
     assert got[(1, 0, 3)] == pytest.approx((7 - 2.5) / 2.5, abs=1e-6)
 
 
+def test_panel_is_filled_and_scaled_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(t), float(rng.integers(1, 9))) for i in range(6) for t in rng.integers(0, 50, 12)]
+    rows += [(6, 0, 4.0), (6, 49, -0.0), (7, 20, None), (8, 7, 2.0), (8, 8, 3.0)]
+    ev = spark.createDataFrame(rows, "i long, s int, v double")
+    channels, bounds = [F.col("v"), F.lit(1.0)], {"train": (0, 20), "vali": (21, 30), "test": (31, 49)}
+    want = {(i, c, t): 0.0 for i in range(9) for c in (0, 1) for t in range(50)}
+    for i, t, v in rows:
+        want[(i, 0, t)] += v or 0.0
+        want[(i, 1, t)] += 1.0
+    for block in (7, 50, 64):
+        blocks, length = panel_blocks(ev, F.col("i"), F.col("s"), channels, block=block)
+        long = open_panel(blocks, "d")
+        assert length == 50 and {(r.item_id, r.channel_id, r.step): r.value for r in long.collect()} == want
+        old = scale_series(split_steps(long.withColumnRenamed("value", "raw"), bounds))
+        cols = ["item_id", "channel_id", "step", "split", "pos", "raw", "value"]
+        assert sorted(scaled_panel(blocks, "d", bounds).select(*cols).collect()) == sorted(old.select(*cols).collect())
+    # gaps are filled behind the last shuffle: only buckets with events are moved
+    plan = read_panel(ev, "d", F.col("i"), F.col("s"), channels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and plan.count("Generate", plan.index("Exchange")) == 0
+
+
 def formula(n, count):
     return sorted({int(np.floor((k + 0.5) * n / count)) for k in range(count)})
 
