@@ -13,6 +13,8 @@ one id count as one document. An empty table gives an empty table; extra columns
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,19 +142,53 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return texts.select(F.sha2(canonical(F.col("_text")), 256).alias("digest"), "license").distinct()
 
 
+# Words that SPELLINGS make or lengthen; no stem is taken from them.
+_RESPELLED = re.compile(r"licen[cs]e|organi|favo|commercial|https|^v|^and$|^non$")
+SHARED_STEM = "licen"  # of all spellings of the word; no replacement makes it out of other letters
+
+
+def stems_of(canon: list[str]) -> list[str] | None:
+    """Parts of words such that every one of the canonical texts comes from a lower-case text with one of them; None if there are none.
+
+    A text with the word licence has its stem. Of others the longest word of letters a to z that no replacement touches is
+    taken: its letters stand together in the text as well, since replacements join no letters to others.
+    """
+    found = set()
+    for text in canon:
+        plain = [w for w in re.findall(r"(?<!\S)[a-z]{4,}(?!\S)", text) if not _RESPELLED.search(w)]
+        if SHARED_STEM not in text and not plain:
+            return None
+        found.add(SHARED_STEM if SHARED_STEM in text else max(plain, key=lambda w: (len(w), w)))
+    return sorted(found)
+
+
 def license_hits(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | None = None
 ) -> DataFrame:
     """One row for each hit: ``_id, line`` (-1: the whole document, -2: a block of lines), ``license``."""
     rows = rows_of(docs, id_col, text_col)
-    table = F.broadcast(known_digests(rows.sparkSession, known))
+    spark = rows.sparkSession
+    table = F.broadcast(known_digests(spark, known))
+    texts = spark.createDataFrame(known or KNOWN, "license string, _text string")
+    stems = stems_of([r[0] for r in texts.select(canonical(F.col("_text"))).distinct().collect()])
+
+    def may_hold(units: DataFrame) -> DataFrame:
+        """Units with a stem: the rest cannot be a known text, and the canonical form is the dear part."""
+        if stems is None:
+            return units
+        has = F.lit(False)
+        for stem in stems:
+            has = has | F.contains(F.lower("_text"), F.lit(stem))
+        return units.filter(has)
+
+    rows = may_hold(rows)
     whole = rows.select("_id", F.lit(-1).alias("line"), "_text")
     lined = rows.filter(F.instr("_text", "\n") > 0)
     lines = lined.select("_id", F.posexplode(F.split("_text", "\n")).alias("line", "_text"))
     blocks = lined.select("_id", F.lit(-2).alias("line"), F.explode(_blocks(F.col("_text"))).alias("_text")).filter(F.instr("_text", "\n") > 0)
 
     def found(units: DataFrame) -> DataFrame:
-        return units.filter(F.length("_text") > 0).withColumn("digest", F.sha2(canonical(F.col("_text")), 256)).join(table, "digest")
+        return may_hold(units.filter(F.length("_text") > 0)).withColumn("digest", F.sha2(canonical(F.col("_text")), 256)).join(table, "digest")
 
     # a block with words on one line only is that line's hit, a document of one block is the document's
     several = F.size(F.filter(F.split("_text", "\n"), lambda t: canonical(t) != "")) > 1

@@ -122,6 +122,17 @@ def test_licenses(made):
     assert licenses.license_scan(made([]).limit(0)).count() == 0
 
 
+def test_only_texts_with_a_stem_are_brought_to_canonical_form(made):
+    assert licenses.stems_of(["released under the mit license", "version and vouch non commercial favorable wording"]) == ["licen", "wording"]
+    assert licenses.stems_of(["gpl v2"]) is None
+    # spellings that only the canonical form makes equal still pass
+    rows = [(1, "Released under the MIT LICENCE"), (2, "a\nReleased, under: the \u212aMIT licence"), (3, "GPL version 2"), (4, "gpl-2"), (5, licenses.ISC.upper())]
+    hits = licenses.license_hits(made(rows), known=[*licenses.KNOWN, ("GPL-2.0", "gpl v2")])
+    assert {(r["_id"], r.license) for r in hits.collect()} == {(1, "MIT"), (3, "GPL-2.0"), (5, "ISC")}
+    plan = licenses.license_scan(made(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains") >= 3
+
+
 def test_licenses_in_blocks_and_short_forms(made):
     wrapped = licenses.MIT.split("\n")
     code = "import os\nprint(os.getcwd())  # where\n"
