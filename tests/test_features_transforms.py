@@ -57,6 +57,24 @@ def test_features_match_direct_formulas_in_both_forms(spark):
     assert set(FEATURES) <= set(arrow.columns) | set(jvm.columns)
 
 
+def test_features_that_are_not_read_are_not_computed(spark):
+    names = "sample_key config_name split dataset_name item_id channel_id window_index history_length pred_length".split()
+    df = frame(spark, WINDOWS).select("x", *[F.lit("1").alias(n) for n in names])
+    plan = lambda *cols: features.build_features(df).select(*cols)._jdf.queryExecution().executedPlan().toString()
+    assert "stationarity_of" in plan(*FEATURES)
+    assert "time_features_of" in plan("mean") and "spectral_features_of" not in plan("mean") and "stationarity_of" not in plan("mean", "frequency_peak")
+    assert "ArrowEval" not in plan("feature_version")
+
+
+def test_power_columns_of_odd_and_short_windows(spark):
+    rng = np.random.default_rng(9)
+    df = frame(spark, [rng.normal(size=n) for n in (1, 2, 3, 4, 5, 24, 31)])
+    for r in transforms.with_power_columns(df, out="p").collect():
+        assert r.p == pytest.approx(list(spectral.power_of(np.array([r.x]))[0]), abs=1e-9)
+    waves = transforms.twiddle_table(spark.createDataFrame([(24,)], "_len int")).first()._turns
+    assert {(len(w.c), len(w.s)) for w in waves} == {(13, 11)}  # half of the window
+
+
 def test_batches_are_cut_by_bytes(spark, monkeypatch):
     import pyarrow as pa
 
