@@ -233,3 +233,18 @@ def test_time_buckets(spark):
     assert [(r.step, r.value) for r in panel.collect()] == [(0, 2.0)]
     with pytest.raises(ValueError):
         read_panel(events, "d", F.col("i"), None, [F.col("v")])
+
+
+def test_label_keys_meet_without_an_aggregation_and_shards_have_even_files(spark, tmp_path):
+    from castwise.sources import tables
+
+    rows = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("sample_key"), F.lit("mae").alias("metric"))
+    rows.write.parquet(str(tmp_path / "labels"))
+    keys = rows.filter("sample_key < 'k2'")
+    got = tables.read_labels(spark, str(tmp_path / "labels"), ["a"], "mae", keys.unionByName(keys))
+    assert got.count() == keys.count() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    index = tables.write_sharded(rows, str(tmp_path / "shards"), 4, files=4)
+    assert index.agg(F.sum("row_count")).first()[0] == 4000
+    # the hash that deals files is independent of that of the shards
+    spread = rows.groupBy(F.pmod(F.xxhash64("sample_key"), F.lit(4)), F.pmod(F.xxhash64(F.lit("file"), "sample_key"), F.lit(4))).count().collect()
+    assert len(spread) == 16 and min(r["count"] for r in spread) > 150
