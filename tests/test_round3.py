@@ -23,3 +23,9 @@ def test_key_diff_in_one_aggregation(spark):
     diff = joins.key_diff(a, b)
     assert "Join" not in plan(diff)
     assert sorted((str(r[0]), r[1]) for r in diff.collect()) == [("None", "left"), ("None", "right"), ("x", "left"), ("z", "right")]
+
+
+def test_no_pixels_in_a_shuffle(spark):
+    ws = workspace(spark, SF)
+    shown = reg.queries()["d13_validate_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in shown
