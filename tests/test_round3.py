@@ -25,7 +25,17 @@ def test_key_diff_in_one_aggregation(spark):
     assert sorted((str(r[0]), r[1]) for r in diff.collect()) == [("None", "left"), ("None", "right"), ("x", "left"), ("z", "right")]
 
 
+def test_image_means_are_those_of_the_pixels(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(str(i), [float(v) for v in rng.normal(size=n)]) for i, n in enumerate((24, 48, 24, 7))], "sample_key string, x array<double>")
+    means = {(r.sample_key, r.variant): r.means for r in transforms.image_means(df, ["3view", "top3fold"], 5).collect()}
+    for r in transforms.imageize(df, ["3view", "top3fold"], 5).collect():
+        assert np.allclose(means[r.sample_key, r.variant], np.array(r.pixels).reshape(3, -1).mean(axis=1), atol=1e-6)
+    assert len(means) == 8
+
+
 def test_no_pixels_in_a_shuffle(spark):
     ws = workspace(spark, SF)
     shown = reg.queries()["d13_validate_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in shown
+    assert reg.queries()["d10_image_values"](spark, SF).count() == ws.windows().select("config_name", "split").distinct().count()
