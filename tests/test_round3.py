@@ -17,6 +17,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sample_join_labels_first_windows_alone(spark):
+    joined = reg.queries()["f10_sample_join"](spark, SF)
+    assert "RepartitionByExpression" not in plan(joined)  # the blocks of all series are not opened for labels
+    assert joined.count() == 1000
+
+
 def test_key_diff_in_one_aggregation(spark):
     a = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "sample_key string")
     b = spark.createDataFrame([("y",), ("z",), (None,)], "sample_key string")
