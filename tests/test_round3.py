@@ -27,6 +27,43 @@ def test_routes_leave_no_row(spark):
     assert len(a) and list(a.columns) == list(b.columns) and a.equals(b)
 
 
+def test_training_rows_without_join(spark):
+    ws = workspace(spark, SF)
+    mine = queries_fusion._vali(ws, "24_6_S")
+    assert "Join" not in plan(mine)
+    want = queries_fusion.training_rows(ws).filter("config_name = '24_6_S' AND split = 'vali'").select(*mine.columns)
+    a, b = (df.toPandas().sort_values("sample_key").reset_index(drop=True) for df in (mine, want))
+    flat = lambda v: np.concatenate([np.asarray(r, dtype=float) for r in v])
+    assert len(a) and (a.sample_key == b.sample_key).all()
+    for c in (*learn_inputs(), "y_true", "y_preds", "errors"):
+        assert (flat([np.ravel(list(np.atleast_1d(v))) if c != "y_preds" else np.concatenate(list(v)) for v in a[c]])
+                == flat([np.ravel(list(np.atleast_1d(v))) if c != "y_preds" else np.concatenate(list(v)) for v in b[c]])).all(), c
+
+
+def learn_inputs():
+    return queries_fusion.FEATURES
+
+
+def test_packed_sums_are_those_of_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [
+        ([float(v) for v in rng.normal(size=3)] + [0.1], [[float(v) for v in rng.normal(size=2)] for _ in range(2)],
+         [float(v) for v in rng.normal(size=2)], [0.1, 0.4])
+        for _ in range(learn.PACK + 7)
+    ]
+    data = spark.createDataFrame(rows, "x array<double>, y_preds array<array<double>>, y_true array<double>, errors array<double>").coalesce(1)
+    blocks = learn.packed(data)
+    assert blocks.count() == 2
+    center, scale = learn._moments(blocks, 4)
+    x = np.array([r[0] for r in rows])
+    assert np.allclose(center, x.mean(axis=0)) and np.allclose(scale[:3], x.std(axis=0)[:3])
+    assert (center[3], scale[3]) == (0.1, 1.0)  # a constant input
+    net = learn.NetRouter(["a", "b"], center, scale, learn._initial([4, 2], 3))
+    batch = learn._fusion_batch(center, scale, 0.1, 1.0, 0.2)
+    a, b = (learn._evaluate(d, net, batch, learn._flat(net.params)) for d in (data, blocks))
+    assert a[0] == pytest.approx(b[0]) and np.allclose(a[1], b[1])
+
+
 def test_sample_join_labels_first_windows_alone(spark):
     joined = reg.queries()["f10_sample_join"](spark, SF)
     assert "RepartitionByExpression" not in plan(joined)  # the blocks of all series are not opened for labels
