@@ -92,3 +92,15 @@ def test_no_pixels_in_a_shuffle(spark):
     shown = reg.queries()["d13_validate_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in shown
     assert reg.queries()["d10_image_values"](spark, SF).count() == ws.windows().select("config_name", "split").distinct().count()
+
+
+def test_op4_batches_are_bounded():
+    import pyarrow as pa
+
+    from castwise.llm import lm
+
+    text = " ".join(f"w{i}" for i in range(70_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), pa.array([True]), pa.array([text])], ["block", "_id", "train", "_text"])
+    for run in (lm._block_grams(3), lm._grams(3)):
+        sizes = [b.num_rows for b in run(iter([batch]))]
+        assert max(sizes) <= 1 << 16 and sum(sizes) == 70_001 + 70_000
